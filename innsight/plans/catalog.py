@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from innsight.plans import audit_queries, profile_queries  # noqa: F401  (registration)
+from innsight.plans import audit_queries, feature_queries, profile_queries  # noqa: F401
 from innsight.plans.registry import REGISTRY, oracle_text
 
 

@@ -101,25 +101,29 @@ def derive_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, **dfs)
 
 
-_lock = threading.Lock()
-_materialized: dict[tuple[str, str], str] = {}
+_lock = threading.RLock()
+_materialized: dict[tuple[str, str, str], str] = {}
 
 
-def bookings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The booking view, written once per application as Parquet and re-read.
-
-    Every operator then scans a columnar table with pushdown and pruning
-    instead of re-running three joins and a window, and the lineage is cut
-    at a table in the shared checkpoint folder (it survives executor loss).
-    """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+def materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """``build(spark, sf_dir)`` written once per application as Parquet under
+    the shared checkpoint folder, then re-read. Later plans scan a columnar
+    table (pushdown, pruning) and do not depend on the lineage that made it,
+    so a lost executor never forces recomputing it."""
+    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
     with _lock:
         path = _materialized.get(key)
         if path is None:
-            path = scratch_path(spark, "bookings")
-            derive_bookings(spark, sf_dir).write.mode("overwrite").parquet(path)
+            path = scratch_path(spark, name)
+            build(spark, sf_dir).write.mode("overwrite").parquet(path)
             _materialized[key] = path
-    return spark.read.schema(BOOKING_SCHEMA).parquet(path)
+    return spark.read.parquet(path)
+
+
+def bookings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The booking view, materialised once per application (see ``materialized``)."""
+    df = materialized(spark, "bookings", sf_dir, derive_bookings)
+    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in BOOKING_SCHEMA.fields])
 
 
 def read_bookings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
