@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from innsight.plans import audit_queries, feature_queries, profile_queries  # noqa: F401
+from innsight.plans import (audit_queries, evaluate_queries, feature_queries,  # noqa: F401
+                            profile_queries)
 from innsight.plans.registry import REGISTRY, oracle_text
 
 
