@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from innsight.plans import (audit_queries, evaluate_queries, feature_queries,  # noqa: F401
-                            profile_queries, scoring_queries)
+                            model_queries, profile_queries, scoring_queries)
 from innsight.plans.registry import REGISTRY, oracle_text
 
 
