@@ -161,7 +161,7 @@ def classifier_pipeline(estimator, select_features: bool = False) -> Pipeline:
 def logistic(C: float = 1.0, n_weight: float = 1.0) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                               regParam=1.0 / (C * n_weight), elasticNetParam=0.0,
-                              standardization=False, maxIter=1000, tol=1e-8)
+                              standardization=False, maxIter=1000, tol=1e-6)
 
 
 def fit_logistic(split_df: DataFrame, C: float = 1.0, select_features: bool = True):

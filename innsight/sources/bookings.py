@@ -94,11 +94,45 @@ def oracle_prefix() -> str:
     return "WITH " + FIXTURE_CTES.format(**{t: t for t in _TABLES})
 
 
+def _split_fixture() -> tuple[str, str]:
+    """(CTEs up to ``g``, the final projection over ``h``) of the view text."""
+    head, tail = FIXTURE_CTES.split("), h AS (", 1)
+    final = tail[tail.index("), bookings AS (") + len("), bookings AS ("):].rstrip()
+    return head + ")", final[:-1] if final.endswith(")") else final
+
+
 def derive_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The booking view as a lazy Spark plan over the driver's parquet tables."""
+    """The booking view as a Spark plan over the driver's parquet tables.
+
+    Same rows as the SQL text, with one change of plan: the per-customer
+    running counts of earlier cancellations / kept bookings (a window
+    partitioned by customer in the text) are computed as distributed prefix
+    sums over the (customer, date, order) order. A customer holding a third
+    of all orders is then spread over many range partitions instead of one
+    window task."""
+    from pyspark.sql import functions as F
+
+    from innsight.operators.ranks import prefix_sums
+
+    dfs = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _TABLES}
+    head, final = _split_fixture()
+    g = spark.sql("WITH " + head + " SELECT * FROM g", **dfs)
+    g = g.withColumn("_keep", 1 - F.col("cancel"))
+    ps = prefix_sums(g, ["c", "d", "k"], ["cancel", "_keep"])
+    # subtract what came before the customer's first order: one row per customer
+    starts = ps.groupBy("c").agg(F.min("cancel_before").alias("_c0"),
+                                 F.min("_keep_before").alias("_k0"))
+    h = (ps.join(starts, "c")
+         .withColumn("prev_cancel", F.col("cancel_before") - F.col("_c0"))
+         .withColumn("prev_keep", F.col("_keep_before") - F.col("_k0"))
+         .drop("_keep", "cancel_before", "_keep_before", "_c0", "_k0"))
+    return spark.sql(final.replace("FROM h", "FROM {h}"), h=h)
+
+
+def derive_bookings_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view text run as is by Spark SQL (reference plan for tests)."""
     dfs = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _TABLES}
-    text = "WITH " + FIXTURE_CTES + " SELECT * FROM bookings"
-    return spark.sql(text, **dfs)
+    return spark.sql("WITH " + FIXTURE_CTES + " SELECT * FROM bookings", **dfs)
 
 
 _lock = threading.RLock()

@@ -142,3 +142,12 @@ def test_histogram_last_bin_closed(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 3, 4)], "v double")
     got = {r["bin"]: r["count"] for r in P.histogram(df, F.col("v"), 2).collect()}
     assert got == {0: 2, 1: 3}
+
+
+def test_skew_safe_view_equals_window_text(spark):
+    from tests.conftest import SF_SMALL
+    from innsight.sources.bookings import derive_bookings, derive_bookings_sql
+    a = derive_bookings(spark, SF_SMALL)
+    b = derive_bookings_sql(spark, SF_SMALL)
+    assert a.count() == b.count() == 1500
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
