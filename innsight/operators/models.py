@@ -151,6 +151,25 @@ def _with_prob(df: DataFrame) -> DataFrame:
     return df.withColumn("prob", vector_to_array("probability")[1])
 
 
+def fit_staged(pipeline: Pipeline, train: DataFrame, n_prep: int):
+    """Fit a pipeline whose first ``n_prep`` stages are feature preparation:
+    those are fitted once, the assembled vectors are cached, and the model
+    stages (which pass over the data many times) read the cached vectors.
+    Returns one ``PipelineModel`` with all stages."""
+    from pyspark.ml import PipelineModel
+    stages = pipeline.getStages()
+    prep = Pipeline(stages=stages[:n_prep]).fit(train)
+    vec = prep.transform(train).cache()
+    try:
+        rest = Pipeline(stages=stages[n_prep:]).fit(vec)
+    finally:
+        vec.unpersist()
+    return PipelineModel(stages=list(prep.stages) + list(rest.stages))
+
+
+N_PREP = 4  # feature derivation, scaler, one-hot, assembler
+
+
 def classifier_pipeline(estimator, select_features: bool = False) -> Pipeline:
     stages = preprocessing_stages("cancellation") + [PrefixAssembler()]
     if select_features:
@@ -169,14 +188,14 @@ def fit_logistic(split_df: DataFrame, C: float = 1.0, select_features: bool = Tr
     class weights, fitted on the training rows."""
     train = with_class_weight(split_df.where("split = 'train'"))
     sum_w = train.agg(F.sum("weight")).first()[0]
-    return classifier_pipeline(logistic(C, sum_w), select_features).fit(train)
+    return fit_staged(classifier_pipeline(logistic(C, sum_w), select_features), train, N_PREP)
 
 
 def fit_tree_classifier(split_df: DataFrame, max_depth: int = 19, max_bins: int = 64):
     train = with_class_weight(split_df.where("split = 'train'"))
     est = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                  maxDepth=max_depth, maxBins=max_bins, seed=SEED)
-    return classifier_pipeline(est).fit(train)
+    return fit_staged(classifier_pipeline(est), train, N_PREP)
 
 
 def positive_weight(split_df: DataFrame, label: str = "label") -> DataFrame:
@@ -195,7 +214,7 @@ def boosted_classifier(**params) -> GBTClassifier:
 
 
 def fit_boosted_classifier(split_df: DataFrame, **params):
-    return classifier_pipeline(boosted_classifier(**params)).fit(positive_weight(split_df))
+    return fit_staged(classifier_pipeline(boosted_classifier(**params)), positive_weight(split_df), N_PREP)
 
 
 def predict_classifier(model, df: DataFrame) -> DataFrame:
@@ -297,10 +316,10 @@ def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int
         fit_rows = folded.where(F.col("fold") != f)
         hold = folded.where(F.col("fold") == f)
         if kind == "classifier":
-            m = classifier_pipeline(make_estimator(params[i])).fit(fit_rows)
+            m = fit_staged(classifier_pipeline(make_estimator(params[i])), fit_rows, N_PREP)
             met = classification_metrics(_with_prob(m.transform(hold)), 0.5, by=[])
             return i, met.first()[metric]
-        m = regressor_pipeline(make_estimator(params[i])).fit(fit_rows)
+        m = fit_staged(regressor_pipeline(make_estimator(params[i])), fit_rows, N_PREP)
         pr = m.transform(hold).select(F.col("avg_price_per_room").alias("actual"),
                                       F.col("prediction").alias("predicted"))
         return i, regression_metrics(pr, by=[]).first()[metric]
@@ -360,14 +379,14 @@ def with_target(df: DataFrame, transform: str = "log1p", target: str = "avg_pric
 def fit_ridge(price_split: DataFrame, alpha: float = 10.0, transform: str = "log1p"):
     train = with_target(price_split.where("split = 'train'"), transform)
     s = train.agg(F.stddev_samp("y").alias("sd"), F.count(F.lit(1)).alias("n")).first()
-    return regressor_pipeline(ridge(alpha, s["sd"], s["n"], "y")).fit(train)
+    return fit_staged(regressor_pipeline(ridge(alpha, s["sd"], s["n"], "y")), train, N_PREP)
 
 
 def fit_tree_regressor(price_split: DataFrame, max_depth: int = 12, transform: str = "log1p"):
     train = with_target(price_split.where("split = 'train'"), transform)
     est = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=max_depth,
                                 maxBins=64, seed=SEED)
-    return regressor_pipeline(est).fit(train)
+    return fit_staged(regressor_pipeline(est), train, N_PREP)
 
 
 def boosted_regressor(label: str = "y", **params) -> GBTRegressor:
@@ -379,7 +398,7 @@ def boosted_regressor(label: str = "y", **params) -> GBTRegressor:
 
 def fit_boosted_regressor(price_split: DataFrame, transform: str = "raw", **params):
     train = with_target(price_split.where("split = 'train'"), transform)
-    return regressor_pipeline(boosted_regressor("y", **params)).fit(train)
+    return fit_staged(regressor_pipeline(boosted_regressor("y", **params)), train, N_PREP)
 
 
 def predict_price(model, df: DataFrame, transform: str) -> DataFrame:
