@@ -84,7 +84,8 @@ def _rate_sql(col):
     return f"SELECT {col}, {RATE} FROM bookings GROUP BY {col}"
 
 
-for _key, _col in [("cancel_rate_by_market_segment", "market_segment_type"),
+for _key, _col in [("cancel_rate_by", "required_car_parking_space"),
+                   ("cancel_rate_by_market_segment", "market_segment_type"),
                    ("cancel_rate_by_room_type", "room_type_reserved"),
                    ("cancel_rate_by_meal_plan", "type_of_meal_plan"),
                    ("cancel_rate_by_special_requests", "no_of_special_requests")]:
