@@ -301,7 +301,41 @@ def q_predicted_vs_actual(spark, sf_dir):
     return E.predicted_vs_actual(priced_table(spark, sf_dir))
 
 
-@register("qq_points")
+def _inv_norm_sql(p: str) -> str:
+    """Same rational approximation of the normal quantile as the Spark side."""
+    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+         6.680131188771972e+01, -1.328068155288572e+01]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+         3.754408661907416e+00]
+
+    def horner(coefs, x):
+        acc = repr(coefs[0])
+        for k in coefs[1:]:
+            acc = f"({acc} * {x} + {k!r})"
+        return acc
+
+    ql = f"sqrt(-2 * ln({p}))"
+    qh = f"sqrt(-2 * ln(1 - {p}))"
+    q = f"({p} - 0.5)"
+    r = f"({q} * {q})"
+    low = f"({horner(c, ql)} / ({horner(d, ql)} * {ql} + 1))"
+    high = f"(-{horner(c, qh)} / ({horner(d, qh)} * {qh} + 1))"
+    mid = f"({horner(a, r)} * {q} / ({horner(b, r)} * {r} + 1))"
+    return f"CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > 1 - 0.02425 THEN {high} ELSE {mid} END"
+
+
+@register("qq_points", PRICE_CTE + f"""
+, qv AS (SELECT actual - predicted AS v, ROW_NUMBER() OVER (ORDER BY actual - predicted) AS i,
+                COUNT(*) OVER () AS nn FROM priced WHERE split = 'test'),
+  qm AS (SELECT v, CASE WHEN i = nn THEN POWER(0.5, 1.0 / nn) WHEN i = 1 THEN 1 - POWER(0.5, 1.0 / nn)
+                     ELSE (i - 0.3175) / (nn + 0.365) END AS m FROM qv),
+  qt AS (SELECT v, {_inv_norm_sql('m')} AS t FROM qm)
+SELECT regr_slope(v, t) AS slope, regr_intercept(v, t) AS intercept, corr(v, t) AS r FROM qt""",
+          ["slope", "intercept", "r"])
 def q_qq_points(spark, sf_dir):
     """Normal probability plot of test residuals, summarised by its fit line
     (the per-point table is the operator's output; the line is the check)."""
