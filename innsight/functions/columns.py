@@ -83,8 +83,13 @@ def stay_nights(check_in, check_out) -> Column:
     co = F.try_to_date(col_or_name(check_out).cast("string"), "yyyy-MM-dd")
     ok = ci.isNotNull() & co.isNotNull() & (co > ci)
     total = F.when(ok, F.datediff(co, ci)).otherwise(F.lit(0))
-    nights = F.sequence(ci, F.date_sub(co, 1))
-    weekend = F.when(ok, F.size(F.filter(nights, lambda x: F.weekday(x) >= 5))).otherwise(F.lit(0))
+    # nights d = 0..total-1 fall on weekday (w + d) mod 7 (Monday = 0): two per
+    # full week, plus Saturday / Sunday if they occur in the remaining days
+    w = F.weekday(ci)
+    rest = F.pmod(total, F.lit(7))
+    weekend = F.when(ok, 2 * F.floor(total / 7)
+                     + F.when(F.pmod(5 - w, F.lit(7)) < rest, 1).otherwise(0)
+                     + F.when(F.pmod(6 - w, F.lit(7)) < rest, 1).otherwise(0)).otherwise(F.lit(0))
     return F.struct(
         (total - weekend).cast("bigint").alias("weekday"),
         weekend.cast("bigint").alias("weekend"),

@@ -312,7 +312,8 @@ def validate_bookings(requests: DataFrame, min_arrival_year: int | None = 2017)
         c = F.col(f)
         checks.append(F.when(c.isNull(), F.lit(f"{f}: field required"))
                       .when(~c.isin(allowed), F.lit(f"{f}: value not allowed")))
-    errors = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    from innsight.operators.scoring import optional_array
+    errors = optional_array([(ch.isNotNull(), ch) for ch in checks])
     return df.withColumn("errors", errors).withColumn("is_valid", F.size("errors") == 0)
 
 
@@ -388,7 +389,8 @@ def validate_form(forms: DataFrame) -> DataFrame:
     ]
     for f, msg in FORM_REQUIRED_ORDER:
         checks.append(F.when(empty(f), F.lit(f"{f}: {msg}")))
-    return forms.withColumn("errors", F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    from innsight.operators.scoring import optional_array
+    return forms.withColumn("errors", optional_array([(ch.isNotNull(), ch) for ch in checks]))
 
 
 def stay_nights_table(forms: DataFrame) -> DataFrame:

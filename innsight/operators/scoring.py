@@ -81,12 +81,21 @@ def recommendations(band, lead_time, requests, comparison, meta: dict) -> Column
     for name in ("low", "medium", "high"):
         desc = F.when(b == name, F.lit(meta["risk_bands"][name]["description"])).otherwise(desc)
     items = [
-        desc,
-        F.when(F.abs(c["difference_pct"]) >= 10, c["note"]),
-        F.when((col_or_name(lead_time) > 150) & b.isin("medium", "high"), F.lit(REC_LEAD)),
-        F.when((col_or_name(requests) == 0) & (b == "high"), F.lit(REC_NO_REQUESTS)),
+        (desc.isNotNull(), desc),
+        (F.abs(c["difference_pct"]) >= 10, c["note"]),
+        ((col_or_name(lead_time) > 150) & b.isin("medium", "high"), F.lit(REC_LEAD)),
+        ((col_or_name(requests) == 0) & (b == "high"), F.lit(REC_NO_REQUESTS)),
     ]
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return optional_array(items)
+
+
+def optional_array(items: list[tuple[Column, Column]]) -> Column:
+    """Array of the values whose condition holds, in order. Built with
+    ``concat`` of one- or zero-element arrays, which stays in generated code
+    (a higher-order ``filter`` would be interpreted per row)."""
+    empty = F.array().cast("array<string>")
+    parts = [F.when(cond, F.array(val.cast("string"))).otherwise(empty) for cond, val in items]
+    return F.concat(*parts)
 
 
 def band_expr(prob: Column, meta: dict) -> Column:

@@ -54,6 +54,8 @@ def priced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = price_split_table(spark, sf_dir)
     seg = (p.where(F.col("split") == "train").groupBy("market_segment_type")
            .agg(F.avg("avg_price_per_room").alias("predicted")))
-    return (p.join(seg, "market_segment_type", "left")
+    # one row per segment (a categorical domain): broadcast, so a segment
+    # holding a third of the rows never becomes one skewed shuffle partition
+    return (p.join(F.broadcast(seg), "market_segment_type", "left")
             .select("Booking_ID", "split", "market_segment_type",
                     F.col("avg_price_per_room").alias("actual"), "predicted"))

@@ -28,7 +28,7 @@ def _requests_with_scores(spark, sf_dir):
     req = as_requests(bookings_table(spark, sf_dir))
     seg = (price_split_table(spark, sf_dir).where("split = 'train'").groupBy("market_segment_type")
            .agg(F.avg("avg_price_per_room").alias("price")))
-    return deterministic_prob(req.join(seg, "market_segment_type", "left"))
+    return deterministic_prob(req.join(F.broadcast(seg), "market_segment_type", "left"))
 
 
 def _rules(spark, sf_dir):

@@ -154,9 +154,27 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFram
     return spark.read.parquet(path)
 
 
+def replicated(df: DataFrame, copies: int) -> DataFrame:
+    """``copies`` copies of the booking rows with distinct ids (for scaling
+    runs); the copy number is appended to the id."""
+    from pyspark.sql import functions as F
+    rep = df.sparkSession.range(copies).withColumnRenamed("id", "_copy")
+    out = df.crossJoin(F.broadcast(rep))  # the copy list has `copies` rows
+    return out.withColumn("Booking_ID", F.concat(F.col("Booking_ID"), F.lit("-"),
+                                                 F.col("_copy").cast("string"))).drop("_copy")
+
+
 def bookings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The booking view, materialised once per application (see ``materialized``)."""
-    df = materialized(spark, "bookings", sf_dir, derive_bookings)
+    """The booking view, materialised once per application (see ``materialized``).
+
+    ``sf_dir`` may end in ``#x<N>`` to use N copies of the view (scaling
+    runs); every other table is derived from this one."""
+    if "#x" in sf_dir:
+        base, n = sf_dir.rsplit("#x", 1)
+        df = materialized(spark, f"bookings-x{n}", sf_dir,
+                          lambda s, _: replicated(bookings_table(s, base), int(n)))
+    else:
+        df = materialized(spark, "bookings", sf_dir, derive_bookings)
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in BOOKING_SCHEMA.fields])
 
 
