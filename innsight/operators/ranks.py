@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from innsight.session import ensure_checkpoint_dir
 
@@ -21,25 +22,42 @@ def _num_partitions(df: DataFrame, hint: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _local_sums(order_cols: list[str], value_cols: list[str]):
+    """Per-partition exclusive running sums (partition rows arrive sorted)."""
+    def run(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        carry = {v: 0 for v in value_cols}
+        for pdf in batches:
+            for v in value_cols:
+                x = pdf[v].fillna(0)
+                pdf[f"_{v}_local"] = x.cumsum() - x + carry[v]
+                carry[v] += x.sum()
+            pdf["_pid"] = pid
+            yield pdf
+    return run
+
+
 def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``<v>_before`` = sum of ``v`` over all rows strictly earlier in the
-    global order of ``order_cols`` (which must be unique per row)."""
+    global order of ``order_cols`` (which must be unique per row).
+
+    One shuffle: rows are range-partitioned on the order and sorted inside
+    each partition; running sums inside a partition are computed on its Arrow
+    batches (vectorised, no second shuffle); the result is materialised with
+    a reliable checkpoint so that the per-partition totals are taken from
+    exactly the same partitions (range bounds come from sampling); the
+    totals, one row per partition, become broadcast offsets."""
     n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    # The partition id must be identical for the in-partition sums and the
-    # per-partition totals. Range bounds come from sampling the input, so the
-    # range-partitioned rows are materialised once (reliable checkpoint in the
-    # shared folder, survives executor loss) and both branches read them.
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
-    w_local = (Window.partitionBy("_pid").orderBy(*order_cols)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = ranged
-    for v in value_cols:
-        local = local.withColumn(f"_{v}_local", F.coalesce(F.sum(v).over(w_local), F.lit(0)))
-    totals = ranged.groupBy("_pid").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    fields = list(ranged.schema.fields)
+    types = {f.name: f.dataType for f in fields}
+    out_schema = T.StructType(fields + [T.StructField(f"_{v}_local", types[v]) for v in value_cols]
+                              + [T.StructField("_pid", T.IntegerType())])
+    local = ranged.mapInPandas(_local_sums(order_cols, value_cols), out_schema).checkpoint(eager=True)
+    totals = local.groupBy("_pid").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])
     # one row per partition: the window below sees at most `n` rows
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
