@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions.columns import risk_band
-from innsight.operators.ranks import prefix_sums, value_ranks
+from innsight.operators.ranks import prefix_sums, segmented_prefix_sums, value_ranks
 from innsight.schema import RISK_HIGH_LOWER, RISK_LOW_UPPER
 
 
@@ -94,15 +94,15 @@ def roc_curve(scored: DataFrame, by: list[str] | tuple = ("split",), label: str
          .groupBy(*by, F.col(score).alias("threshold"))
          .agg(F.count(F.lit(1)).alias("n"),
               F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos")))
-    ps = prefix_sums(g, by + ["threshold"], ["n", "pos"])
     if by:
-        starts = ps.groupBy(*by).agg(F.min("n_before").alias("_n0"), F.min("pos_before").alias("_p0"),
-                                     F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
-        ps = ps.join(starts, by)
+        ps = segmented_prefix_sums(g, by, ["threshold"], ["n", "pos"])
+        tot = g.groupBy(*by).agg(F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
+        ps = ps.join(F.broadcast(tot), by)  # one row per group (a few splits)
     else:
-        starts = ps.agg(F.lit(0).alias("_n0"), F.lit(0).alias("_p0"),
-                        F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
-        ps = ps.crossJoin(F.broadcast(starts))
+        ps = prefix_sums(g, ["threshold"], ["n", "pos"])
+        tot = g.agg(F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
+        ps = ps.crossJoin(F.broadcast(tot))
+    ps = ps.withColumn("_n0", F.lit(0)).withColumn("_p0", F.lit(0))
     # rows with score >= threshold = all rows minus rows strictly below
     pos_ge = F.col("_P") - (F.col("pos_before") - F.col("_p0"))
     all_ge = F.col("_N") - (F.col("n_before") - F.col("_n0"))

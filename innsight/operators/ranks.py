@@ -70,6 +70,100 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
                     *[f"_{v}_off" for v in value_cols])
 
 
+def _segment_sums(seg_cols: list[str], value_cols: list[str]):
+    """Per-partition exclusive running sums that restart at every segment
+    (rows arrive sorted by segment, then order). Adds ``_first`` = 1 on rows of
+    the partition's first segment (which may have started in an earlier
+    partition)."""
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        first_key = None
+        last_key = None
+        carry = {v: 0 for v in value_cols}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys = list(zip(*[pdf[c] for c in seg_cols]))
+            if first_key is None:
+                first_key = keys[0]
+            seg_id = pd.Series(pd.factorize(pd.Series(keys))[0], index=pdf.index)
+            continues = keys[0] == last_key  # first segment goes on from the last batch
+            last_is_first = seg_id.iloc[-1] == 0
+            for v in value_cols:
+                x = pdf[v].fillna(0)
+                local = x.groupby(seg_id).cumsum() - x
+                if continues:
+                    local = local + (seg_id == 0).astype("int64") * carry[v]
+                pdf[f"_{v}_seg"] = local
+                tail = x[seg_id == seg_id.iloc[-1]].sum()
+                carry[v] = (carry[v] if continues and last_is_first else 0) + tail
+            last_key = keys[-1]
+            pdf["_first"] = pd.Series([int(k == first_key) for k in keys], index=pdf.index)
+            pdf["_pid"] = pid
+            yield pdf
+    return run
+
+
+def segmented_prefix_sums(df: DataFrame, seg_cols: list[str], order_cols: list[str],
+                          value_cols: list[str], num_partitions: int | None = None) -> DataFrame:
+    """Add ``<v>_before`` = sum of ``v`` over the earlier rows of the same
+    segment (``seg_cols``), in the order of ``order_cols`` (unique within a
+    segment) - a running window per segment, without a window partition.
+
+    Rows are range-partitioned on (segment, order), so a segment holding a
+    third of all rows is spread over many partitions. Running sums restart at
+    each segment inside a partition (vectorised on Arrow batches); a segment
+    that began in earlier partitions gets their totals as a carry, computed
+    from a per-partition summary (one row per partition, broadcast). There
+    is no join on the segment key, so a hot segment never meets a hot shuffle
+    partition."""
+    n = _num_partitions(df, num_partitions)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    keys = seg_cols + order_cols
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    fields = list(ranged.schema.fields)
+    types = {f.name: f.dataType for f in fields}
+    out_schema = T.StructType(fields + [T.StructField(f"_{v}_seg", types[v]) for v in value_cols]
+                              + [T.StructField("_first", T.IntegerType()),
+                                 T.StructField("_pid", T.IntegerType())])
+    local = ranged.mapInPandas(_segment_sums(seg_cols, value_cols), out_schema).checkpoint(eager=True)
+    # per partition: its first and last segment, the totals of the last
+    # segment inside it, and whether it holds a single segment
+    seg = F.struct(*seg_cols)
+    order = F.struct(*keys)
+    summary = local.groupBy("_pid").agg(F.min_by(seg, order).alias("_fs"),
+                                        F.max_by(seg, order).alias("_ls"))
+    last_tot = (local.join(F.broadcast(summary.select("_pid", "_ls")), "_pid")
+                .where(F.struct(*seg_cols) == F.col("_ls"))
+                .groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols]))
+    rows = (summary.join(last_tot, "_pid", "left").orderBy("_pid").collect())  # n rows
+    carries = []
+    for i, r in enumerate(rows):
+        c = {v: 0 for v in value_cols}
+        j = i - 1
+        while j >= 0 and rows[j]["_ls"] == r["_fs"]:
+            for v in value_cols:
+                c[v] += rows[j][f"_t_{v}"] or 0
+            if rows[j]["_fs"] != r["_fs"]:
+                break
+            j -= 1
+        carries.append((r["_pid"], *[c[v] for v in value_cols]))
+    carry_schema = T.StructType([T.StructField("_pid", T.IntegerType())] +
+                                [T.StructField(f"_c_{v}", T.LongType() if isinstance(
+                                    types[v], (T.IntegerType, T.LongType, T.ShortType))
+                                    else T.DoubleType()) for v in value_cols])
+    carry_df = spark.createDataFrame(carries, carry_schema)
+    out = local.join(F.broadcast(carry_df), "_pid", "left")
+    for v in value_cols:
+        add = F.when(F.col("_first") == 1, F.coalesce(F.col(f"_c_{v}"), F.lit(0))).otherwise(0)
+        out = out.withColumn(f"{v}_before", F.col(f"_{v}_seg") + add)
+    return out.drop("_pid", "_first", *[f"_{v}_seg" for v in value_cols],
+                    *[f"_c_{v}" for v in value_cols])
+
+
 def value_ranks(df: DataFrame, col: str, group_cols: list[str] | tuple = (),
                 extra_counts: dict | None = None,
                 num_partitions: int | None = None) -> DataFrame:
@@ -87,11 +181,10 @@ def value_ranks(df: DataFrame, col: str, group_cols: list[str] | tuple = (),
     for name, cond in (extra_counts or {}).items():
         aggs.append(F.sum(F.when(cond, 1).otherwise(0)).alias(name))
     counts = df.where(F.col(col).isNotNull()).groupBy(*group_cols, col).agg(*aggs)
-    out = prefix_sums(counts, group_cols + [col], ["n"], num_partitions)
     if group_cols:
-        starts = out.groupBy(*group_cols).agg(F.min("n_before").alias("_start"))
-        out = (out.join(starts, group_cols)
-               .withColumn("n_before", F.col("n_before") - F.col("_start")).drop("_start"))
+        out = segmented_prefix_sums(counts, group_cols, [col], ["n"], num_partitions)
+    else:
+        out = prefix_sums(counts, [col], ["n"], num_partitions)
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 

@@ -112,20 +112,15 @@ def derive_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     window task."""
     from pyspark.sql import functions as F
 
-    from innsight.operators.ranks import prefix_sums
+    from innsight.operators.ranks import segmented_prefix_sums
 
     dfs = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _TABLES}
     head, final = _split_fixture()
     g = spark.sql("WITH " + head + " SELECT * FROM g", **dfs)
     g = g.withColumn("_keep", 1 - F.col("cancel"))
-    ps = prefix_sums(g, ["c", "d", "k"], ["cancel", "_keep"])
-    # subtract what came before the customer's first order: one row per customer
-    starts = ps.groupBy("c").agg(F.min("cancel_before").alias("_c0"),
-                                 F.min("_keep_before").alias("_k0"))
-    h = (ps.join(starts, "c")
-         .withColumn("prev_cancel", F.col("cancel_before") - F.col("_c0"))
-         .withColumn("prev_keep", F.col("_keep_before") - F.col("_k0"))
-         .drop("_keep", "cancel_before", "_keep_before", "_c0", "_k0"))
+    h = (segmented_prefix_sums(g, ["c"], ["d", "k"], ["cancel", "_keep"])
+         .withColumnRenamed("cancel_before", "prev_cancel")
+         .withColumnRenamed("_keep_before", "prev_keep").drop("_keep"))
     return spark.sql(final.replace("FROM h", "FROM {h}"), h=h)
 
 

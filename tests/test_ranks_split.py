@@ -54,3 +54,17 @@ def test_split_is_exact_and_stable(spark):
         ids = [i for i, y in rows if y == lab]
         assert sum(s1[i] == "test" for i in ids) == alloc[lab][0]
         assert sum(s1[i] == "val" for i in ids) == alloc[lab][1]
+
+
+def test_segmented_prefix_sums_bruteforce(spark):
+    from innsight.operators.ranks import segmented_prefix_sums
+    rnd = random.Random(11)
+    # one segment holds a third of the rows and spans several range partitions
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 40), i, rnd.randint(0, 5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "s int, o int, v long")
+    got = {r["o"]: r["v_before"] for r in
+           segmented_prefix_sums(df, ["s"], ["o"], ["v"], num_partitions=7).collect()}
+    run = {}
+    for s_, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        assert got[o] == run.get(s_, 0)
+        run[s_] = run.get(s_, 0) + v
