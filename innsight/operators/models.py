@@ -287,17 +287,14 @@ def fold_column(df: DataFrame, k: int = 5, strata: str | None = "label",
     stratum, so every fold keeps the class mix (exact within one row).
     The rank inside a stratum uses the distributed prefix sums, not a
     single-task window."""
-    from innsight.operators.ranks import prefix_sums
+    from innsight.operators.ranks import segmented_prefix_sums
     from innsight.operators.split import hash_key
     key = hash_key(id_col, seed + 1)
     s = F.col(strata) if strata else F.lit(0)
-    keyed = df.withColumn("_key", key).withColumn("_s", s)
-    ones = keyed.select("_s", "_key").withColumn("_one", F.lit(1))
-    ranked = prefix_sums(ones, ["_s", "_key"], ["_one"])
-    starts = ranked.groupBy("_s").agg(F.min("_one_before").alias("_st"))
-    fold = (ranked.join(F.broadcast(starts), "_s")
-            .select("_key", ((F.col("_one_before") - F.col("_st")) % k).cast("int").alias("fold")))
-    return keyed.join(fold, "_key").drop("_key", "_s")
+    keyed = df.withColumn("_key", key).withColumn("_s", s).withColumn("_one", F.lit(1))
+    ranked = segmented_prefix_sums(keyed, ["_s"], ["_key"], ["_one"])
+    return (ranked.withColumn("fold", (F.col("_one_before") % k).cast("int"))
+            .drop("_key", "_s", "_one", "_one_before"))
 
 
 def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int = 5,

@@ -68,3 +68,12 @@ def test_segmented_prefix_sums_bruteforce(spark):
     for s_, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
         assert got[o] == run.get(s_, 0)
         run[s_] = run.get(s_, 0) + v
+
+
+def test_fold_column_balanced(spark):
+    from innsight.operators.models import fold_column
+    rows = [(f"b{i:04d}", int(i % 4 == 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "Booking_ID string, label int")
+    got = fold_column(df, k=5).groupBy("fold", "label").count().collect()
+    counts = {(r["fold"], r["label"]): r["count"] for r in got}
+    assert sorted(counts.values()) == [50] * 5 + [150] * 5
