@@ -226,20 +226,25 @@ def price_by_room_type(df: DataFrame) -> DataFrame:
 # distributions
 # ---------------------------------------------------------------------------
 
-def histogram(df: DataFrame, value: Column, bins: int, name: str = "value") -> DataFrame:
-    """Equal-width histogram over [min, max] (last bin closed on the right):
-    (bin, bin_lo, bin_hi, count, density). The min/max row is broadcast."""
-    v = df.select(value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    rng = v.agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                F.count(F.lit(1)).alias("_n"))
+def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
+              by: list[str] | tuple = ()) -> DataFrame:
+    """Equal-width histogram over [min, max] of each group (last bin closed on
+    the right): (series, *by, bin, bin_lo, bin_hi, count, density), density =
+    count / (n * width) as in a normalised plot. The per-group range rows
+    (one per group, a handful) are broadcast."""
+    by = list(by)
+    v = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    rng = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                             F.count(F.lit(1)).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     idx = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)))
-    counts = (v.crossJoin(F.broadcast(rng)).withColumn("bin", idx.cast("bigint"))
-              .groupBy("bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count")))
+    joined = v.join(F.broadcast(rng), by) if by else v.crossJoin(F.broadcast(rng))
+    counts = (joined.withColumn("bin", idx.cast("bigint"))
+              .groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count")))
     return counts.select(
-        F.lit(name).alias("series"), "bin",
+        F.lit(name).alias("series"), *by, "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
         "count",

@@ -342,3 +342,38 @@ def q_qq_points(spark, sf_dir):
     p = priced_table(spark, sf_dir).where("split = 'test'")
     pts = E.qq_points(p.withColumn("residual", F.col("actual") - F.col("predicted")))
     return E.qq_fit(pts)
+
+
+# --------------------------------------------------------------------------
+# distributions behind the study's model plots
+# --------------------------------------------------------------------------
+
+from innsight.plans.profile_queries import _HIST, _hist_sql  # noqa: E402
+
+
+@register("histogram_target", _hist_sql("avg_price_per_room", "split = 'train'", 50, "target_raw",
+                                        src="psplits", prefix=PRICE_CTE), _HIST)
+def q_histogram_target(spark, sf_dir):
+    from innsight.operators.profile import histogram
+    from innsight.plans.prepared import price_split_table
+    t = price_split_table(spark, sf_dir).where("split = 'train'")
+    return histogram(t, F.col("avg_price_per_room"), 50, "target_raw")
+
+
+@register("histogram_log_target", _hist_sql("ln(1 + avg_price_per_room)", "split = 'train'", 50,
+                                            "target_log1p", src="psplits", prefix=PRICE_CTE), _HIST)
+def q_histogram_log_target(spark, sf_dir):
+    from innsight.operators.profile import histogram
+    from innsight.plans.prepared import price_split_table
+    t = price_split_table(spark, sf_dir).where("split = 'train'")
+    return histogram(t, F.log1p("avg_price_per_room"), 50, "target_log1p")
+
+
+@register("histogram_prob_by_band", _hist_sql(
+    "prob_cal", "split = 'test'", 30, "probability", "risk_band",
+    src="(SELECT *, CASE WHEN prob_cal < 0.3 THEN 'low' WHEN prob_cal < 0.6 THEN 'medium' "
+        "ELSE 'high' END AS risk_band FROM cal)", prefix=ISO_CTE), _HIST)
+def q_histogram_prob_by_band(spark, sf_dir):
+    from innsight.operators.profile import histogram
+    cal = E.risk_bands(calibrated_flow(spark, sf_dir)[0], "prob_cal").where("split = 'test'")
+    return histogram(cal, F.col("prob_cal"), 30, "probability", ["risk_band"])

@@ -215,16 +215,22 @@ def q_cancel_rate_prior_capped(spark, sf_dir):
     return P.cancel_rate_prior_capped(B(spark, sf_dir))
 
 
-def _hist_sql(expr: str, where: str, bins: int, name: str) -> str:
-    return f"""
-, hv AS (SELECT CAST({expr} AS DOUBLE) AS v FROM bookings WHERE {where}),
-  hr AS (SELECT MIN(v) AS lo, MAX(v) AS hi, COUNT(*) AS n FROM hv),
-  hb AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE LEAST(FLOOR((v - lo) * {bins} / (hi - lo)), {bins - 1}) END AS BIGINT) AS bin,
-                lo, hi, n FROM hv, hr)
-SELECT '{name}' AS series, bin, lo + bin * ((hi - lo) / {bins}) AS bin_lo,
+def _hist_sql(expr: str, where: str, bins: int, name: str, by: str | None = None,
+              src: str = "bookings", prefix: str = "") -> str:
+    g = f"{by}, " if by else ""
+    on = f"USING ({by})" if by else "ON TRUE"
+    return prefix + f"""
+, hv AS (SELECT {g}CAST({expr} AS DOUBLE) AS v FROM {src} WHERE {where}),
+  hr AS (SELECT {g}MIN(v) AS lo, MAX(v) AS hi, COUNT(*) AS n FROM hv {'GROUP BY ' + by if by else ''}),
+  hb AS (SELECT {g}CAST(CASE WHEN hi = lo THEN 0 ELSE LEAST(FLOOR((v - lo) * {bins} / (hi - lo)), {bins - 1}) END
+                AS BIGINT) AS bin, lo, hi, n FROM hv JOIN hr {on})
+SELECT '{name}' AS series, {g}bin, lo + bin * ((hi - lo) / {bins}) AS bin_lo,
        lo + (bin + 1) * ((hi - lo) / {bins}) AS bin_hi, COUNT(*) AS count,
        CAST(COUNT(*) AS DOUBLE) / (n * ((hi - lo) / {bins})) AS density
-FROM hb GROUP BY bin, lo, hi, n"""
+FROM hb GROUP BY {g}bin, lo, hi, n"""
+
+
+_HIST = ["bin_lo", "bin_hi", "density"]
 
 
 @register("histogram", _hist_sql("avg_price_per_room", "avg_price_per_room IS NOT NULL", 80,
@@ -234,11 +240,30 @@ def q_histogram(spark, sf_dir):
 
 
 @register("histogram_log_lead_time", _hist_sql("ln(1 + lead_time)", "lead_time IS NOT NULL", 60,
-                                               "log1p_lead_time"), ["bin_lo", "bin_hi", "density"])
+                                               "log1p_lead_time"), _HIST)
 def q_histogram_log_lead(spark, sf_dir):
     return P.histogram(B(spark, sf_dir), F.log1p("lead_time"), 60, "log1p_lead_time")
 
 
+@register("histogram_log_price", _hist_sql("ln(1 + avg_price_per_room)", "avg_price_per_room > 0", 60,
+                                           "log1p_price"), _HIST)
+def q_histogram_log_price(spark, sf_dir):
+    b = B(spark, sf_dir).where("avg_price_per_room > 0")
+    return P.histogram(b, F.log1p("avg_price_per_room"), 60, "log1p_price")
+
+
+@register("histogram_lead_time", _hist_sql("lead_time", "lead_time IS NOT NULL", 70, "lead_time"), _HIST)
+def q_histogram_lead_time(spark, sf_dir):
+    return P.histogram(B(spark, sf_dir), F.col("lead_time"), 70, "lead_time")
+
+
+@register("histogram_lead_by_status", _hist_sql("lead_time", "lead_time IS NOT NULL", 60,
+                                                "lead_time_density", "booking_status"), _HIST)
+def q_histogram_lead_by_status(spark, sf_dir):
+    return P.histogram(B(spark, sf_dir), F.col("lead_time"), 60, "lead_time_density",
+                       ["booking_status"])
+
+
 _BOX_SQL = """
 , qs AS (
   SELECT booking_status, quantile_cont(avg_price_per_room, 0.25) AS q1,
