@@ -173,13 +173,21 @@ def bookings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in BOOKING_SCHEMA.fields])
 
 
-def read_bookings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_bookings(spark: SparkSession, path: str, fmt: str = "csv",
+                  corrupt_col: str | None = None) -> DataFrame:
     """Read a bookings file with the fixed schema (no inference).
 
     CSV is read with a header; malformed rows are kept with nulls
-    (PERMISSIVE) so that the audit operators can count them.
-    """
-    reader = spark.read.schema(BOOKING_SCHEMA)
+    (PERMISSIVE) so that the audit operators can count them, and with
+    ``corrupt_col`` the raw text of each malformed line is kept in that
+    column."""
+    from pyspark.sql import types as T
+    schema = BOOKING_SCHEMA
+    reader = spark.read
+    if corrupt_col:
+        schema = T.StructType(list(schema.fields) + [T.StructField(corrupt_col, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_col)
+    reader = reader.schema(schema)
     if fmt == "csv":
         return reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
     return reader.format(fmt).load(path)
