@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.columns import (arrival_as_date, arrival_parts, is_canceled, pct,
+from innsight.functions.columns import (arrival_as_date, arrival_parts, is_canceled,
                                         stay_nights, valid_arrival)
 from innsight.operators.ranks import exact_quantiles
 from innsight.schema import (BOOKING_COLUMNS, EXPECTED_CATEGORIES, MARKET_SEGMENTS,

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from innsight.operators import evaluate as E
 from innsight.operators import features as FE
 from innsight.operators.split import class_weights, split_sizes
-from innsight.plans.prepared import price_split_table, priced_table, split_table
+from innsight.plans.prepared import price_split_table, split_table
 from innsight.plans.registry import register
-from innsight.plans.sqltext import (CLEAN_CTE, FEATURE_SQL, PRICE_CTE, PRICE_FEATURES,
-                                    features_select, split_cte)
+from innsight.plans.sqltext import CLEAN_CTE, PRICE_CTE, features_select, split_cte
 from innsight.schema import BOOKING_COLUMNS, CANCEL_NUMERIC, CATEGORICAL
 from innsight.sources.bookings import bookings_table
 
@@ -223,5 +222,3 @@ FROM psplits WHERE split = 'train'""", ["skew_raw", "skew_log1p"])
 def q_target_skew(spark, sf_dir):
     return E.target_skew(price_split_table(spark, sf_dir).where("split = 'train'"))
 
-
-_ = (priced_table, FEATURE_SQL, PRICE_FEATURES)

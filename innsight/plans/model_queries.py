@@ -13,7 +13,6 @@ the operators are called directly.
 
 from __future__ import annotations
 
-import json
 import threading
 
 from pyspark.sql import functions as F
@@ -26,7 +25,8 @@ from innsight.operators.scoring import Scorer, flatten_response
 from innsight.plans.prepared import price_split_table, split_table
 from innsight.plans.registry import register
 from innsight.session import scratch_path
-from innsight.sources.tables import latest_run, load_model, save_model, write_run_record
+from innsight.sources.tables import (latest_run, load_model, load_models, save_model,
+                                    write_run_record)
 
 GATE_TREES = 30
 GATE_SEARCH = dict(n_iter=3, k=3)
@@ -276,6 +276,12 @@ def q_compare_targets(spark, sf_dir):
     return M.compare_targets(_prices(spark, sf_dir), lambda d, t: M.fit_ridge(d, 1.0, t))
 
 
+@register("compare_targets_boosted")
+def q_compare_targets_boosted(spark, sf_dir):
+    """Raw vs log1p target for the boosted regressor (the production choice)."""
+    return reg_final(spark, sf_dir)["target_comparison"]
+
+
 @register("random_search_regressor")
 def q_random_search_regressor(spark, sf_dir):
     return _once(spark, sf_dir, "reg_search", lambda: M.random_search_regressor(
@@ -319,15 +325,20 @@ def q_save_model(spark, sf_dir):
 
 @register("load_model")
 def q_load_model(spark, sf_dir):
-    """Both production models saved, then loaded once (cached per session)."""
+    """Both production models saved, then loaded once (cached per session);
+    a missing model is reported, not fatal."""
     clf = save_model(clf_final(spark, sf_dir)["model"], scratch_path(spark, "models/clf"))
     reg = save_model(reg_final(spark, sf_dir)["model"], scratch_path(spark, "models/reg"))
+    paths = {"cancellation": clf, "price": reg, "missing": scratch_path(spark, "models/none")}
+    models, errors = load_models(spark, paths)
     rows = []
-    for name, path in (("cancellation", clf), ("price", reg)):
-        m = load_model(spark, path)
-        rows.append((name, len(m.stages), type(m.stages[-1]).__name__,
-                     load_model(spark, path) is m))
-    return spark.createDataFrame(rows, "model string, n_stages int, estimator string, cached boolean")
+    for name in paths:
+        m = models.get(name)
+        err = next((e for e in errors if e.startswith(name + ":")), None)
+        rows.append((name, len(m.stages) if m else None, type(m.stages[-1]).__name__ if m else None,
+                     bool(m) and load_model(spark, paths[name]) is m, err is None))
+    return spark.createDataFrame(
+        rows, "model string, n_stages int, estimator string, cached boolean, loaded boolean")
 
 
 def _run_record(fin: dict, path: str, kind: str) -> dict:
@@ -393,5 +404,3 @@ def q_score_stream(spark, sf_dir):
                               min_arrival_year=min_year)
     return flatten_response(acc)
 
-
-_ = json
