@@ -77,3 +77,16 @@ def test_fold_column_balanced(spark):
     got = fold_column(df, k=5).groupBy("fold", "label").count().collect()
     counts = {(r["fold"], r["label"]): r["count"] for r in got}
     assert sorted(counts.values()) == [50] * 5 + [150] * 5
+
+
+def test_segmented_sums_empty_partitions_and_single_segment(spark):
+    from innsight.operators.ranks import prefix_sums, segmented_prefix_sums
+    rows = [(1, i, 1) for i in range(40)] + [(2, 0, 5), (3, 0, 7)]
+    df = spark.createDataFrame(rows, "s int, o int, v long")
+    got = {(r["s"], r["o"]): r["v_before"] for r in
+           segmented_prefix_sums(df, ["s"], ["o"], ["v"], num_partitions=64).collect()}
+    assert [got[(1, i)] for i in range(40)] == list(range(40))
+    assert got[(2, 0)] == 0 and got[(3, 0)] == 0
+    flat = {r["o"]: r["v_before"] for r in
+            prefix_sums(df.where("s = 1"), ["o"], ["v"], num_partitions=64).collect()}
+    assert [flat[i] for i in range(40)] == list(range(40))
