@@ -16,10 +16,13 @@ from pyspark.sql import types as T
 from innsight.session import ensure_checkpoint_dir
 
 
-def _num_partitions(df: DataFrame, hint: int | None) -> int:
-    if hint:
-        return hint
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _range_partition(df: DataFrame, cols: list[str], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``cols`` and sort inside each partition. Without an
+    explicit count the shuffle uses the session's partition count and AQE may
+    coalesce neighbouring (still ordered) partitions to a sensible size."""
+    ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
+              else df.repartitionByRange(*cols))
+    return ranged.sortWithinPartitions(*cols)
 
 
 def _local_sums(order_cols: list[str], value_cols: list[str]):
@@ -49,16 +52,15 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     a reliable checkpoint so that the per-partition totals are taken from
     exactly the same partitions (range bounds come from sampling); the
     totals, one row per partition, become broadcast offsets."""
-    n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = _range_partition(df, order_cols, num_partitions)
     fields = list(ranged.schema.fields)
     types = {f.name: f.dataType for f in fields}
     out_schema = T.StructType(fields + [T.StructField(f"_{v}_local", types[v]) for v in value_cols]
                               + [T.StructField("_pid", T.IntegerType())])
     local = ranged.mapInPandas(_local_sums(order_cols, value_cols), out_schema).checkpoint(eager=True)
     totals = local.groupBy("_pid").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])
-    # one row per partition: the window below sees at most `n` rows
+    # one row per partition: the window below sees only that many rows
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_pid", *[F.coalesce(F.sum(f"_{v}_tot").over(w_off), F.lit(0)).alias(f"_{v}_off")
@@ -119,11 +121,10 @@ def segmented_prefix_sums(df: DataFrame, seg_cols: list[str], order_cols: list[s
     from a per-partition summary (one row per partition, broadcast). There
     is no join on the segment key, so a hot segment never meets a hot shuffle
     partition."""
-    n = _num_partitions(df, num_partitions)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = seg_cols + order_cols
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = _range_partition(df, keys, num_partitions)
     fields = list(ranged.schema.fields)
     types = {f.name: f.dataType for f in fields}
     out_schema = T.StructType(fields + [T.StructField(f"_{v}_seg", types[v]) for v in value_cols]
