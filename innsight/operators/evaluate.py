@@ -71,7 +71,8 @@ def classification_metrics(scored: DataFrame, threshold: float | Column = 0.5,
     cm = confusion_counts(s, pred, by, label)
     auc = roc_auc(s, by, label, "prob")
     out = cm.select(*by, *_metric_cols(), "brier")
-    return out.join(auc, by, "left") if by else out.crossJoin(auc)
+    # one row per group on each side (splits, models): broadcast
+    return out.join(F.broadcast(auc), by, "left") if by else out.crossJoin(F.broadcast(auc))
 
 
 def confusion_matrix(scored: DataFrame, threshold: float = 0.5,
