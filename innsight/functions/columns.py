@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 from innsight.schema import MONTH_ABBR, POSITIVE_STATUS, RISK_HIGH_LOWER, RISK_LOW_UPPER
 
 
+def scalar(one_row, name: str) -> Column:
+    """Column ``name`` of a one-row DataFrame (a global aggregate) as an
+    uncorrelated scalar subquery. Catalyst runs the aggregate once, merges
+    sibling subqueries over the same aggregate into one job and inlines the
+    value: no join, and the consuming stage stays in generated code."""
+    return one_row.select(name).scalar()
+
+
+def scalars(one_row, names=None) -> dict[str, Column]:
+    """``{name: scalar(one_row, name)}`` for the given (default: all) columns."""
+    return {n: scalar(one_row, n) for n in (names or one_row.columns)}
+
+
 def col_or_name(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

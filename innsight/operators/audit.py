@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innsight.functions.columns import (arrival_as_date, arrival_parts, is_canceled,
+from innsight.functions.columns import (scalar, scalars, arrival_as_date, arrival_parts, is_canceled,
                                         stay_nights, valid_arrival)
 from innsight.operators.ranks import exact_quantiles
 from innsight.schema import (BOOKING_COLUMNS, EXPECTED_CATEGORIES, MARKET_SEGMENTS,
@@ -117,8 +117,7 @@ def dataset_size(df: DataFrame) -> DataFrame:
     """rows, columns, missing cells and duplicate rows, as (metric, value)."""
     null_cells = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(null_cells).alias("n_missing"))
-    dup = duplicate_rows(df)
-    wide = base.crossJoin(dup)
+    wide = base.withColumns(scalars(duplicate_rows(df)))
     items = [("'rows'", "CAST(n_rows AS BIGINT)"),
              ("'columns'", f"CAST({len(df.columns)} AS BIGINT)"),
              ("'missing_cells'", "CAST(n_missing AS BIGINT)"),
@@ -142,18 +141,18 @@ def iqr_fence(df: DataFrame, col: str = "avg_price_per_room") -> DataFrame:
 
 def iqr_outliers(df: DataFrame, col: str = "avg_price_per_room",
                  id_col: str = "Booking_ID") -> DataFrame:
-    """Rows strictly above the upper Tukey fence (the fence row is broadcast)."""
-    fence = iqr_fence(df, col).select("upper_fence")
-    return (df.select(id_col, col).crossJoin(F.broadcast(fence))
+    """Rows strictly above the upper Tukey fence (a scalar subquery)."""
+    fence = scalar(iqr_fence(df, col), "upper_fence")
+    return (df.select(id_col, col).withColumn("upper_fence", fence)
             .where(F.col(col) > F.col("upper_fence")))
 
 
 def suspicious_audit(df: DataFrame) -> DataFrame:
     """The 12-rule audit: (rule_no, column_name, issue, n_rows, pct, threshold).
 
-    All rule counts come from one aggregate; the IQR fence is a one-row
-    broadcast computed beforehand."""
-    fence = iqr_fence(df).select("upper_fence")
+    All rule counts come from one aggregate; the IQR fence is a scalar
+    subquery computed beforehand."""
+    fence = scalar(iqr_fence(df), "upper_fence")
     nights = F.col("no_of_weekend_nights") + F.col("no_of_week_nights")
     price = F.col("avg_price_per_room")
 
@@ -179,7 +178,7 @@ def suspicious_audit(df: DataFrame) -> DataFrame:
         aggs.append(cnt(cond).alias(f"_r{i}"))
     for i, c in enumerate(("required_car_parking_space", "repeated_guest")):
         aggs.append(cnt(~F.col(c).isin(0, 1)).alias(f"_b{i}"))
-    wide = df.crossJoin(F.broadcast(fence)).agg(*aggs)
+    wide = df.withColumn("upper_fence", fence).agg(*aggs)
 
     items = []
     for i, (c, issue, _, thr) in enumerate(rules):
@@ -233,7 +232,7 @@ def price_model_rows(df: DataFrame) -> DataFrame:
 def rows_removed(before: DataFrame, after: DataFrame) -> DataFrame:
     b = before.agg(F.count(F.lit(1)).alias("n_before"))
     a = after.agg(F.count(F.lit(1)).alias("n_after"))
-    return b.crossJoin(a).withColumn("n_removed", F.col("n_before") - F.col("n_after"))
+    return b.withColumns(scalars(a)).withColumn("n_removed", F.col("n_before") - F.col("n_after"))
 
 
 # ---------------------------------------------------------------------------

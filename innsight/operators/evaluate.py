@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.functions.columns import risk_band
+from innsight.functions.columns import risk_band, scalar, scalars
 from innsight.operators.ranks import prefix_sums, segmented_prefix_sums, value_ranks
 from innsight.schema import RISK_HIGH_LOWER, RISK_LOW_UPPER
 
@@ -72,7 +72,9 @@ def classification_metrics(scored: DataFrame, threshold: float | Column = 0.5,
     auc = roc_auc(s, by, label, "prob")
     out = cm.select(*by, *_metric_cols(), "brier")
     # one row per group on each side (splits, models): broadcast
-    return out.join(F.broadcast(auc), by, "left") if by else out.crossJoin(F.broadcast(auc))
+    if not by:
+        return out.withColumn("roc_auc", scalar(auc, "roc_auc"))
+    return out.join(F.broadcast(auc), by, "left")
 
 
 def confusion_matrix(scored: DataFrame, threshold: float = 0.5,
@@ -102,7 +104,7 @@ def roc_curve(scored: DataFrame, by: list[str] | tuple = ("split",), label: str
     else:
         ps = prefix_sums(g, ["threshold"], ["n", "pos"])
         tot = g.agg(F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
-        ps = ps.crossJoin(F.broadcast(tot))
+        ps = ps.withColumns(scalars(tot))
     ps = ps.withColumn("_n0", F.lit(0)).withColumn("_p0", F.lit(0))
     # rows with score >= threshold = all rows minus rows strictly below
     pos_ge = F.col("_P") - (F.col("pos_before") - F.col("_p0"))
@@ -215,13 +217,18 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float] | None = None,
                                   F.count(F.lit(1)).alias("_n")))
     spark = scored.sparkSession
     tdf = spark.createDataFrame([(i + 1, t) for i, t in enumerate(ts)], "_i int, threshold double")
-    j = F.broadcast(tdf).crossJoin(buckets)  # (#thresholds) x (#buckets): fixed small size
-    pred = F.col("_b") >= F.col("_i")
-    cm = j.groupBy("threshold").agg(
-        F.sum(F.when(pred, F.col("_pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(pred, F.col("_n") - F.col("_pos")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~pred, F.col("_pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(~pred, F.col("_n") - F.col("_pos")).otherwise(0)).alias("tn"))
+    # threshold i predicts 1 for the buckets b >= i (a range join of the
+    # threshold list with at most len(ts) + 1 bucket rows); the negatives
+    # are the totals minus the positives
+    tot = scalars(buckets.agg(F.sum("_pos").alias("_P"), F.sum("_n").alias("_N")))
+    reached = (F.broadcast(tdf).join(buckets, F.col("_b") >= F.col("_i"), "left")
+               .groupBy("threshold")
+               .agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("tp"),
+                    F.coalesce(F.sum(F.col("_n") - F.col("_pos")), F.lit(0)).alias("fp"))
+               .where(tot["_N"].isNotNull()))  # no scored rows -> no rows
+    cm = reached.select("threshold", "tp", "fp",
+                        (tot["_P"] - F.col("tp")).alias("fn"),
+                        (tot["_N"] - tot["_P"] - F.col("fp")).alias("tn"))
     return cm.select("threshold", *_metric_cols())
 
 
@@ -356,7 +363,7 @@ def qq_points(df: DataFrame, value: str = "residual") -> DataFrame:
     # Positions of a value's ties are generated in chunks of at most `chunk`
     # so that a very frequent value never becomes one giant array in a task.
     chunk = 1 << 20
-    chunks = (vr.crossJoin(F.broadcast(n))
+    chunks = (vr.withColumns(scalars(n))
               .withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))))
               .repartition(vr.sparkSession.sparkContext.defaultParallelism))
     start = F.col("n_before") + 1 + F.col("_c") * chunk

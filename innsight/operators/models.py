@@ -30,6 +30,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from innsight.functions.columns import scalar
 from innsight.operators.features import preprocessing_stages
 from innsight.operators.split import with_class_weight
 from innsight.schema import SEED
@@ -202,8 +203,8 @@ def positive_weight(split_df: DataFrame, label: str = "label") -> DataFrame:
     """Row weight: int(neg / pos) for positives, 1 for negatives (training rows)."""
     train = split_df.where("split = 'train'")
     r = train.agg(F.floor(F.sum(1 - F.col(label)) / F.sum(F.col(label))).alias("_r"))
-    return train.crossJoin(F.broadcast(r)).withColumn(
-        "weight", F.when(F.col(label) == 1, F.col("_r").cast("double")).otherwise(1.0)).drop("_r")
+    return train.withColumn(
+        "weight", F.when(F.col(label) == 1, scalar(r, "_r").cast("double")).otherwise(1.0))
 
 
 def boosted_classifier(**params) -> GBTClassifier:

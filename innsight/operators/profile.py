@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.functions.columns import is_canceled, month_abbr, pct
+from innsight.functions.columns import is_canceled, month_abbr, pct, scalars
 from innsight.operators.ranks import exact_quantiles, value_ranks
 from innsight.schema import (BOOKING_STATUSES, PROFILE_CATEGORICAL, PROFILE_NUMERIC,
                              SPEARMAN_COLUMNS)
@@ -240,7 +240,7 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
     idx = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)))
-    joined = v.join(F.broadcast(rng), by) if by else v.crossJoin(F.broadcast(rng))
+    joined = v.join(F.broadcast(rng), by) if by else v.withColumns(scalars(rng))
     counts = (joined.withColumn("bin", idx.cast("bigint"))
               .groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count")))
     return counts.select(

@@ -199,11 +199,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     The number of groups times probabilities must be small (it is broadcast).
     """
     group_cols = list(group_cols)
-    spark = df.sparkSession
     vr = value_ranks(df, col, group_cols, num_partitions=num_partitions)
     sizes = vr.groupBy(*group_cols).agg(F.sum("n").alias("_n"))
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
-    targets = (sizes.crossJoin(F.broadcast(probs_df))
+    targets = (sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_h").cast("long"))
                .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))

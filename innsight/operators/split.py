@@ -19,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from innsight.functions.columns import scalars
 from innsight.schema import SEED
 
 
@@ -148,7 +149,7 @@ def class_weights(split_df: DataFrame, label: str = "label") -> DataFrame:
     tot = train.agg(F.count(F.lit(1)).alias("_n"),
                     F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_neg"),
                     F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"))
-    return (counts.crossJoin(F.broadcast(tot))
+    return (counts.withColumns(scalars(tot))
             .select(label, "n",
                     (F.col("_n") / (2.0 * F.col("n"))).alias("weight"),
                     F.floor(F.try_divide(F.col("_neg").cast("double"), F.col("_pos")))

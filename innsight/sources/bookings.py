@@ -153,8 +153,7 @@ def replicated(df: DataFrame, copies: int) -> DataFrame:
     """``copies`` copies of the booking rows with distinct ids (for scaling
     runs); the copy number is appended to the id."""
     from pyspark.sql import functions as F
-    rep = df.sparkSession.range(copies).withColumnRenamed("id", "_copy")
-    out = df.crossJoin(F.broadcast(rep))  # the copy list has `copies` rows
+    out = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return out.withColumn("Booking_ID", F.concat(F.col("Booking_ID"), F.lit("-"),
                                                  F.col("_copy").cast("string"))).drop("_copy")
 
