@@ -76,33 +76,42 @@ def _segment_sums(seg_cols: list[str], value_cols: list[str]):
     """Per-partition exclusive running sums that restart at every segment
     (rows arrive sorted by segment, then order). Adds ``_first`` = 1 on rows of
     the partition's first segment (which may have started in an earlier
-    partition)."""
-    def run(batches):
+    partition). Segment boundaries come from comparing each row's key with
+    the previous row's (vectorised; null keys are equal to each other)."""
+    def same_key(a: tuple, b: tuple | None) -> bool:
         import pandas as pd
+        return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+    def run(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        first_key = None
         last_key = None
+        in_first = True  # every row so far belongs to the partition's first segment
         carry = {v: 0 for v in value_cols}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            keys = list(zip(*[pdf[c] for c in seg_cols]))
-            if first_key is None:
-                first_key = keys[0]
-            seg_id = pd.Series(pd.factorize(pd.Series(keys))[0], index=pdf.index)
-            continues = keys[0] == last_key  # first segment goes on from the last batch
+            keys = pdf[seg_cols]
+            prev = keys.shift()
+            change = (keys.ne(prev) & ~(keys.isna() & prev.isna())).any(axis=1)
+            change.iloc[0] = True
+            seg_id = change.cumsum() - 1
+            first_row = tuple(keys.iloc[0])
+            continues = same_key(first_row, last_key)  # first segment goes on from the last batch
             last_is_first = seg_id.iloc[-1] == 0
+            head = (seg_id == 0).astype("int64")
             for v in value_cols:
                 x = pdf[v].fillna(0)
                 local = x.groupby(seg_id).cumsum() - x
                 if continues:
-                    local = local + (seg_id == 0).astype("int64") * carry[v]
+                    local = local + head * carry[v]
                 pdf[f"_{v}_seg"] = local
                 tail = x[seg_id == seg_id.iloc[-1]].sum()
                 carry[v] = (carry[v] if continues and last_is_first else 0) + tail
-            last_key = keys[-1]
-            pdf["_first"] = pd.Series([int(k == first_key) for k in keys], index=pdf.index)
+            first_here = in_first and (last_key is None or continues)
+            pdf["_first"] = (head if first_here else head * 0).astype("int32")
+            in_first = first_here and last_is_first
+            last_key = tuple(keys.iloc[-1])
             pdf["_pid"] = pid
             yield pdf
     return run

@@ -90,3 +90,27 @@ def test_segmented_sums_empty_partitions_and_single_segment(spark):
     flat = {r["o"]: r["v_before"] for r in
             prefix_sums(df.where("s = 1"), ["o"], ["v"], num_partitions=64).collect()}
     assert [flat[i] for i in range(40)] == list(range(40))
+
+
+def test_segmented_sums_small_batches_two_keys_with_nulls(spark):
+    """Segments spanning many Arrow batches and partitions, two key columns,
+    null keys (nulls form one segment and sort first)."""
+    from innsight.operators.ranks import segmented_prefix_sums
+    rnd = random.Random(5)
+    rows = []
+    for i in range(1200):
+        a = None if i % 7 == 0 else (0 if i % 3 == 0 else rnd.randint(1, 6))
+        b = None if i % 11 == 0 else rnd.randint(0, 2)
+        rows.append((a, b, i, rnd.randint(0, 9)))
+    df = spark.createDataFrame(rows, "a int, b int, o int, v long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {r["o"]: r["v_before"] for r in
+               segmented_prefix_sums(df, ["a", "b"], ["o"], ["v"], num_partitions=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    run = {}
+    for a, b, o, v in rows:  # rows are already in `o` order
+        assert got[o] == run.get((a, b), 0), (a, b, o)
+        run[(a, b)] = run.get((a, b), 0) + v
