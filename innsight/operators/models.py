@@ -160,7 +160,14 @@ def fit_staged(pipeline: Pipeline, train: DataFrame, n_prep: int):
     from pyspark.ml import PipelineModel
     stages = pipeline.getStages()
     prep = Pipeline(stages=stages[:n_prep]).fit(train)
-    vec = prep.transform(train).cache()
+    # cache only what the model stages read (vector, label, weight), not the
+    # booking columns and intermediate features
+    cols = {"features"}
+    for st in stages[n_prep:]:
+        for p in ("featuresCol", "labelCol", "weightCol"):
+            if st.hasParam(p) and st.isDefined(p) and st.getOrDefault(p):
+                cols.add(st.getOrDefault(p))
+    vec = prep.transform(train).select(*sorted(cols)).cache()
     try:
         rest = Pipeline(stages=stages[n_prep:]).fit(vec)
     finally:
