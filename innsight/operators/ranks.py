@@ -200,16 +200,23 @@ def value_ranks(df: DataFrame, col: str, group_cols: list[str] | tuple = (),
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                     group_cols: list[str] | tuple = (),
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None,
+                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Exact quantiles with linear interpolation (the pandas / numpy default)
     per group, computed without gathering a column or a group into one task.
 
     Returns one row per (group, probability): (*group_cols, prob, value).
-    The number of groups times probabilities must be small (it is broadcast).
+    The target rows (2 per group and probability) are broadcast when the
+    counted number of groups keeps them within ``max_broadcast_rows``;
+    otherwise they meet the value table in shuffle joins on the group key.
     """
     group_cols = list(group_cols)
     vr = value_ranks(df, col, group_cols, num_partitions=num_partitions)
     sizes = vr.groupBy(*group_cols).agg(F.sum("n").alias("_n"))
+    # one row per group; counted over the checkpointed distinct-value table
+    n_groups = sizes.count() if group_cols else 1
+    small = n_groups * len(probs) * 2 <= max_broadcast_rows
+    bc = F.broadcast if small else (lambda d: d)
     targets = (sizes.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
                .withColumn("_lo", F.floor("_h").cast("long"))
@@ -221,13 +228,13 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     p = pos.alias("p")
     v = vr.alias("v")
     join_cond = cond + [F.col(f"p.{g}") == F.col(f"v.{g}") for g in group_cols]
-    stats = (F.broadcast(p).join(v, join_cond)
+    stats = (bc(p).join(v, join_cond)
              .select(*[F.col(f"p.{g}").alias(g) for g in group_cols], "_pos",
                      F.col(f"v.{col}").cast("double").alias("_value")))
     lo = stats.withColumnRenamed("_pos", "_lo").withColumnRenamed("_value", "_v_lo")
     hi = stats.withColumnRenamed("_pos", "_hi").withColumnRenamed("_value", "_v_hi")
-    res = (targets.join(F.broadcast(lo), group_cols + ["_lo"])
-           .join(F.broadcast(hi), group_cols + ["_hi"]))
+    res = (targets.join(bc(lo), group_cols + ["_lo"])
+           .join(bc(hi), group_cols + ["_hi"]))
     return res.select(*group_cols, "prob",
                       (F.col("_v_lo") + F.col("_frac") * (F.col("_v_hi") - F.col("_v_lo")))
                       .alias("value"))
