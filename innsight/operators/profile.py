@@ -231,7 +231,7 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
     """Equal-width histogram over [min, max] of each group (last bin closed on
     the right): (series, *by, bin, bin_lo, bin_hi, count, density), density =
     count / (n * width) as in a normalised plot. The per-group range rows
-    (one per group, a handful) are broadcast."""
+    meet the values in a join that AQE turns into a broadcast when small."""
     by = list(by)
     v = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     rng = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
@@ -240,7 +240,9 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
     idx = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)))
-    joined = v.join(F.broadcast(rng), by) if by else v.withColumns(scalars(rng))
+    # one range row per group; the group column is the caller's, so its size
+    # is not known here: AQE broadcasts it when the measured size is small
+    joined = v.join(rng, by) if by else v.withColumns(scalars(rng))
     counts = (joined.withColumn("bin", idx.cast("bigint"))
               .groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count")))
     return counts.select(
@@ -261,7 +263,7 @@ def box_stats_by_status(df: DataFrame, col: str = "avg_price_per_room",
     fences = (qw.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
               .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     v = F.col(col)
-    w = (df.select(group, col).join(F.broadcast(fences), group)
+    w = (df.select(group, col).join(fences, group)  # AQE broadcasts when measured small
          .groupBy(group, "q1", "median", "q3")
          .agg(F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
               F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi")))
