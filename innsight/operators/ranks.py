@@ -150,17 +150,21 @@ def segmented_prefix_sums(df: DataFrame, seg_cols: list[str], order_cols: list[s
                 .where(F.struct(*seg_cols) == F.col("_ls"))
                 .groupBy("_pid").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols]))
     rows = (summary.join(last_tot, "_pid", "left").orderBy("_pid").collect())  # n rows
+    # One pass over the partitions in order. A partition's carry is the total
+    # of its first segment in earlier partitions: the running total of the
+    # previous partition's last segment when that segment goes on here. That
+    # running total is the partition's own last-segment sum, plus its carry
+    # when the partition holds that one segment only.
     carries = []
-    for i, r in enumerate(rows):
-        c = {v: 0 for v in value_cols}
-        j = i - 1
-        while j >= 0 and rows[j]["_ls"] == r["_fs"]:
-            for v in value_cols:
-                c[v] += rows[j][f"_t_{v}"] or 0
-            if rows[j]["_fs"] != r["_fs"]:
-                break
-            j -= 1
+    prev = None
+    end_tot = {v: 0 for v in value_cols}
+    for r in rows:
+        goes_on = prev is not None and prev["_ls"] == r["_fs"]
+        c = {v: end_tot[v] if goes_on else 0 for v in value_cols}
+        single = r["_fs"] == r["_ls"]
+        end_tot = {v: (r[f"_t_{v}"] or 0) + (c[v] if single else 0) for v in value_cols}
         carries.append((r["_pid"], *[c[v] for v in value_cols]))
+        prev = r
     carry_schema = T.StructType([T.StructField("_pid", T.IntegerType())] +
                                 [T.StructField(f"_c_{v}", T.LongType() if isinstance(
                                     types[v], (T.IntegerType, T.LongType, T.ShortType))

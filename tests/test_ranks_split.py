@@ -129,3 +129,16 @@ def test_quantiles_shuffle_join_branch(spark):
         arr = np.array([v for v, gg in rows if gg == g])
         for p in probs:
             assert abs(got[(g, p)] - np.quantile(arr, p)) < 1e-9
+
+
+def test_segmented_sums_two_hot_segments_many_partitions(spark):
+    from innsight.operators.ranks import segmented_prefix_sums
+    rnd = random.Random(17)
+    rows = [(i % 3 if i % 3 < 2 else rnd.randint(2, 30), i, rnd.randint(0, 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s int, o int, v long")
+    got = {r["o"]: r["v_before"] for r in
+           segmented_prefix_sums(df, ["s"], ["o"], ["v"], num_partitions=30).collect()}
+    run = {}
+    for s_, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
+        assert got[o] == run.get(s_, 0)
+        run[s_] = run.get(s_, 0) + v
