@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from innsight.functions.columns import scalar
 from innsight.session import ensure_checkpoint_dir
 
 
@@ -202,6 +203,32 @@ def value_ranks(df: DataFrame, col: str, group_cols: list[str] | tuple = (),
     return out.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0)
 
 
+def _global_quantiles(vr: DataFrame, col: str, probs: list[float], n) -> DataFrame:
+    """Quantiles of the whole column: the two positions around each target
+    depend only on the row count ``n`` (a scalar subquery), so the values at
+    those positions are conditional maxima in one aggregate over the
+    distinct-value table - no join. No rows when the column is empty."""
+    def at(pos):
+        inside = (pos >= F.col("n_before")) & (pos < F.col("n_before") + F.col("n"))
+        return F.max(F.when(inside, F.col(col).cast("double")))
+
+    aggs = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (n - 1)
+        lo = F.floor(h).cast("long")
+        aggs += [at(lo).alias(f"_lo{i}"), at(F.least(lo + 1, n - 1)).alias(f"_hi{i}")]
+    wide = vr.agg(*aggs)
+    rows = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (n - 1)
+        frac = h - F.floor(h)
+        v_lo, v_hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        rows.append(F.struct(F.lit(float(p)).alias("prob"),
+                             (v_lo + frac * (v_hi - v_lo)).alias("value")))
+    return (wide.select(F.explode(F.array(*rows)).alias("_q")).select("_q.prob", "_q.value")
+            .where(F.col("value").isNotNull()))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                     group_cols: list[str] | tuple = (),
                     num_partitions: int | None = None,
@@ -217,6 +244,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     group_cols = list(group_cols)
     vr = value_ranks(df, col, group_cols, num_partitions=num_partitions)
     sizes = vr.groupBy(*group_cols).agg(F.sum("n").alias("_n"))
+    if not group_cols:
+        return _global_quantiles(vr, col, probs, scalar(sizes, "_n"))
     # one row per group; counted over the checkpointed distinct-value table
     n_groups = sizes.count() if group_cols else 1
     small = n_groups * len(probs) * 2 <= max_broadcast_rows

@@ -142,3 +142,17 @@ def test_segmented_sums_two_hot_segments_many_partitions(spark):
     for s_, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
         assert got[o] == run.get(s_, 0)
         run[s_] = run.get(s_, 0) + v
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.integers(-50, 50), min_size=0, max_size=60))
+def test_global_quantiles_match_numpy(spark, xs):
+    df = spark.createDataFrame([(float(x),) for x in xs], "v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {r["prob"]: r["value"] for r in
+           exact_quantiles(df, "v", probs, num_partitions=3).collect()}
+    if not xs:
+        assert got == {}
+        return
+    for p in probs:
+        assert abs(got[p] - np.quantile(np.array(xs, dtype=float), p)) < 1e-9
