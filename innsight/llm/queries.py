@@ -6,10 +6,12 @@ table and derives the digest columns of its contract from the result.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import chat, licenses, line_dedup, sharding
+from innsight.llm import (bpe, chat, decontaminate, embeddings, language, licenses, line_dedup, near_dup,
+                          sharding, substring)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -128,3 +130,82 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 16)
     return r.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.decode(ids.select("doc_id", "n_tokens", "ids"), ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_simhash_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"),
+                                       table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_icws_near_dup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.mark_near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "kept")
+
+
+@query("op8_cross_parsing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _substring_sql() -> str:
+    return """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                                      lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, hash(array_to_string(ws[i + 1:i + 20], ' ')) AS h,
+               md5(array_to_string(ws[i + 1:i + 20], ' ')) AS m
+        FROM (SELECT doc_id, ws, unnest(range(len(ws) - 19)) AS i FROM w WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h, m ORDER BY doc_id, i) AS n FROM win),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1)),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
+kept AS (SELECT word.doc_id, count(gone.p) AS n_removed,
+           string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS text
+         FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
+@query("op9_doubling_substring_dedup", _substring_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup_substrings(docs, 20).select(
+        "doc_id", "n_words", "n_removed",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a AS id, a AS seen FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON reach.seen = l.a),
+c AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+  e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.id LEFT JOIN c ON e.vec_id = c.id
+"""
+
+
+@query("op10_embedding_near_dup", VECTORS_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
