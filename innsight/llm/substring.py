@@ -34,7 +34,7 @@ from innsight.llm.columns import other_columns, quoted, written
 from innsight.llm.rows_by_id import split_by_ids
 
 RESULTS = ["n_words", "n_removed", "kept_text"]
-KEY = ["od", "tid"]
+KEY = ["__od", "__tid"]
 LAST_ID = (1 << 63) - 1
 
 
@@ -60,7 +60,7 @@ def _windows(words: wh.Words, half: int, window: int) -> tuple[np.ndarray, np.nd
 
 def _witnesses(window: int):
     half = window // 2
-    schema = pa.schema([("h", pa.int64()), ("od", pa.int64()), ("tid", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("__od", pa.int64()), ("__tid", pa.int64()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +93,7 @@ def _witnesses(window: int):
 def _extend(window: int):
     """Full windows whose witness is repeated: one row per document and window hash, with its first place."""
     half = window // 2
-    schema = pa.schema([("h", pa.int64()), ("od", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("__od", pa.int64()), ("__tid", pa.int64()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,24 +171,24 @@ def _rebuild(window: int, text: int, gone: int | None, copy: bool):
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Order key od and tid; tid only tells texts apart where ids are shared, else it is 0."""
     od = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
-    shared = docs.select(od.alias("od"), F.xxhash64(F.col(text)).alias("t")).groupBy("od").agg(
+    shared = docs.select(od.alias("id"), F.xxhash64(F.col(text)).alias("t")).groupBy("id").agg(
         F.min("t").alias("a"), F.max("t").alias("b")).filter("a != b").limit(1).count()
     tid = F.xxhash64(F.col(text)) if shared else F.lit(0).cast("long")
-    return docs.select("*", od.alias("od"), tid.alias("tid"))
+    return docs.select("*", od.alias(KEY[0]), tid.alias(KEY[1]))
 
 
 def _copies(keyed: DataFrame, text: str) -> DataFrame:
     """Keys of documents whose whole text an earlier document has."""
-    ids = keyed.select("od", "tid", F.xxhash64(F.col(text)).alias("t1"),
+    ids = keyed.select(*KEY, F.xxhash64(F.col(text)).alias("t1"),
                        F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
-    first = ids.groupBy("t1", "t2").agg(F.min("od").alias("first"), F.max("od").alias("last")).filter(
+    first = ids.groupBy("t1", "t2").agg(F.min("__od").alias("first"), F.max("__od").alias("last")).filter(
         "first != last").select("t1", "t2", "first")
-    return ids.join(first, ["t1", "t2"]).filter("od != first").select(*KEY).distinct()
+    return ids.join(first, ["t1", "t2"]).filter("__od != first").select(*KEY).distinct()
 
 
 def _survivors(texts: DataFrame, window: int) -> DataFrame:
     """Level 1: (od, tid, alive), the repeated half-length witnesses of each document."""
-    seen = texts.mapInArrow(_witnesses(window), "h long, od long, tid long, n int")
+    seen = texts.mapInArrow(_witnesses(window), "h long, __od long, __tid long, n int")
     repeated = seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     return seen.select("h", *KEY).join(repeated, "h").groupBy(*KEY).agg(
         F.collect_set("h").alias("alive"))
@@ -199,11 +199,11 @@ def repeated_windows(texts: DataFrame, window: int) -> tuple[DataFrame, DataFram
     alive = written(_survivors(texts, window), "level-half")
     hit, _ = split_by_ids(texts, alive.select(*KEY), KEY)
     full = hit.join(alive, KEY).select(*KEY, "text", "alive").mapInArrow(
-        _extend(window), "h long, od long, tid long, pos int")
+        _extend(window), "h long, __od long, __tid long, pos int")
     full = written(full, "level-full")
     first = full.groupBy("h").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("n")).filter(
-        "n > 1").select("h", F.col("first.od").alias("od0"), F.col("first.tid").alias("tid0"))
-    gone = full.join(first, "h").filter("od != od0 OR tid != tid0").select(*KEY, "pos")
+        "n > 1").select("h", F.col("first.__od").alias("od0"), F.col("first.__tid").alias("tid0"))
+    gone = full.join(first, "h").filter("__od != od0 OR __tid != tid0").select(*KEY, "pos")
     return alive.select(*KEY), gone
 
 
