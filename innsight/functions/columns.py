@@ -30,8 +30,8 @@ def col_or_name(c) -> Column:
 
 
 def is_canceled(status="booking_status") -> Column:
-    """1 when the booking was canceled, else 0."""
-    return (col_or_name(status) == F.lit(POSITIVE_STATUS)).cast("int")
+    """1 when the booking was canceled, else 0 (also when the status is null)."""
+    return F.coalesce((col_or_name(status) == F.lit(POSITIVE_STATUS)).cast("int"), F.lit(0))
 
 
 def arrival_as_date(year="arrival_year", month="arrival_month", day="arrival_date") -> Column:
@@ -64,7 +64,8 @@ def arrival_season(month="arrival_month") -> Column:
 def month_abbr(month="arrival_month") -> Column:
     """Three-letter English month name for months 1..12, else NULL."""
     names = F.array(*[F.lit(x) for x in MONTH_ABBR])
-    return F.try_element_at(names, col_or_name(month).cast("int"))
+    m = col_or_name(month)
+    return F.when(m.between(1, 12), F.element_at(names, F.greatest(F.lit(1), F.least(F.lit(12), m)).cast("int")))
 
 
 def pct(numer: Column, denom: Column) -> Column:

@@ -88,9 +88,15 @@ def missingness(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier identical row (pandas ``duplicated().sum()``).
 
-    Grouping on all columns is pre-aggregated map-side, so a hot group of
-    copies collapses before the shuffle."""
-    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    Only a 64-bit row hash is shuffled for all rows (pre-aggregated, so a hot
+    group of copies collapses first). Rows whose hash repeats are compared in
+    full, so the count is exact."""
+    from innsight.operators.ranks import bounded_broadcast
+    hashed = df.withColumn("_row_hash", F.xxhash64(*[F.col(_q(c)) for c in df.columns]))
+    again = (hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+             .select("_row_hash"))
+    same = hashed.join(bounded_broadcast(again), "_row_hash", "left_semi")
+    grouped = same.groupBy(*[F.col(_q(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return grouped.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint")
                        .alias("n_duplicates"))
 
@@ -102,10 +108,14 @@ def column_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     avoids the distinct-expansion of many exact distinct counts at scale."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(df.columns):
-        aggs.append(F.sum(F.col(c).isNull().cast("long")).alias(f"_null{i}"))
-        d = F.count_distinct(F.col(c)) if exact else F.approx_count_distinct(F.col(c))
-        aggs.append(d.alias(f"_uniq{i}"))
+        aggs.append(F.sum(F.col(_q(c)).isNull().cast("long")).alias(f"_null{i}"))
+        if not exact:
+            aggs.append(F.approx_count_distinct(F.col(_q(c))).alias(f"_uniq{i}"))
     wide = df.agg(*aggs)
+    if exact:
+        # one pruned single-column scan each: no row is expanded once per column
+        wide = wide.withColumns({f"_uniq{i}": scalar(df.agg(F.count_distinct(F.col(_q(c))).alias("u")), "u")
+                                 for i, c in enumerate(df.columns)})
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     items = [(_s(c), _s(dtypes[c]), f"CAST(_null{i} AS BIGINT)", f"CAST(_uniq{i} AS BIGINT)",
               f"ROUND(CAST(_null{i} AS DOUBLE) * 100 / _rows, 6)")
@@ -147,8 +157,24 @@ def iqr_outliers(df: DataFrame, col: str = "avg_price_per_room",
             .where(F.col(col) > F.col("upper_fence")))
 
 
+# what a reader of the audit should do about each rule
+AUDIT_NOTES = [
+    ([1], "No adult in the room: keep the row and flag it."),
+    ([2], "More adults than a standard room holds: check for group bookings."),
+    ([3], "More children than a standard room holds: check the entry."),
+    ([4], "No night is booked: day use or an entry error; keep the row and flag it."),
+    ([5], "Free of charge: complimentary stay or missing price; leave out of the price model."),
+    ([6], "Far above all other prices: check the entry."),
+    ([7], "Above the upper fence: rare but possible; trees cope with it."),
+    ([8], "Booked over a year ahead: rare but possible."),
+    ([9], "Not a date of the calendar: drop before date features are derived."),
+    ([10], "Few years only: seasons can't be told from trends."),
+    ([11, 12], "The flag must be 0 or 1."),
+]
+
+
 def suspicious_audit(df: DataFrame) -> DataFrame:
-    """The 12-rule audit: (rule_no, column_name, issue, n_rows, pct, threshold).
+    """The 12-rule audit: (rule_no, column_name, issue, n_rows, pct, threshold, note).
 
     All rule counts come from one aggregate; the IQR fence is a scalar
     subquery computed beforehand."""
@@ -159,6 +185,7 @@ def suspicious_audit(df: DataFrame) -> DataFrame:
     def cnt(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 
+    # fixed values: columns, labels and limits of the rules
     rules = [
         ("no_of_adults", "zero adults", F.col("no_of_adults") == 0, None),
         ("no_of_adults", "more than 4 adults", F.col("no_of_adults") > 4, None),
@@ -192,7 +219,10 @@ def suspicious_audit(df: DataFrame) -> DataFrame:
         items.append((str(11 + i), _s(c), "'value not in {0,1}'", f"_b{i}",
                       f"ROUND(CAST(_b{i} AS DOUBLE) * 100 / _rows, 6)", "CAST(NULL AS DOUBLE)"))
     out = _long(wide, items, ["rule_no", "column_name", "issue", "n_rows", "pct", "threshold"])
-    return out.withColumn("rule_no", F.col("rule_no").cast("bigint"))
+    note = F.lit(None).cast("string")
+    for rules_, text in AUDIT_NOTES:
+        note = F.when(F.col("rule_no").isin(rules_), F.lit(text)).otherwise(note)
+    return out.withColumn("note", note).withColumn("rule_no", F.col("rule_no").cast("bigint"))
 
 
 # ---------------------------------------------------------------------------
@@ -327,6 +357,7 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 # intake form (check-in / check-out) rules
 # ---------------------------------------------------------------------------
 
+# fixed values: the fields of the form
 FORM_FIELDS = [
     "no_of_adults", "no_of_children", "type_of_meal_plan", "required_car_parking_space",
     "room_type_reserved", "lead_time", "market_segment_type", "repeated_guest",

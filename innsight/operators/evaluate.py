@@ -77,6 +77,14 @@ def classification_metrics(scored: DataFrame, threshold: float | Column = 0.5,
     return out.join(F.broadcast(auc), by, "left")
 
 
+def confusion_metrics(scored: DataFrame, threshold: float = 0.5, by: list[str] | tuple = ("split",),
+                      label: str = "label") -> DataFrame:
+    """accuracy, precision, recall and F1 per group, from confusion counts alone."""
+    by = list(by)
+    pred = (F.col("prob") >= F.lit(float(threshold))).cast("int")
+    return confusion_counts(scored, pred, by, label).select(*by, *_metric_cols())
+
+
 def confusion_matrix(scored: DataFrame, threshold: float = 0.5,
                      by: list[str] | tuple = ("split",), label: str = "label",
                      score: str = "prob") -> DataFrame:
@@ -138,10 +146,15 @@ def brier_score(scored: DataFrame, by: list[str] | tuple = ("split",), label: st
 
 def fit_isotonic(val: DataFrame, label: str = "label", score: str = "prob"):
     """Monotone (isotonic) map from score to probability, fitted on validation
-    rows; predictions interpolate linearly and clip outside the fitted range."""
+    rows; predictions interpolate linearly and clip outside the fitted range.
+
+    Rows are collapsed to one per distinct score (mean label, weight = rows)
+    before the fit, which gives the same map: a hot score is a single row."""
     from pyspark.ml.regression import IsotonicRegression
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="_iso",
-                              isotonic=True).fit(val.select(score, F.col(label).cast("double")))
+    points = val.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_y"),
+                                    F.count(F.lit(1)).cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol=score, labelCol="_y", weightCol="_w",
+                              predictionCol="_iso", isotonic=True).fit(points)
 
 
 def fit_sigmoid(val: DataFrame, label: str = "label", score: str = "prob"):
@@ -207,28 +220,27 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float] | None = None,
 
     Each row is first mapped to the number of thresholds it reaches (a sum of
     comparisons inside codegen), counts are aggregated per (bucket, label) -
-    at most (len(thresholds) + 1) x 2 rows - and only that small table meets
-    the threshold list, so the work is one pass, whatever the data size."""
+    at most (len(thresholds) + 1) x 2 rows - and only that small table is
+    summed per threshold, so the work is one pass, whatever the data size."""
     ts = sorted(thresholds or sweep_thresholds())
     p = F.col(score)
     reach = sum((F.when(p >= F.lit(t), 1).otherwise(0) for t in ts), F.lit(0))
     buckets = (scored.withColumn("_b", reach)
                .groupBy("_b").agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos"),
                                   F.count(F.lit(1)).alias("_n")))
-    spark = scored.sparkSession
-    tdf = spark.createDataFrame([(i + 1, t) for i, t in enumerate(ts)], "_i int, threshold double")
-    # threshold i predicts 1 for the buckets b >= i (a range join of the
-    # threshold list with at most len(ts) + 1 bucket rows); the negatives
-    # are the totals minus the positives
-    tot = scalars(buckets.agg(F.sum("_pos").alias("_P"), F.sum("_n").alias("_N")))
-    reached = (F.broadcast(tdf).join(buckets, F.col("_b") >= F.col("_i"), "left")
-               .groupBy("threshold")
-               .agg(F.coalesce(F.sum("_pos"), F.lit(0)).alias("tp"),
-                    F.coalesce(F.sum(F.col("_n") - F.col("_pos")), F.lit(0)).alias("fp"))
-               .where(tot["_N"].isNotNull()))  # no scored rows -> no rows
-    cm = reached.select("threshold", "tp", "fp",
-                        (tot["_P"] - F.col("tp")).alias("fn"),
-                        (tot["_N"] - tot["_P"] - F.col("fp")).alias("tn"))
+    # threshold i predicts 1 for the buckets b >= i: conditional sums over the
+    # bucket table in one aggregate, then one row per threshold
+    aggs = [F.sum("_pos").alias("_P"), F.sum("_n").alias("_N")]
+    for i in range(1, len(ts) + 1):
+        at = F.col("_b") >= i
+        aggs += [F.sum(F.when(at, F.col("_pos")).otherwise(0)).alias(f"_tp{i}"),
+                 F.sum(F.when(at, F.col("_n") - F.col("_pos")).otherwise(0)).alias(f"_fp{i}")]
+    wide = buckets.agg(*aggs).where(F.col("_N").isNotNull())   # no scored rows -> no rows
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_tp{i + 1}").alias("tp"),
+                              F.col(f"_fp{i + 1}").alias("fp")) for i, t in enumerate(ts)])
+    cm = wide.select("_P", "_N", F.explode(rows).alias("_r")).select(
+        "_r.threshold", "_r.tp", "_r.fp", (F.col("_P") - F.col("_r.tp")).alias("fn"),
+        (F.col("_N") - F.col("_P") - F.col("_r.fp")).alias("tn"))
     return cm.select("threshold", *_metric_cols())
 
 
@@ -308,13 +320,20 @@ def residual_summary(df: DataFrame, actual: str = "actual", predicted: str = "pr
 
 def predicted_vs_actual(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                         by: list[str] | tuple = ("split",)) -> DataFrame:
-    """The plotting frame: joint min and max of actual and predicted."""
+    """Joint min and max of actual and predicted: the frame of ``predicted_actual_pairs``."""
     a, p = F.col(actual), F.col(predicted)
     return df.groupBy(*list(by)).agg(F.least(F.min(a), F.min(p)).alias("frame_min"),
                                      F.greatest(F.max(a), F.max(p)).alias("frame_max"),
                                      F.corr(a, p).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
+def predicted_actual_pairs(df: DataFrame, id_col: str = "Booking_ID") -> DataFrame:
+    """Every row's actual and predicted value, with the frame of its split for the plot."""
+    frame = predicted_vs_actual(df).select("split", "frame_min", "frame_max")
+    return (df.join(F.broadcast(frame), "split")      # one row per split
+            .select(id_col, "split", "actual", "predicted", "frame_min", "frame_max"))
+
+
 def target_skew(df: DataFrame, target: str = "avg_price_per_room") -> DataFrame:
     """Bias-corrected skewness (pandas ``skew``) of the raw and log1p target."""
     def g1(x: Column) -> Column:

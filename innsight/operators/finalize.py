@@ -16,6 +16,7 @@ from innsight.operators import evaluate as E
 from innsight.operators import models as M
 from innsight.operators.scoring import default_cancellation_meta
 from innsight.schema import BOOKING_COLUMNS
+from innsight.session import written
 
 FEATURES_REQUIRED = [n for n, _ in BOOKING_COLUMNS if n not in ("Booking_ID", "booking_status")]
 
@@ -48,10 +49,10 @@ def finalize_cancellation(split_df: DataFrame, version: str = "1.0.0", **gbt_par
     model = M.fit_boosted_classifier(split_df, **gbt_params)
     scored = M.predict_classifier(model, split_df).select("Booking_ID", "label", "split", "prob",
                                                           "lead_time", "no_of_special_requests")
-    scored = scored.cache()
+    scored = written(scored, "scored")     # three numbers a row; nothing stays cached
     val = scored.where("split = 'val'")
     cal_table, method, calibrator = calibration_table(val)
-    cal = E.apply_calibrator(scored, calibrator, method, "prob", "prob_cal").cache()
+    cal = written(E.apply_calibrator(scored, calibrator, method, "prob", "prob_cal"), "calibrated")
     sweep = E.threshold_sweep(cal.where("split = 'val'"), score="prob_cal")
     threshold = float(E.best_threshold(sweep).first()["threshold"])
     metrics = E.classification_metrics(cal, threshold, score="prob_cal")
@@ -59,6 +60,8 @@ def finalize_cancellation(split_df: DataFrame, version: str = "1.0.0", **gbt_par
     cal_test = E.classification_metrics(cal.where("split = 'test'"), threshold, score="prob_cal") \
         .withColumn("model", F.lit(f"calibrated ({method})"))
     metric_rows = metrics.collect()
+    brier = {r["method"]: r["brier_score"] for r in cal_table.collect()}
+    dummy = E.classification_metrics(M.fit_dummy_classifier(split_df).transform(split_df), 0.5)
     meta = default_cancellation_meta(threshold, version)
     meta.update({
         "model_name": "cancellation_gbt_calibrated",
@@ -67,6 +70,9 @@ def finalize_cancellation(split_df: DataFrame, version: str = "1.0.0", **gbt_par
         "n_train_rows": split_df.where("split = 'train'").count(),
         "params": {**M.BOOSTED_CLASSIFIER, **gbt_params},
         "calibration_method": method,
+        "brier_uncalibrated": brier["uncalibrated"], "brier_calibrated": brier[method],
+        "dummy_baseline": {f"{r['split']}_accuracy": float(r["accuracy"]) for r in dummy.collect()},
+        "top_features": [(r["feature"], r["importance"]) for r in feature_importance(model, top=10).collect()],
         "features_required": FEATURES_REQUIRED,
         "metrics": {r["split"]: {k: float(r[k]) for k in
                                  ("accuracy", "precision", "recall", "f1", "roc_auc", "brier")}
@@ -81,18 +87,28 @@ def finalize_cancellation(split_df: DataFrame, version: str = "1.0.0", **gbt_par
 def finalize_price(price_split: DataFrame, version: str = "1.0.0", **gbt_params) -> dict:
     """Boosted regressor: raw vs log1p target chosen on validation RMSE,
     then metrics on every split in price units."""
-    choice = M.compare_targets(price_split,
-                               lambda d, t: M.fit_boosted_regressor(d, t, **gbt_params))
+    choice, models = M.compare_targets(price_split,
+                                       lambda d, t: M.fit_boosted_regressor(d, t, **gbt_params))
     transform = choice.where("chosen").first()["target"]
-    model = M.fit_boosted_regressor(price_split, transform, **gbt_params)
+    model = models[transform]
     pred = M.predict_price(model, price_split, transform).select(
         "Booking_ID", "split", F.col("avg_price_per_room").alias("actual"),
         F.col("predicted_price").alias("predicted"))
+    pred = written(pred, "price-predictions")
     metrics = E.regression_metrics(pred)
+    target = "avg_price_per_room"
+    dummy = M.fit_dummy_regressor(price_split)
+    base = E.regression_metrics(dummy.transform(price_split).select(
+        "split", F.col(target).alias("actual"), F.col("prediction").alias("predicted")))
     meta = {
         "model_name": "room_price_gbt", "version": version,
         "trained_on": _dt.date.today().isoformat(),
         "target_transformation": transform,
+        "n_train_rows": price_split.where("split = 'train'").count(),
+        "dummy_baseline": {"train_mean": dummy.value,
+                           **{f"{r['split']}_rmse": float(r["rmse"]) for r in base.collect()}},
+        "target_comparison": {f"{r['target']}_rmse": r["val_rmse"] for r in choice.collect()},
+        "top_features": [(r["feature"], r["importance"]) for r in feature_importance(model, top=10).collect()],
         "params": {**M.BOOSTED_REGRESSOR, **gbt_params},
         "features_required": [f for f in FEATURES_REQUIRED if f != "avg_price_per_room"],
         "metrics": {r["split"]: {k: float(r[k]) for k in ("r2", "mae", "rmse")}
@@ -102,17 +118,56 @@ def finalize_price(price_split: DataFrame, version: str = "1.0.0", **gbt_params)
             "predictions": pred, "metrics": metrics, "meta": meta}
 
 
-def feature_importance(model, clean: bool = True) -> DataFrame:
-    """(feature, importance) of a fitted tree pipeline, importance descending
-    (the model's importances sum to 1)."""
+def feature_importance(model, clean: bool = True, top: int | None = None) -> DataFrame:
+    """(rank, feature, importance) of a fitted tree pipeline, importance
+    descending (ties by name; the importances sum to 1); ``top`` keeps the first."""
     from innsight.operators.features import clean_feature_name
     est = model.stages[-1]
-    names = M.feature_names(model)
-    imp = est.featureImportances.toArray()
+    ranked = sorted(zip(M.feature_names(model), est.featureImportances.toArray()), key=lambda r: (-r[1], r[0]))
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)],
-                               "feature string, importance double")
+    df = spark.createDataFrame([(i + 1, n, float(v)) for i, (n, v) in enumerate(ranked[:top])],
+                               "rank int, feature string, importance double")
     if clean:
         df = df.withColumn("feature", clean_feature_name(F.col("feature")))
-    return df
+    return df.orderBy("rank")
+
+
+def classification_leaderboard(scored: dict[str, DataFrame], threshold: float = 0.5) -> DataFrame:
+    """One row per model, sorted by test ROC AUC: accuracy, F1 and ROC AUC on
+    train, val and test, precision and recall on test. scored: (split, label, prob) by model."""
+    parts = [E.classification_metrics(d.select("split", "label", "prob"), threshold)
+             .withColumn("model", F.lit(n)) for n, d in scored.items()]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    pick = lambda s, m: F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}")
+    wide = long.groupBy("model").agg(
+        *[pick(s, m) for m in ("accuracy", "f1", "roc_auc") for s in ("train", "val", "test")],
+        pick("test", "precision"), pick("test", "recall"))
+    return wide.orderBy(F.desc_nulls_last("test_roc_auc"), "model")
+
+
+def regression_leaderboards(metrics: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(validation table sorted by RMSE, train and test table sorted by test
+    RMSE). metrics: ``regression_metrics`` per split, by model."""
+    parts = [d.withColumn("model", F.lit(n)) for n, d in metrics.items()]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    val = (long.where("split = 'val'").select("model", "r2", "mae", "rmse")
+           .orderBy("rmse", "model"))
+    pick = lambda s, m: F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}")
+    both = long.groupBy("model").agg(*[pick(s, m) for s in ("train", "test") for m in ("r2", "mae", "rmse")])
+    return val, both.orderBy("test_rmse", "model")
+
+
+def final_price_table(price_split: DataFrame, fin: dict) -> DataFrame:
+    """The mean baseline on test, then the production model on train, val and test."""
+    dummy = M.fit_dummy_regressor(price_split).transform(price_split.where("split = 'test'")).select(
+        "split", F.col("avg_price_per_room").alias("actual"), F.col("prediction").alias("predicted"))
+    rows = E.regression_metrics(dummy).withColumn("model", F.lit("mean baseline")).unionByName(
+        fin["metrics"].withColumn("model", F.lit(f"boosted ({fin['transform']})")))
+    order = F.array_position(F.array(*[F.lit(s) for s in ("train", "val", "test")]), F.col("split"))
+    return rows.select("model", "split", "r2", "mae", "rmse").orderBy(
+        F.desc(F.col("model") == "mean baseline"), order)

@@ -15,6 +15,7 @@ Equivalences with the study's settings:
 
 from __future__ import annotations
 
+import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
@@ -167,7 +168,7 @@ def fit_staged(pipeline: Pipeline, train: DataFrame, n_prep: int):
         for p in ("featuresCol", "labelCol", "weightCol"):
             if st.hasParam(p) and st.isDefined(p) and st.getOrDefault(p):
                 cols.add(st.getOrDefault(p))
-    vec = prep.transform(train).select(*sorted(cols)).cache()
+    vec = packed(prep.transform(train).select(*sorted(cols))).cache()
     try:
         rest = Pipeline(stages=stages[n_prep:]).fit(vec)
     finally:
@@ -175,6 +176,17 @@ def fit_staged(pipeline: Pipeline, train: DataFrame, n_prep: int):
     return PipelineModel(stages=list(prep.stages) + list(rest.stages))
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def packed(vec: DataFrame) -> DataFrame:
+    """Vectors for a model that passes over them thousands of times: no more
+    partitions than rows / ROWS_PER_PARTITION, so that small training sets
+    don't pay for empty tasks. Large sets keep their partitions."""
+    want = max(1, -(-vec.count() // ROWS_PER_PARTITION))
+    return vec.coalesce(want) if want < vec.rdd.getNumPartitions() else vec
+
+
 N_PREP = 4  # feature derivation, scaler, one-hot, assembler
 
 
@@ -218,7 +230,7 @@ def boosted_classifier(**params) -> GBTClassifier:
     p = dict(BOOSTED_CLASSIFIER)
     p.update(params)
     return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                         seed=SEED, maxBins=64, cacheNodeIds=True, checkpointInterval=10, **p)
+                         seed=SEED, maxBins=64, cacheNodeIds=False, checkpointInterval=10, **p)
 
 
 def fit_boosted_classifier(split_df: DataFrame, **params):
@@ -234,7 +246,7 @@ def depth_sweep_classifier(split_df: DataFrame, depths=range(1, 21), parallelism
     """Train/val accuracy and F1 of a balanced tree for each depth; the
     preprocessing is fitted once and the vectors cached, depths run on a
     thread pool (model-level parallelism on one cluster)."""
-    from innsight.operators.evaluate import classification_metrics
+    from innsight.operators.evaluate import confusion_metrics
     weighted = with_class_weight(split_df.where(F.col("split").isin("train", "val")))
     train = weighted.where("split = 'train'")
     prep = Pipeline(stages=preprocessing_stages("cancellation") + [PrefixAssembler()]).fit(train)
@@ -244,7 +256,7 @@ def depth_sweep_classifier(split_df: DataFrame, depths=range(1, 21), parallelism
     def one(d):
         m = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                    maxDepth=d, maxBins=64, seed=SEED).fit(tr)
-        met = classification_metrics(_with_prob(m.transform(vec)), threshold)
+        met = confusion_metrics(_with_prob(m.transform(vec)), threshold)   # no ranks needed
         return [(d, r["split"], r["accuracy"], r["f1"]) for r in met.collect()]
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -283,10 +295,17 @@ REGRESSOR_SPACE = dict(CLASSIFIER_SPACE)
 
 
 def sample_params(space: dict, n_iter: int, seed: int = SEED) -> list[dict]:
-    """``n_iter`` seeded draws from the grid (with replacement across draws)."""
-    rng = random.Random(seed)
+    """``n_iter`` seeded draws from the grid, all different (all of the grid if it is smaller)."""
     keys = sorted(space)
-    return [{k: rng.choice(space[k]) for k in keys} for _ in range(n_iter)]
+    size = math.prod(len(space[k]) for k in keys)
+    out = []
+    for at in random.Random(seed).sample(range(size), min(n_iter, size)):
+        draw = {}
+        for k in keys:
+            at, i = divmod(at, len(space[k]))
+            draw[k] = space[k][i]
+        out.append(draw)
+    return out
 
 
 def fold_column(df: DataFrame, k: int = 5, strata: str | None = "label",
@@ -307,44 +326,68 @@ def fold_column(df: DataFrame, k: int = 5, strata: str | None = "label",
 
 def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int = 5,
                    metric: str = "roc_auc", parallelism: int = 4, kind: str = "classifier") -> DataFrame:
-    """Mean and std of the validation metric of each configuration over k
-    folds (preprocessing refitted inside each fold). Returns one row per
-    configuration with its parameters as JSON and a rank (1 = best)."""
-    import json
+    """Mean and std of the validation metric of each configuration over k folds.
+
+    Preprocessing is fitted once per fold (on its training rows) and the
+    assembled vectors are shared by all configurations, which run on a thread
+    pool. One row per configuration: its parameters as typed columns, the
+    metric, and a rank in which equal means share the smallest place."""
     import statistics
 
-    from innsight.operators.evaluate import classification_metrics, regression_metrics
-    folded = fold_column(train, k, "label" if kind == "classifier" else None).cache()
-
-    def score(cfg_fold):
-        i, f = cfg_fold
-        fit_rows = folded.where(F.col("fold") != f)
-        hold = folded.where(F.col("fold") == f)
-        if kind == "classifier":
-            m = fit_staged(classifier_pipeline(make_estimator(params[i])), fit_rows, N_PREP)
-            met = classification_metrics(_with_prob(m.transform(hold)), 0.5, by=[])
-            return i, met.first()[metric]
-        m = fit_staged(regressor_pipeline(make_estimator(params[i])), fit_rows, N_PREP)
-        pr = m.transform(hold).select(F.col("avg_price_per_room").alias("actual"),
-                                      F.col("prediction").alias("predicted"))
-        return i, regression_metrics(pr, by=[]).first()[metric]
-
-    jobs = [(i, f) for i in range(len(params)) for f in range(k)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        results = list(pool.map(score, jobs))
-    folded.unpersist()
-    per = {}
-    for i, v in results:
-        per.setdefault(i, []).append(float(v))
-    higher = metric in ("roc_auc", "accuracy", "f1", "r2")
-    rows = []
-    for i, vals in per.items():
-        rows.append((i, json.dumps(params[i], sort_keys=True), statistics.fmean(vals),
-                     statistics.pstdev(vals)))
-    order = sorted(rows, key=lambda r: (-r[2] if higher else r[2], r[0]))
-    ranked = [(r[0], r[1], r[2], r[3], pos + 1) for pos, r in enumerate(order)]
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+    classify = kind == "classifier"
+    label = "label" if classify else "avg_price_per_room"
+    evaluator = (BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+                 if classify else RegressionEvaluator(labelCol=label, metricName=metric))
+    columns = ["features", label] + (["weight"] if classify else [])
+    folded = fold_column(train, k, "label" if classify else None)
+    values: dict[int, list[float]] = {i: [] for i in range(len(params))}
+    for f in range(k):
+        stages = preprocessing_stages("cancellation" if classify else "price") + [PrefixAssembler()]
+        prep = Pipeline(stages=stages).fit(folded.where(F.col("fold") != f))
+        fit_rows = packed(prep.transform(folded.where(F.col("fold") != f)).select(*columns)).cache()
+        hold = packed(prep.transform(folded.where(F.col("fold") == f)).select(*columns)).cache()
+
+        def one(i, fit_rows=fit_rows, hold=hold):
+            return i, evaluator.evaluate(make_estimator(params[i]).fit(fit_rows).transform(hold))
+        try:
+            with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                for i, v in pool.map(one, range(len(params))):
+                    values[i].append(float(v))
+        finally:
+            fit_rows.unpersist()
+            hold.unpersist()
+    higher = metric in ("roc_auc", "r2")
+    means = [statistics.fmean(values[i]) for i in range(len(params))]
+    rows = [(i, *params[i].values(), m, statistics.pstdev(values[i]),
+             1 + sum((x > m) if higher else (x < m) for x in means)) for i, m in enumerate(means)]
+    types = {int: "int", float: "double", str: "string"}
+    names = ", ".join(f"{n} {types[type(v)]}" for n, v in params[0].items())
     return train.sparkSession.createDataFrame(
-        ranked, f"config int, params string, mean_{metric} double, std_{metric} double, rank int")
+        rows, f"config int, {names}, mean_{metric} double, std_{metric} double, rank int")
+
+
+def best_params(results: DataFrame) -> dict:
+    """Parameters of the best configuration (rank 1; ties: the first draw)."""
+    r = results.orderBy("rank", "config").first().asDict()
+    return {n: v for n, v in r.items() if n in CLASSIFIER_SPACE}
+
+
+def best_params_table(results: DataFrame, metric: str = "roc_auc") -> DataFrame:
+    """(param, value) of the best configuration and its cross-validated metric."""
+    r = results.orderBy("rank", "config").first()
+    rows = [(n, str(v)) for n, v in best_params(results).items()]
+    return results.sparkSession.createDataFrame(
+        rows + [(f"cv_{metric}", repr(round(r[f"mean_{metric}"], 4)))], "param string, value string")
+
+
+def refit_best_classifier(split_df: DataFrame, results: DataFrame):
+    """The best draw, fitted on all training rows."""
+    return fit_boosted_classifier(split_df, **best_params(results))
+
+
+def refit_best_regressor(price_split: DataFrame, results: DataFrame, transform: str = "raw"):
+    return fit_boosted_regressor(price_split, transform, **best_params(results))
 
 
 def random_search_classifier(split_df: DataFrame, n_iter: int = 30, k: int = 5,
@@ -358,7 +401,7 @@ def random_search_classifier(split_df: DataFrame, n_iter: int = 30, k: int = 5,
 
 def search_results_top(results: DataFrame, metric: str = "roc_auc", k: int = 10) -> DataFrame:
     """The top-k configurations (a top-k report)."""
-    return results.orderBy("rank").limit(k)
+    return results.orderBy("rank", "config").limit(k)
 
 
 # ---------------------------------------------------------------------------
@@ -398,7 +441,7 @@ def boosted_regressor(label: str = "y", **params) -> GBTRegressor:
     p = dict(BOOSTED_REGRESSOR)
     p.update(params)
     return GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, maxBins=64,
-                        cacheNodeIds=True, checkpointInterval=10, **p)
+                        cacheNodeIds=False, checkpointInterval=10, **p)
 
 
 def fit_boosted_regressor(price_split: DataFrame, transform: str = "raw", **params):
@@ -450,17 +493,21 @@ def random_search_regressor(price_split: DataFrame, n_iter: int = 30, k: int = 5
                           "rmse", parallelism, "regressor")
 
 
-def compare_targets(price_split: DataFrame, make_model) -> DataFrame:
-    """Validation RMSE in price units for a raw and a log1p target; the
-    lower one is chosen (``chosen`` = true on that row)."""
+def compare_targets(price_split: DataFrame, make_model, parallelism: int = 2) -> tuple[DataFrame, dict]:
+    """Validation RMSE in price units for a raw and a log1p target; the lower
+    one is chosen (``chosen`` = true on that row). Returns the table and the
+    fitted models by target, so the chosen one needs no further fit."""
     from innsight.operators.evaluate import regression_metrics
-    rows = []
     val = price_split.where("split = 'val'")
-    for t in ("raw", "log1p"):
-        m = make_model(price_split, t)
-        pr = predict_price(m, val, t).select(F.col("avg_price_per_room").alias("actual"),
-                                             F.col("predicted_price").alias("predicted"))
+    targets = ("raw", "log1p")
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        models = dict(zip(targets, pool.map(lambda t: make_model(price_split, t), targets)))
+    rows = []
+    for t in targets:
+        pr = predict_price(models[t], val, t).select(F.col("avg_price_per_room").alias("actual"),
+                                                     F.col("predicted_price").alias("predicted"))
         rows.append((t, float(regression_metrics(pr, by=[]).first()["rmse"])))
     best = min(rows, key=lambda r: (r[1], r[0] != "raw"))[0]
-    return price_split.sparkSession.createDataFrame(
+    table = price_split.sparkSession.createDataFrame(
         [(t, r, t == best) for t, r in rows], "target string, val_rmse double, chosen boolean")
+    return table, models

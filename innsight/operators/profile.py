@@ -12,8 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.functions.columns import is_canceled, month_abbr, pct, scalars
-from innsight.operators.ranks import exact_quantiles, value_ranks
+from innsight.functions.columns import arrival_as_date, is_canceled, month_abbr, pct, scalars
+from innsight.operators.ranks import bounded_broadcast, exact_quantiles, value_ranks
 from innsight.schema import (BOOKING_STATUSES, PROFILE_CATEGORICAL, PROFILE_NUMERIC,
                              SPEARMAN_COLUMNS)
 
@@ -31,7 +31,9 @@ def _n() -> Column:
 # ---------------------------------------------------------------------------
 
 def target_distribution(df: DataFrame) -> DataFrame:
-    counts = df.groupBy("booking_status").agg(F.count(F.lit(1)).alias("count"))
+    """Rows and share per status; rows without a status are left out of both."""
+    counts = (df.where(F.col("booking_status").isNotNull())
+              .groupBy("booking_status").agg(F.count(F.lit(1)).alias("count")))
     total = F.sum("count").over(Window.partitionBy())  # over the 2-row result only
     return counts.withColumn("pct", pct(F.col("count"), total))
 
@@ -57,14 +59,16 @@ def numeric_summary(df: DataFrame, cols: list[str] = PROFILE_NUMERIC) -> DataFra
     """count, mean, sample std, min, quartiles, max, and the bias-corrected
     skewness (G1) and excess kurtosis (G2) that pandas reports, per column.
 
-    Moments come from one aggregate; the quartiles are exact (linear
-    interpolation) from one distributed rank pass over (column, value)."""
+    Moments come from one wide aggregate, whose single row is then unpivoted;
+    the quartiles are exact (linear interpolation) from one distributed rank
+    pass over (column, value), which starts by counting distinct values."""
     long = _stack_numeric(df, cols)
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.skewness("value").alias("_g1"),
-        F.kurtosis("value").alias("_g2"))
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+             "_g1": F.skewness, "_g2": F.kurtosis}
+    wide = df.agg(*[fn(F.col(c).cast("double")).alias(f"{s}|{c}")
+                    for c in cols for s, fn in stats.items()])
+    items = ", ".join(f"'{c}', " + ", ".join(f"`{s}|{c}`" for s in stats) for c in cols)
+    moments = wide.selectExpr(f"stack({len(cols)}, {items}) AS (column_name, {', '.join(stats)})")
     q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"])
     qw = q.groupBy("column_name").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
     qw = qw.toDF("column_name", "q25", "q50", "q75")
@@ -160,8 +164,7 @@ def price_by_month(df: DataFrame) -> DataFrame:
 
 def monthly_trend_label(df: DataFrame) -> DataFrame:
     """'Jul 17'-style label, volume and cancel rate per (year, month)."""
-    label = F.date_format(F.make_date(F.col("arrival_year").cast("int"),
-                                      F.col("arrival_month").cast("int"), F.lit(1)), "MMM yy")
+    label = F.date_format(arrival_as_date(day=F.lit(1)), "MMM yy")   # null for month 0 or 13
     return (df.groupBy("arrival_year", "arrival_month")
             .agg(F.count(F.lit(1)).alias("volume"), _rate())
             .withColumn("label", label))
@@ -230,8 +233,9 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
               by: list[str] | tuple = ()) -> DataFrame:
     """Equal-width histogram over [min, max] of each group (last bin closed on
     the right): (series, *by, bin, bin_lo, bin_hi, count, density), density =
-    count / (n * width) as in a normalised plot. The per-group range rows
-    meet the values in a join that AQE turns into a broadcast when small."""
+    count / (n * width) as in a normalised plot. The per-group range rows are
+    counted and broadcast within a bound, so that rows are never shuffled on
+    a key of two or three values."""
     by = list(by)
     v = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     rng = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
@@ -240,9 +244,7 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
     idx = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_v") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))),
                 F.lit(bins - 1)))
-    # one range row per group; the group column is the caller's, so its size
-    # is not known here: AQE broadcasts it when the measured size is small
-    joined = v.join(rng, by) if by else v.withColumns(scalars(rng))
+    joined = v.join(bounded_broadcast(rng), by) if by else v.withColumns(scalars(rng))
     counts = (joined.withColumn("bin", idx.cast("bigint"))
               .groupBy(*by, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("count")))
     return counts.select(
@@ -256,14 +258,16 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
 def box_stats_by_status(df: DataFrame, col: str = "avg_price_per_room",
                         group: str = "booking_status") -> DataFrame:
     """q1, median, q3 and Tukey whiskers (the extreme values inside
-    q1 - 1.5 IQR and q3 + 1.5 IQR) per group."""
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], [group])
+    q1 - 1.5 IQR and q3 + 1.5 IQR) per group. Quartiles and whiskers both come
+    from the table of distinct values, so rows are never joined by group."""
+    values = value_ranks(df, col, [group])
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], [group], ranks=values)
     qw = (q.groupBy(group).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
           .toDF(group, "q1", "median", "q3"))
     fences = (qw.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
               .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     v = F.col(col)
-    w = (df.select(group, col).join(fences, group)  # AQE broadcasts when measured small
+    w = (values.select(group, col).join(bounded_broadcast(fences), group)
          .groupBy(group, "q1", "median", "q3")
          .agg(F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
               F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi")))
@@ -328,50 +332,66 @@ def spearman_inputs(df: DataFrame) -> DataFrame:
     })
 
 
-def spearman_matrix(df: DataFrame, cols: list[str] = SPEARMAN_COLUMNS,
-                    max_broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Spearman correlation (average ranks for ties) of every column pair, long
-    format (row_feature, col_feature, rho). Columns must have no nulls.
-
-    The rank tables of all columns come from one distributed pass over the
-    distinct (column, value) pairs. They are joined back to the rows by value;
-    they are broadcast only when their checked size is under
-    ``max_broadcast_rows``, otherwise it is a shuffle join (AQE splits hot
-    values). Average ranks of n rows always have mean (n + 1) / 2, so the
-    ranks are centred exactly and each correlation is
-    sum(a b) / sqrt(sum(a^2) sum(b^2)): 78 plain sums in one aggregate, few
-    enough fields to stay inside whole-stage code generation."""
-    base = spearman_inputs(df).select(*[F.col(c).cast("double").alias(c) for c in cols])
-    long = _stack_numeric(base, cols)
-    ranks = (value_ranks(long, "value", ["column_name"])
-             .select("column_name", "value", "avg_rank").persist())
-    n_rank_rows = ranks.count()
-    n_rows = base.count()
-    centre = (n_rows + 1) / 2.0
+def _centred_ranks(base: DataFrame, cols: list[str], max_broadcast_rows: int) -> DataFrame:
+    """``base`` (no nulls) with ``_r_<c>``: the average rank of each value, centred exactly.
+
+    The rank tables come from one distributed pass over the distinct
+    (column, value) pairs and are joined back by value. Each column is
+    decided on its own: a table within ``max_broadcast_rows`` is broadcast,
+    a larger one is a shuffle join (its values are not hot: it has many)."""
+    ranks = value_ranks(_stack_numeric(base, cols), "value", ["column_name"])
+    sizes = {r["column_name"]: (r["d"], r["n"]) for r in ranks.groupBy("column_name").agg(
+        F.count("*").alias("d"), F.sum("n").alias("n")).collect()}   # one row per column
     rows = base
     for c in cols:
+        distinct, n = sizes.get(c, (0, 0))
         rt = ranks.where(F.col("column_name") == c).select(
-            F.col("value").alias(c), (F.col("avg_rank") - centre).alias(f"_r_{c}"))
-        if n_rank_rows <= max_broadcast_rows:
-            rt = F.broadcast(rt)
-        rows = rows.join(rt, c, "left")
+            F.col("value").alias(c), (F.col("avg_rank") - (n + 1) / 2.0).alias(f"_r_{c}"))
+        rows = rows.join(F.broadcast(rt) if distinct <= max_broadcast_rows else rt, c, "left")
+    return rows
+
+
+def _pair_sums(rows: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, float | None]]:
+    """Correlation of centred ranks for each pair, from one aggregate."""
+    cols = sorted({c for p in pairs for c in p})
     aggs = [F.sum(F.col(f"_r_{c}") * F.col(f"_r_{c}")).alias(f"ss|{c}") for c in cols]
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            aggs.append(F.sum(F.col(f"_r_{a}") * F.col(f"_r_{b}")).alias(f"{a}|{b}"))
-    wide = rows.agg(*aggs)
-    items = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                items.append(f"'{a}', '{b}', CAST(1.0 AS DOUBLE)")
-            else:
-                key = f"{a}|{b}" if i < j else f"{b}|{a}"
-                items.append(f"'{a}', '{b}', try_divide(`{key}`, sqrt(`ss|{a}` * `ss|{b}`))")
-    out = wide.selectExpr(f"stack({len(items)}, {', '.join(items)}) AS (row_feature, col_feature, rho)")
+    aggs += [F.sum(F.col(f"_r_{a}") * F.col(f"_r_{b}")).alias(f"{a}|{b}") for a, b in pairs]
+    r = rows.agg(*aggs).first()
+    out = []
+    for a, b in pairs:
+        den = math.sqrt((r[f"ss|{a}"] or 0.0) * (r[f"ss|{b}"] or 0.0))
+        out.append((a, b, r[f"{a}|{b}"] / den if den else None))
     return out
 
 
+def spearman_matrix(df: DataFrame, cols: list[str] = SPEARMAN_COLUMNS,
+                    max_broadcast_rows: int = 200_000) -> DataFrame:
+    """Spearman correlation (average ranks for ties) of every column pair, long
+    format (row_feature, col_feature, rho).
+
+    Nulls and NaN are left out pair by pair, as pandas does: a pair with a
+    missing value in either column is ranked anew over its complete rows.
+    Pairs of complete columns share one rank pass and one aggregate: average
+    ranks of n rows always have mean (n + 1) / 2, so they are centred exactly
+    and each correlation is sum(a b) / sqrt(sum(a^2) sum(b^2))."""
+    def clean(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v).alias(c)
+    base = spearman_inputs(df).select(*[clean(c) for c in cols])
+    counts = base.agg(F.count(F.lit(1)).alias("_all"), *[F.count(c).alias(c) for c in cols]).first()
+    whole = [c for c in cols if counts[c] == counts["_all"]]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    full = [p for p in pairs if p[0] in whole and p[1] in whole]
+    got = _pair_sums(_centred_ranks(base.select(*whole), whole, max_broadcast_rows), full) if full else []
+    for a, b in pairs:
+        if (a, b) not in full:
+            both = base.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+            got += _pair_sums(_centred_ranks(both, [a, b], max_broadcast_rows), [(a, b)])
+    rows = [(c, c, 1.0) for c in cols] + got + [(b, a, r) for a, b, r in got]
+    return df.sparkSession.createDataFrame(
+        rows, "row_feature string, col_feature string, rho double")   # #columns squared rows
+
+
 def target_correlation_rank(matrix: DataFrame, target: str = "canceled") -> DataFrame:
     """|rho| of every feature with the target, ranked (1 = strongest)."""
     r = (matrix.where((F.col("row_feature") == target) & (F.col("col_feature") != target))

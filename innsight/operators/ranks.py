@@ -17,6 +17,11 @@ from innsight.functions.columns import scalar
 from innsight.session import ensure_checkpoint_dir
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are within the bound; beyond it a join shuffles."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def _range_partition(df: DataFrame, cols: list[str], num_partitions: int | None) -> DataFrame:
     """Range-partition on ``cols`` and sort inside each partition. Without an
     explicit count the shuffle uses the session's partition count and AQE may
@@ -26,19 +31,32 @@ def _range_partition(df: DataFrame, cols: list[str], num_partitions: int | None)
     return ranged.sortWithinPartitions(*cols)
 
 
+def _running(x, carry):
+    """(exclusive running sums, total) of one Arrow column, nulls as 0, in its own type."""
+    import numpy as np
+    import pyarrow as pa
+    v = x.fill_null(0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(v, dtype=v.dtype)
+    return pa.array(total - v + carry, type=x.type), (total[-1] if len(v) else 0)
+
+
 def _local_sums(order_cols: list[str], value_cols: list[str]):
-    """Per-partition exclusive running sums (partition rows arrive sorted)."""
+    """Per-partition exclusive running sums (partition rows arrive sorted).
+    Only the value columns are touched; all others pass through as they are."""
     def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         carry = {v: 0 for v in value_cols}
-        for pdf in batches:
+        for b in batches:
+            cols, names = list(b.columns), list(b.schema.names)
             for v in value_cols:
-                x = pdf[v].fillna(0)
-                pdf[f"_{v}_local"] = x.cumsum() - x + carry[v]
-                carry[v] += x.sum()
-            pdf["_pid"] = pid
-            yield pdf
+                local, total = _running(b.column(names.index(v)), carry[v])
+                carry[v] = carry[v] + total
+                cols.append(local)
+            cols.append(pa.array([pid] * b.num_rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                cols, names=names + [f"_{v}_local" for v in value_cols] + ["_pid"])
     return run
 
 
@@ -59,7 +77,7 @@ def prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     types = {f.name: f.dataType for f in fields}
     out_schema = T.StructType(fields + [T.StructField(f"_{v}_local", types[v]) for v in value_cols]
                               + [T.StructField("_pid", T.IntegerType())])
-    local = ranged.mapInPandas(_local_sums(order_cols, value_cols), out_schema).checkpoint(eager=True)
+    local = ranged.mapInArrow(_local_sums(order_cols, value_cols), out_schema).checkpoint(eager=True)
     totals = local.groupBy("_pid").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])
     # one row per partition: the window below sees only that many rows
     w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,43 +96,53 @@ def _segment_sums(seg_cols: list[str], value_cols: list[str]):
     (rows arrive sorted by segment, then order). Adds ``_first`` = 1 on rows of
     the partition's first segment (which may have started in an earlier
     partition). Segment boundaries come from comparing each row's key with
-    the previous row's (vectorised; null keys are equal to each other)."""
-    def same_key(a: tuple, b: tuple | None) -> bool:
-        import pandas as pd
-        return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
+    the previous row's (vectorised; null keys are equal to each other). Only
+    key and value columns are read; all others pass through as Arrow."""
     def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         last_key = None
         in_first = True  # every row so far belongs to the partition's first segment
         carry = {v: 0 for v in value_cols}
-        for pdf in batches:
-            if len(pdf) == 0:
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
                 continue
-            keys = pdf[seg_cols]
-            prev = keys.shift()
-            change = (keys.ne(prev) & ~(keys.isna() & prev.isna())).any(axis=1)
-            change.iloc[0] = True
-            seg_id = change.cumsum() - 1
-            first_row = tuple(keys.iloc[0])
-            continues = same_key(first_row, last_key)  # first segment goes on from the last batch
-            last_is_first = seg_id.iloc[-1] == 0
-            head = (seg_id == 0).astype("int64")
+            names = list(b.schema.names)
+            change = np.zeros(n, dtype=bool)
+            change[0] = True
+            for c in seg_cols:
+                x = b.column(names.index(c))
+                a, z = x.slice(0, n - 1), x.slice(1)
+                same = pc.fill_null(pc.equal(a, z), False).to_numpy(zero_copy_only=False)
+                both_null = pc.and_(pc.is_null(a), pc.is_null(z)).to_numpy(zero_copy_only=False)
+                change[1:] |= ~(same | both_null)
+            starts = np.flatnonzero(change)
+            seg_id = np.cumsum(change) - 1
+            key = lambda i: tuple(b.column(names.index(c))[i].as_py() for c in seg_cols)
+            continues = last_key is not None and key(0) == last_key
+            last_is_first = seg_id[-1] == 0
+            cols = list(b.columns)
             for v in value_cols:
-                x = pdf[v].fillna(0)
-                local = x.groupby(seg_id).cumsum() - x
+                x = b.column(names.index(v))
+                val = x.fill_null(0).to_numpy(zero_copy_only=False)
+                before = np.cumsum(val, dtype=val.dtype) - val
+                local = before - before[starts][seg_id]
                 if continues:
-                    local = local + head * carry[v]
-                pdf[f"_{v}_seg"] = local
-                tail = x[seg_id == seg_id.iloc[-1]].sum()
+                    local = local + np.where(seg_id == 0, carry[v], 0).astype(val.dtype)
+                cols.append(pa.array(local, type=x.type))
+                tail = val[starts[-1]:].sum()
                 carry[v] = (carry[v] if continues and last_is_first else 0) + tail
             first_here = in_first and (last_key is None or continues)
-            pdf["_first"] = (head if first_here else head * 0).astype("int32")
+            head = (seg_id == 0) if first_here else np.zeros(n, dtype=bool)
             in_first = first_here and last_is_first
-            last_key = tuple(keys.iloc[-1])
-            pdf["_pid"] = pid
-            yield pdf
+            last_key = key(n - 1)
+            cols += [pa.array(head.astype(np.int32)), pa.array(np.full(n, pid, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                cols, names=names + [f"_{v}_seg" for v in value_cols] + ["_first", "_pid"])
     return run
 
 
@@ -140,7 +168,7 @@ def segmented_prefix_sums(df: DataFrame, seg_cols: list[str], order_cols: list[s
     out_schema = T.StructType(fields + [T.StructField(f"_{v}_seg", types[v]) for v in value_cols]
                               + [T.StructField("_first", T.IntegerType()),
                                  T.StructField("_pid", T.IntegerType())])
-    local = ranged.mapInPandas(_segment_sums(seg_cols, value_cols), out_schema).checkpoint(eager=True)
+    local = ranged.mapInArrow(_segment_sums(seg_cols, value_cols), out_schema).checkpoint(eager=True)
     # per partition: its first and last segment, the totals of the last
     # segment inside it, and whether it holds a single segment
     seg = F.struct(*seg_cols)
@@ -195,7 +223,10 @@ def value_ranks(df: DataFrame, col: str, group_cols: list[str] | tuple = (),
     aggs = [F.count(F.lit(1)).alias("n")]
     for name, cond in (extra_counts or {}).items():
         aggs.append(F.sum(F.when(cond, 1).otherwise(0)).alias(name))
-    counts = df.where(F.col(col).isNotNull()).groupBy(*group_cols, col).agg(*aggs)
+    known = F.col(col).isNotNull()
+    if isinstance(df.schema[col].dataType, (T.DoubleType, T.FloatType)):
+        known = known & ~F.isnan(col)       # NaN is a missing value, as in pandas
+    counts = df.where(known).groupBy(*group_cols, col).agg(*aggs)
     if group_cols:
         out = segmented_prefix_sums(counts, group_cols, [col], ["n"], num_partitions)
     else:
@@ -232,7 +263,8 @@ def _global_quantiles(vr: DataFrame, col: str, probs: list[float], n) -> DataFra
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                     group_cols: list[str] | tuple = (),
                     num_partitions: int | None = None,
-                    max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    max_broadcast_rows: int = 1_000_000,
+                    ranks: DataFrame | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (the pandas / numpy default)
     per group, computed without gathering a column or a group into one task.
 
@@ -240,9 +272,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     The target rows (2 per group and probability) are broadcast when the
     counted number of groups keeps them within ``max_broadcast_rows``;
     otherwise they meet the value table in shuffle joins on the group key.
+    ``ranks`` is ``value_ranks(df, col, group_cols)`` where the caller has it.
     """
     group_cols = list(group_cols)
-    vr = value_ranks(df, col, group_cols, num_partitions=num_partitions)
+    vr = ranks if ranks is not None else value_ranks(df, col, group_cols, num_partitions=num_partitions)
     sizes = vr.groupBy(*group_cols).agg(F.sum("n").alias("_n"))
     if not group_cols:
         return _global_quantiles(vr, col, probs, scalar(sizes, "_n"))

@@ -162,13 +162,28 @@ class Scorer:
     calibration_method: str | None = None
     extra: dict = field(default_factory=dict)
 
+    @classmethod
+    def load(cls, spark, runs: str, cancellation: str, price: str) -> "Scorer":
+        """A scorer from saved runs: the last record of each model names its
+        folder, threshold, bands, calibration method and target transform."""
+        from innsight.sources.tables import latest_run, load_production
+        records = {n: latest_run(spark, runs, n) for n in (cancellation, price)}
+        missing = [n for n, r in records.items() if r is None]
+        if missing:
+            raise ValueError(f"no run record of {', '.join(missing)} in {runs}")
+        c, p = records[cancellation], records[price]
+        clf, calibrator = load_production(spark, c["model_path"], c["calibration_method"])
+        reg, _ = load_production(spark, p["model_path"])
+        bands = {b["band"]: {k: b[k] for k in ("lower_inclusive", "upper_exclusive", "description")
+                             if b[k] is not None} for b in c["risk_bands"]}
+        return cls(clf, reg, {**c, "risk_bands": bands}, p, calibrator, c["calibration_method"])
+
     def score(self, requests: DataFrame, request_id: str | None = "Booking_ID") -> DataFrame:
+        """One response per request row. ``request_id=None`` gives every row a
+        random id, so micro-batches of id-less requests don't collide."""
         from pyspark.ml.functions import vector_to_array
 
         from innsight.operators.evaluate import apply_calibrator
-        key = request_id or "_rowkey"
-        if not request_id:
-            requests = requests.withColumn("_rowkey", F.monotonically_increasing_id())
         # both models run on the same rows: one projection carries every field
         rows = requests.withColumns({
             "avg_price_per_room": F.col("current_room_price"),
@@ -191,4 +206,4 @@ class Scorer:
         priced = priced.withColumn("_price", pred)
         cols = [c for c in scored.columns] + ["_price"]
         priced = priced.select(*[c for c in cols if c in priced.columns])
-        return apply_rules(priced, "_p", "_price", self.clf_meta, self.reg_meta, key)
+        return apply_rules(priced, "_p", "_price", self.clf_meta, self.reg_meta, request_id)

@@ -181,7 +181,11 @@ def _audit_sql() -> str:
             f"CAST(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT), "
             f"CAST(SUM(CASE WHEN {cond} THEN 1 ELSE 0 END) AS DOUBLE) * 100 / COUNT(*), "
             f"CAST(NULL AS DOUBLE) FROM bookings")
-    return _FENCE_CTE + "\n" + "\nUNION ALL ".join(parts)
+    notes = ", ".join(f"({r}, {_sql_str(t)})" for rs, t in audit.AUDIT_NOTES for r in rs)
+    rules_sql = _FENCE_CTE + "\n" + "\nUNION ALL ".join(parts)
+    head, sep, select = rules_sql.partition("SELECT CAST(1 AS BIGINT)")
+    return (f"{head}, al AS ({sep}{select}),\n  notes(r, note) AS (VALUES {notes})\n"
+            "SELECT al.*, note FROM al JOIN notes ON rule_no = r")
 
 
 @register("suspicious_audit", _audit_sql(), ["pct", "threshold"])
@@ -239,7 +243,7 @@ def q_price_model_rows(spark, sf_dir):
 # validation
 # ---------------------------------------------------------------------------
 
-def _validate_sql() -> str:
+def _validate_sql(src: str = "bookings") -> str:
     checks = []
     for f, lo, hi in audit.REQUEST_RANGES:
         c = f"{f}_v"
@@ -257,7 +261,7 @@ def _validate_sql() -> str:
         f"{'avg_price_per_room' if f == 'current_room_price' else f} AS {f}_v"
         for f in audit.REQUEST_FIELDS)
     n_err = " + ".join(f"CASE WHEN ({ch}) IS NULL THEN 0 ELSE 1 END" for ch in checks)
-    return (f", r AS (SELECT Booking_ID, {sel} FROM bookings)\n"
+    return (f", r AS (SELECT Booking_ID, {sel} FROM {src})\n"
             f"SELECT Booking_ID, CAST({n_err} AS INTEGER) AS n_errors, "
             f"concat_ws('; ', {', '.join(checks)}) AS errors, ({n_err}) = 0 AS is_valid FROM r")
 
@@ -269,6 +273,35 @@ def q_validate_bookings(spark, sf_dir):
                     F.array_join("errors", "; ").alias("errors"), "is_valid")
 
 
+# bookings moved into the contract's years, with planted faults: every 7th to
+# 41st row of some residue has a missing, out-of-range or unknown value
+_FAULTS = [("type_of_meal_plan", 11, 1, "'Meal Plan 9'"), ("room_type_reserved", 13, 2, "NULL"),
+           ("no_of_adults", 17, 3, "0"), ("no_of_children", 19, 4, "NULL"), ("arrival_month", 23, 5, "13"),
+           ("lead_time", 29, 6, "-1"), ("market_segment_type", 31, 7, "'Unknown'"),
+           ("repeated_guest", 37, 8, "2"), ("avg_price_per_room", 41, 9, "-10"),
+           ("no_of_special_requests", 7, 3, "6"), ("required_car_parking_space", 43, 9, "NULL")]
+_K_SQL = "CAST(substr(Booking_ID, 4) AS BIGINT)"
+_MIXED_CTE = ", mixed AS (SELECT * REPLACE (arrival_year + 25 AS arrival_year, " + ", ".join(
+    f"CASE WHEN {_K_SQL} % {m} = {r} THEN {v} ELSE {c} END AS {c}" for c, m, r, v in _FAULTS) + ") FROM bookings)"
+
+
+def mixed_bookings(df):
+    """Bookings that partly pass and partly fail the request contract."""
+    out = df.withColumn("arrival_year", F.col("arrival_year") + 25)
+    for c, m, r, v in _FAULTS:
+        out = out.withColumn(c, F.expr(f"CASE WHEN {_K_SQL} % {m} = {r} THEN CAST({v} AS "
+                                       f"{df.schema[c].dataType.simpleString()}) ELSE {c} END"))
+    return out
+
+
+@register("validate_bookings_mixed", _MIXED_CTE + _validate_sql("mixed"))
+def q_validate_bookings_mixed(spark, sf_dir):
+    """The contract on rows of which some pass and the others break each rule."""
+    v = audit.validate_bookings(audit.as_requests(mixed_bookings(bookings_table(spark, sf_dir))))
+    return v.select("Booking_ID", F.size("errors").alias("n_errors"),
+                    F.array_join("errors", "; ").alias("errors"), "is_valid")
+
+
 _FORM_CTE = """
 , fm AS (
   SELECT Booking_ID, no_of_adults, no_of_weekend_nights + no_of_week_nights AS nights,
@@ -304,6 +337,28 @@ def q_validate_form(spark, sf_dir):
     return v.select("Booking_ID", F.array_join("errors", "; ").alias("errors"))
 
 
+_EMPTY_AT = {"check_in": 20, "check_out": 21, "no_of_adults": 22}   # residues of the row number by 29
+
+
+@register("validate_form_mixed", _FORM_CTE + f"""
+, e AS (SELECT *, {_K_SQL} % 29 AS e FROM nn)
+SELECT Booking_ID, concat_ws('; ',
+  CASE WHEN e = 20 OR check_in = '' THEN 'checkIn: This field is required.' END,
+  CASE WHEN e = 21 OR check_out = '' THEN 'checkOut: This field is required.'
+       WHEN e <> 20 AND check_in <> '' AND total_n = 0 THEN 'checkOut: Check-out must be after check-in.' END,
+  CASE WHEN e = 22 THEN 'no_of_adults: This field is required.'
+       WHEN no_of_adults < 1 THEN 'no_of_adults: Value must be at least 1.' END, """ + ", ".join(
+    f"CASE WHEN e = {i} THEN {_sql_str(f + ': ' + m)} END" for i, (f, m) in
+    enumerate(audit.FORM_REQUIRED_ORDER)) + ") AS errors FROM e")
+def q_validate_form_mixed(spark, sf_dir):
+    """The form rules on rows of which some lack a field: every required field is missing somewhere."""
+    forms = audit.intake_forms(bookings_table(spark, sf_dir))
+    at = {f: i for i, (f, _) in enumerate(audit.FORM_REQUIRED_ORDER)} | _EMPTY_AT
+    for f, i in at.items():
+        forms = forms.withColumn(f, F.when(F.expr(f"{_K_SQL} % 29 = {i}"), F.lit("")).otherwise(F.col(f)))
+    return audit.validate_form(forms).select("Booking_ID", F.array_join("errors", "; ").alias("errors"))
+
+
 @register("stay_nights", _FORM_CTE + """
 SELECT Booking_ID, check_in, check_out, total_n - weekend_n AS weekday_nights,
        weekend_n AS weekend_nights, total_n AS total_nights

@@ -164,13 +164,12 @@ def q_calibrate_isotonic(spark, sf_dir):
 
 
 @register("calibrated_predict", ISO_CTE + """
-SELECT Booking_ID, prob, prob_cal, CAST(prob_cal >= (SELECT threshold FROM best) AS INTEGER) AS predicted
-FROM cal WHERE split = 'test'""", ["prob", "prob_cal"])
+SELECT Booking_ID, split, prob, prob_cal, CAST(prob_cal >= (SELECT threshold FROM best) AS INTEGER) AS predicted
+FROM cal""", ["prob", "prob_cal"])
 def q_calibrated_predict(spark, sf_dir):
     cal, t, _ = calibrated_flow(spark, sf_dir)
-    return (cal.where("split = 'test'")
-            .select("Booking_ID", "prob", "prob_cal",
-                    (F.col("prob_cal") >= F.lit(t)).cast("int").alias("predicted")))
+    return cal.select("Booking_ID", "split", "prob", "prob_cal",
+                      (F.col("prob_cal") >= F.lit(t)).cast("int").alias("predicted"))
 
 
 _EDGES = [i * (1.0 / 10) for i in range(1, 10)]
@@ -294,6 +293,16 @@ def q_residual_histogram(spark, sf_dir):
 
 
 @register("predicted_vs_actual", PRICE_CTE + """
+, fr AS (SELECT split, LEAST(MIN(actual), MIN(predicted)) AS frame_min,
+                GREATEST(MAX(actual), MAX(predicted)) AS frame_max FROM priced GROUP BY split)
+SELECT p.Booking_ID, p.split, actual, predicted, frame_min, frame_max
+FROM priced p JOIN fr ON p.split = fr.split""", ["actual", "predicted", "frame_min", "frame_max"])
+def q_predicted_vs_actual_pairs(spark, sf_dir):
+    """Every pair of actual and predicted price, with the frame of its split."""
+    return E.predicted_actual_pairs(priced_table(spark, sf_dir))
+
+
+@register("predicted_vs_actual_frame", PRICE_CTE + """
 SELECT split, LEAST(MIN(actual), MIN(predicted)) AS frame_min, GREATEST(MAX(actual), MAX(predicted)) AS frame_max,
        CORR(actual, predicted) AS corr, COUNT(*) AS n FROM priced GROUP BY split""",
           ["frame_min", "frame_max", "corr"])
@@ -328,17 +337,28 @@ def _inv_norm_sql(p: str) -> str:
     return f"CASE WHEN {p} < 0.02425 THEN {low} WHEN {p} > 1 - 0.02425 THEN {high} ELSE {mid} END"
 
 
-@register("qq_points", PRICE_CTE + f"""
+_QQ_SQL = PRICE_CTE + f"""
 , qv AS (SELECT actual - predicted AS v, ROW_NUMBER() OVER (ORDER BY actual - predicted) AS i,
                 COUNT(*) OVER () AS nn FROM priced WHERE split = 'test'),
-  qm AS (SELECT v, CASE WHEN i = nn THEN POWER(0.5, 1.0 / nn) WHEN i = 1 THEN 1 - POWER(0.5, 1.0 / nn)
+  qm AS (SELECT v, i, CASE WHEN i = nn THEN POWER(0.5, 1.0 / nn) WHEN i = 1 THEN 1 - POWER(0.5, 1.0 / nn)
                      ELSE (i - 0.3175) / (nn + 0.365) END AS m FROM qv),
-  qt AS (SELECT v, {_inv_norm_sql('m')} AS t FROM qm)
+  qt AS (SELECT v, i, {_inv_norm_sql('m')} AS t FROM qm)"""
+
+
+@register("qq_points", _QQ_SQL + """
+SELECT CAST(i AS BIGINT) AS position, t AS theoretical, v AS ordered FROM qt""",
+          ["theoretical", "ordered"])
+def q_qq_points(spark, sf_dir):
+    """Every point of the normal probability plot of the test residuals."""
+    p = priced_table(spark, sf_dir).where("split = 'test'")
+    return E.qq_points(p.withColumn("residual", F.col("actual") - F.col("predicted")))
+
+
+@register("qq_fit_line", _QQ_SQL + """
 SELECT regr_slope(v, t) AS slope, regr_intercept(v, t) AS intercept, corr(v, t) AS r FROM qt""",
           ["slope", "intercept", "r"])
-def q_qq_points(spark, sf_dir):
-    """Normal probability plot of test residuals, summarised by its fit line
-    (the per-point table is the operator's output; the line is the check)."""
+def q_qq_fit_line(spark, sf_dir):
+    """The line through the points."""
     p = priced_table(spark, sf_dir).where("split = 'test'")
     pts = E.qq_points(p.withColumn("residual", F.col("actual") - F.col("predicted")))
     return E.qq_fit(pts)
