@@ -16,7 +16,7 @@ from innsight.sources.bookings import bookings_table
 from tests.conftest import SF_MID, SF_SMALL
 
 
-TREES = 60    # the tests' own models; the registered queries fit the study's 500 and 300 trees
+TREES = 40    # the tests' own models; the registered queries fit the study's 500 and 300 trees
 
 
 @pytest.fixture(scope="module")
