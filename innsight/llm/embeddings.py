@@ -3,12 +3,13 @@ representative per group.
 
 Equal vectors of a label are collapsed first. Spherical k-means, fitted on a
 bounded sample of distinct vectors (``sample``, by order of their hash), gives
-the cells. A vector lives in the cell of its nearest centroid, and a copy of it
-visits every other cell that could hold a vector within reach: for a home
-centroid a and another b that is where x.(a - b) <= d |a - b|, d the largest
-distance of two linked unit vectors. So all of a vector's links are found in
-its home cell, whatever the cells are (nothing is approximate but the layout).
-Cells over ``block`` vectors are compared as pairs of blocks, each a task.
+the cells, numbered. A vector lives in the cell of its nearest centroid, and a
+copy of it visits every later cell that could hold a vector within reach: for
+a home centroid a and another b that is where x.(a - b) <= d |a - b|, d the
+largest distance of two linked unit vectors. So every linked pair meets exactly
+once, at home or as visitor and resident, whatever the cells are (nothing is
+approximate but the layout). Cells over ``block`` vectors are compared as pairs
+of blocks, each a task.
 
 Defined results
 * A vector that is null, empty or zero, or holds null or non-finite numbers,
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +71,7 @@ def _cells(centroids, threshold: float):
                 sim = unit(x) @ c.T
                 near = sim.argmax(axis=1)
                 best = sim[np.arange(len(fits)), near]
-                visits = best[:, None] - sim <= reach * gap[near]
+                visits = (best[:, None] - sim <= reach * gap[near]) & (np.arange(len(c)) > near[:, None])
                 visits[np.arange(len(fits)), near] = True
                 i, b = np.nonzero(visits)
                 row.append(fits[i])
@@ -86,13 +86,14 @@ def _cells(centroids, threshold: float):
 
 
 def _links(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["bi"].iloc[0]), int(group["bj"].iloc[0])
-        x = unit(np.stack(group["embedding"].to_numpy()).astype(np.float64))
-        uid, n, home = (group[c].to_numpy() for c in ("uid", "n", "home"))
-        mine = group["mine"].to_numpy()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        i, j = group["bi"][0].as_py(), group["bj"][0].as_py()
+        x = np.asarray(group["embedding"].combine_chunks().flatten(), dtype=np.float64)
+        x = unit(x.reshape(group.num_rows, -1))
+        uid, n, home, mine = (group[c].to_numpy() for c in ("uid", "n", "home", "mine"))
         rows, cols = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        near = x[rows] @ x[cols].T >= threshold
+        near = (x[rows] @ x[cols].T >= threshold) & (home[rows][:, None] | home[cols][None, :])
         if i == j:
             np.fill_diagonal(near, False)
         links = np.zeros(len(uid), dtype=np.int64)
@@ -111,22 +112,22 @@ def _links(threshold: float):
                 break
             root = low
         joined = np.flatnonzero(root != np.arange(len(uid)))
-        counted = np.flatnonzero(home & (links > 0))
-        return pd.DataFrame({
+        counted = np.flatnonzero(links > 0)
+        return pa.table({
             "uid": np.concatenate([uid[counted], uid[joined]]),
             "links": np.concatenate([links[counted], np.zeros(len(joined), np.int64)]),
-            "peer": pd.array(np.concatenate([uid[counted], uid[root[joined]]]), dtype="int64")})
+            "peer": np.concatenate([uid[counted], uid[root[joined]]])})
     return run
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int = 20000,
-                     cell_vectors: int = 1000, max_cells: int = 512, block: int = 1024,
+                     cell_vectors: int = 8192, max_cells: int = 512, block: int = 1024,
                      vec_id: str = "vec_id", embedding: str = "embedding",
                      label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"),
-                       F.col(embedding).cast("array<double>").alias("embedding"))
+                       F.col(embedding).alias("embedding"))
     sound = (F.col("label").isNotNull() & F.col("embedding").isNotNull()
              & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
              & F.exists("embedding", lambda x: x != 0))
@@ -155,7 +156,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int =
         "mine", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
         "bi", F.least("o", "mine")).withColumn("bj", F.greatest("o", "mine"))
-    found = written(placed.groupBy(*cell, "bi", "bj").applyInPandas(
+    found = written(placed.groupBy(*cell, "bi", "bj").applyInArrow(
         _links(threshold), "uid long, links long, peer long"), "vector-links")
 
     links = found.groupBy("uid").agg(F.sum("links").alias("links"))
