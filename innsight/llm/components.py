@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both)
         large = (both.filter("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
         # small star: smaller neighbours and the node itself move to the smallest of them
         low = _lowest(large)
         e = written(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

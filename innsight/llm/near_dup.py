@@ -14,8 +14,9 @@ shingles, banded, verified by weighted Jaccard similarity.
    links found join classes. A pair within a class needs no check, which makes
    dense groups linear. Buckets run in two rounds: the first bands alone, in
    blocks of bounded size, settle most groups; then all bands, buckets whose
-   documents are in one class already left out, oversized buckets as pairs of
-   blocks. No bucket, block or pair is capped or dropped.
+   documents are in one class already left out, buckets of the same documents
+   taken once, oversized buckets as pairs of blocks. No bucket, block or pair
+   is capped or dropped.
 5. Classes are connected components of the links.
 
 Defined results
@@ -34,7 +35,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from innsight.llm import wordhash as wh
 from innsight.llm.columns import other_columns, quoted, written
 from innsight.llm.components import connected_components
-from innsight.llm.rows_by_id import split_by_ids
+from innsight.llm.rows_by_id import join_groups, split_by_ids
 
 SHINGLE = 5
 DF_BITS = 18
@@ -249,11 +249,13 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
     with_text, _ = split_by_ids(texts, ids, ["id"])
     rows = members.join(with_text.distinct(), "id").select("bucket", "block", "id", "comp", "text")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        links = link_block(group["id"].to_numpy(np.int64), group["comp"].to_numpy(np.int64),
-                           [t.encode() for t in group["text"]], idf.value, threshold)
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
-    return rows.groupBy("bucket", "block").applyInPandas(run, "a long, b long")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        links = link_block(group["id"].to_numpy(), group["comp"].to_numpy(),
+                           wh.text_bytes(group["text"]), idf.value, threshold)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return rows.groupBy("bucket", "block").applyInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
@@ -269,9 +271,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
                                         "id long, g1 long, g2 long, size long, bands array<long>"),
                        "sketches")
     # documents of one word sequence: the smallest id stands for all
-    first = sketches.groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    same = first.filter("rep != last").select("g1", "g2", "rep")
-    copies = sketches.select("id", "g1", "g2").join(same, ["g1", "g2"]).select(
+    same = written(sketches.groupBy("g1", "g2").agg(
+        F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n")).filter(
+        "rep != last").select("g1", "g2", "rep", "n"), "copy-groups")
+    copies = join_groups(sketches.select("id", "g1", "g2"), same, ["g1", "g2"]).select(
         F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
     copies = written(copies, "copies")
     _, singles = split_by_ids(sketches.select("id", "size", "bands"),
@@ -283,11 +286,17 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
 
     links = copies
     for last in (False, True):
-        comps = connected_components(links)
-        known = (members if last else members.filter(F.col("band") < FIRST_BANDS)).join(
-            comps, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-        open_ = known.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter(
-            "c0 != c1").select("bucket")
+        if last:
+            known = members.join(connected_components(links), "id", "left").withColumn(
+                "comp", F.coalesce("component", "id"))
+        else:     # the members are representatives of copies: no two are linked yet
+            known = members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("id"))
+        # buckets with something to join; of those with the same documents (in several bands), one
+        open_ = known.groupBy("bucket").agg(
+            F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m"),
+            F.bit_xor(F.xxhash64("id", "size")).alias("x1"),
+            F.bit_xor(F.xxhash64(F.lit(1), "id", "size")).alias("x2")).filter(
+            "c0 != c1").groupBy("m", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
         known = known.join(open_, "bucket").withColumn("blocks", F.greatest(
             F.ceil(F.col("n") / block_docs), F.ceil(F.col("chars") / block_chars)).cast("int"))
         mine = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")

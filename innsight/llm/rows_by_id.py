@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_IDS = 1_000_000
+HEAVY_GROUPS = 1000
 
 
 def split_by_ids(df: DataFrame, ids: DataFrame, on: list[str],
@@ -19,3 +20,18 @@ def split_by_ids(df: DataFrame, ids: DataFrame, on: list[str],
     if ids.count() <= limit:
         ids = F.broadcast(ids)
     return df.join(ids, on, "left_semi"), df.join(ids, on, "left_anti")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Inner join of rows with their group's row, for groups of any size.
+
+    ``n`` is the number of rows of a group. Groups that hold more than
+    1/HEAVY_GROUPS of all grouped rows are at most HEAVY_GROUPS in number,
+    however large the input, and are broadcast: a hot group is never sent to
+    one task. The other groups are shuffled.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    is_heavy = F.col(n) * HEAVY_GROUPS > total
+    heavy = F.broadcast(groups.filter(is_heavy))
+    rest = rows.join(F.broadcast(groups.filter(is_heavy).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(groups.filter(~is_heavy), on))
