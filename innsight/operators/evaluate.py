@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions.columns import risk_band, scalar, scalars
-from innsight.operators.ranks import prefix_sums, segmented_prefix_sums, value_ranks
+from innsight.operators.ranks import bounded_broadcast, prefix_sums, segmented_prefix_sums, value_ranks
 from innsight.schema import RISK_HIGH_LOWER, RISK_LOW_UPPER
 
 
@@ -71,10 +71,10 @@ def classification_metrics(scored: DataFrame, threshold: float | Column = 0.5,
     cm = confusion_counts(s, pred, by, label)
     auc = roc_auc(s, by, label, "prob")
     out = cm.select(*by, *_metric_cols(), "brier")
-    # one row per group on each side (splits, models): broadcast
+    # one row per group on each side (splits, models)
     if not by:
         return out.withColumn("roc_auc", scalar(auc, "roc_auc"))
-    return out.join(F.broadcast(auc), by, "left")
+    return out.join(bounded_broadcast(auc), by, "left")
 
 
 def confusion_metrics(scored: DataFrame, threshold: float = 0.5, by: list[str] | tuple = ("split",),
@@ -108,7 +108,7 @@ def roc_curve(scored: DataFrame, by: list[str] | tuple = ("split",), label: str
     if by:
         ps = segmented_prefix_sums(g, by, ["threshold"], ["n", "pos"])
         tot = g.groupBy(*by).agg(F.sum("n").alias("_N"), F.sum("pos").alias("_P"))
-        ps = ps.join(F.broadcast(tot), by)  # one row per group (a few splits)
+        ps = ps.join(bounded_broadcast(tot), by)  # one row per group (a few splits)
     else:
         ps = prefix_sums(g, ["threshold"], ["n", "pos"])
         tot = g.agg(F.sum("n").alias("_N"), F.sum("pos").alias("_P"))

@@ -90,12 +90,13 @@ def target_encoding(train: DataFrame, cols: list[str] = CATEGORICAL,
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, cols: list[str] = CATEGORICAL,
                           suffix: str = "_encoded") -> DataFrame:
-    """Join each category's encoding (small, one row per category; broadcast)."""
+    """Join each category's encoding; broadcast while the counted categories are within a bound."""
+    from innsight.operators.ranks import bounded_broadcast
     out = df
     for c in cols:
         e = enc.where(F.col("column_name") == c).select(
             F.col("category").alias(c), F.col("encoding").alias(c + suffix))
-        out = out.join(F.broadcast(e), c, "left")
+        out = out.join(bounded_broadcast(e), c, "left")
     return out
 
 
@@ -200,12 +201,15 @@ class RareCategoryOneHot(Estimator, _ColsParams, DefaultParamsReadable, DefaultP
         counts = (dataset.selectExpr(f"stack({len(cols)}, {items}) AS (column_name, value)")
                   .where(F.col("value").isNotNull())
                   .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-        # one row per category: the vocabulary is metadata, bounded by design
-        seen: dict[str, list[tuple[str, int]]] = {c: [] for c in cols}
-        for r in counts.collect():
-            seen[r["column_name"]].append((r["value"], r["n"]))
-        frequent = [sorted(v for v, n in seen[c] if n >= lim) for c in cols]
-        rare = [any(n < lim for _, n in seen[c]) for c in cols]
+        # rare categories, of which there may be any number, stay on the cluster:
+        # the driver gets the frequent names and one flag per column
+        seen: dict[str, list[str]] = {c: [] for c in cols}
+        for r in counts.where(F.col("n") >= lim).select("column_name", "value").collect():
+            seen[r["column_name"]].append(r["value"])
+        some_rare = {r["column_name"] for r in counts.where(F.col("n") < lim)
+                     .select("column_name").distinct().collect()}
+        frequent = [sorted(seen[c]) for c in cols]
+        rare = [c in some_rare for c in cols]
         return RareCategoryOneHotModel(inputCols=cols, categories=frequent,
                                        hasInfrequent=[bool(x) for x in rare])
 

@@ -239,6 +239,15 @@ def q_price_model_rows(spark, sf_dir):
     return audit.price_model_rows(bookings_table(spark, sf_dir))
 
 
+@register("rows_removed", f"""
+SELECT COUNT(*) AS n_before, COUNT(*) FILTER ({_VALID_DATE_SQL}) AS n_after,
+       COUNT(*) FILTER (NOT ({_VALID_DATE_SQL})) AS n_removed FROM bookings""")
+def q_rows_removed(spark, sf_dir):
+    """Rows before and after the rows without a calendar date are dropped."""
+    b = bookings_table(spark, sf_dir)
+    return audit.rows_removed(b, audit.drop_invalid_dates(b))
+
+
 # ---------------------------------------------------------------------------
 # validation
 # ---------------------------------------------------------------------------

@@ -115,6 +115,24 @@ def q_standard_scale(spark, sf_dir):
     return spark.createDataFrame(rows, "column_name string, mean double, std double")
 
 
+_SCALED_CTE = _SPLITS + f"""
+, af AS (SELECT *, {features_select('cancellation')} FROM splits),
+  sm AS (SELECT {", ".join(f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, STDDEV_POP(CAST({c} AS DOUBLE)) AS s_{c}"
+                           for c in CANCEL_NUMERIC)} FROM af WHERE split = 'train'),
+  sc AS (SELECT Booking_ID, {", ".join(
+      f"(CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END AS num__{c}"
+      for c in CANCEL_NUMERIC)} FROM af, sm)"""
+
+
+@register("scaled_rows", _SCALED_CTE + "\nSELECT * FROM sc", [f"num__{c}" for c in CANCEL_NUMERIC])
+def q_scaled_rows(spark, sf_dir):
+    """Every row's scaled numeric features, fitted on the training rows."""
+    rows = FE.add_cancellation_features(split_table(spark, sf_dir))
+    outs = [f"num__{c}" for c in CANCEL_NUMERIC]
+    model = FE.PopulationScaler(inputCols=CANCEL_NUMERIC, outputCols=outs).fit(rows.where("split = 'train'"))
+    return model.transform(rows).select("Booking_ID", *outs)
+
+
 _CAT_COUNTS = _SPLITS + ", cc AS (" + " UNION ALL ".join(
     f"SELECT {i} AS col_idx, '{c}' AS column_name, CAST({c} AS VARCHAR) AS category, COUNT(*) AS n_train "
     f"FROM splits WHERE split = 'train' GROUP BY {c}" for i, c in enumerate(CATEGORICAL)) + ")"
@@ -140,6 +158,55 @@ def q_one_hot_infrequent(spark, sf_dir):
     return out.select("column_name", "category", "n_train", name.alias("output_feature"))
 
 
+_HOT_SQL = ", ".join(
+    f"(SELECT 'cat__{c}_' || CASE WHEN cc.n_train >= 10 THEN cc.category ELSE 'infrequent_sklearn' END FROM cc "
+    f"WHERE cc.column_name = '{c}' AND cc.category = CAST(s.{c} AS VARCHAR)) AS hot_{i}"
+    for i, c in enumerate(CATEGORICAL))
+
+
+@register("encoded_rows", _CAT_COUNTS + f"""
+, hr AS (SELECT Booking_ID, {_HOT_SQL} FROM splits s WHERE split = 'train')
+SELECT Booking_ID, concat_ws(', ', {", ".join(f"hot_{i}" for i in range(len(CATEGORICAL)))}) AS hot_columns FROM hr""")
+def q_encoded_rows(spark, sf_dir):
+    """The one-hot columns that are 1 in each training row, in column order."""
+    train = split_table(spark, sf_dir).where("split = 'train'")
+    model = FE.RareCategoryOneHot(inputCols=CATEGORICAL).fit(train)
+    hot = [F.when(F.col(f"`{n}`") == 1.0, F.lit(n)) for n in model.feature_names()]
+    return model.transform(train).select("Booking_ID", F.concat_ws(", ", *hot).alias("hot_columns"))
+
+
+@register("target_encoded_rows", _SPLITS + ", " + ", ".join(
+    f"te{i} AS (SELECT {c}, AVG(CAST(label AS DOUBLE)) AS e FROM splits WHERE split = 'train' GROUP BY {c})"
+    for i, c in enumerate(CATEGORICAL)) + "\nSELECT Booking_ID, " + ", ".join(
+    f"te{i}.e AS {c}_encoded" for i, c in enumerate(CATEGORICAL)) + " FROM splits s " + " ".join(
+    f"LEFT JOIN te{i} ON s.{c} = te{i}.{c}" for i, c in enumerate(CATEGORICAL)),
+          [f"{c}_encoded" for c in CATEGORICAL])
+def q_target_encoded_rows(spark, sf_dir):
+    """Every row's categories replaced by the training rows' cancellation rates."""
+    rows = split_table(spark, sf_dir)
+    enc = FE.target_encoding(rows.where("split = 'train'"))
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in CATEGORICAL})
+    return FE.apply_target_encoding(rows, enc).select("Booking_ID", *[f"{c}_encoded" for c in CATEGORICAL])
+
+
+@register("assembled_rows", _SCALED_CTE + f"""
+, v AS (SELECT Booking_ID, {" + ".join(f"{i + 1} * num__{c}" for i, c in enumerate(CANCEL_NUMERIC))} AS weighted
+        FROM sc)
+SELECT v.Booking_ID, weighted, CAST({len(CATEGORICAL)} AS DOUBLE) AS n_hot
+FROM v JOIN splits s ON v.Booking_ID = s.Booking_ID WHERE split = 'train'""", ["weighted", "n_hot"])
+def q_assembled_rows(spark, sf_dir):
+    """The assembled vector of every training row: its numeric block weighted
+    by place, and the sum of its one-hot block."""
+    from pyspark.ml.functions import vector_to_array
+    train = split_table(spark, sf_dir).where("split = 'train'")
+    model, names = FE.fit_preprocessor(train, "cancellation")
+    n = len(CANCEL_NUMERIC)
+    x = vector_to_array("features")
+    place = sum((x[i] * (i + 1) for i in range(n)), F.lit(0.0))
+    hot = sum((x[i] for i in range(n, len(names))), F.lit(0.0))
+    return model.transform(train).select("Booking_ID", place.alias("weighted"), hot.alias("n_hot"))
+
+
 @register("assemble_features", _CAT_COUNTS + f"""
 , num AS (SELECT * FROM (VALUES {', '.join(f"({i}, 'num__{c}')" for i, c in enumerate(CANCEL_NUMERIC))})
           AS t(feature_index, feature_name)),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.operators.audit import load_and_clean
+from innsight.operators.ranks import bounded_broadcast
 from innsight.operators.split import assign_split
 from innsight.sources.bookings import bookings_table, materialized
 
@@ -54,8 +55,8 @@ def priced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = price_split_table(spark, sf_dir)
     seg = (p.where(F.col("split") == "train").groupBy("market_segment_type")
            .agg(F.avg("avg_price_per_room").alias("predicted")))
-    # one row per segment (a categorical domain): broadcast, so a segment
+    # one row per segment (a categorical domain, counted): broadcast, so a segment
     # holding a third of the rows never becomes one skewed shuffle partition
-    return (p.join(F.broadcast(seg), "market_segment_type", "left")
+    return (p.join(bounded_broadcast(seg), "market_segment_type", "left")
             .select("Booking_ID", "split", "market_segment_type",
                     F.col("avg_price_per_room").alias("actual"), "predicted"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from innsight.operators.audit import as_requests
+from innsight.operators.ranks import bounded_broadcast
 from innsight.operators.scoring import (NOTE_ABOVE, NOTE_BELOW, NOTE_CLOSE, REC_LEAD,
                                         REC_NO_REQUESTS, apply_rules, default_cancellation_meta,
                                         flatten_response, scoring_inputs)
@@ -28,7 +29,7 @@ def _requests_with_scores(spark, sf_dir):
     req = as_requests(bookings_table(spark, sf_dir))
     seg = (price_split_table(spark, sf_dir).where("split = 'train'").groupBy("market_segment_type")
            .agg(F.avg("avg_price_per_room").alias("price")))
-    return deterministic_prob(req.join(F.broadcast(seg), "market_segment_type", "left"))
+    return deterministic_prob(req.join(bounded_broadcast(seg), "market_segment_type", "left"))
 
 
 def _rules(spark, sf_dir):
@@ -70,6 +71,19 @@ def q_scoring_inputs(spark, sf_dir):
     return clf
 
 
+@register("scoring_inputs_price", """
+SELECT Booking_ID, no_of_adults, no_of_children, no_of_weekend_nights, no_of_week_nights,
+       type_of_meal_plan, required_car_parking_space, room_type_reserved, lead_time, arrival_year,
+       arrival_month, arrival_date, market_segment_type, repeated_guest, no_of_previous_cancellations,
+       no_of_previous_bookings_not_canceled, no_of_special_requests,
+       CAST(no_of_adults = 0 AS INTEGER) AS is_zero_adults,
+       CAST(no_of_weekend_nights + no_of_week_nights = 0 AS INTEGER) AS is_zero_nights
+FROM bookings""")
+def q_scoring_inputs_price(spark, sf_dir):
+    """What the price model sees: no price."""
+    return scoring_inputs(as_requests(bookings_table(spark, sf_dir)))[1]
+
+
 @register("price_comparison", _REQ_CTE + """
 SELECT Booking_ID, round_even(avg_price_per_room, 2) AS current_room_price,
        round_even(GREATEST(0, seg_price), 2) AS predicted_room_price,
