@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from innsight.llm import wordhash as wh
 from innsight.llm.columns import other_columns, quoted, written
-from innsight.llm.rows_by_id import split_by_ids
+from innsight.llm.rows_by_id import join_groups, split_by_ids
 
 RESULTS = ["n_words", "n_removed", "kept_text"]
 KEY = ["__od", "__tid"]
@@ -181,9 +181,10 @@ def _copies(keyed: DataFrame, text: str) -> DataFrame:
     """Keys of documents whose whole text an earlier document has."""
     ids = keyed.select(*KEY, F.xxhash64(F.col(text)).alias("t1"),
                        F.xxhash64(F.lit(1), F.col(text)).alias("t2"))
-    first = ids.groupBy("t1", "t2").agg(F.min("__od").alias("first"), F.max("__od").alias("last")).filter(
-        "first != last").select("t1", "t2", "first")
-    return ids.join(first, ["t1", "t2"]).filter("__od != first").select(*KEY).distinct()
+    first = written(ids.groupBy("t1", "t2").agg(
+        F.min("__od").alias("first"), F.max("__od").alias("last"), F.count("*").alias("n")).filter(
+        "first != last").select("t1", "t2", "first", "n"), "copy-groups")
+    return join_groups(ids, first, ["t1", "t2"]).filter("__od != first").select(*KEY).distinct()
 
 
 def _survivors(texts: DataFrame, window: int) -> DataFrame:
