@@ -36,11 +36,12 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from innsight.llm.columns import other_columns, quoted, written
+from innsight.llm import wordhash as wh
+from innsight.llm.columns import other_columns, quoted, small_batches, written
 
 CHUNK, OVERLAP = 1 << 15, 512
 MARGIN = 8            # a match that ends this close to a chunk's end may go on beyond it
-CACHE = 200_000       # pre-tokens whose ids a worker remembers
+CACHE = 50_000       # pre-tokens whose ids a worker remembers
 LONG_PART = 64
 RESULTS = ["n_tokens", "ids"]
 
@@ -155,7 +156,7 @@ def boundaries(text: str, pattern: str, whole: bool) -> list[int]:
 def _chunks(chunk: int, overlap: int):
     """Rows of (id, text) to (id, chunk number, whether it is the last, first character, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wh.slices(batches):
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = max(1, -(-(len(text) - overlap) // chunk))
                 for k in range(0, n, 64):
@@ -172,7 +173,7 @@ def _chunks(chunk: int, overlap: int):
 def _edges(pattern: str, chunk: int, overlap: int):
     """Boundaries of each chunk in its overlap with the chunk before (head) and after (tail)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in wh.slices(batches):
             heads, tails = [], []
             for last, start, text in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
                 at = boundaries(text, pattern, last)
@@ -188,7 +189,7 @@ def _edges(pattern: str, chunk: int, overlap: int):
 def _encode_batches(shipped, pattern: str, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shipped.value, pattern)
-        for batch in batches:
+        for batch in wh.slices(batches):
             ids = [enc.encode(t or "") for t in batch.column(text).to_pylist()]
             cols = [c for i, c in enumerate(batch.columns) if i != text]
             names = [c for i, c in enumerate(batch.schema.names) if i != text]
@@ -227,7 +228,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", chun
     """The documents with n_tokens and ids (binary: little-endian unsigned 32-bit)."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)    # a vocabulary, not data
     rest = other_columns(docs, RESULTS)
-    source = docs.select(*[quoted(c) for c in rest], F.col(text).alias("__text"))
+    source = small_batches(docs).select(*[quoted(c) for c in rest], F.col(text).alias("__text"))
     is_long = F.coalesce(F.length("__text"), F.lit(0)) > chunk + overlap
     schema = source.drop("__text").schema.add("n_tokens", "long").add("ids", "binary")
     short = source.filter(~is_long).mapInArrow(_encode_batches(shipped, pattern, len(rest)), schema)
@@ -257,7 +258,7 @@ def decode(encoded: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = _ranks(shipped.value)
         get = tokens.__getitem__
-        for batch in batches:
+        for batch in wh.slices(batches):
             out = [b"".join(map(get, np.frombuffer(b or b"", dtype="<u4").tolist()))
                    for b in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())],

@@ -30,6 +30,19 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Texts are long, so a session that has no setting of its own sends
+    ``rows`` rows at once to Python instead of 10,000: the buffers on both
+    sides stay at a few MB. Returns ``df``."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_ROWS, None) in (None, "10000"):
+        spark.conf.set(BATCH_ROWS, str(rows))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here,
     and a lost executor costs a re-read instead of a recomputation."""

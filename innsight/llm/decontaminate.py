@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm import wordhash as wh
+from innsight.llm.columns import small_batches
 
 SHINGLE = 5
 BITS = 64
@@ -190,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     n_items = items.count()
     parts = max(1, -(-n_items // block_items))
     items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
-    left = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+    left = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     out = None
     for b in range(parts):
@@ -205,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()),
                                 ("first_word", pa.int64()), ("n_window", pa.int64()),
                                 ("hamming", pa.int32()), ("similarity", pa.float64())])
-            for batch in batches:
+            for batch in wh.slices(batches):
                 ids, texts = batch.column(0).to_pylist(), wh.text_bytes(batch.column(1))
                 found = []
                 for lo, hi in wh.blocks(texts):

@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm import wordhash as wh
-from innsight.llm.columns import other_columns, quoted
+from innsight.llm.columns import other_columns, quoted, small_batches
 
 LANE = 256
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 UND = "und"
 FLAG = np.uint32(1 << 31)
 RESULTS = ["lang_pred", "score", "entropy"]
@@ -160,7 +160,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def train(labelled: DataFrame, sample_docs: int = 256, train_chars: int = 32768,
+def train(labelled: DataFrame, sample_docs: int = 256, train_chars: int = 16384,
           doc_chars: int = 2000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample: at most train_chars of each language reach the driver's model."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
@@ -184,13 +184,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with lang_pred, score and entropy (bits a symbol under the predicted language)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model.key())
     rest = other_columns(docs, RESULTS)
-    left = docs.select(*[quoted(c) for c in rest], F.col(text).alias("__text"))
+    left = small_batches(docs).select(*[quoted(c) for c in rest], F.col(text).alias("__text"))
     schema = left.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("entropy", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shipped.value
         names = np.array([k for k, _ in key], dtype=object)
-        for batch in batches:
+        for batch in wh.slices(batches):
             texts = wh.text_bytes(batch.column(len(rest)))
             pred = np.full(len(texts), UND, dtype=object)
             score, entropy = np.zeros(len(texts)), np.zeros(len(texts))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm import wordhash as wh
-from innsight.llm.columns import other_columns, quoted, written
+from innsight.llm.columns import other_columns, quoted, small_batches, written
 from innsight.llm.components import connected_components
 from innsight.llm.rows_by_id import join_groups, split_by_ids
 
@@ -86,7 +86,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     """IDF by bucket: one row per bucket and task is shuffled, 2**18 sums come back."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << DF_BITS, dtype=np.int64)
-        for batch in batches:
+        for batch in wh.slices(batches):
             col = wh.text_bytes(batch.column(0))
             for lo, hi in wh.blocks(col):
                 g, doc, _ = _shingles(col[lo:hi])
@@ -160,7 +160,7 @@ def _sketch(idf, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
-        for batch in batches:
+        for batch in wh.slices(batches):
             ids, col = batch.column(0), wh.text_bytes(batch.column(1))
             for lo, hi in wh.blocks(col):
                 g, doc, words = _shingles(col[lo:hi])
@@ -263,7 +263,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
                            block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, class_id) of every document that is in a class of two or more doc_ids."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"),
+    texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"),
                         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     idf = spark.sparkContext.broadcast(document_frequencies(texts))
     texts = texts.filter(F.col("id").isNotNull())

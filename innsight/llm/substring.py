@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm import wordhash as wh
-from innsight.llm.columns import other_columns, quoted, written
+from innsight.llm.columns import other_columns, quoted, small_batches, written
 from innsight.llm.rows_by_id import join_groups, split_by_ids
 
 RESULTS = ["n_words", "n_removed", "kept_text"]
@@ -212,7 +212,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """The documents with n_words, n_removed and kept_text."""
     rest = other_columns(docs, RESULTS)
-    keyed = _identified(docs, doc_id, text)
+    keyed = _identified(small_batches(docs), doc_id, text)
     copies = written(_copies(keyed, text), "copies")
     whole, own = split_by_ids(keyed, copies, KEY)
     texts = own.select(*KEY, F.coalesce(F.col(text), F.lit("")).alias("text"))

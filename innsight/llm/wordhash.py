@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD6E8FEB86659FD93
@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def run(base: int) -> np.ndarray:
         p = np.ones(n, dtype=np.uint64)
@@ -69,7 +69,7 @@ class Words:
 def hash_words(texts: list[bytes], is_word: np.ndarray) -> Words:
     joined = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(joined, dtype=np.uint8)
-    size = 1 << max(20, (len(buf) - 1).bit_length())
+    size = 1 << max(19, (len(buf) - 1).bit_length())
     power, inverse = _powers(size)
     inside = is_word[buf].view(np.int8)
     edge = np.diff(inside, prepend=np.int8(0))
@@ -118,6 +118,13 @@ def text_bytes(col: pa.Array) -> list[bytes]:
     return col.cast(pa.large_binary()).fill_null(b"").to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, so that a worker holds Python objects of a few hundred rows only."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes; a longer text is a block of its own."""
     lo, size = 0, 0
