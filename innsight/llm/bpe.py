@@ -41,7 +41,7 @@ from innsight.llm.columns import other_columns, quoted, small_batches, written
 
 CHUNK, OVERLAP = 1 << 15, 512
 MARGIN = 8            # a match that ends this close to a chunk's end may go on beyond it
-CACHE = 200_000       # pre-tokens whose ids a worker remembers
+CACHE = 400_000       # pre-tokens whose ids a worker remembers
 LONG_PART = 64
 RESULTS = ["n_tokens", "ids"]
 
