@@ -2,12 +2,14 @@
 
 Rolling word k-gram hashes of every text are joined to the positions at which
 the templates hold the same k-gram. A match votes for the diagonal "place in
-the text minus place in the template"; neighbouring diagonals with enough
-votes are merged, and the merged span is verified by the words themselves.
+the text minus place in the template"; neighbouring diagonals are merged, and
+the merged span is verified by the words themselves.
 
 Two sorts of templates: a phrase must be there in full, word by word; a
 notice (a sentence of a license text) may miss or gain a few words, so its
-neighbouring diagonals are merged and ``coverage`` of its k-grams must hold.
+neighbouring diagonals are merged, however few votes each of them has, and
+``coverage`` of its k-grams must hold in the best stretch of the merged run
+that is not much longer than the notice.
 
 Defined results
 * Null text is empty text (no words). Empty text has no words and no labels.
@@ -124,23 +126,37 @@ def scan(docs: DataFrame, tpls: list[dict] | None = None, doc_id: str = "doc_id"
                       & (F.col("w2") == F.col("tw2")), "left").drop(pos["gram"])
     diagonals = votes.filter((F.col("at") < 0) | F.col("tpl").isNotNull()).groupBy(
         "doc_id", "tid", "n_words", "tpl", (F.col("at") - F.col("tpos")).alias("diag")).agg(
-        F.count("*").alias("n"), F.collect_set("tpos").alias("tposs"),
-        F.min("at").alias("lo"), F.max("at").alias("hi"))
+        F.count("*").alias("n"), F.collect_set("tpos").alias("tposs"))
     info = F.broadcast(_info(spark, tpls))
+    # one diagonal must hold a template without slack; the others are merged before anything is dropped
     d = diagonals.join(info, "tpl", "left").filter(
-        F.col("tpl").isNull() | (F.size("tposs") >= F.col("votes")))
+        F.col("tpl").isNull() | (F.col("slack") > 0) | (F.size("tposs") >= F.col("votes")))
     w = Window.partitionBy("doc_id", "tid", "tpl").orderBy("diag")
     d = d.withColumn("jump", F.coalesce(
         (F.col("diag") - F.lag("diag").over(w) > F.col("slack")).cast("int"), F.lit(0)))
     d = d.withColumn("run", F.sum("jump").over(w))
-    merged = d.groupBy("doc_id", "tid", "n_words", "tpl", "run").agg(
+    # runs that can't reach the coverage end here; a run may go on beside the notice (common
+    # words chain diagonals), so the stretch of the notice's length that covers most counts
+    run = Window.partitionBy("doc_id", "tid", "tpl", "run")
+    d = d.withColumn("reach", F.sum(F.size("tposs")).over(run)).filter(
+        F.col("tpl").isNull() | (F.col("reach") >= F.col("need") * F.col("grams")))
+    longest = max(t["grams"] + 2 * t["slack"] for t in tpls)
+    v = d.select("doc_id", "tid", "n_words", "tpl", "run", "n", "label", "base", "grams", "slack", "need",
+                 "diag", F.explode_outer("tposs").alias("tpos")).withColumn(
+        "at", F.col("diag") + F.col("tpos"))
+    ahead = run.orderBy("at").rangeBetween(0, longest - 1)
+    near = F.filter(F.collect_list(F.struct("at", "tpos")).over(ahead),
+                    lambda x: x["at"] - F.col("at") < F.col("grams") + 2 * F.col("slack"))
+    v = v.withColumn("near", near).withColumn(
+        "covered", F.size(F.array_distinct(F.transform("near", lambda x: x["tpos"]))))
+    # the stretch that covers most, then the first one
+    best = F.struct("covered", (-F.col("at")).alias("from"),
+                    (F.array_max(F.transform("near", lambda x: x["at"])) + (K - 1)).alias("last"))
+    merged = v.groupBy("doc_id", "tid", "n_words", "tpl", "run").agg(
         F.max("n").alias("n"), F.first("label").alias("label"), F.first("base").alias("base"),
-        F.max("grams").alias("grams"), F.max("slack").alias("slack"), F.max("need").alias("need"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("tposs")))).alias("covered"),
-        F.min("lo").alias("first"), (F.max("hi") + (K - 1)).alias("last"))
-    # verified: enough of the template, in a span not much longer than the template
-    ok = ((F.col("covered") >= F.col("need") * F.col("grams"))
-          & (F.col("last") - F.col("first") + 1 <= F.col("grams") + K - 1 + 2 * F.col("slack")))
+        F.max("grams").alias("grams"), F.max("need").alias("need"), F.max(best).alias("best")).select(
+        "*", "best.covered", (-F.col("best.from")).alias("first"), "best.last")
+    ok = F.col("covered") >= F.col("need") * F.col("grams")   # enough of the template
     span = F.when(F.col("tpl").isNotNull() & ok, F.struct(
         "tpl", "label", "base", F.col("first").cast("long").alias("first"),
         F.col("last").cast("long").alias("last"),

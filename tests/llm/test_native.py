@@ -94,6 +94,32 @@ def test_license_notice_survives_an_inserted_word(spark):
     assert got[1]["score"] == 1.0 and 0.8 <= got[2]["score"] < 1.0 and got[4]["score"] == 0.0
 
 
+def test_license_notice_survives_an_edit_at_every_place(spark):
+    rows, want = [], {}
+
+    def add(words, label, found):
+        rows.append((len(rows), " ".join([prose(len(rows), 5), *words, prose(len(rows), 3)])))
+        want[rows[-1][0]] = (label, found)
+    for t in licenses.templates():
+        if not t["slack"]:
+            continue
+        words, grams = t["words"], t["grams"]
+        for i in range(1, len(words)):
+            add(words[:i] + ["really"] + words[i:], t["label"], (grams - 1) / grams >= 0.8)
+        for i in range(len(words)):
+            lost = 1 if i in (0, len(words) - 1) else 2
+            add(words[:i] + words[i + 1:], t["label"], (grams - lost) / grams >= 0.8)
+    isc = dict(licenses.NOTICES)["isc"].replace("and or distribute", "and distribute").split()
+    add(isc, "isc", True)
+    # common words of the notice before and after it make one long run of neighbouring diagonals
+    mit = licenses.NOTICES[1][1].split()
+    add(["the", "software"] * 30 + mit[:4] + ["really"] + mit[4:] + ["the", "software"] * 30, "mit", True)
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.label_documents(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found for _, found in want.values()) > 300
+    assert [i for i, (label, found) in want.items() if found and label not in got[i]] == []
+
+
 def _line_dedup(docs, min_docs, min_chars=1):
     key = lambda x: _lower(x.strip(" \t\n\x0b\x0c\r"))
     seen = Counter()
