@@ -10,9 +10,12 @@ The training text is a bounded sample: of each language about
 ``train_chars`` characters in total (documented bound of the fit). Everything
 else covers whole texts.
 
-An automaton is a table state x symbol. A missing transition holds the state
-after restarting at the root, with a flag that counts a phrase, so a parse step
-is one table look-up. Texts are parsed side by side in lanes of ``LANE``
+Every letter of the training text is a symbol of its own. An automaton is a
+table state x symbol. A missing transition holds the state after restarting at
+the root, with a flag that counts a phrase, so a parse step is one table
+look-up. Alphabets of more than ``MAX_DENSE`` symbols (Chinese, Japanese,
+Korean) take a table that holds the transitions alone, rows shifted into each
+other's gaps, and three look-ups. Texts are parsed side by side in lanes of ``LANE``
 symbols, one numpy step for all lanes of a block; a lane begins a new phrase,
 for every language alike.
 
@@ -21,7 +24,7 @@ Defined results
 * Null text, and text without a letter, is ``und`` with score 0; so is
   everything when no labelled text was given.
 * Ties: the language that sorts first. Score: 1 - best / second best.
-* Letters never seen in training are phrases of their own.
+* Letters never seen in training have no transitions: they are phrases of their own.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ BLOCK = 1 << 20
 UND = "und"
 FLAG = np.uint32(1 << 31)
 RESULTS = ["lang_pred", "score", "entropy"]
-MAX_SYMBOLS = 250
+MAX_DENSE = 250
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -88,6 +91,54 @@ def parse_table(symbols: list[int], n_symbols: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+class SparseTable:
+    """The transitions of parse_table() without the missing ones, for large alphabets.
+
+    The edge of state s by symbol c is at base[s] + c, where owner tells whose
+    edge is there; ``miss`` is the row of missing transitions.
+    """
+
+    def __init__(self, symbols: list[int], n_symbols: int):
+        nxt = suffix_automaton(symbols)
+        self.base = np.zeros(len(nxt), dtype=np.int64)
+        used, top = np.zeros(2 * n_symbols + 2, dtype=bool), 0    # no slot from top on is used
+        single = []
+        for s in sorted(range(len(nxt)), key=lambda s: -len(nxt[s])):
+            if len(nxt[s]) == 1:
+                single.append(s)
+            elif nxt[s]:
+                cs = np.array(sorted(nxt[s]))
+                fits = np.ones(top + 1, dtype=bool)               # at top everything fits
+                for c in cs.tolist():
+                    fits &= ~used[c:c + top + 1]
+                self.base[s] = b = int(np.argmax(fits))
+                used[b + cs] = True
+                top = max(top, b + int(cs[-1]) + 1)
+                if top + n_symbols + 2 > len(used):
+                    used = np.concatenate([used, np.zeros(len(used) + n_symbols, dtype=bool)])
+        used = np.concatenate([used, np.zeros(len(single) + n_symbols, dtype=bool)])
+        free = np.flatnonzero(~used[n_symbols:])[:len(single)] + n_symbols
+        for s, slot in zip(single, free.tolist(), strict=True):
+            self.base[s] = slot - next(iter(nxt[s]))
+        size = int(self.base.max()) + n_symbols + 1
+        self.owner = np.full(size, -1, dtype=np.int64)
+        self.target = np.zeros(size, dtype=np.uint32)
+        for s, to in enumerate(nxt):
+            for c, t in to.items():
+                self.owner[self.base[s] + c], self.target[self.base[s] + c] = s, t
+        self.miss = np.zeros(n_symbols + 1, dtype=np.uint32)      # the last one is padding, at ends only
+        self.miss[:n_symbols] = np.array([nxt[0].get(c, 0) for c in range(n_symbols)], dtype=np.uint32) | FLAG
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = self.base.take(state) + symbol
+        return np.where(self.owner.take(at) == state, self.target.take(at), self.miss.take(symbol))
+
+
+def _folded(c: str) -> str:
+    """Lower case of a letter, as one letter."""
+    return c.lower()[0]
+
+
 class Model:
     """Training text by language, small enough to ship; tables are built once per worker."""
 
@@ -100,23 +151,19 @@ class Model:
 
 @lru_cache(maxsize=1)
 def _compiled(key: tuple):
-    letters: dict[str, int] = {}
-    for _, text in key:
-        for c in text.lower():
-            if c.isalpha():
-                letters[c] = letters.get(c, 0) + 1
-    known = sorted(sorted(letters), key=lambda c: -letters[c])[:MAX_SYMBOLS]
-    unknown = len(known) + 1
+    known = sorted({_folded(c) for _, text in key for c in set(text) if c.isalpha()})
+    unknown = len(known) + 1                 # never in a training text, so it has no transitions
     of = {c: i + 1 for i, c in enumerate(known)}
-    symbol = np.zeros(0x110000, dtype=np.uint8)
+    symbol = np.zeros(0x110000, dtype=np.min_scalar_type(unknown + 1))
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            symbol[cp] = of.get(c.lower(), unknown)
+            symbol[cp] = of.get(_folded(c), unknown)
     tables, bits = [], []
     for _, text in key:
         s = _symbols(text.encode(), symbol)
-        tables.append(parse_table(s.tolist(), unknown + 1))
+        table = parse_table if unknown + 1 <= MAX_DENSE else SparseTable
+        tables.append(table(s.tolist(), unknown + 1))
         bits.append(np.log2(max(2, len(s))))
     return symbol, unknown + 1, tables, np.array(bits)
 
@@ -136,7 +183,7 @@ def phrases(texts: list[bytes], key: tuple) -> tuple[np.ndarray, np.ndarray, np.
     letters = np.array([np.count_nonzero(p) for p in parts], dtype=np.int64)
     lanes = -(-size // LANE)
     first = np.cumsum(lanes) - lanes
-    grid = np.full(int(lanes.sum()) * LANE, n_symbols, dtype=np.uint8)
+    grid = np.full(int(lanes.sum()) * LANE, n_symbols, dtype=symbol.dtype)
     for p, f in zip(parts, first.tolist(), strict=True):
         grid[f * LANE:f * LANE + len(p)] = p
     steps = np.ascontiguousarray(grid.reshape(-1, LANE).T).astype(np.uint32)
@@ -147,9 +194,12 @@ def phrases(texts: list[bytes], key: tuple) -> tuple[np.ndarray, np.ndarray, np.
         state = np.zeros(steps.shape[1], dtype=np.uint32)
         count = np.ones(steps.shape[1], dtype=np.uint32)     # the phrase a lane begins with
         for step in steps:
-            state *= width
-            state += step
-            state = table.take(state)
+            if isinstance(table, SparseTable):
+                state = table.step(state, step)
+            else:
+                state *= width
+                state += step
+                state = table.take(state)
             count += state >> np.uint32(31)
             state &= ~FLAG
         out[i] = np.bincount(lane_text, weights=count, minlength=len(texts)).astype(np.int64)

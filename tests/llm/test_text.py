@@ -105,6 +105,42 @@ def test_cross_parsing_counts_greedy_phrases():
         assert language.phrases([text.encode()], key)[0][0][0] == count
 
 
+def test_letters_beyond_250_are_symbols_of_their_own():
+    rng = random.Random(5)
+    chinese = [chr(0x4E00 + i) for i in range(3000)]
+    text = "".join(rng.choice(chinese[:40] if rng.random() < 0.5 else chinese) for _ in range(4000))
+    key = (("en", "the cat sat on the mat \u0130t"), ("zh", text))
+    symbol, n, tables, _ = language._compiled(key)
+    assert n > 1000 and all(isinstance(t, language.SparseTable) for t in tables)
+    unseen = "".join(chr(0xAC00 + i) for i in range(120))       # a script that was never trained
+    for t in (text[100:300], text[50:60] + "cat" + unseen[:5] + text[500:505], unseen, "the cats", text[::-1][:250],
+              "".join(rng.choice(chinese) for _ in range(200))):
+        s = language._symbols(t.encode(), symbol).tolist()
+        got = language.phrases([t.encode()], key)[0][:, 0].tolist()
+        for (_, train), n_phrases in zip(key, got, strict=True):
+            own = ",".join(map(str, language._symbols(train.encode(), symbol).tolist())).join(",,")
+            count, cur = 1, []
+            for c in s:
+                if f",{','.join(map(str, [*cur, c]))}," in own:
+                    cur = [*cur, c]
+                else:
+                    count, cur = count + 1, [c] if f",{c}," in own else []
+            assert n_phrases == count
+    assert language.phrases([unseen.encode()], key)[0][:, 0].tolist() == [121, 121]
+
+
+def test_dense_and_sparse_tables_parse_alike():
+    rng = np.random.default_rng(2)
+    train = rng.integers(0, 12, 3000).tolist()
+    dense, sparse = language.parse_table(train, 13), language.SparseTable(train, 13)
+    state, other = np.zeros(500, np.uint32), np.zeros(500, np.uint32)
+    for _ in range(200):
+        c = rng.integers(0, 13, 500).astype(np.uint32)
+        state, other = dense.take(state * np.uint32(14) + c), sparse.step(other, c)
+        assert (state == other).all()
+        state, other = state & ~language.FLAG, other & ~language.FLAG
+
+
 def _items(texts):
     return [(i, t) for i, t in enumerate(texts)]
 
