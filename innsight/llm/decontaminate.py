@@ -13,7 +13,8 @@ within the radius is found. Candidates are verified exactly: the weight of the
 item's shingles found in the window, divided by the item's weight.
 
 Shingles are five words (an item of fewer words is one shingle of all of
-them); a shingle weighs ln(1 + items / items that hold it).
+them); a shingle weighs ln(1 + items / items that hold it). The items of the
+whole benchmark are counted, so results don't depend on the size of a block.
 
 Defined results
 * Null or wordless texts and items match nothing; empty tables give no rows.
@@ -161,11 +162,14 @@ def _similarity(window: np.ndarray, items: Items, t: int) -> float:
     return float((w * np.minimum(count, found)).sum() / (w * count).sum())
 
 
-def _weights(rows: list[tuple[int, bytes]], n_items: int, shingle: int):
-    """ln(1 + items / items with the shingle); an unseen shingle counts as held by one item."""
-    seen = [np.unique(wh.ngrams(w, min(shingle, len(w)))) for _, t in rows
-            if len(w := wh.hash_words([t], wh.ALNUM).h)]
-    h, n = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_counts=True)
+def _item_shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct shingles of an item."""
+    words = wh.hash_words([text], wh.ALNUM).h
+    return np.unique(wh.ngrams(words, min(shingle, len(words)))) if len(words) else np.zeros(0, np.uint64)
+
+
+def _weight_of(h: np.ndarray, n: np.ndarray, n_items: int):
+    """ln(1 + items / items with the shingle); one that is not in h (sorted) counts as held by one item."""
     weight = np.log1p(n_items / n)
     rare = float(np.log1p(n_items))
 
@@ -177,13 +181,39 @@ def _weights(rows: list[tuple[int, bytes]], n_items: int, shingle: int):
     return of
 
 
+def _weights(rows: list[tuple[int, bytes]], n_items: int, shingle: int):
+    """Weights from the rows of a whole benchmark that is at hand."""
+    h, n = np.unique(np.concatenate([*(_item_shingles(t, shingle) for _, t in rows), np.zeros(0, np.uint64)]),
+                     return_counts=True)
+    return _weight_of(h, n, n_items)
+
+
+def item_frequencies(items: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles that two items or more of the benchmark hold, sorted; numbers of those items).
+
+    Counted by Spark; 16 bytes a shared shingle come back, less than the items
+    themselves, which are broadcast too. All others weigh as held by one item.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in wh.slices(batches):
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [
+                _item_shingles(t, shingle) for t in wh.text_bytes(batch.column(0))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+    shared = items.select("t").mapInArrow(run, "h long, n long").groupBy("h").agg(
+        F.sum("n").alias("n")).filter("n > 1").toPandas()
+    h, n = shared["h"].to_numpy(dtype=np.int64).view(np.uint64), shared["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23,
                   shingle: int = SHINGLE, block_items: int = 5000, doc_id: str = "doc_id",
                   text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it (HITS columns).
 
     ``block_items`` bounds what is broadcast at once; a larger benchmark takes
-    one pass over the documents per block, and weights are those of the block.
+    one pass over the documents per block. Weights are those of the whole
+    benchmark: the shingles that items share are broadcast once for all blocks.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"),
@@ -193,16 +223,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
     left = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    frequencies = spark.sparkContext.broadcast((*item_frequencies(items, shingle), n_items))
     out = None
     for b in range(parts):
         rows = [(r[0], r[1].encode()) for r in items.filter(F.col("b") == b).collect()]
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        shared = spark.sparkContext.broadcast((rows, n_items))
+        shared = spark.sparkContext.broadcast(rows)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            rows, total = shared.value
-            weight_of = _weights(rows, total, shingle)
-            known = Items(rows, weight_of, radius, shingle)
+            weight_of = _weight_of(*frequencies.value)
+            known = Items(shared.value, weight_of, radius, shingle)
             schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()),
                                 ("first_word", pa.int64()), ("n_window", pa.int64()),
                                 ("hamming", pa.int32()), ("similarity", pa.float64())])

@@ -187,6 +187,18 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contamination(d, b.limit(0)).count() == 0
 
 
+def test_similarities_do_not_depend_on_the_blocks_of_the_benchmark(spark):
+    template = prose(70, 14)
+    items = [(i, template + " " + prose(100 + i, 12)) for i in range(30)]
+    docs = [(i, prose(200 + i, 20) + " " + (" ".join(t.split()[2:]) if i % 2 else t) + " " + prose(300 + i, 9))
+            for i, t in items]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in decontaminate.contamination(d, b).collect()}
+    assert len({r[0] for r in whole}) == 30 and {r[5] < 1 for r in whole} == {True, False}
+    assert {tuple(r) for r in decontaminate.contamination(d, b, block_items=7).collect()} == whole
+
+
 def test_multi_index_finds_everything_within_the_radius():
     rng = np.random.default_rng(3)
     rows = [(i, prose(i, 30).encode()) for i in range(50)]
