@@ -2,9 +2,10 @@
 shingles, banded, verified by weighted Jaccard similarity.
 
 1. Shingles of five words are hashed; a shingle's document frequency is
-   counted over all documents in a table of 2**18 hash buckets (the hashing
-   trick, so the table has a fixed size at any input size) and its weight is
-   tf * ln(1 + occurrences / occurrences of its bucket).
+   counted exactly over all documents that have words (every row counts) and
+   its weight is tf * ln(1 + documents / documents with the shingle). Only
+   shingles of two documents or more need a row: up to ``limit`` of them are
+   broadcast, more are joined to the texts. The weights are the same.
 2. Each document gets ``bands * rows`` consistent weighted samples; a band is
    the hash of ``rows`` samples. Two documents of weighted Jaccard J share a
    band with probability 1 - (1 - J**rows)**bands: 0.99998 at J = 0.8.
@@ -45,13 +46,32 @@ from innsight.llm.components import connected_components
 from innsight.llm.rows_by_id import join_groups, split_by_ids
 
 SHINGLE = 5
-DF_BITS = 18
+FREQUENT_ROWS = 4_000_000
+COUNT_ROWS = 1 << 20
 BANDS, ROWS = 16, 3
 BLOCK_DOCS, BLOCK_CHARS = 1000, 8 << 20
 FIRST_BANDS = 2
 RESULTS = ["class_id", "kept"]
 
 
+class Idf:
+    """ln(1 + documents / documents with the shingle); shingles that are not in h are of one document."""
+
+    def __init__(self, n_docs: int, h: np.ndarray, n: np.ndarray):
+        h = np.asarray(h, dtype=np.int64).view(np.uint64)
+        order = np.argsort(h)
+        self.h = h[order]
+        self.n = np.asarray(n, dtype=np.int64)[order].astype(np.uint32)
+        self.n_docs = n_docs
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        n = np.ones(len(g))
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, g), len(self.h) - 1)
+            n = np.where(self.h[at] == g, self.n[at], n)
+        return np.log1p(self.n_docs / n)
+
+
 def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, wh.Words]:
     """(shingle hashes, their text, words) of a block; short texts are one shingle."""
     words = wh.hash_words(texts, wh.ALNUM)
@@ -70,7 +90,7 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, wh.Words]:
     return g, doc, words
 
 
-def _features(g: np.ndarray, doc: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(g: np.ndarray, doc: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, shingle) with TF-IDF weights, sorted by document and hash."""
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
@@ -79,29 +99,83 @@ def _features(g: np.ndarray, doc: np.ndarray, idf: np.ndarray) -> tuple[np.ndarr
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(g)))
     g, doc = g[at], doc[at]
-    return g, doc, (tf * idf[(g >> np.uint64(64 - DF_BITS)).astype(np.int64)]).astype(np.float64)
+    return g, doc, tf * idf(g)
+
+
+def _distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, shingle), sorted by document and hash."""
+    order = np.lexsort((g, doc))
+    g, doc = g[order], doc[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    return g[new], doc[new]
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """IDF by bucket: one row per bucket and task is shuffled, 2**18 sums come back."""
+def _frequent(texts: DataFrame) -> DataFrame:
+    """(h, n) of the shingles of two documents or more; the row without h has the number of documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << DF_BITS, dtype=np.int64)
+        def rows(seen: list[np.ndarray], docs: int) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]), return_counts=True)
+            return pa.RecordBatch.from_arrays([
+                pa.concat_arrays([pa.array(h.view(np.int64)), pa.array([None], pa.int64())]),
+                pa.array(np.append(n, docs), pa.int64())], names=["h", "n"])
+        seen, docs, size = [], 0, 0
         for batch in wh.slices(batches):
             col = wh.text_bytes(batch.column(0))
             for lo, hi in wh.blocks(col):
-                g, doc, _ = _shingles(col[lo:hi])
-                if len(g):
-                    g, _, _ = _features(g, doc, np.ones(1 << DF_BITS))
-                    n += np.bincount((g >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())],
-                                         names=["bucket", "n"])
-    rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(
-        F.sum("n").alias("n")).toPandas()   # at most 2**18 rows
-    n = np.zeros(1 << DF_BITS)
-    n[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
-    total = max(1.0, n.sum())
-    return np.log1p(total / np.maximum(n, 1.0))
+                g, doc = _distinct(*_shingles(col[lo:hi])[:2])
+                seen.append(g)
+                docs, size = docs + len(np.unique(doc)), size + len(g)
+                if size >= COUNT_ROWS:       # counted together before they are shuffled
+                    yield rows(seen, docs)
+                    seen, docs, size = [], 0, 0
+        yield rows(seen, docs)
+    return texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(
+        F.sum("n").alias("n")).filter("n > 1 OR h IS NULL")
+
+
+def _collected(frequent: DataFrame) -> Idf:
+    table = frequent.filter("h IS NOT NULL").toArrow()
+    return Idf(_n_docs(frequent), table["h"].to_numpy(), table["n"].to_numpy())
+
+
+def _n_docs(frequent: DataFrame) -> int:
+    return frequent.filter("h IS NULL").agg(F.sum("n")).first()[0] or 0
+
+
+def document_frequencies(texts: DataFrame) -> Idf:
+    """Weights of all shingles, on the driver."""
+    return _collected(written(_frequent(texts), "frequencies"))
+
+
+def _weighted(texts: DataFrame, limit: int) -> tuple[DataFrame, object]:
+    """(texts, weights of a batch): weights are broadcast, or come with the texts in a column df."""
+    frequent = written(_frequent(texts), "frequencies")
+    texts = texts.filter(F.col("id").isNotNull())
+    if frequent.count() <= limit:
+        shared = texts.sparkSession.sparkContext.broadcast(_collected(frequent))
+        return texts, lambda batch: shared.value
+    n_docs = _n_docs(frequent)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in wh.slices(batches):
+            col = wh.text_bytes(batch.column(2))
+            for lo, hi in wh.blocks(col):
+                g, doc = _distinct(*_shingles(col[lo:hi])[:2])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.view(np.int64)), *(batch.column(i).take(pa.array(doc + lo)) for i in (0, 1))],
+                    names=["h", "t1", "t2"])
+    keyed = texts.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    found = join_groups(keyed.select("t1", "t2", "text").mapInArrow(pairs, "h long, t1 long, t2 long"),
+                        frequent.filter("h IS NOT NULL"), ["h"])
+    found = written(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "n")).alias("df")), "text-frequencies")
+
+    def of_batch(batch) -> Idf:
+        df = batch.column("df")
+        df = (df.combine_chunks() if isinstance(df, pa.ChunkedArray) else df).flatten()
+        h, at = np.unique(df.field("h").to_numpy(zero_copy_only=False), return_index=True)
+        return Idf(n_docs, h, df.field("n").to_numpy(zero_copy_only=False)[at])
+    return written(keyed.join(found, ["t1", "t2"], "left").select("id", "text", "df"), "weighted"), of_batch
 
 
 @lru_cache(maxsize=1)
@@ -154,13 +228,13 @@ def icws_samples(g: np.ndarray, weight: np.ndarray, off: np.ndarray, n_samples:
     return out
 
 
-def _sketch(idf, bands: int, rows: int):
+def _sketch(idf_of, bands: int, rows: int):
     schema = pa.schema([("id", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()),
                         ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = idf.value
         for batch in wh.slices(batches):
+            weights = idf_of(batch)
             ids, col = batch.column(0), wh.text_bytes(batch.column(1))
             for lo, hi in wh.blocks(col):
                 g, doc, words = _shingles(col[lo:hi])
@@ -209,7 +283,7 @@ def weighted_jaccard_one_to_all(q: int, off: np.ndarray, g: np.ndarray, w: np.nd
     return shared / np.maximum(totals + totals[q] - shared, 1e-300)
 
 
-def link_block(ids: np.ndarray, comp: np.ndarray, texts: list[bytes], idf: np.ndarray,
+def link_block(ids: np.ndarray, comp: np.ndarray, texts: list[bytes], idf: Idf,
                threshold: float) -> list[tuple[int, int]]:
     """Links that join the classes of a block: every pair of different classes is compared.
 
@@ -243,16 +317,17 @@ def link_block(ids: np.ndarray, comp: np.ndarray, texts: list[bytes], idf: np.nd
     return links
 
 
-def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+def _linked(members: DataFrame, texts: DataFrame, idf_of, threshold: float) -> DataFrame:
     """members (bucket, block, id, comp) -> verified links (a, b)."""
     ids = members.select("id").distinct()
     with_text, _ = split_by_ids(texts, ids, ["id"])
-    rows = members.join(with_text.distinct(), "id").select("bucket", "block", "id", "comp", "text")
+    rows = members.join(with_text.distinct(), "id").select(
+        "bucket", "block", "id", "comp", *texts.columns[1:])
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         links = link_block(group["id"].to_numpy(), group["comp"].to_numpy(),
-                           wh.text_bytes(group["text"]), idf.value, threshold)
+                           wh.text_bytes(group["text"]), idf_of(group), threshold)
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return rows.groupBy("bucket", "block").applyInArrow(run, "a long, b long")
@@ -260,14 +335,13 @@ def _linked(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                            rows: int = ROWS, doc_id: str = "doc_id", text: str = "text",
-                           block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+                           block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS,
+                           limit: int = FREQUENT_ROWS) -> DataFrame:
     """(id, class_id) of every document that is in a class of two or more doc_ids."""
-    spark = docs.sparkSession
     texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"),
                         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    idf = spark.sparkContext.broadcast(document_frequencies(texts))
-    texts = texts.filter(F.col("id").isNotNull())
-    sketches = written(texts.mapInArrow(_sketch(idf, bands, rows),
+    texts, idf_of = _weighted(texts, limit)
+    sketches = written(texts.mapInArrow(_sketch(idf_of, bands, rows),
                                         "id long, g1 long, g2 long, size long, bands array<long>"),
                        "sketches")
     # documents of one word sequence: the smallest id stands for all
@@ -310,7 +384,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
             known = known.join(split, ["bucket", "block"], "left_anti")
         else:
             known = known.withColumn("block", F.col("mine").cast("long"))
-        found = written(_linked(known.select("bucket", "block", "id", "comp"), texts, idf, threshold), "links")
+        found = written(_linked(known.select("bucket", "block", "id", "comp"), texts, idf_of, threshold), "links")
         links = written(links.unionByName(found).distinct(), "all-links")
     return connected_components(links).withColumnRenamed("component", "class_id")
 

@@ -1,7 +1,9 @@
 """BPE, language ID, decontamination, near duplicates and substring dedup against brute force."""
 
 import base64
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -252,6 +254,48 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def _shingle_texts(text):
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower())
+    return [tuple(words[i:i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+
+
+def _independent_classes(rows, threshold=0.8):
+    """Classes by weights ln(1 + documents / document frequency), counted on the words themselves."""
+    bags = [Counter(_shingle_texts(t)) for _, t in rows]
+    df = Counter(x for b in bags for x in b)
+    n = sum(map(bool, bags))
+    vec = [{x: c * math.log(1 + n / df[x]) for x, c in b.items()} for b in bags]
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = sum(min(v, vec[b][x]) for x, v in vec[a].items() if x in vec[b])
+            if shared >= threshold * (sum(vec[a].values()) + sum(vec[b].values()) - shared) > 0:
+                links.append((a, b))
+    return classes(len(rows), links)
+
+
+def test_weights_are_of_exact_document_frequencies(spark):
+    # 40 documents that are mostly one common passage, which weighs little, and groups of near copies
+    passage = prose(900, 160)
+    rows = [(i, passage + " " + prose(1000 + i, 14)) for i in range(40)]
+    rows += [(100 + i, _edited(prose(2000 + i // 3, 150), 40 if i % 3 else 400, i)) for i in range(60)]
+    rows += [(300, ""), (301, None), (302, "few words"), (303, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    idf = near_dup.document_frequencies(texts)
+    bags = [set(_shingle_texts(t or "")) for _, t in rows]
+    df = Counter(x for b in bags for x in b)
+    for (_, t), bag in zip(rows, bags, strict=True):
+        g, doc, _ = near_dup._shingles([(t or "").lower().encode()])
+        want = sorted(math.log(1 + sum(map(bool, bags)) / df[x]) for x in bag)
+        assert np.allclose(sorted(idf(near_dup._distinct(g, doc)[0])), want)
+    want = [rows[c][0] for c in _independent_classes([(i, t or "") for i, t in rows])]
+    assert len(set(want)) < len(want)
+    for limit in (near_dup.FREQUENT_ROWS, 0):    # weights broadcast, and joined to the texts
+        got = near_dup.mark_near_duplicates(docs, limit=limit).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == dict(zip([i for i, _ in rows], want, strict=True))
+
+
 def test_near_duplicate_edges(spark):
     docs = edge_docs(spark)
     got = near_dup.mark_near_duplicates(docs)
