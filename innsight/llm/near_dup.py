@@ -348,11 +348,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     same = written(sketches.groupBy("g1", "g2").agg(
         F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n")).filter(
         "rep != last").select("g1", "g2", "rep", "n"), "copy-groups")
-    copies = join_groups(sketches.select("id", "g1", "g2"), same, ["g1", "g2"]).select(
-        F.col("id").alias("a"), F.col("rep").alias("b")).filter("a != b")
-    copies = written(copies, "copies")
-    _, singles = split_by_ids(sketches.select("id", "size", "bands"),
-                              copies.select(F.col("a").alias("id")).distinct(), ["id"])
+    copied = join_groups(sketches.select("id", "g1", "g2"), same, ["g1", "g2"]).filter("id != rep")
+    copied = written(copied.select("id", "rep", "g1", "g2"), "copies")
+    copies = copied.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    # the copied word sequence alone leaves the banding: another text of its id stays
+    _, singles = split_by_ids(sketches.select("id", "g1", "g2", "size", "bands"),
+                              copied.select("id", "g1", "g2").distinct(), ["id", "g1", "g2"])
     banded = singles.select("id", "size", F.posexplode("bands").alias("band", "key")).select(
         "id", "size", "band", F.xxhash64("band", "key").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n > 1")

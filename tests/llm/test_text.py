@@ -309,6 +309,13 @@ def test_near_duplicate_edges(spark):
     assert near_dup.mark_near_duplicates(empty_docs(spark)).count() == 0
 
 
+def test_both_texts_of_an_id_are_compared(spark):
+    a, b = prose(50, 120), prose(51, 120)
+    rows = [(1, a), (2, a), (2, b), (3, _edited(b, 100, 1)), (4, prose(52, 120))]   # 2 copies 1 and is near 3
+    got = near_dup.mark_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_icws_agreement_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = np.sort(wh.mix(np.arange(1, 401, dtype=np.uint64)))
