@@ -6,8 +6,8 @@ two in twelve places) are counted; those found once can't belong to a repeat
 and end here. Level 2 extends the windows of the repeated witnesses, and only
 those, to twice that length. A window that repeats there is removed at every
 place but its first; longer repeats are unions of such windows, so no further
-level changes what is removed. ``repeated_spans`` goes on doubling until no
-candidate survives and tells how long the repeats are.
+level changes what is removed. Doubling ends there: the lengths of longer
+repeats are not computed.
 
 Defined results
 * Words are runs of anything but ASCII white space, unchanged; null text has none.
