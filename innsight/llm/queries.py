@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innsight.llm import (bpe, chat, decontaminate, embeddings, language, licenses, line_dedup, near_dup,
-                          sharding, substring)
+from innsight.llm import (ball_tree, bpe, chat, decontaminate, embeddings, filter_audit, language, licenses, line_dedup,
+                          near_dup, sharding, substring)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -209,3 +209,71 @@ FROM embeddings e LEFT JOIN n ON e.vec_id = n.id LEFT JOIN c ON e.vec_id = c.id
 @query("op10_embedding_near_dup", VECTORS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+FILTERS_SQL = """
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, i AS step, substr(o, i, 1) AS f, left(o, i - 1) AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS i)),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic
+      FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+      FROM documents),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+      FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+cells AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT part, o AS filter_order, step, f AS filter, fails, good, toxic, n, contains(fails, f) AS hit,
+        before <> '' AND length(translate(before, fails, '')) < length(before) AS gone
+      FROM cells, steps),
+r AS (SELECT part, filter_order, step, filter,
+        coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+        coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant,
+        coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+        coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0) AS good_lost,
+        coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0) AS toxic_lost
+      FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query("op13_filter_interactions", FILTERS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SEARCH_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS u, doc_id, list_filter(string_split_regex(
+             translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+             '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS nd, sum(len(ws))::BIGINT AS nt FROM t),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(
+        translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+        '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+c AS (SELECT u, doc_id, len(ws)::BIGINT AS n, w, count(*) AS tf
+      FROM (SELECT u, doc_id, ws, unnest(ws) AS w FROM t) WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+d AS (SELECT w, CAST(floor(1000 * ln((2 * max(nd) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS wt
+      FROM c, s GROUP BY w),
+r AS (SELECT item_id, u, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // nt))))::BIGINT
+        AS score
+      FROM q JOIN c ON q.w = c.w JOIN d ON q.w = d.w, s GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op12_ball_tree_search", SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
