@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innsight.llm import (ball_tree, bpe, chat, decontaminate, embeddings, filter_audit, language, licenses, line_dedup,
-                          near_dup, sharding, substring)
+                          near_dup, page_diff, sharding, substring)
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -277,3 +277,9 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
 @query("op12_ball_tree_search", SEARCH_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_page_differencing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract_main_text(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars", "n_shared")
