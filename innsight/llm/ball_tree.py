@@ -9,9 +9,13 @@ so a score is an inner product. Scores never leave 64-bit integers.
    (documents, terms, documents with a term) come from that table.
 2. The documents of a task are taken in blocks. Each block becomes a balanced
    ball tree: a node is split at the median of the projection on two far
-   members, and holds the centroid's inner product with every query and its
-   radius. No document of a node can score more than q.c + |q| r; the bound is
-   rounded up by far more than doubles can err.
+   members, and holds its centroid c and radius for every query. No document of
+   a node can score more than q.c + |q| r with the Euclidean radius r, nor more
+   than q.(c + u), where u is the radius of each coordinate by itself (how far a
+   member lies above the centroid in that term). The smaller one counts; it is
+   rounded up by far more than doubles can err. With some 100 query terms a
+   document the first prunes only topics that share no words, the second most
+   of the rest.
 3. Every query descends best bound first and scores leaves exactly, until the
    best bound left is below its k-th best score so far; that score is carried
    from block to block. A bound equal to it is still opened (ties by doc_id).
@@ -49,7 +53,7 @@ from pyspark.sql import functions as F
 from innsight.llm import wordhash as wh
 from innsight.llm.columns import quoted, small_batches, written
 
-BLOCK_DOCS, BLOCK_ENTRIES, LEAF_DOCS = 8192, 2_000_000, 64
+BLOCK_DOCS, BLOCK_ENTRIES, LEAF_DOCS = 8192, 2_000_000, 16
 BLOCK_ITEMS = 2000
 PIECE = 1 << 20
 BUCKETS = 256
@@ -117,8 +121,11 @@ class BallTree:
             if parent >= 0:
                 left, right = self.child[parent]
                 self.child[parent] = (me, right) if side == 0 else (left, me)
-            reach = np.add.reduceat(centre[self._flat], self._starts) + self._length * radius
-            bounds.append(reach * (1 + 1e-9) + 1)
+            above = np.zeros(n_terms)
+            np.maximum.at(above, t, v - centre[t])
+            ball = np.add.reduceat(centre[self._flat], self._starts) + self._length * radius
+            box = np.add.reduceat((centre + above)[self._flat], self._starts)
+            bounds.append(np.minimum(ball, box) * (1 + 1e-9) + 1)
             if hi - lo > leaf:
                 a = int(far.argmax())
                 pivot = np.zeros(n_terms)

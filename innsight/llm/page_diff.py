@@ -10,8 +10,8 @@
    over all tasks.
 3. The lines of a pair are aligned by a longest common subsequence, and lines
    that both hold are shared. A pair that shares more than half of the text
-   that is left of either page holds a copied article, not a template, and
-   has no say.
+   of its longer page (page furniture aside) holds a copied article, not a
+   template, and has no say.
 4. Shared lines are deleted: outside an article element if half of the partners
    (one at least) share the line, where the page has an article, one is enough;
    within the article element only if all partners, three at least, share it.
@@ -106,7 +106,7 @@ def deleted_lines(page: tuple, partners: list[tuple], aligned: list[list[int]])
     for (_, their_sizes, their_states), shared in zip(partners, aligned):
         common = sum(sizes[i] for i in shared if states[i] != ht.FURNITURE)
         theirs = sum(s for s, st in zip(their_sizes, their_states) if st != ht.FURNITURE)
-        if common > COPY_SHARE * min(mine, theirs):
+        if common > COPY_SHARE * max(mine, theirs):
             continue                                   # a copied article
         voters += 1
         for i in shared:
