@@ -12,7 +12,11 @@ neighbouring diagonals are merged, however few votes each of them has, and
 that is not much longer than the notice.
 
 Defined results
-* Null text is empty text (no words). Empty text has no words and no labels.
+* Null text is empty text (no words). Empty text has no words and no labels. An
+  empty table gives an empty result. Very long texts are scanned whole.
+* Ties: of stretches that cover the same number of k-grams the first counts.
+* A template has at most 64 words (its k-grams are the bits of one number);
+  longer ones are an error, sentences of a text are templates of their own.
 * Repeated rows give repeated results; a null doc_id is a value like others.
 * Input columns other than doc_id and text are not used.
 """
@@ -26,6 +30,8 @@ from innsight.llm.columns import ascii_lower
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
+MASK_BITS = 63
+STRETCH = 1000
 
 # fixed values: base phrases and their labels
 PHRASES = [("mit", "mit license"), ("apache", "apache license"),
@@ -63,6 +69,8 @@ def templates(phrases=PHRASES, notices=NOTICES, slack: int = 3, coverage: float
         for label, phrase in pairs:
             words = phrase.split()
             grams = len(words) - K + 1
+            if grams > MASK_BITS:
+                raise ValueError(f"a template has at most {MASK_BITS + K - 1} words; split {phrase[:40]!r}")
             short = base or grams <= 6   # a short notice has no room for a lost word
             out.append(dict(
                 tpl=len(out), label=label, base=base, words=words, grams=grams,
@@ -124,34 +132,36 @@ def scan(docs: DataFrame, tpls: list[dict] | None = None, doc_id: str = "doc_id"
     # the words are compared too: a hash collision can't vote
     votes = flat.join(F.broadcast(pos), (flat["gram"] == pos["gram"]) & (F.col("w1") == F.col("tw1"))
                       & (F.col("w2") == F.col("tw2")), "left").drop(pos["gram"])
+    # the template positions of a diagonal are the bits of one number, so votes combine before the shuffle
     diagonals = votes.filter((F.col("at") < 0) | F.col("tpl").isNotNull()).groupBy(
         "doc_id", "tid", "n_words", "tpl", (F.col("at") - F.col("tpos")).alias("diag")).agg(
-        F.count("*").alias("n"), F.collect_set("tpos").alias("tposs"))
+        F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("tposs"))
     info = F.broadcast(_info(spark, tpls))
     # one diagonal must hold a template without slack; the others are merged before anything is dropped
     d = diagonals.join(info, "tpl", "left").filter(
-        F.col("tpl").isNull() | (F.col("slack") > 0) | (F.size("tposs") >= F.col("votes")))
+        F.col("tpl").isNull() | (F.col("slack") > 0) | (F.bit_count("tposs") >= F.col("votes")))
     w = Window.partitionBy("doc_id", "tid", "tpl").orderBy("diag")
     d = d.withColumn("jump", F.coalesce(
         (F.col("diag") - F.lag("diag").over(w) > F.col("slack")).cast("int"), F.lit(0)))
     d = d.withColumn("run", F.sum("jump").over(w))
-    # runs that can't reach the coverage end here; a run may go on beside the notice (common
-    # words chain diagonals), so the stretch of the notice's length that covers most counts
+    # runs whose diagonals together lack the coverage end here, however often they repeat a pair of
+    # words; of the others, the stretch of the notice's length that covers most counts
     run = Window.partitionBy("doc_id", "tid", "tpl", "run")
-    d = d.withColumn("reach", F.sum(F.size("tposs")).over(run)).filter(
-        F.col("tpl").isNull() | (F.col("reach") >= F.col("need") * F.col("grams")))
-    longest = max(t["grams"] + 2 * t["slack"] for t in tpls)
+    d = d.withColumn("reach", F.bit_or("tposs").over(run)).filter(
+        F.col("tpl").isNull() | (F.bit_count("reach") >= F.col("need") * F.col("grams")))
+    held = F.filter(F.sequence(F.lit(0), F.col("grams") - 1), lambda i: F.getbit(F.col("tposs"), i) == 1)
     v = d.select("doc_id", "tid", "n_words", "tpl", "run", "n", "label", "base", "grams", "slack", "need",
-                 "diag", F.explode_outer("tposs").alias("tpos")).withColumn(
+                 "diag", F.explode_outer(held).alias("tpos")).withColumn(
         "at", F.col("diag") + F.col("tpos"))
-    ahead = run.orderBy("at").rangeBetween(0, longest - 1)
-    near = F.filter(F.collect_list(F.struct("at", "tpos")).over(ahead),
-                    lambda x: x["at"] - F.col("at") < F.col("grams") + 2 * F.col("slack"))
-    v = v.withColumn("near", near).withColumn(
-        "covered", F.size(F.array_distinct(F.transform("near", lambda x: x["tpos"]))))
+    # places are stretched so that one frame fits the length of every template
+    longest = max(t["grams"] + 2 * t["slack"] for t in tpls)
+    place = F.floor(F.col("at") * F.lit(STRETCH * longest) / (F.col("grams") + 2 * F.col("slack")))
+    ahead = run.orderBy("place").rangeBetween(0, STRETCH * longest - STRETCH // 2)
+    v = v.withColumn("place", place).withColumns({
+        "covered": F.bit_count(F.bit_or(F.expr("shiftleft(1L, tpos)")).over(ahead)),
+        "end": F.max("at").over(ahead)})
     # the stretch that covers most, then the first one
-    best = F.struct("covered", (-F.col("at")).alias("from"),
-                    (F.array_max(F.transform("near", lambda x: x["at"])) + (K - 1)).alias("last"))
+    best = F.struct("covered", (-F.col("at")).alias("from"), (F.col("end") + (K - 1)).alias("last"))
     merged = v.groupBy("doc_id", "tid", "n_words", "tpl", "run").agg(
         F.max("n").alias("n"), F.first("label").alias("label"), F.first("base").alias("base"),
         F.max("grams").alias("grams"), F.max("need").alias("need"), F.max(best).alias("best")).select(

@@ -76,17 +76,22 @@ w AS (SELECT doc_id, list_filter(string_split_regex(
         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, i, ws[i + 1] AS w1, ws[i + 2] AS w2
       FROM (SELECT doc_id, ws, unnest(range(len(ws) - 1)) AS i FROM w)),
-d AS (SELECT g.doc_id, pos.tpl, g.i - pos.tpos AS diag, list(DISTINCT pos.tpos) AS tposs,
-        min(g.i) AS lo, max(g.i) AS hi
-      FROM g JOIN pos ON g.w1 = pos.w1 AND g.w2 = pos.w2 GROUP BY ALL),
+hit AS (SELECT g.doc_id, pos.tpl, g.i AS place, pos.tpos, g.i - pos.tpos AS diag
+        FROM g JOIN pos ON g.w1 = pos.w1 AND g.w2 = pos.w2),
+d AS (SELECT doc_id, tpl, diag, count(DISTINCT tpos) AS n FROM hit GROUP BY ALL),
 v AS (SELECT d.*, info.* EXCLUDE (tpl),
         coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, d.tpl ORDER BY diag) > slack, false) AS jump
-      FROM d JOIN info ON d.tpl = info.tpl WHERE len(tposs) >= votes),
+      FROM d JOIN info ON d.tpl = info.tpl WHERE slack > 0 OR n >= votes),
 r AS (SELECT *, sum(jump::INT) OVER (PARTITION BY doc_id, tpl ORDER BY diag) AS run FROM v),
-m AS (SELECT doc_id, tpl, label, base, grams, slack, need, run,
-        len(list_distinct(flatten(list(tposs)))) AS covered, min(lo) AS first, max(hi) + 1 AS last
-      FROM r GROUP BY ALL),
-s AS (SELECT * FROM m WHERE covered >= need * grams AND last - first + 1 <= grams + 1 + 2 * slack),
+h AS (SELECT hit.*, run, label, base, grams, slack, need
+      FROM hit JOIN r ON hit.doc_id = r.doc_id AND hit.tpl = r.tpl AND hit.diag = r.diag),
+f AS (SELECT x.doc_id, x.tpl, x.label, x.base, x.grams, x.need, x.run, x.place AS first,
+        count(DISTINCT y.tpos) AS covered
+      FROM (SELECT DISTINCT doc_id, tpl, label, base, grams, slack, need, run, place FROM h) x
+      JOIN h y ON x.doc_id = y.doc_id AND x.tpl = y.tpl AND x.run = y.run
+        AND y.place BETWEEN x.place AND x.place + x.grams + 2 * x.slack - 1 GROUP BY ALL),
+s AS (SELECT * FROM f WHERE covered >= need * grams
+      QUALIFY row_number() OVER (PARTITION BY doc_id, tpl, run ORDER BY covered DESC, first) = 1),
 a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
         max(first) FILTER (base) AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,

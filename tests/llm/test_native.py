@@ -133,6 +133,25 @@ def _line_dedup(docs, min_docs, min_chars=1):
     return Counter(out)
 
 
+def test_license_repeated_word_pairs_end_before_any_row_is_exploded(spark):
+    """A word pair of a template, repeated, makes a long run of diagonals that never holds the notice."""
+    notice = dict((label, p) for label, p in licenses.NOTICES)["gpl"]
+    rows = [(i, "of the " * 300 + "of") for i in range(20)]
+    rows += [(100, "of the " * 200 + notice + " of the" * 200), (101, "free software " * 150 + notice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.label_documents(df).collect()}
+    assert all(got[i]["labels"] == "" for i in range(20))
+    assert got[100]["labels"] == "gpl" and got[101]["labels"] == "gpl"
+    spans = {r["doc_id"]: r["spans"] for r in licenses.scan(df).collect()}
+    n = len(notice.split())
+    long = max((s["coverage"], s["last"] - s["first"] + 1) for s in spans[100])
+    assert long[0] == 1.0 and long[1] <= n + 6
+    # what is left behind the filter on distinct positions: only the rows with the notice
+    plan = licenses.scan(df.filter("doc_id < 100"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "collect_set" not in plan
+    assert licenses.scan(df.filter("doc_id < 100")).filter("size(spans) > 0").count() == 0
+
+
 def test_line_dedup_matches_brute_force(spark):
     rows = [(i, "\n".join(["Shared  line ", f"own {i}", "\tshared  LINE\r", "", ["rare", "common\u0085"][i % 2]]))
             for i in range(24)]
