@@ -1,13 +1,17 @@
 """Every query with a SQL oracle gives the same rows as DuckDB (sf0.001)."""
 
 import math
+import os
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as E
+from innsight.plans import catalog
 from tests.conftest import SF_SMALL
 
-ORACLES = E.oracle_sql()
+ORACLES = catalog.oracle_sql()
 
 
 def _norm(v):
@@ -25,7 +29,7 @@ def _rows(rows, cols):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
     cur = duck.execute(ORACLES[name])
     cols = [d[0] for d in cur.description]
@@ -44,3 +48,21 @@ def test_every_query_has_callable():
     q = E.queries()
     assert set(ORACLES) <= set(q)
     assert len(q) >= 100
+
+
+@pytest.mark.parametrize("blocked", ["public_tokenizers", "innsight.llm"])
+def test_booking_queries_remain_without_the_corpus_operators(blocked):
+    """In a process where a module can't be imported, every booking query is still there."""
+    code = f"""
+import sys
+class Block:
+    def find_spec(self, name, path=None, target=None):
+        if name == {blocked!r} or name.startswith({blocked + '.'!r}):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Block())
+import __spark_entry__ as E
+from innsight.plans import catalog
+assert set(E.queries()) == set(catalog.queries()) and set(E.oracle_sql()) == set(catalog.oracle_sql())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
