@@ -1,18 +1,22 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF
 shingles, banded, verified by weighted Jaccard similarity.
 
-1. Shingles of five words are hashed; a shingle's document frequency is
+1. Documents with the same text are collapsed to one, which keeps their number.
+2. Shingles of five words are hashed; a shingle's document frequency is
    counted exactly over all documents that have words (every row counts) and
-   its weight is tf * ln(1 + documents / documents with the shingle). Only
-   shingles of two documents or more need a row: up to ``limit`` of them are
-   broadcast, more are joined to the texts. The weights are the same.
-2. Each document gets ``bands * rows`` consistent weighted samples; a band is
+   its weight is tf * ln(1 + documents / documents with the shingle). The texts
+   are dealt to chunks by their hash. A chunk sends its distinct hashes, sorted
+   and as differences, to the task of their range of hashes, which answers with
+   the places of those found in two documents or more, and their numbers. So
+   most shingles (those of one document) are shuffled once, in some five bytes,
+   and no table of frequencies is collected, broadcast or joined.
+3. Each document gets ``bands * rows`` consistent weighted samples; a band is
    the hash of ``rows`` samples. Two documents of weighted Jaccard J share a
    band with probability 1 - (1 - J**rows)**bands: 0.99998 at J = 0.8.
-3. Documents with the same word sequence are collapsed to one first.
 4. In each bucket (documents of equal band hash) every pair of documents that
-   are not already in one class is verified by exact weighted Jaccard; the
-   links found join classes. A pair within a class needs no check, which makes
+   are not already in one class is verified by exact weighted Jaccard, on the
+   shingles that other documents have too and the weight of all; the links found
+   join classes. A pair within a class needs no check, which makes
    dense groups linear. Buckets run in two rounds: the first bands alone, in
    blocks of bounded size, settle most groups; then all bands, buckets whose
    documents are in one class already left out, buckets of the same documents
@@ -32,7 +36,6 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,35 +46,18 @@ from pyspark.sql import functions as F
 from innsight.llm import wordhash as wh
 from innsight.llm.columns import other_columns, quoted, small_batches, written
 from innsight.llm.components import connected_components
-from innsight.llm.rows_by_id import join_groups, split_by_ids
+from innsight.llm.rows_by_id import BROADCAST_IDS, HEAVY_GROUPS, join_groups, split_by_ids
 
 SHINGLE = 5
-FREQUENT_ROWS = 4_000_000
-COUNT_ROWS = 1 << 20
 BANDS, ROWS = 16, 3
+CHUNK_BYTES, LEAST_CHUNKS = 2 << 20, 64
+SKETCH_SHINGLES = 1 << 16
 BLOCK_DOCS, BLOCK_CHARS = 1000, 8 << 20
 FIRST_BANDS = 2
+HAS_WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]"
 RESULTS = ["class_id", "kept"]
 
 
-class Idf:
-    """ln(1 + documents / documents with the shingle); shingles that are not in h are of one document."""
-
-    def __init__(self, n_docs: int, h: np.ndarray, n: np.ndarray):
-        h = np.asarray(h, dtype=np.int64).view(np.uint64)
-        order = np.argsort(h)
-        self.h = h[order]
-        self.n = np.asarray(n, dtype=np.int64)[order].astype(np.uint32)
-        self.n_docs = n_docs
-
-    def __call__(self, g: np.ndarray) -> np.ndarray:
-        n = np.ones(len(g))
-        if len(self.h):
-            at = np.minimum(np.searchsorted(self.h, g), len(self.h) - 1)
-            n = np.where(self.h[at] == g, self.n[at], n)
-        return np.log1p(self.n_docs / n)
-
-
 def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, wh.Words]:
     """(shingle hashes, their text, words) of a block; short texts are one shingle."""
     words = wh.hash_words(texts, wh.ALNUM)
@@ -90,92 +76,99 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, wh.Words]:
     return g, doc, words
 
 
-def _features(g: np.ndarray, doc: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, shingle) with TF-IDF weights, sorted by document and hash."""
+def _counted(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, document) with the number of times, sorted by document and hash."""
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    tf = np.diff(np.append(at, len(g)))
-    g, doc = g[at], doc[at]
-    return g, doc, tf * idf(g)
+    return g[at], doc[at], np.diff(np.append(at, len(g)))
 
 
-def _distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document, shingle), sorted by document and hash."""
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
-    new = np.ones(len(g), dtype=bool)
-    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    return g[new], doc[new]
-
-
-def _frequent(texts: DataFrame) -> DataFrame:
-    """(h, n) of the shingles of two documents or more; the row without h has the number of documents."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(seen: list[np.ndarray], docs: int) -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen]), return_counts=True)
-            return pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(h.view(np.int64)), pa.array([None], pa.int64())]),
-                pa.array(np.append(n, docs), pa.int64())], names=["h", "n"])
-        seen, docs, size = [], 0, 0
-        for batch in wh.slices(batches):
-            col = wh.text_bytes(batch.column(0))
-            for lo, hi in wh.blocks(col):
-                g, doc = _distinct(*_shingles(col[lo:hi])[:2])
-                seen.append(g)
-                docs, size = docs + len(np.unique(doc)), size + len(g)
-                if size >= COUNT_ROWS:       # counted together before they are shuffled
-                    yield rows(seen, docs)
-                    seen, docs, size = [], 0, 0
-        yield rows(seen, docs)
-    return texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(
-        F.sum("n").alias("n")).filter("n > 1 OR h IS NULL")
-
-
-def _collected(frequent: DataFrame) -> Idf:
-    table = frequent.filter("h IS NOT NULL").toArrow()
-    return Idf(_n_docs(frequent), table["h"].to_numpy(), table["n"].to_numpy())
-
-
-def _n_docs(frequent: DataFrame) -> int:
-    return frequent.filter("h IS NULL").agg(F.sum("n")).first()[0] or 0
-
-
-def document_frequencies(texts: DataFrame) -> Idf:
-    """Weights of all shingles, on the driver."""
-    return _collected(written(_frequent(texts), "frequencies"))
-
-
-def _weighted(texts: DataFrame, limit: int) -> tuple[DataFrame, object]:
-    """(texts, weights of a batch): weights are broadcast, or come with the texts in a column df."""
-    frequent = written(_frequent(texts), "frequencies")
-    texts = texts.filter(F.col("id").isNotNull())
-    if frequent.count() <= limit:
-        shared = texts.sparkSession.sparkContext.broadcast(_collected(frequent))
-        return texts, lambda batch: shared.value
-    n_docs = _n_docs(frequent)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wh.slices(batches):
-            col = wh.text_bytes(batch.column(2))
-            for lo, hi in wh.blocks(col):
-                g, doc = _distinct(*_shingles(col[lo:hi])[:2])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), *(batch.column(i).take(pa.array(doc + lo)) for i in (0, 1))],
-                    names=["h", "t1", "t2"])
-    keyed = texts.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    found = join_groups(keyed.select("t1", "t2", "text").mapInArrow(pairs, "h long, t1 long, t2 long"),
-                        frequent.filter("h IS NOT NULL"), ["h"])
-    found = written(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "n")).alias("df")), "text-frequencies")
-
-    def of_batch(batch) -> Idf:
-        df = batch.column("df")
-        df = (df.combine_chunks() if isinstance(df, pa.ChunkedArray) else df).flatten()
-        h, at = np.unique(df.field("h").to_numpy(zero_copy_only=False), return_index=True)
-        return Idf(n_docs, h, df.field("n").to_numpy(zero_copy_only=False)[at])
-    return written(keyed.join(found, ["t1", "t2"], "left").select("id", "text", "df"), "weighted"), of_batch
+# ---- document frequencies: chunks of texts ask, ranges of hashes answer ----
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers by bytes of equal weight, so that the zeros of small numbers lie together."""
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + len(planes).to_bytes(8, "little") + pa.compress(
+        planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, *types: type) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(
+        data[16:], int.from_bytes(data[8:16], "little"), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for t in types:
+        size = n * np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(planes[at:at + size].reshape(-1, n).T).reshape(-1).view(t))
+        at += size
+    return out
+
+
+def _starts(n_ranges: int) -> np.ndarray:
+    """First hash of every range: the ranges share the 64-bit numbers out evenly."""
+    return np.array([-(-i * 2**64 // n_ranges) for i in range(n_ranges)], dtype=np.uint64)
+
+
+class Chunk:
+    """The distinct texts of a chunk: their shingles, and the chunk's distinct hashes in order (all)."""
+
+    def __init__(self, group: pa.Table):
+        rows = group.combine_chunks().sort_by([("t1", "ascending"), ("t2", "ascending")])
+        self.ids, self.copies = rows["id"], rows["n"].to_numpy()
+        texts = wh.text_bytes(rows["text"])
+        self.size = np.array([len(t) for t in texts], dtype=np.int64)
+        parts = []
+        for lo, hi in wh.blocks(texts):
+            g, doc, words = _shingles(texts[lo:hi])
+            parts.append((*_counted(g, doc + lo), np.diff(words.off)))
+        self.g, self.doc, self.tf, self.words = (np.concatenate(p) for p in zip(*parts))
+        self.all, self.place = np.unique(self.g, return_inverse=True)
+
+
+def _ask(n_ranges: int):
+    """A chunk's distinct hashes, with the documents that hold them, to the ranges of the hashes."""
+    def run(group: pa.Table) -> pa.Table:
+        chunk = Chunk(group)
+        held = np.bincount(chunk.place, weights=chunk.copies[chunk.doc], minlength=len(chunk.all)).astype(np.uint64)
+        edge = np.append(np.searchsorted(chunk.all, _starts(n_ranges)), len(chunk.all))
+        use = np.flatnonzero(np.diff(edge))
+        data = [_packed(np.diff(chunk.all[edge[r]:edge[r + 1]], prepend=np.uint64(0)), held[edge[r]:edge[r + 1]])
+                for r in use]
+        return pa.table({"chunk": pa.array(np.full(len(use), group["chunk"][0].as_py()), pa.int64()),
+                         "range": pa.array(use, pa.int64()), "data": pa.array(data, pa.binary())})
+    return run
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """To every chunk: the places, in its list, of the hashes of two documents or more, and their numbers."""
+    parts = [_unpacked(d, np.uint64, np.uint64) for d in group["data"].to_pylist()]
+    h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+    _, place = np.unique(h, return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.uint64)[place]
+    out, at = [], 0
+    for chunk, p in zip(group["chunk"].to_pylist(), parts):
+        n = total[at:at + len(p[0])]
+        at += len(p[0])
+        shared = np.flatnonzero(n > 1)
+        if len(shared):
+            out.append((chunk, _packed(np.diff(shared, prepend=0).astype(np.uint32), n[shared])))
+    chunk, data = zip(*out) if out else ((), ())
+    return pa.table({"chunk": pa.array(chunk, pa.int64()),
+                     "range": pa.array([group["range"][0].as_py()] * len(out), pa.int64()),
+                     "data": pa.array(data, pa.binary())})
+
+
+def _frequencies(chunk: Chunk, answers: pa.Table, n_ranges: int) -> np.ndarray:
+    """Documents with each of the chunk's distinct hashes."""
+    df = np.ones(len(chunk.all), dtype=np.int64)
+    first = np.searchsorted(chunk.all, _starts(n_ranges))
+    for r, data in zip(answers["range"].to_pylist(), answers["data"].to_pylist()):
+        step, n = _unpacked(data, np.uint32, np.uint64)
+        df[first[r] + np.cumsum(step, dtype=np.int64)] = n
+    return df
 
 
 @lru_cache(maxsize=1)
@@ -228,45 +221,39 @@ def icws_samples(g: np.ndarray, weight: np.ndarray, off: np.ndarray, n_samples:
     return out
 
 
-def _sketch(idf_of, bands: int, rows: int):
-    schema = pa.schema([("id", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()),
-                        ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in wh.slices(batches):
-            weights = idf_of(batch)
-            ids, col = batch.column(0), wh.text_bytes(batch.column(1))
-            for lo, hi in wh.blocks(col):
-                g, doc, words = _shingles(col[lo:hi])
-                n = hi - lo
-                # the word sequence as a whole, in two hashes
-                count = np.diff(words.off)
-                place = np.arange(len(words.h)) - np.repeat(words.off[:-1], count)
-                of = words.doc
-                whole = []
-                for seed in (3, 5):
-                    part = wh.mix(words.h + wh.mix(place.astype(np.uint64) * np.uint64(2 * seed + 1)
-                                                   + np.uint64(seed)))
-                    total = np.zeros(n, dtype=np.uint64)
-                    np.add.at(total, of, part)
-                    whole.append(wh.mix(total + count.astype(np.uint64)).view(np.int64))
-                g, doc, w = _features(g, doc, weights)
-                off = np.searchsorted(doc, np.arange(n + 1))
-                samples = icws_samples(g, w, off, bands * rows)
-                keys = np.zeros((bands, n), dtype=np.uint64)
-                for b in range(bands):
-                    key = np.full(n, np.uint64(b + 1))
-                    for s in samples[b * rows:(b + 1) * rows]:
-                        key = wh.mix(key * np.uint64(0xD6E8FEB86659FD93) + s)
-                    keys[b] = key
-                keep = np.flatnonzero(count > 0)   # wordless texts are alike to nothing
-                flat = pa.array(keys.T[keep].reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, n).take(pa.array(keep)), pa.array(whole[0][keep]),
-                    pa.array(whole[1][keep]),
-                    pa.array(np.fromiter((len(col[lo + i]) for i in keep), np.int64, len(keep))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), flat)],
-                    schema=schema)
+_SKETCH = ("id long, size long, bands array<long>, total double, h array<long>, w array<double>")
+
+
+def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
+    """Band keys of every text of a chunk, the weight of all its shingles, and those that others have too."""
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(texts)
+        df = _frequencies(chunk, answers, n_ranges)[chunk.place]
+        weight = chunk.tf * np.log1p(n_docs / df)
+        n = len(chunk.size)
+        off = np.searchsorted(chunk.doc, np.arange(n + 1))
+        keys = np.zeros((bands, n), dtype=np.uint64)
+        lo = 0
+        while lo < n:                        # some texts at once
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SKETCH_SHINGLES, "right")) - 1)
+            part = slice(off[lo], off[hi])
+            samples = icws_samples(chunk.g[part], weight[part], off[lo:hi + 1] - off[lo], bands * rows)
+            for b in range(bands):
+                key = np.full(hi - lo, np.uint64(b + 1))
+                for s in samples[b * rows:(b + 1) * rows]:
+                    key = wh.mix(key * np.uint64(0xD6E8FEB86659FD93) + s)
+                keys[b, lo:hi] = key
+            lo = hi
+        total = np.bincount(chunk.doc, weights=weight, minlength=n)
+        shared = df > 1
+        kept = np.searchsorted(chunk.doc[shared], np.arange(n + 1))
+        ok = pa.array((chunk.words > 0) & chunk.ids.is_valid().to_numpy())   # rows without an id are in no class
+        lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        return pa.table({
+            "id": chunk.ids.combine_chunks(), "size": chunk.size,
+            "bands": lists(np.arange(n + 1) * bands, pa.array(keys.T.reshape(-1).view(np.int64))),
+            "total": total, "h": lists(kept, pa.array(chunk.g[shared].view(np.int64))),
+            "w": lists(kept, pa.array(weight[shared]))}).filter(ok)
     return run
 
 
@@ -283,19 +270,17 @@ def weighted_jaccard_one_to_all(q: int, off: np.ndarray, g: np.ndarray, w: np.nd
     return shared / np.maximum(totals + totals[q] - shared, 1e-300)
 
 
-def link_block(ids: np.ndarray, comp: np.ndarray, texts: list[bytes], idf: Idf,
-               threshold: float) -> list[tuple[int, int]]:
+def link_block(ids: np.ndarray, comp: np.ndarray, off: np.ndarray, g: np.ndarray, w: np.ndarray,
+               totals: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links that join the classes of a block: every pair of different classes is compared.
 
-    comp: the class known so far. The most central text is tried first, so a
+    off, g, w: hashes and weights of each text (those that no other text has may be missing);
+    totals: the weight of all. comp: the class known so far. The most central text is tried first, so a
     dense group is joined after a few queries, and the rest is skipped once
     all texts that are left are in one class.
     """
-    g, doc, _ = _shingles(texts)
-    g, doc, w = _features(g, doc, idf)
-    n = len(texts)
-    off = np.searchsorted(doc, np.arange(n + 1))
-    totals = np.bincount(doc, weights=w, minlength=n)
+    n = len(ids)
+    doc = np.repeat(np.arange(n), np.diff(off))
     order = np.argsort(g, kind="stable")
     by_hash = g[order], w[order], doc[order]
     lo = np.searchsorted(by_hash[0], g, "left")
@@ -317,44 +302,82 @@ def link_block(ids: np.ndarray, comp: np.ndarray, texts: list[bytes], idf: Idf,
     return links
 
 
-def _linked(members: DataFrame, texts: DataFrame, idf_of, threshold: float) -> DataFrame:
+def _linked(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """members (bucket, block, id, comp) -> verified links (a, b)."""
-    ids = members.select("id").distinct()
-    with_text, _ = split_by_ids(texts, ids, ["id"])
-    rows = members.join(with_text.distinct(), "id").select(
-        "bucket", "block", "id", "comp", *texts.columns[1:])
+    mine, _ = split_by_ids(vectors, members.select("id").distinct(), ["id"])
+    rows = members.join(mine, "id").select("bucket", "block", "id", "comp", "total", "h", "w")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        links = link_block(group["id"].to_numpy(), group["comp"].to_numpy(),
-                           wh.text_bytes(group["text"]), idf_of(group), threshold)
+        h, w = (group[c].combine_chunks() for c in ("h", "w"))
+        off = np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
+        links = link_block(group["id"].to_numpy(), group["comp"].to_numpy(), off,
+                           h.flatten().to_numpy().view(np.uint64), w.flatten().to_numpy(),
+                           group["total"].to_numpy(), threshold)
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return rows.groupBy("bucket", "block").applyInArrow(run, "a long, b long")
 
 
+def _first_of_copies(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of every text; n is the number of rows that have it.
+
+    groups (t1, t2, rep, n, k): texts of n > 1 rows, k of them with the id that
+    stands for all. They are counted first; beyond BROADCAST_IDS only the at most
+    HEAVY_GROUPS hot ones are broadcast, whose copies are gone before the rest is shuffled.
+    """
+    on = ["t1", "t2"]
+
+    def without_copies(rows: DataFrame, some: DataFrame) -> DataFrame:
+        named = some.withColumnsRenamed({"rep": "rep_", "n": "n_", "k": "k_"})
+        return rows.join(named, on, "left").filter("n_ IS NULL OR id <=> rep_").withColumns(
+            {"n": F.coalesce("n", "n_"), "k": F.coalesce("k", "k_")}).drop("rep_", "n_", "k_")
+    rows = texts.withColumns({c: F.lit(None).cast("long") for c in ("n", "k")})
+    if groups.count() <= BROADCAST_IDS:
+        rows = without_copies(rows, F.broadcast(groups))
+    else:
+        hot = F.col("n") * HEAVY_GROUPS > (groups.agg(F.sum("n")).first()[0] or 0)
+        rows = without_copies(without_copies(rows, F.broadcast(groups.filter(hot))), groups.filter(~hot))
+    rows = rows.withColumn("n", F.coalesce("n", F.lit(1)))
+    if not groups.filter("k > 1").isEmpty():      # rows that repeat an id and its text
+        rows = rows.filter("k IS NULL OR k = 1").unionByName(rows.filter("k > 1").dropDuplicates(on))
+    return rows.drop("k")
+
+
+def document_sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS,
+                      chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """texts (id, text) -> (sketch of one document of each text, copies (id, rep) of the others)."""
+    # wordless texts are alike to nothing
+    texts = texts.filter(F.col("text").rlike(HAS_WORDS)).withColumns(
+        {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    light = written(texts.groupBy("t1", "t2", "id").agg(
+        F.count("*").alias("n"), F.max(F.octet_length("text")).cast("long").alias("size")), "text-keys")
+    size, n_docs = light.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)),
+                             F.coalesce(F.sum("n"), F.lit(0))).first()
+    first = F.min(F.struct(F.col("id").isNull(), "id", "n"))
+    groups = written(light.groupBy("t1", "t2").agg(first.alias("lo"), F.sum("n").alias("n")).filter("n > 1").select(
+        "t1", "t2", F.col("lo.id").alias("rep"), "n", F.col("lo.n").alias("k")), "copy-groups")
+    copies = join_groups(light.select("id", "t1", "t2"), groups, ["t1", "t2"]).filter("id != rep").select("id", "rep")
+    n_chunks = max(LEAST_CHUNKS, -(-size // chunk_bytes))
+    work = _first_of_copies(texts, groups).withColumn("chunk", F.pmod("t1", F.lit(n_chunks)))
+    asked = work.groupBy("chunk").applyInArrow(_ask(n_chunks), "chunk long, range long, data binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, range long, data binary")
+    sketches = work.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        _sketch(n_docs, n_chunks, bands, rows), _SKETCH)
+    return written(sketches, "sketches"), copies
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                            rows: int = ROWS, doc_id: str = "doc_id", text: str = "text",
                            block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS,
-                           limit: int = FREQUENT_ROWS) -> DataFrame:
+                           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, class_id) of every document that is in a class of two or more doc_ids."""
     texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"),
                         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    texts, idf_of = _weighted(texts, limit)
-    sketches = written(texts.mapInArrow(_sketch(idf_of, bands, rows),
-                                        "id long, g1 long, g2 long, size long, bands array<long>"),
-                       "sketches")
-    # documents of one word sequence: the smallest id stands for all
-    same = written(sketches.groupBy("g1", "g2").agg(
-        F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n")).filter(
-        "rep != last").select("g1", "g2", "rep", "n"), "copy-groups")
-    copied = join_groups(sketches.select("id", "g1", "g2"), same, ["g1", "g2"]).filter("id != rep")
-    copied = written(copied.select("id", "rep", "g1", "g2"), "copies")
-    copies = copied.select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    # the copied word sequence alone leaves the banding: another text of its id stays
-    _, singles = split_by_ids(sketches.select("id", "g1", "g2", "size", "bands"),
-                              copied.select("id", "g1", "g2").distinct(), ["id", "g1", "g2"])
-    banded = singles.select("id", "size", F.posexplode("bands").alias("band", "key")).select(
+    sketches, copies = document_sketches(texts, bands, rows, chunk_bytes)
+    copies = written(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")), "copies")
+    vectors = sketches.select("id", "total", "h", "w")
+    banded = sketches.select("id", "size", F.posexplode("bands").alias("band", "key")).select(
         "id", "size", "band", F.xxhash64("band", "key").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n > 1")
     members = written(banded.join(buckets, "bucket").distinct(), "band-members")
@@ -385,7 +408,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
             known = known.join(split, ["bucket", "block"], "left_anti")
         else:
             known = known.withColumn("block", F.col("mine").cast("long"))
-        found = written(_linked(known.select("bucket", "block", "id", "comp"), texts, idf_of, threshold), "links")
+        found = written(_linked(known.select("bucket", "block", "id", "comp"), vectors, threshold), "links")
         links = written(links.unionByName(found).distinct(), "all-links")
     return connected_components(links).withColumnRenamed("component", "class_id")
 

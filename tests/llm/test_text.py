@@ -219,22 +219,13 @@ def _edited(text, every, seed):
     return " ".join(w)
 
 
-def _near_brute(spark, docs, threshold=0.8):
-    rows = [(r["doc_id"], (r["text"] or "").lower().encode()) for r in docs.collect() if r["doc_id"] is not None]
-    idf = near_dup.document_frequencies(docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("text")))
-    g, doc, _ = near_dup._shingles([t for _, t in rows])
-    g, doc, w = near_dup._features(g, doc, idf)
-    vec = defaultdict(dict)
-    for x, d, v in zip(g.tolist(), doc.tolist(), w.tolist(), strict=True):
-        vec[d][x] = v
-    ids = sorted({i for i, _ in rows})
+def _near_brute(docs, threshold=0.8):
+    """Smallest id of the class of every id, on the words themselves."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    ids = sorted({i for i, _ in rows if i is not None})
     place = {x: i for i, x in enumerate(ids)}
-    links = []
-    for a in range(len(rows)):
-        for b in range(a):
-            shared = sum(min(v, vec[b][x]) for x, v in vec[a].items() if x in vec[b])
-            if shared and shared / (sum(vec[a].values()) + sum(vec[b].values()) - shared) >= threshold:
-                links.append((place[rows[a][0]], place[rows[b][0]]))
+    links = [(place[rows[a][0]], place[rows[b][0]]) for a, b in _near_links(rows, threshold)
+             if rows[a][0] is not None and rows[b][0] is not None]
     return {ids[i]: ids[c] for i, c in enumerate(classes(len(ids), links))}
 
 
@@ -247,7 +238,7 @@ def test_near_duplicates_equal_brute_force(spark):
             i += 1
     rows += [(2000 + j, rows[0][1]) for j in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = _near_brute(spark, docs)
+    want = _near_brute(docs)
     for block in (1000, 3):       # also with buckets cut into blocks of three documents
         got = near_dup.mark_near_duplicates(docs, block_docs=block).collect()
         assert {r["doc_id"]: r["class_id"] for r in got} == want
@@ -259,8 +250,8 @@ def _shingle_texts(text):
     return [tuple(words[i:i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
 
 
-def _independent_classes(rows, threshold=0.8):
-    """Classes by weights ln(1 + documents / document frequency), counted on the words themselves."""
+def _near_links(rows, threshold=0.8):
+    """Links by weights ln(1 + documents / document frequency), counted on the words themselves."""
     bags = [Counter(_shingle_texts(t)) for _, t in rows]
     df = Counter(x for b in bags for x in b)
     n = sum(map(bool, bags))
@@ -271,7 +262,7 @@ def _independent_classes(rows, threshold=0.8):
             shared = sum(min(v, vec[b][x]) for x, v in vec[a].items() if x in vec[b])
             if shared >= threshold * (sum(vec[a].values()) + sum(vec[b].values()) - shared) > 0:
                 links.append((a, b))
-    return classes(len(rows), links)
+    return links
 
 
 def test_weights_are_of_exact_document_frequencies(spark):
@@ -279,21 +270,36 @@ def test_weights_are_of_exact_document_frequencies(spark):
     passage = prose(900, 160)
     rows = [(i, passage + " " + prose(1000 + i, 14)) for i in range(40)]
     rows += [(100 + i, _edited(prose(2000 + i // 3, 150), 40 if i % 3 else 400, i)) for i in range(60)]
-    rows += [(300, ""), (301, None), (302, "few words"), (303, "few words")]
+    rows += [(300, ""), (301, None), (302, "few words"), (303, "few words"), (302, "few words")]
+    rows += [(None, prose(1, 20)), (None, prose(1, 20)), (310, prose(1000, 14))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = docs.select(F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    idf = near_dup.document_frequencies(texts)
+    want = _near_brute(docs)
+    assert len(set(want.values())) < len(want)
     bags = [set(_shingle_texts(t or "")) for _, t in rows]
-    df = Counter(x for b in bags for x in b)
-    for (_, t), bag in zip(rows, bags, strict=True):
-        g, doc, _ = near_dup._shingles([(t or "").lower().encode()])
-        want = sorted(math.log(1 + sum(map(bool, bags)) / df[x]) for x in bag)
-        assert np.allclose(sorted(idf(near_dup._distinct(g, doc)[0])), want)
-    want = [rows[c][0] for c in _independent_classes([(i, t or "") for i, t in rows])]
-    assert len(set(want)) < len(want)
-    for limit in (near_dup.FREQUENT_ROWS, 0):    # weights broadcast, and joined to the texts
-        got = near_dup.mark_near_duplicates(docs, limit=limit).collect()
-        assert {r["doc_id"]: r["class_id"] for r in got} == dict(zip([i for i, _ in rows], want, strict=True))
+    df, n = Counter(x for b in bags for x in b), sum(map(bool, bags))
+    total = {i: sum(c * math.log(1 + n / df[x]) for x, c in Counter(_shingle_texts(t or "")).items()) for i, t in rows}
+    for chunk_bytes in (near_dup.CHUNK_BYTES, 100):      # texts in 64 chunks, and every text in one of its own
+        sketches, copies = near_dup.document_sketches(
+            docs.select(F.col("doc_id").alias("id"), F.lower("text").alias("text")).filter("text IS NOT NULL"),
+            chunk_bytes=chunk_bytes)
+        got = sketches.collect()
+        assert {r["id"] for r in got} == {i for i, t in rows if t} - {None, 303}
+        for r in got:
+            assert math.isclose(r["total"], total[r["id"]])
+            weights = Counter(round(math.log(1 + n / df[x]), 9) for x in _shingle_texts(dict(rows)[r["id"]]) if df[x] > 1)
+            assert Counter(round(w, 9) for w in r["w"]) == weights
+        assert [tuple(c) for c in copies.collect()] == [(303, 302)]
+        marked = near_dup.mark_near_duplicates(docs, chunk_bytes=chunk_bytes).collect()
+        assert {r["doc_id"]: r["class_id"] for r in marked if r["doc_id"] is not None} == want
+
+
+def test_hashes_are_packed_and_unpacked():
+    rng = np.random.default_rng(4)
+    a = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    n = rng.integers(1, 2**40, 1000).astype(np.uint64)
+    for k in (1, 2, 1000):
+        got = near_dup._unpacked(near_dup._packed(np.diff(a[:k], prepend=np.uint64(0)), n[:k]), np.uint64, np.uint64)
+        assert (np.cumsum(got[0], dtype=np.uint64) == a[:k]).all() and (got[1] == n[:k]).all()
 
 
 def test_near_duplicate_edges(spark):
@@ -302,7 +308,7 @@ def test_near_duplicate_edges(spark):
     assert got.columns.count("class_id") == 1 and "bucket" in got.columns
     rows = got.collect()
     assert len(rows) == docs.count()
-    want = _near_brute(spark, docs)
+    want = _near_brute(docs)
     assert all(r["class_id"] == (want[r["doc_id"]] if r["doc_id"] is not None else None) for r in rows)
     assert all(r["kept"] for r in rows if r["doc_id"] is None)
     assert {r["class_id"] for r in rows if r["doc_id"] in (2, 6)} == {2}
