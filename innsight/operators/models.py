@@ -9,8 +9,9 @@ Equivalences with the study's settings:
 - L2 logistic with C and balanced class weights -> regParam = 1 / (C * sum(w)),
   standardization off (same minimiser for Spark's averaged objective).
 - Ridge with alpha -> regParam = alpha * std(y) / n, standardization off.
-- Boosted trees: GBT has no L1/L2 leaf penalties; the positive-class weight
-  becomes a row weight; column subsampling is per node, not per tree.
+- Boosted trees: ``boosting.BoostedTrees``, second-order with the study's L1, L2,
+  least gain, least hessian of a child and columns per tree; the positive-class
+  weight becomes a row weight.
 """
 
 from __future__ import annotations
@@ -26,21 +27,22 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.columns import scalar
+from innsight.operators.boosting import BoostedTrees
 from innsight.operators.features import preprocessing_stages
 from innsight.operators.split import with_class_weight
 from innsight.schema import SEED
 
 # fixed values: the tuned boosted-tree settings of the study
-BOOSTED_CLASSIFIER = dict(maxIter=500, maxDepth=7, stepSize=0.08, subsamplingRate=0.9,
-                          featureSubsetStrategy="0.8")
-BOOSTED_REGRESSOR = dict(maxIter=300, maxDepth=7, stepSize=0.15, subsamplingRate=0.6,
-                         featureSubsetStrategy="0.8")
+BOOSTED_CLASSIFIER = dict(maxIter=500, maxDepth=7, stepSize=0.08, subsamplingRate=0.9, columnRate=0.8,
+                          minSplitGain=0.3, l1=0.1, l2=3.0, minChildWeight=1.0)
+BOOSTED_REGRESSOR = dict(maxIter=300, maxDepth=7, stepSize=0.15, subsamplingRate=0.6, columnRate=0.6,
+                         minSplitGain=0.1, l1=0.1, l2=1.0, minChildWeight=3.0)
 
 
 class PrefixAssembler(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -168,23 +170,24 @@ def fit_staged(pipeline: Pipeline, train: DataFrame, n_prep: int):
         for p in ("featuresCol", "labelCol", "weightCol"):
             if st.hasParam(p) and st.isDefined(p) and st.getOrDefault(p):
                 cols.add(st.getOrDefault(p))
-    vec = packed(prep.transform(train).select(*sorted(cols))).cache()
+    cached = prep.transform(train).select(*sorted(cols)).cache()
     try:
-        rest = Pipeline(stages=stages[n_prep:]).fit(vec)
+        rest = Pipeline(stages=stages[n_prep:]).fit(packed(cached))
     finally:
-        vec.unpersist()
+        cached.unpersist()
     return PipelineModel(stages=list(prep.stages) + list(rest.stages))
 
 
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 16_384
 
 
-def packed(vec: DataFrame) -> DataFrame:
-    """Vectors for a model that passes over them thousands of times: no more
+def packed(cached: DataFrame) -> DataFrame:
+    """Cached vectors for a model that passes over them thousands of times: no more
     partitions than rows / ROWS_PER_PARTITION, so that small training sets
-    don't pay for empty tasks. Large sets keep their partitions."""
-    want = max(1, -(-vec.count() // ROWS_PER_PARTITION))
-    return vec.coalesce(want) if want < vec.rdd.getNumPartitions() else vec
+    don't pay for empty tasks. Large sets keep their partitions. The count fills
+    the cache, so the preparation runs once."""
+    want = max(1, -(-cached.count() // ROWS_PER_PARTITION))
+    return cached.coalesce(want) if want < cached.rdd.getNumPartitions() else cached
 
 
 N_PREP = 4  # feature derivation, scaler, one-hot, assembler
@@ -226,11 +229,9 @@ def positive_weight(split_df: DataFrame, label: str = "label") -> DataFrame:
         "weight", F.when(F.col(label) == 1, scalar(r, "_r").cast("double")).otherwise(1.0))
 
 
-def boosted_classifier(**params) -> GBTClassifier:
-    p = dict(BOOSTED_CLASSIFIER)
-    p.update(params)
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                         seed=SEED, maxBins=64, cacheNodeIds=False, checkpointInterval=10, **p)
+def boosted_classifier(**params) -> BoostedTrees:
+    return BoostedTrees(featuresCol="features", labelCol="label", weightCol="weight", objective="logistic",
+                        seed=SEED, **{**BOOSTED_CLASSIFIER, **params})
 
 
 def fit_boosted_classifier(split_df: DataFrame, **params):
@@ -278,18 +279,18 @@ def best_depth(sweep: DataFrame, column: str = "val_f1", maximize: bool = True)
 # random search with cross-validation
 # ---------------------------------------------------------------------------
 
-# fixed values: the search space of the study, mapped to GBT parameters
-# (trees, depth, learning rate, row subsample, column subsample, min child
-# weight -> min instances per node; gamma -> min info gain; L1/L2 have no
-# GBT counterpart and are not searched)
+# fixed values: the search space of the study (trees, depth, learning rate, row
+# and column samples, least hessian of a child, least gain, L1, L2)
 CLASSIFIER_SPACE = {
     "maxIter": [100, 200, 300, 400, 500],
     "maxDepth": [3, 4, 5, 6, 7],
     "stepSize": [0.01, 0.05, 0.08, 0.1, 0.15, 0.2],
     "subsamplingRate": [0.6, 0.7, 0.8, 0.9, 1.0],
-    "featureSubsetStrategy": ["0.5", "0.6", "0.7", "0.8", "0.9", "1.0"],
-    "minInstancesPerNode": [1, 3, 5, 7, 10],
-    "minInfoGain": [0.0, 0.05, 0.1, 0.2, 0.3],
+    "columnRate": [0.5, 0.6, 0.7, 0.8, 0.9, 1.0],
+    "minChildWeight": [1.0, 3.0, 5.0, 7.0, 10.0],
+    "minSplitGain": [0.0, 0.05, 0.1, 0.2, 0.3],
+    "l1": [0.0, 0.01, 0.1, 0.5, 1.0],
+    "l2": [0.5, 1.0, 1.5, 2.0, 3.0],
 }
 REGRESSOR_SPACE = dict(CLASSIFIER_SPACE)
 
@@ -337,7 +338,8 @@ def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
     classify = kind == "classifier"
     label = "label" if classify else "avg_price_per_room"
-    evaluator = (BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+    evaluator = (BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
+                                               metricName="areaUnderROC", numBins=0)
                  if classify else RegressionEvaluator(labelCol=label, metricName=metric))
     columns = ["features", label] + (["weight"] if classify else [])
     folded = fold_column(train, k, "label" if classify else None)
@@ -345,18 +347,18 @@ def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int
     for f in range(k):
         stages = preprocessing_stages("cancellation" if classify else "price") + [PrefixAssembler()]
         prep = Pipeline(stages=stages).fit(folded.where(F.col("fold") != f))
-        fit_rows = packed(prep.transform(folded.where(F.col("fold") != f)).select(*columns)).cache()
-        hold = packed(prep.transform(folded.where(F.col("fold") == f)).select(*columns)).cache()
+        held = [prep.transform(folded.where(c)).select(*columns).cache()
+                for c in (F.col("fold") != f, F.col("fold") == f)]
 
-        def one(i, fit_rows=fit_rows, hold=hold):
+        def one(i, fit_rows=packed(held[0]), hold=packed(held[1])):
             return i, evaluator.evaluate(make_estimator(params[i]).fit(fit_rows).transform(hold))
         try:
             with ThreadPoolExecutor(max_workers=parallelism) as pool:
                 for i, v in pool.map(one, range(len(params))):
                     values[i].append(float(v))
         finally:
-            fit_rows.unpersist()
-            hold.unpersist()
+            for d in held:
+                d.unpersist()
     higher = metric in ("roc_auc", "r2")
     means = [statistics.fmean(values[i]) for i in range(len(params))]
     rows = [(i, *params[i].values(), m, statistics.pstdev(values[i]),
@@ -437,11 +439,9 @@ def fit_tree_regressor(price_split: DataFrame, max_depth: int = 12, transform: s
     return fit_staged(regressor_pipeline(est), train, N_PREP)
 
 
-def boosted_regressor(label: str = "y", **params) -> GBTRegressor:
-    p = dict(BOOSTED_REGRESSOR)
-    p.update(params)
-    return GBTRegressor(featuresCol="features", labelCol=label, seed=SEED, maxBins=64,
-                        cacheNodeIds=False, checkpointInterval=10, **p)
+def boosted_regressor(label: str = "y", **params) -> BoostedTrees:
+    return BoostedTrees(featuresCol="features", labelCol=label, objective="squared", seed=SEED,
+                        **{**BOOSTED_REGRESSOR, **params})
 
 
 def fit_boosted_regressor(price_split: DataFrame, transform: str = "raw", **params):

@@ -371,8 +371,8 @@ def q_save_model(spark, sf_dir):
 
 
 @register("load_model", """
-SELECT * FROM (VALUES ('cancellation', 'GBTClassificationModel', true, true),
-                      ('price', 'GBTRegressionModel', true, true),
+SELECT * FROM (VALUES ('cancellation', 'BoostedTreesModel', true, true),
+                      ('price', 'BoostedTreesModel', true, true),
                       ('missing', NULL, false, false)) AS t(model, estimator, cached, loaded)""")
 def q_load_model(spark, sf_dir):
     """Both production models loaded once (cached per session); a missing
