@@ -392,6 +392,83 @@ def train(data: DataFrame, p: dict, weight: str | None) -> tuple[list[np.ndarray
     return edges, prior, trees, n_features
 
 
+# ---------------------------------------------------------------------------
+# many fits side by side
+# ---------------------------------------------------------------------------
+
+def grown_in_task(blocks: list[Block], p: dict, n_features: int) -> tuple[list[Tree], np.ndarray]:
+    """(trees, scores of the rows) of a fit whose rows are one small node from the root on."""
+    bins, y, w, score = (np.concatenate([getattr(b, a) for b in blocks]) for a in ("bins", "y", "w", "score"))
+    first = np.cumsum([0] + [len(b.y) for b in blocks])
+    rng = np.random.default_rng(p["seed"])
+    k = max(1, int(round(p["columnRate"] * n_features)))
+    trees = []
+    for number in range(p["maxIter"]):
+        columns = np.sort(rng.choice(n_features, k, replace=False))
+        g, h = gradients(p["objective"], score, y, w)
+        drawn = [b.drawn(p["seed"], number, p["subsamplingRate"]) for b in blocks]
+        mine = bins[:, columns]
+        if drawn[0] is not None:
+            use = np.concatenate([d + lo for d, lo in zip(drawn, first)])
+            mine, g, h = mine[use], g[use], h[use]
+        tree = Tree(p["maxDepth"])
+        grow(tree, 0, mine, g, h, p["maxDepth"], columns, p)
+        score = score + tree.value[tree.route(bins)]
+        trees.append(tree)
+    return trees, score
+
+
+def area_under_roc(score: np.ndarray, label: np.ndarray) -> float:
+    """Share of (positive, negative) pairs in order, ties a half."""
+    _, place, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - n + (n + 1) / 2)[place]
+    pos = label == 1
+    if not pos.any() or pos.all():
+        return 0.5
+    return float((rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
+
+
+def held_out_value(blocks: list[Block], held: list[Block], p: dict, n_features: int) -> float:
+    """ROC AUC (logistic) or RMSE (squared) on the held-out rows of a fit that is grown in this task."""
+    trees, _ = grown_in_task(blocks, p, n_features)
+    bins, y, score = (np.concatenate([getattr(b, a) for b in held]) for a in ("bins", "y", "score"))
+    for t in trees:
+        score = score + t.value[t.route(bins)]
+    if p["objective"] == "logistic":
+        return area_under_roc(1.0 / (1.0 + np.exp(-score)), y)
+    return float(np.sqrt(np.mean((score - y) ** 2)))
+
+
+class Fold:
+    """Fitting and held-out rows of a fold, binned once for all draws that share the number of bins."""
+
+    def __init__(self, fit: DataFrame, held: DataFrame, p: dict, weight: str | None):
+        w, y = (F.col(weight) if weight else F.lit(1.0)), F.col(p["labelCol"]).cast("double")
+        mean = fit.agg(F.sum(w * y) / F.sum(w)).first()[0]
+        if p["objective"] == "logistic":
+            mean = min(max(mean, 1e-6), 1 - 1e-6)
+            mean = float(np.log(mean / (1 - mean)))
+        self.n_features = len(fit.select(p["featuresCol"]).first()[0])
+        edges = bin_edges(fit, p["featuresCol"], self.n_features, p["maxBins"])
+        one = lambda d, tag: _blocks(d, p, weight, edges, mean).map(lambda b: (tag, b))
+        self.rows = fit.sparkSession.sparkContext.union([one(fit, 0), one(held, 1)]).coalesce(1).persist()
+        self.rows.count()
+
+    def values(self, draws: dict[int, dict], number: int):
+        """An RDD of (draw, fold, value): one task for each draw."""
+        n = self.n_features
+
+        def run(p: dict, draw: int):
+            def one(tagged: Iterator) -> Iterator[tuple]:
+                tagged = sorted(tagged, key=lambda x: (x[0], x[1].number))
+                yield draw, number, held_out_value([b for t, b in tagged if t == 0], [b for t, b in tagged if t == 1], p, n)
+            return one
+        return [self.rows.mapPartitions(run(p, d)) for d, p in draws.items()]
+
+    def unpersist(self) -> None:
+        self.rows.unpersist()
+
+
 # ---------------------------------------------------------------------------
 # Spark ML stages
 # ---------------------------------------------------------------------------

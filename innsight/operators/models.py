@@ -16,6 +16,8 @@ Equivalences with the study's settings:
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.functions.columns import scalar
-from innsight.operators.boosting import BoostedTrees
+from innsight.operators.boosting import BoostedTrees, Fold
 from innsight.operators.features import preprocessing_stages
 from innsight.operators.split import with_class_weight
 from innsight.schema import SEED
@@ -326,42 +328,55 @@ def fold_column(df: DataFrame, k: int = 5, strata: str | None = "label",
 
 
 def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int = 5,
-                   metric: str = "roc_auc", parallelism: int = 4, kind: str = "classifier") -> DataFrame:
+                   metric: str = "roc_auc", parallelism: int = 4, kind: str = "classifier",
+                   ledger: str | None = None, side_by_side: bool = True) -> DataFrame:
     """Mean and std of the validation metric of each configuration over k folds.
 
-    Preprocessing is fitted once per fold (on its training rows) and the
-    assembled vectors are shared by all configurations, which run on a thread
-    pool. One row per configuration: its parameters as typed columns, the
-    metric, and a rank in which equal means share the smallest place."""
-    import statistics
+    Preprocessing is fitted once per fold (on its training rows), its vectors are
+    shared by all configurations. Where a fold's fitting rows are within the
+    booster's ``nodeRows``, its rows are binned once and every (draw, fold) is a task of
+    its own, all draws side by side; larger folds are fitted one after the other,
+    each distributed (thread pool, also for ``side_by_side=False``). The values are the same.
 
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+    ``ledger``: a folder in which every draw's fold values are appended as soon as
+    they are known (a committed folder per draw); a search that finds its own rows
+    there fits only what is missing. One row per configuration: its parameters
+    as typed columns, the metric, and a rank in which equal means share the smallest place."""
+    import statistics
     classify = kind == "classifier"
     label = "label" if classify else "avg_price_per_room"
-    evaluator = (BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                               metricName="areaUnderROC", numBins=0)
-                 if classify else RegressionEvaluator(labelCol=label, metricName=metric))
     columns = ["features", label] + (["weight"] if classify else [])
-    folded = fold_column(train, k, "label" if classify else None)
-    values: dict[int, list[float]] = {i: [] for i in range(len(params))}
-    for f in range(k):
-        stages = preprocessing_stages("cancellation" if classify else "price") + [PrefixAssembler()]
-        prep = Pipeline(stages=stages).fit(folded.where(F.col("fold") != f))
-        held = [prep.transform(folded.where(c)).select(*columns).cache()
-                for c in (F.col("fold") != f, F.col("fold") == f)]
-
-        def one(i, fit_rows=packed(held[0]), hold=packed(held[1])):
-            return i, evaluator.evaluate(make_estimator(params[i]).fit(fit_rows).transform(hold))
-        try:
-            with ThreadPoolExecutor(max_workers=parallelism) as pool:
-                for i, v in pool.map(one, range(len(params))):
-                    values[i].append(float(v))
-        finally:
-            for d in held:
+    key = search_key(params, k, metric, kind)
+    known = read_ledger(train.sparkSession, ledger, key)
+    values = {i: known[i] for i in range(len(params)) if len(known.get(i, {})) == k}
+    missing = [i for i in range(len(params)) if i not in values]
+    folded = fold_column(train, k, "label" if classify else None) if missing else None
+    held_rows, folds = [], []
+    try:
+        for f in range(k if missing else 0):
+            stages = preprocessing_stages("cancellation" if classify else "price") + [PrefixAssembler()]
+            prep = Pipeline(stages=stages).fit(folded.where(F.col("fold") != f))
+            held_rows.append([prep.transform(folded.where(c)).select(*columns).cache()
+                              for c in (F.col("fold") != f, F.col("fold") == f)])
+            folds.append([packed(d) for d in held_rows[-1]])
+        one = (_side_by_side if side_by_side and folds and all(
+            d.count() <= make_estimator(params[0]).getOrDefault("nodeRows") for d, _ in folds) else _one_by_one)(
+                folds, make_estimator, params, metric, label, classify)
+
+        def recorded(i):
+            got = one(i)
+            write_ledger(train.sparkSession, ledger, key, i, params[i], got)
+            return i, got
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            values.update(pool.map(recorded, sorted(missing, key=lambda i: -_cost(params[i]))))
+    finally:
+        for pair in held_rows:
+            for d in pair:
                 d.unpersist()
     higher = metric in ("roc_auc", "r2")
-    means = [statistics.fmean(values[i]) for i in range(len(params))]
-    rows = [(i, *params[i].values(), m, statistics.pstdev(values[i]),
+    folds_of = [[values[i][f] for f in range(k)] for i in range(len(params))]
+    means = [statistics.fmean(v) for v in folds_of]
+    rows = [(i, *params[i].values(), m, statistics.pstdev(folds_of[i]),
              1 + sum((x > m) if higher else (x < m) for x in means)) for i, m in enumerate(means)]
     types = {int: "int", float: "double", str: "string"}
     names = ", ".join(f"{n} {types[type(v)]}" for n, v in params[0].items())
@@ -369,6 +384,68 @@ def cross_validate(train: DataFrame, make_estimator, params: list[dict], k: int
         rows, f"config int, {names}, mean_{metric} double, std_{metric} double, rank int")
 
 
+def _cost(p: dict) -> float:
+    """Long fits first, so that the last tasks are short."""
+    return p.get("maxIter", 1) * p.get("maxDepth", 1)
+
+
+def _one_by_one(folds, make_estimator, params, metric, label, classify):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+    evaluator = (BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
+                                               metricName="areaUnderROC", numBins=0)
+                 if classify else RegressionEvaluator(labelCol=label, metricName=metric))
+
+    def one(i: int) -> dict[int, float]:
+        return {f: float(evaluator.evaluate(make_estimator(params[i]).fit(fit).transform(hold)))
+                for f, (fit, hold) in enumerate(folds)}
+    return one
+
+
+def _side_by_side(folds, make_estimator, params, metric, label, classify):
+    first = make_estimator(params[0])
+    shared = [Fold(fit, hold, first._values(), "weight" if classify else None) for fit, hold in folds]
+    sc = folds[0][0].sparkSession.sparkContext
+
+    def one(i: int) -> dict[int, float]:
+        p = make_estimator(params[i])._values()
+        tasks = [r for f, fold in enumerate(shared) for r in fold.values({i: p}, f)]
+        return {f: v for _, f, v in sc.union(tasks).collect()}
+    return one
+
+
+# ---- the ledger of a search ----
+
+LEDGER = "fold int, value double, params_json string, search string, config int"
+
+
+def search_key(params: list[dict], k: int, metric: str, kind: str) -> str:
+    """Names the rows of one search: other draws, folds or metrics are another search."""
+    text = json.dumps([params, k, metric, kind], sort_keys=True)
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def read_ledger(spark, path: str | None, key: str) -> dict[int, dict[int, float]]:
+    """{config: {fold: value}} of the search's committed rows; nothing where the folder is not there yet."""
+    if path is None:
+        return {}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return {}
+    out: dict[int, dict[int, float]] = {}
+    # draws x folds rows of one search
+    for r in spark.read.schema(LEDGER).parquet(path).where(F.col("search") == key).collect():
+        out.setdefault(r["config"], {})[r["fold"]] = r["value"]
+    return out
+
+
+def write_ledger(spark, path: str | None, key: str, config: int, params: dict, values: dict[int, float]) -> None:
+    """A folder for each draw, so draws that end together don't meet; committed as a whole, written again as it was."""
+    if path is not None:
+        rows = [(f, v, json.dumps(params, sort_keys=True)) for f, v in sorted(values.items())]
+        (spark.createDataFrame(rows, LEDGER.split(", search")[0]).coalesce(1).write.mode("overwrite")
+         .parquet(f"{path}/search={key}/config={config}"))
+
+
 def best_params(results: DataFrame) -> dict:
     """Parameters of the best configuration (rank 1; ties: the first draw)."""
     r = results.orderBy("rank", "config").first().asDict()
@@ -392,13 +469,13 @@ def refit_best_regressor(price_split: DataFrame, results: DataFrame, transform:
     return fit_boosted_regressor(price_split, transform, **best_params(results))
 
 
-def random_search_classifier(split_df: DataFrame, n_iter: int = 30, k: int = 5,
-                             parallelism: int = 4, space: dict = CLASSIFIER_SPACE) -> DataFrame:
+def random_search_classifier(split_df: DataFrame, n_iter: int = 30, k: int = 5, parallelism: int = 4,
+                             space: dict = CLASSIFIER_SPACE, **kw) -> DataFrame:
     """Seeded random search over the boosted classifier, stratified k-fold
     ROC AUC on the (positively weighted) training rows."""
     params = sample_params(space, n_iter)
     return cross_validate(positive_weight(split_df), lambda p: boosted_classifier(**p), params, k,
-                          "roc_auc", parallelism, "classifier")
+                          "roc_auc", parallelism, "classifier", **kw)
 
 
 def search_results_top(results: DataFrame, metric: str = "roc_auc", k: int = 10) -> DataFrame:
@@ -484,13 +561,13 @@ def depth_sweep_regressor(price_split: DataFrame, depths=range(1, 21), paralleli
             .withColumn("gap", F.col("val_rmse") - F.col("train_rmse")))
 
 
-def random_search_regressor(price_split: DataFrame, n_iter: int = 30, k: int = 5,
-                            parallelism: int = 4, space: dict = REGRESSOR_SPACE) -> DataFrame:
+def random_search_regressor(price_split: DataFrame, n_iter: int = 30, k: int = 5, parallelism: int = 4,
+                            space: dict = REGRESSOR_SPACE, **kw) -> DataFrame:
     """Seeded random search over the boosted regressor, plain k-fold RMSE."""
     params = sample_params(space, n_iter)
     train = price_split.where("split = 'train'")
     return cross_validate(train, lambda p: boosted_regressor("avg_price_per_room", **p), params, k,
-                          "rmse", parallelism, "regressor")
+                          "rmse", parallelism, "regressor", **kw)
 
 
 def compare_targets(price_split: DataFrame, make_model, parallelism: int = 2) -> tuple[DataFrame, dict]:

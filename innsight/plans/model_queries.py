@@ -6,9 +6,8 @@ not depend on the fit have one. The models are the study's (500 and 300
 trees). Each is trained once per application and shared by the queries that
 need it.
 
-The two random searches (30 draws x 5 folds of up to 500 trees) take hours on
-one machine and are not registered; ``models.random_search_classifier`` and
-``models.random_search_regressor`` run them, and tests run them on a small grid.
+The two random searches (30 draws x 5 folds of up to 500 trees) grow their fits
+side by side and keep a ledger of finished draws in the shared folder.
 """
 
 from __future__ import annotations
@@ -207,6 +206,30 @@ def q_train_leaderboard_models(spark, sf_dir):
                                  + ", ".join(f"val_{k} double" for k in names))
 
 
+def clf_search(spark, sf_dir):
+    return _once(spark, sf_dir, "clf_search", lambda: M.random_search_classifier(
+        _splits(spark, sf_dir), ledger=scratch_path(spark, "search-classifier")))
+
+
+@register("random_search_classifier")
+def q_random_search_classifier(spark, sf_dir):
+    """30 draws of nine parameters, stratified 5-fold ROC AUC: mean, spread and rank of every draw."""
+    return clf_search(spark, sf_dir)
+
+
+@register("search_results_top10")
+def q_search_results_top10(spark, sf_dir):
+    """The ten best draws (a top-k report)."""
+    return M.search_results_top(clf_search(spark, sf_dir)).select(
+        "rank", "config", "mean_roc_auc", "std_roc_auc", "maxIter", "maxDepth", "stepSize", "subsamplingRate")
+
+
+@register("search_best_params")
+def q_search_best_params(spark, sf_dir):
+    """Parameters of the best draw and its cross-validated ROC AUC."""
+    return M.best_params_table(clf_search(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # calibration and production
 # --------------------------------------------------------------------------
@@ -273,6 +296,12 @@ def q_fit_boosted_regressor(spark, sf_dir):
     return reg_final(spark, sf_dir)["metrics"]
 
 
+@register("random_search_regressor")
+def q_random_search_regressor(spark, sf_dir):
+    """30 draws, plain 5-fold RMSE in price units: mean, spread and rank of every draw."""
+    return M.random_search_regressor(_prices(spark, sf_dir), ledger=scratch_path(spark, "search-regressor"))
+
+
 @register("compare_targets")
 def q_compare_targets(spark, sf_dir):
     """Raw vs log1p target for ridge (alpha = 1), chosen by validation RMSE."""

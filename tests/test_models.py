@@ -183,3 +183,49 @@ def test_depth_sweep_and_dummy(spark):
     d = M.fit_dummy_classifier(s).transform(s)
     auc = {r["split"]: r["roc_auc"] for r in E.roc_auc(d).collect()}
     assert all(v == 0.5 for v in auc.values())
+
+
+GRID = {"maxIter": [3, 8], "maxDepth": [2, 4], "stepSize": [0.1, 0.3], "subsamplingRate": [0.7], "columnRate": [0.6],
+        "l2": [1.0], "minChildWeight": [3.0]}
+
+
+@pytest.mark.parametrize("kind", ["classifier", "regressor"])
+def test_side_by_side_search_equals_separate_fits(spark, kind):
+    search, table, metric = ((M.random_search_classifier, split_table, "roc_auc") if kind == "classifier"
+                             else (M.random_search_regressor, price_split_table, "rmse"))
+    rows = table(spark, SF_SMALL)
+    a, b = (search(rows, n_iter=4, k=3, space=GRID, side_by_side=way).orderBy("config").collect()
+            for way in (True, False))
+    for x, y in zip(a, b, strict=True):
+        assert x["rank"] == y["rank"]
+        assert x[f"mean_{metric}"] == pytest.approx(y[f"mean_{metric}"], abs=1e-9)
+        assert x[f"std_{metric}"] == pytest.approx(y[f"std_{metric}"], abs=1e-9)
+
+
+def test_a_search_that_was_killed_goes_on_where_it_stopped(spark, monkeypatch):
+    from innsight.session import scratch_path
+    rows = split_table(spark, SF_SMALL)
+    ledger = scratch_path(spark, "ledger")
+    whole = M.random_search_classifier(rows, n_iter=4, k=3, space=GRID).collect()
+    done, written = [], M.write_ledger
+
+    def dies(spark_, path, key, config, params, values):
+        if len(done) == 2:
+            raise KeyboardInterrupt
+        done.append(config)
+        written(spark_, path, key, config, params, values)
+    monkeypatch.setattr(M, "write_ledger", dies)
+    with pytest.raises(KeyboardInterrupt):
+        M.random_search_classifier(rows, n_iter=4, k=3, space=GRID, ledger=ledger, parallelism=1)
+    fitted = []
+    monkeypatch.setattr(M, "write_ledger", lambda s, p, k, c, q, v: (fitted.append(c), written(s, p, k, c, q, v)))
+    again = M.random_search_classifier(rows, n_iter=4, k=3, space=GRID, ledger=ledger)
+    assert sorted(fitted + done) == [0, 1, 2, 3] and len(fitted) == 2     # only what is missing
+    assert again.collect() == whole
+    fitted.clear()
+    assert M.random_search_classifier(rows, n_iter=4, k=3, space=GRID, ledger=ledger).collect() == whole
+    assert not fitted
+    # another search in the same folder has rows of its own
+    other = M.random_search_classifier(rows, n_iter=2, k=2, space={"maxIter": [2, 3]}, ledger=ledger)
+    assert other.count() == 2 and sorted(fitted) == [0, 1]
+    assert set(M.read_ledger(spark, ledger, M.search_key(M.sample_params(GRID, 4), 3, "roc_auc", "classifier"))) == {0, 1, 2, 3}
