@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from innsight.operators import evaluate as E
 from innsight.operators import models as M
+from innsight.operators.calibrated import calibrated_pipeline
 from innsight.operators.scoring import default_cancellation_meta
 from innsight.schema import BOOKING_COLUMNS
 from innsight.session import written
@@ -78,7 +79,8 @@ def finalize_cancellation(split_df: DataFrame, version: str = "1.0.0", **gbt_par
                                  ("accuracy", "precision", "recall", "f1", "roc_auc", "brier")}
                     for r in metric_rows},
     })
-    return {"model": model, "calibrator": calibrator, "method": method, "threshold": threshold,
+    return {"model": model, "pipeline": calibrated_pipeline(model, calibrator, method, threshold),
+            "calibrator": calibrator, "method": method, "threshold": threshold,
             "calibration_table": cal_table, "sweep": sweep, "scored": cal,
             "metrics": metrics, "raw_vs_calibrated": raw_test.unionByName(cal_test),
             "band_distribution": E.risk_band_distribution(cal, "prob_cal"), "meta": meta}

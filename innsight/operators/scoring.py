@@ -163,20 +163,19 @@ class Scorer:
     extra: dict = field(default_factory=dict)
 
     @classmethod
-    def load(cls, spark, runs: str, cancellation: str, price: str) -> "Scorer":
-        """A scorer from saved runs: the last record of each model names its
-        folder, threshold, bands, calibration method and target transform."""
-        from innsight.sources.tables import latest_run, load_production
-        records = {n: latest_run(spark, runs, n) for n in (cancellation, price)}
+    def load(cls, spark, runs: str, cancellation: str, price: str, versions: tuple = (None, None)) -> "Scorer":
+        """A scorer from saved runs: the last record of each model (of the given version) names
+        its folder, bands and target transform; calibrator and threshold are in the pipeline."""
+        from innsight.sources.tables import load_production, run_of_version
+        records = {n: run_of_version(spark, runs, n, v) for n, v in zip((cancellation, price), versions)}
         missing = [n for n, r in records.items() if r is None]
         if missing:
             raise ValueError(f"no run record of {', '.join(missing)} in {runs}")
         c, p = records[cancellation], records[price]
-        clf, calibrator = load_production(spark, c["model_path"], c["calibration_method"])
-        reg, _ = load_production(spark, p["model_path"])
         bands = {b["band"]: {k: b[k] for k in ("lower_inclusive", "upper_exclusive", "description")
                              if b[k] is not None} for b in c["risk_bands"]}
-        return cls(clf, reg, {**c, "risk_bands": bands}, p, calibrator, c["calibration_method"])
+        return cls(load_production(spark, c["model_path"]), load_production(spark, p["model_path"]),
+                   {**c, "risk_bands": bands}, p)
 
     def score(self, requests: DataFrame, request_id: str | None = "Booking_ID") -> DataFrame:
         """One response per request row. ``request_id=None`` gives every row a
@@ -191,13 +190,14 @@ class Scorer:
             "is_zero_nights": ((F.col("no_of_weekend_nights") + F.col("no_of_week_nights")) == 0)
             .cast("int")})
         scored = self.clf_model.transform(rows)
-        scored = scored.withColumn("_raw", vector_to_array("probability")[1])
-        keep = [c for c in rows.columns] + ["_raw"]
-        scored = scored.select(*keep)
-        if self.calibrator is not None:
-            scored = apply_calibrator(scored, self.calibrator, self.calibration_method, "_raw", "_p")
+        if "prob_cal" in scored.columns:      # the pipeline ends with its calibrator
+            scored = scored.withColumn("_p", F.col("prob_cal")).select(*rows.columns, "_p")
         else:
-            scored = scored.withColumn("_p", F.col("_raw"))
+            scored = scored.withColumn("_raw", vector_to_array("probability")[1]).select(*rows.columns, "_raw")
+            if self.calibrator is not None:
+                scored = apply_calibrator(scored, self.calibrator, self.calibration_method, "_raw", "_p")
+            else:
+                scored = scored.withColumn("_p", F.col("_raw"))
         # the price model must not see the price: drop it before transforming
         priced = self.reg_model.transform(scored.drop("avg_price_per_room"))
         pred = F.col("prediction")
@@ -207,3 +207,24 @@ class Scorer:
         cols = [c for c in scored.columns] + ["_price"]
         priced = priced.select(*[c for c in cols if c in priced.columns])
         return apply_rules(priced, "_p", "_price", self.clf_meta, self.reg_meta, request_id)
+
+
+@dataclass
+class ReleasedScorer:
+    """The scorer of the current release; ``current()`` loads a new one when the pointer row has changed."""
+
+    spark: object
+    base: str
+    _sequence: int = 0
+    _scorer: Scorer | None = None
+
+    def current(self) -> Scorer:
+        from innsight.sources.tables import current_release
+        now = current_release(self.spark, self.base)
+        if now is None:
+            raise ValueError(f"nothing is released in {self.base}")
+        if now["sequence"] != self._sequence:
+            c, p = now["cancellation"], now["price"]
+            self._scorer = Scorer.load(self.spark, now["runs"], c["name"], p["name"], (c["version"], p["version"]))
+            self._sequence = now["sequence"]
+        return self._scorer

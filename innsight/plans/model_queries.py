@@ -399,6 +399,31 @@ def q_save_model(spark, sf_dir):
         F.sum((F.col("l0") != F.col("l1")).cast("bigint")).alias("n_labels_differ"))
 
 
+@register("calibrated_pipeline", CLEAN_CTE + """
+SELECT 5 AS n_stages, 'CalibratorModel' AS last_stage, COUNT(*) AS n_rows, CAST(0.0 AS DOUBLE) AS max_abs_diff,
+  CAST(0 AS BIGINT) AS n_labels_differ
+FROM bookings""", ["max_abs_diff"])
+def q_calibrated_pipeline(spark, sf_dir):
+    """The saved pipeline, calibrator and threshold as one stage list: loaded and applied to every
+    booking, it gives what the separate calibrator and threshold give."""
+    fin = clf_final(spark, sf_dir)
+    path = latest_run(spark, *saved_runs(spark, sf_dir)[:2])["model_path"] + "/pipeline"
+    loaded = load_model(spark, path)
+    req = as_requests(bookings_table(spark, sf_dir)).withColumns({
+        "avg_price_per_room": F.col("current_room_price"),
+        "is_zero_adults": (F.col("no_of_adults") == 0).cast("int"),
+        "is_zero_nights": ((F.col("no_of_weekend_nights") + F.col("no_of_week_nights")) == 0).cast("int")})
+    raw = M.predict_classifier(fin["model"], req).select("Booking_ID", "prob")
+    apart = E.apply_calibrator(raw, fin["calibrator"], fin["method"], "prob", "p0").withColumn(
+        "l0", (F.col("p0") >= fin["threshold"]).cast("int"))
+    whole = loaded.transform(req).select("Booking_ID", "prob_cal", "predicted_label")
+    # model stages: features, scaler, one-hot, assembler, trees; the calibrator is the sixth
+    return apart.join(whole, "Booking_ID").agg(
+        F.lit(len(loaded.stages) - 1).alias("n_stages"), F.lit(type(loaded.stages[-1]).__name__).alias("last_stage"),
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("p0") - F.col("prob_cal"))).alias("max_abs_diff"),
+        F.sum((F.col("l0") != F.col("predicted_label")).cast("bigint")).alias("n_labels_differ"))
+
+
 @register("load_model", """
 SELECT * FROM (VALUES ('cancellation', 'BoostedTreesModel', true, true),
                       ('price', 'BoostedTreesModel', true, true),
@@ -415,7 +440,8 @@ def q_load_model(spark, sf_dir):
     for name in paths:
         m = models.get(name)
         err = next((e for e in errors if e.startswith(name + ":")), None)
-        rows.append((name, type(m.stages[-1]).__name__ if m else None,
+        fitted = next((s for s in reversed(m.stages) if hasattr(s, "featureImportances")), None) if m else None
+        rows.append((name, type(fitted).__name__ if fitted else None,
                      bool(m) and load_model(spark, paths[name]) is m, err is None))
     return spark.createDataFrame(rows, "model string, estimator string, cached boolean, loaded boolean")
 
@@ -476,3 +502,34 @@ def q_score_stream(spark, sf_dir):
                               min_arrival_year=min_year)
     return flatten_response(acc)
 
+
+
+@register("score_stream_dead_letters", """
+SELECT error, COUNT(*) AS n_lines, CAST(0 AS BIGINT) AS n_changed FROM (
+  SELECT CASE WHEN lead_time % 97 = 0 THEN 'malformed JSON' ELSE 'lead_time: not of type bigint' END AS error
+  FROM bookings WHERE lead_time % 97 IN (0, 1)) GROUP BY error""")
+def q_score_stream_dead_letters(spark, sf_dir):
+    """Every booking sent as a line; lines are cut in the middle or carry a word for a number by a rule on
+    lead_time. Each such line is found in the dead letters, character for character, with its error."""
+    from innsight.streaming.score_stream import REQUEST_SCHEMA, run_score_stream
+    b = bookings_table(spark, sf_dir)
+    names = [f.name for f in REQUEST_SCHEMA.fields]
+    line = F.to_json(F.struct(*names))
+    rest = F.col("lead_time") % 97
+    lines = as_requests(b).select("Booking_ID", "lead_time", line.alias("line")).select(
+        rest.isin(0, 1).alias("broken"),
+        F.when(rest == 0, F.substr("line", F.lit(1), F.floor(F.length("line") / 2).cast("int")))
+        .when(rest == 1, F.regexp_replace("line", r'"lead_time":\d+', '"lead_time":"many"'))
+        .otherwise(F.col("line")).alias("value"))
+    src = scratch_path(spark, "lines-in")
+    lines.select("value").write.text(src)
+    year = b.agg(F.min("arrival_year")).first()[0]
+    _, dead = run_score_stream(spark, src, production_scorer(spark, sf_dir), scratch_path(spark, "lines-out"),
+                               scratch_path(spark, "lines-ckpt"), min_arrival_year=year)
+    wanted = ["malformed JSON", "lead_time: not of type bigint"]
+    found = dead.select("raw", F.explode("errors").alias("error")).where(F.col("error").isin(wanted))
+    sent = lines.where("broken").groupBy(F.col("value").alias("raw")).agg(F.count(F.lit(1)).alias("n_sent"))
+    got = found.groupBy("raw", "error").agg(F.count(F.lit(1)).alias("n"))
+    return got.join(sent, "raw", "left").groupBy("error").agg(
+        F.sum("n").alias("n_lines"),
+        F.sum(F.when(F.col("n_sent").eqNullSafe(F.col("n")), 0).otherwise(F.col("n"))).alias("n_changed"))

@@ -229,3 +229,91 @@ def test_a_search_that_was_killed_goes_on_where_it_stopped(spark, monkeypatch):
     other = M.random_search_classifier(rows, n_iter=2, k=2, space={"maxIter": [2, 3]}, ledger=ledger)
     assert other.count() == 2 and sorted(fitted) == [0, 1]
     assert set(M.read_ledger(spark, ledger, M.search_key(M.sample_params(GRID, 4), 3, "roc_auc", "classifier"))) == {0, 1, 2, 3}
+
+
+def test_every_malformed_line_is_found_verbatim(spark, scorer):
+    from innsight.session import scratch_path
+    from innsight.streaming.score_stream import REQUEST_SCHEMA, run_score_stream, score_lines
+    b = bookings_table(spark, SF_MID)
+    year = b.agg(F.min("arrival_year")).first()[0]
+    req = as_requests(b).limit(40)
+    good = [r[0] for r in req.select(F.to_json(F.struct(*[f.name for f in REQUEST_SCHEMA.fields]))).collect()]
+    broken = [good[0][:50], "not json at all", "[1, 2]", '"text"', "{", good[1] + "}", "null", "17",
+              good[2].replace('"no_of_adults":', '"no_of_adults":"two", "x":'), "  " + good[3][:-1]]
+    lines = spark.createDataFrame([(x,) for x in good + broken + ["", "   "]], "value string")
+    ok, bad = score_lines(lines, scorer, year)
+    dead = {r["raw"]: r["errors"] for r in bad.collect()}
+    for x in broken:
+        if x.startswith(good[1]):
+            continue            # a complete object with more behind it: the reader takes the object
+        want = ["no_of_adults: not of type bigint"] if "two" in x else ["malformed JSON"]
+        assert dead[x] == want, x
+    batch, _ = split_valid(validate_bookings(req, year))
+    src = scratch_path(spark, "lines")
+    lines.write.text(src)
+    acc, rejected = run_score_stream(spark, src, scorer, scratch_path(spark, "out"), scratch_path(spark, "ckpt"), year)
+    assert {r["raw"] for r in rejected.collect()} == set(dead)
+    one = flatten_response(scorer.score(batch))
+    assert flatten_response(acc).dropDuplicates().exceptAll(one).count() == 0 and one.exceptAll(flatten_response(acc)).count() == 0
+
+
+def test_a_stream_takes_up_a_new_release_between_batches(spark, clf, reg):
+    import os
+    from innsight.operators.scoring import ReleasedScorer
+    from innsight.session import scratch_path
+    from innsight.sources.tables import current_release, release, save_production, write_run_record
+    from innsight.streaming.score_stream import run_score_stream, write_requests
+    runs, base = scratch_path(spark, "runs"), scratch_path(spark, "prod")
+    names = clf["meta"]["model_name"], reg["meta"]["model_name"]
+    with pytest.raises(ValueError, match="nothing is released"):
+        ReleasedScorer(spark, base).current()
+    for version in ("1.0.0", "2.0.0"):
+        for fin, kind in ((clf, "classifier"), (reg, "regressor")):
+            path = save_production(fin, scratch_path(spark, kind))
+            write_run_record(spark, {**MQ._run_record(fin, path, kind), "version": version}, runs)
+    with pytest.raises(ValueError, match="9.9.9"):
+        release(spark, base, runs, (names[0], "9.9.9"), (names[1], "1.0.0"))
+    assert release(spark, base, runs, (names[0], "1.0.0"), (names[1], "1.0.0")) == 1
+    scorer = ReleasedScorer(spark, base)
+    first = scorer.current()
+    assert scorer.current() is first                     # loaded once
+    b = bookings_table(spark, SF_MID)
+    year = b.agg(F.min("arrival_year")).first()[0]
+    src, out, ckpt = (scratch_path(spark, n) for n in ("in", "out", "ckpt"))
+    seen = []
+    for version in ("1.0.0", "2.0.0", "1.0.0"):
+        if seen:
+            release(spark, base, runs, (names[0], version), (names[1], "2.0.0"))
+        part = write_requests(as_requests(b).limit(30 + len(seen)).coalesce(1), scratch_path(spark, "part"))
+        os.makedirs(src, exist_ok=True)
+        for f in os.listdir(part):
+            if f.startswith("part-"):
+                os.link(f"{part}/{f}", f"{src}/{len(seen)}-{f}")
+        acc, _ = run_score_stream(spark, src, scorer, out, ckpt, year)
+        got = {r["batch_id"]: r["v"] for r in acc.groupBy("batch_id").agg(
+            F.max("model_versions.cancellation").alias("v")).collect()}
+        seen.append(version)
+        assert [got[i] for i in sorted(got)] == seen     # former batches keep the version that scored them
+    assert current_release(spark, base)["sequence"] == 3
+
+
+def test_calibrator_stage_interpolates_like_the_fitted_map(spark, tmp_path):
+    from innsight.operators.calibrated import Calibrator, CalibratorModel, interpolated
+    import random
+    rng = random.Random(4)
+    rows = [(p, int(rng.random() < p * p)) for p in (rng.random() for _ in range(900))]
+    df = spark.createDataFrame(rows, "prob double, label int")
+    for method, fit in (("isotonic", E.fit_isotonic), ("sigmoid", E.fit_sigmoid)):
+        m = Calibrator(inputCol="prob", method=method, threshold=0.4).fit(df)
+        test = spark.createDataFrame([(x / 100 - 0.1,) for x in range(121)], "prob double").union(df.select("prob"))
+        want = E.apply_calibrator(test, fit(df), method, "prob", "want")
+        path = str(tmp_path / method)
+        m.write().save(path)
+        got = CalibratorModel.load(path).transform(want)
+        r = got.agg(F.max(F.abs(F.col("want") - F.col("prob_cal"))),
+                    F.sum(((F.col("prob_cal") >= 0.4).cast("int") != F.col("predicted_label")).cast("int"))).first()
+        assert r[0] < 1e-12 and r[1] == 0
+    assert Calibrator(inputCol="prob").fit(df).getOrDefault("method") in ("isotonic", "sigmoid")
+    x = spark.createDataFrame([(None,), (float(-1),), (0.5,), (9.0,)], "x double")
+    assert [r[0] for r in x.select(interpolated(F.col("x"), [0.0, 1.0, 2.0], [0.0, 10.0, 10.0])).collect()] == [None, 0, 5, 10]
+    assert [r[0] for r in x.select(interpolated(F.col("x"), [0.3], [0.7])).collect()] == [None, 0.7, 0.7, 0.7]
