@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from innsight.functions.columns import (scalar, scalars, arrival_as_date, arrival_parts, is_canceled,
                                         stay_nights, valid_arrival)
-from innsight.operators.ranks import exact_quantiles
+from innsight.operators.ranks import bracketed_quantiles
 from innsight.schema import (BOOKING_COLUMNS, EXPECTED_CATEGORIES, MARKET_SEGMENTS,
                              MEAL_PLANS, ROOM_TYPES)
 
@@ -141,8 +141,9 @@ def dataset_size(df: DataFrame) -> DataFrame:
 
 def iqr_fence(df: DataFrame, col: str = "avg_price_per_room") -> DataFrame:
     """One row: q1, q3, iqr and the upper Tukey fence q3 + 1.5 * iqr
-    (quantiles exact, linear interpolation, computed without one-task gather)."""
-    q = exact_quantiles(df, col, [0.25, 0.75])
+    (quantiles exact, linear interpolation, from brackets: no shuffle of the values).
+    Null where the column has no values."""
+    q = bracketed_quantiles(df, {col: F.col(col)}, [0.25, 0.75])
     wide = q.agg(F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
                  F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
     return (wide.withColumn("iqr", F.col("q3") - F.col("q1"))

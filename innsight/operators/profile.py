@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.functions.columns import arrival_as_date, is_canceled, month_abbr, pct, scalars
-from innsight.operators.ranks import bounded_broadcast, exact_quantiles, value_ranks
+from innsight.operators.ranks import (bounded_broadcast, bracketed_quantiles, exact_quantiles,
+                                      grouped_series, value_ranks)
 from innsight.schema import (BOOKING_STATUSES, PROFILE_CATEGORICAL, PROFILE_NUMERIC,
                              SPEARMAN_COLUMNS)
 
@@ -60,16 +63,15 @@ def numeric_summary(df: DataFrame, cols: list[str] = PROFILE_NUMERIC) -> DataFra
     skewness (G1) and excess kurtosis (G2) that pandas reports, per column.
 
     Moments come from one wide aggregate, whose single row is then unpivoted;
-    the quartiles are exact (linear interpolation) from one distributed rank
-    pass over (column, value), which starts by counting distinct values."""
-    long = _stack_numeric(df, cols)
+    the quartiles are exact (linear interpolation), from brackets around them."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
              "_g1": F.skewness, "_g2": F.kurtosis}
     wide = df.agg(*[fn(F.col(c).cast("double")).alias(f"{s}|{c}")
                     for c in cols for s, fn in stats.items()])
     items = ", ".join(f"'{c}', " + ", ".join(f"`{s}|{c}`" for s in stats) for c in cols)
     moments = wide.selectExpr(f"stack({len(cols)}, {items}) AS (column_name, {', '.join(stats)})")
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column_name"])
+    q = bracketed_quantiles(df, {c: F.col(c) for c in cols}, [0.25, 0.5, 0.75]).withColumnRenamed(
+        "series", "column_name")
     qw = q.groupBy("column_name").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
     qw = qw.toDF("column_name", "q25", "q50", "q75")
     n = F.col("count").cast("double")
@@ -255,47 +257,63 @@ def histogram(df: DataFrame, value: Column, bins: int, name: str = "value",
         F.try_divide(F.col("count").cast("double"), F.col("_n") * width).alias("density"))
 
 
+def _quartiles(df: DataFrame, col: str, group: str) -> DataFrame:
+    """(group, q1, median, q3): from brackets for a small domain, else from all distinct values."""
+    probs = [0.25, 0.5, 0.75]
+    series = grouped_series(df, col, group)
+    if series is None:
+        q = exact_quantiles(df, col, probs, [group])
+    else:
+        q = bracketed_quantiles(df, series, probs).withColumn(group, F.col("series").cast(df.schema[group].dataType))
+    return q.groupBy(group).pivot("prob", probs).agg(F.first("value")).toDF(group, "q1", "median", "q3")
+
+
 def box_stats_by_status(df: DataFrame, col: str = "avg_price_per_room",
                         group: str = "booking_status") -> DataFrame:
     """q1, median, q3 and Tukey whiskers (the extreme values inside
-    q1 - 1.5 IQR and q3 + 1.5 IQR) per group. Quartiles and whiskers both come
-    from the table of distinct values, so rows are never joined by group."""
-    values = value_ranks(df, col, [group])
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], [group], ranks=values)
-    qw = (q.groupBy(group).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-          .toDF(group, "q1", "median", "q3"))
+    q1 - 1.5 IQR and q3 + 1.5 IQR) per group: quartiles from brackets, whiskers in one more
+    aggregate. The rows of a group are never gathered."""
+    qw = _quartiles(df, col, group)
     fences = (qw.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))
               .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     v = F.col(col)
-    w = (values.select(group, col).join(bounded_broadcast(fences), group)
-         .groupBy(group, "q1", "median", "q3")
-         .agg(F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
-              F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi")))
-    return w
+    return (df.select(group, col).where(v.isNotNull()).join(bounded_broadcast(fences), group)
+            .groupBy(group, "q1", "median", "q3")
+            .agg(F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
+                 F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi")))
 
 
 def violin_quartiles(df: DataFrame, col: str = "avg_price_per_room",
                      group: str = "booking_status") -> DataFrame:
-    q = exact_quantiles(df.where(F.col(col) > 0), col, [0.25, 0.5, 0.75], [group])
-    return (q.groupBy(group).pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-            .toDF(group, "q1", "median", "q3"))
+    return _quartiles(df.where(F.col(col) > 0), col, group)
 
 
 # ---------------------------------------------------------------------------
 # rank statistics
 # ---------------------------------------------------------------------------
 
-def erfc(x: Column) -> Column:
-    """Complementary error function (Chebyshev fit, fractional error < 1.2e-7),
-    as a plain column expression; valid for x >= 0."""
-    t = 1.0 / (1.0 + 0.5 * x)
-    # fixed values: the published coefficients of the approximation
-    coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-            0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(coef[-1])
-    for c in reversed(coef[:-1]):
-        poly = F.lit(c) + t * poly
-    return t * F.exp(-x * x + poly)
+def exact_u_tail(n1: int, n2: int, u: float) -> float:
+    """P(U >= u) without ties: of all ways to place n1 of n1 + n2 ranks, the share whose U is u or more.
+
+    ways[v] counts the placements with U = v: the coefficients of the product of
+    (1 - q^(n2 + i)) / (1 - q^i) for i = 1 .. n1, multiplied out factor by factor."""
+    small, large = sorted((int(n1), int(n2)))
+    size = small * large + 1
+    ways = np.zeros(size)
+    ways[0] = 1.0
+    for i in range(1, small + 1):
+        top = large + i
+        if top < size:
+            ways[top:] = ways[top:] - ways[:-top]
+        for start in range(i):                      # division by 1 - q^i: running sums with stride i
+            ways[start::i] = np.cumsum(ways[start::i])
+    at = int(np.ceil(u - 1e-9))
+    # the distribution is symmetric: sum the shorter end
+    tail = ways[at:].sum() if at > size // 2 else ways.sum() - ways[:max(at, 0)].sum()
+    return float(tail / ways.sum())
+
+
+EXACT_SAMPLE, EXACT_CELLS = 8, 10_000_000
 
 
 def mann_whitney(df: DataFrame, value: str = "avg_price_per_room",
@@ -303,25 +321,33 @@ def mann_whitney(df: DataFrame, value: str = "avg_price_per_room",
                  second: str = "Canceled", alpha: float = 0.05) -> DataFrame:
     """Two-sided Mann-Whitney U test of ``value`` between two groups.
 
-    Ranks come from distinct values with tie counts (no row-level sort);
-    the p-value is the tie-corrected normal approximation with continuity
-    correction. ``u_statistic`` is U of the first sample."""
+    Ranks come from distinct values with tie counts (no row-level sort); what
+    reaches the driver is one row of sums. If a sample has at most 8 values, no two
+    values are equal, and U has at most 10 million values, the p-value comes from the exact distribution of U,
+    otherwise from the tie-corrected normal approximation with continuity
+    correction, both in double precision. ``u_statistic`` is U of the first
+    sample, ``method`` names the branch. With an empty sample z and p are null;
+    if all values are equal, z is null and p is 1."""
     vr = value_ranks(df.where(F.col(group).isin(first, second)), value,
                      extra_counts={"n1": F.col(group) == first})
     s = vr.agg(F.sum(F.col("avg_rank") * F.col("n1")).alias("r1"),
-               F.sum("n1").cast("double").alias("n1"),
-               (F.sum("n") - F.sum("n1")).cast("double").alias("n2"),
-               F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie_term"))
-    n1, n2 = F.col("n1"), F.col("n2")
-    u1 = F.col("r1") - n1 * (n1 + 1) / 2
-    u2 = n1 * n2 - u1
-    n = n1 + n2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
-    z = (F.greatest(u1, u2) - n1 * n2 / 2 - 0.5) / sd
-    p = F.least(F.lit(1.0), erfc(z / math.sqrt(2.0)))
-    out = s.select(u1.alias("u_statistic"), z.alias("z"), p.alias("p_value"),
-                   n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"))
-    return out.withColumn("significant", F.col("p_value") < alpha)
+               F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n2"),
+               F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tie_term")).first()
+    n1, n2 = int(s["n1"] or 0), int(s["n2"] or 0)
+    u1 = z = p = method = None
+    if n1 and n2:
+        n = n1 + n2
+        u1 = s["r1"] - n1 * (n1 + 1) / 2
+        top = max(u1, n1 * n2 - u1)
+        variance = n1 * n2 / 12 * ((n + 1) - s["tie_term"] / (n * (n - 1)))
+        z = (top - n1 * n2 / 2 - 0.5) / math.sqrt(variance) if variance > 0 else None
+        if min(n1, n2) <= EXACT_SAMPLE and s["tie_term"] == 0 and n1 * n2 <= EXACT_CELLS:
+            method, p = "exact", min(1.0, 2 * exact_u_tail(n1, n2, top))
+        else:
+            method, p = "asymptotic", 1.0 if z is None else min(1.0, math.erfc(z / math.sqrt(2.0)))
+    return df.sparkSession.createDataFrame(
+        [(u1, z, p, n1, n2, method, None if p is None else p < alpha)],
+        "u_statistic double, z double, p_value double, n1 long, n2 long, method string, significant boolean")
 
 
 def spearman_inputs(df: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ turned into offsets and broadcast back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -304,3 +306,69 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     return res.select(*group_cols, "prob",
                       (F.col("_v_lo") + F.col("_frac") * (F.col("_v_hi") - F.col("_v_lo")))
                       .alias("value"))
+
+
+BRACKET_ACCURACY = 10_000
+
+
+def bracketed_quantiles(df: DataFrame, series: dict[str, Column], probs: list[float],
+                        accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+    """Exact quantiles (linear interpolation) of several series of a table: (series, prob, value).
+
+    ``series`` maps names to columns; null and NaN don't count, and a series without values has
+    no rows. Three readings, no shuffle of the values: Spark's mergeable quantile summary
+    (rank error n / accuracy) puts a bracket around every target; one aggregate counts what
+    lies below each bracket; only the values inside a bracket, some 4 n / accuracy rows
+    collapsed to distinct values, are sorted. ``exact_quantiles`` sorts all distinct values."""
+    spark = df.sparkSession
+    names = list(series)
+    x = [f"s{i}" for i in range(len(names))]
+    wide = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(s)
+                       for s, c in zip(x, series.values())])
+    margin = 2.0 / accuracy
+    low = [min(1.0, max(0.0, p - margin)) for p in probs]
+    high = [min(1.0, max(0.0, p + margin)) for p in probs]
+    first = wide.agg(*[a for s in x for a in (
+        F.count(s).alias(f"n_{s}"), F.percentile_approx(s, low + high, accuracy).alias(f"q_{s}"))]).first()
+    found = [(i, j, first[f"q_s{i}"][j], first[f"q_s{i}"][len(probs) + j])
+             for i in range(len(names)) if first[f"n_s{i}"] for j in range(len(probs))]
+    schema = "key int, series string, prob double, at0 long, at1 long, inside long, frac double, prev double, next double"
+    if not found:
+        return spark.createDataFrame([], schema).select("series", "prob", F.col("frac").alias("value"))
+    aggs = []
+    for k, (i, _, lo, hi) in enumerate(found):
+        v = F.col(f"s{i}")
+        aggs += [F.count(F.when(v < lo, 1)).alias(f"b{k}"), F.max(F.when(v < lo, v)).alias(f"p{k}"),
+                 F.count(F.when(v.between(lo, hi), 1)).alias(f"i{k}"), F.min(F.when(v > hi, v)).alias(f"x{k}")]
+    second = wide.agg(*aggs).first()
+    targets = []
+    for k, (i, j, _, _) in enumerate(found):
+        n = first[f"n_s{i}"]
+        h = probs[j] * (n - 1)
+        at = math.floor(h)
+        below, inside = second[f"b{k}"], second[f"i{k}"]
+        ends = (at - below, min(at + 1, n - 1) - below)      # places within the bracket
+        if ends[0] < -1 or ends[1] > inside:
+            raise RuntimeError("a quantile lies outside its bracket")
+        targets.append((k, names[i], float(probs[j]), *ends, inside, h - at, second[f"p{k}"], second[f"x{k}"]))
+    in_bracket = [F.when(F.col(f"s{i}").between(lo, hi), F.struct(F.lit(k).alias("key"), F.col(f"s{i}").alias("v")))
+                  for k, (i, _, lo, hi) in enumerate(found)]
+    inside = (wide.select(F.explode(F.array_compact(F.array(*in_bracket))).alias("_x")).select("_x.*")
+              .groupBy("key", "v").agg(F.count(F.lit(1)).alias("n")))
+    ranked = segmented_prefix_sums(inside, ["key"], ["v"], ["n"])
+    t = F.broadcast(spark.createDataFrame(targets, schema))       # series x probabilities
+    here = lambda pos: F.max(F.when((F.col(pos) >= F.col("n_before")) & (F.col(pos) < F.col("n_before") + F.col("n")),
+                                    F.col("v")))
+    keys = [f.split()[0] for f in schema.split(", ")]
+    out = ranked.join(t, "key").groupBy(*keys).agg(here("at0").alias("v0"), here("at1").alias("v1"))
+    v0 = F.when(F.col("at0") < 0, F.col("prev")).otherwise(F.col("v0"))
+    v1 = F.when(F.col("at1") < 0, F.col("prev")).when(F.col("at1") >= F.col("inside"), F.col("next")).otherwise(F.col("v1"))
+    return out.select("series", "prob", (v0 + F.col("frac") * (v1 - v0)).alias("value"))
+
+
+def grouped_series(df: DataFrame, col: str, group: str, max_groups: int = 100) -> dict[str, Column] | None:
+    """A series for each value of a small domain (None beyond ``max_groups`` values): column ``col`` of its rows."""
+    found = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().limit(max_groups + 1).collect()]
+    if len(found) > max_groups:
+        return None
+    return {str(g): F.when(F.col(group) == F.lit(g), F.col(col)) for g in sorted(found, key=str)}

@@ -133,6 +133,25 @@ def assign_split(df: DataFrame, id_col: str = "Booking_ID", strata: str | None =
     return keyed.withColumn("split", expr).drop("_key")
 
 
+UNIT = 2 ** 32
+
+
+def hash_split(df: DataFrame, id_col: str = "Booking_ID", seed: int = SEED, test_size: float = 0.2,
+               val_size: float = 0.2) -> DataFrame:
+    """Add ``split`` by the row's own hash: the scale mode of the split.
+
+    The first 32 bits of the keyed md5 fall below test_size (test), below
+    test_size + val_size (val), or above (train). No count, no sort and no shuffle,
+    and a table that grows never moves an old row. Every stratum is a fair sample,
+    so its shares hold within binomial bounds, not exactly. A null id is train."""
+    if not (0 <= test_size and 0 <= val_size and test_size + val_size <= 1):
+        raise ValueError("shares lie between 0 and 1 and add up to 1 at most")
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("long")
+    t = math.floor(test_size * UNIT)
+    v = math.floor((test_size + val_size) * UNIT)
+    return df.withColumn("split", F.when(place < t, "test").when(place < v, "val").otherwise("train"))
+
+
 def split_sizes(split_df: DataFrame, label: str = "label") -> DataFrame:
     """(split, n_rows, n_canceled, pct_canceled)."""
     return (split_df.groupBy("split")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from innsight.operators import evaluate as E
 from innsight.operators import features as FE
-from innsight.operators.split import class_weights, split_sizes
+from innsight.operators.split import class_weights, hash_split, split_sizes
 from innsight.plans.prepared import price_split_table, split_table
 from innsight.plans.registry import register
 from innsight.plans.sqltext import CLEAN_CTE, PRICE_CTE, features_select, split_cte
@@ -59,6 +59,17 @@ def q_stratified_split(spark, sf_dir):
     return split_table(spark, sf_dir).select("Booking_ID", "label", "split")
 
 
+@register("stratified_split_hash", CLEAN_CTE + """
+, hashed AS (SELECT Booking_ID, label, CAST('0x' || substr(md5('42:' || CAST(Booking_ID AS VARCHAR)), 1, 8) AS BIGINT) AS place
+        FROM clean)
+SELECT Booking_ID, label, CASE WHEN place < floor(0.2::DOUBLE * 4294967296) THEN 'test'
+  WHEN place < floor(0.4::DOUBLE * 4294967296) THEN 'val' ELSE 'train' END AS split FROM hashed""")
+def q_stratified_split_hash(spark, sf_dir):
+    """The split decided by each row's own hash: nothing is counted, and old rows never move."""
+    rows = split_table(spark, sf_dir).select("Booking_ID", "label")
+    return hash_split(rows).select("Booking_ID", "label", "split")
+
+
 @register("split_sizes", _SPLITS + """
 SELECT split, COUNT(*) AS n_rows, CAST(SUM(label) AS BIGINT) AS n_canceled,
        AVG(CAST(label AS DOUBLE)) * 100.0 AS pct_canceled

@@ -291,13 +291,13 @@ def q_violin_quartiles(spark, sf_dir):
 
 
 def _erfc_sql(x: str) -> str:
-    coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-            0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    t = f"(1.0 / (1.0 + 0.5 * ({x})))"
-    poly = repr(coef[-1])
-    for c in reversed(coef[:-1]):
-        poly = f"({c!r} + {t} * {poly})"
-    return f"({t} * exp(-({x}) * ({x}) + {poly}))"
+    """erfc for x >= 0: a series of positive terms below 2, a continued fraction above, folded over lists."""
+    series = (f"1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * ({x}) * list_reduce("
+              f"list_prepend(1.0::DOUBLE, list_reverse(range(1, 90))::DOUBLE[]), "
+              f"lambda acc, k: 1 + acc * 2 * ({x}) * ({x}) / (2 * k + 1))")
+    fraction = (f"exp(-({x}) * ({x})) / sqrt(pi()) / list_reduce("
+                f"list_prepend(({x})::DOUBLE, list_reverse(range(1, 120))::DOUBLE[]), lambda acc, k: ({x}) + k / 2 / acc)")
+    return f"CASE WHEN ({x}) < 2 THEN {series} ELSE {fraction} END"
 
 
 @register("mann_whitney", f"""
@@ -317,13 +317,34 @@ def _erfc_sql(x: str) -> str:
                 / SQRT(n1 * n2 / 12 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1)))) AS z
          FROM mu)
 SELECT u1 AS u_statistic, z, LEAST(1.0, {_erfc_sql('z / sqrt(2.0)')}) AS p_value,
-       CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+       CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, 'asymptotic' AS method,
        LEAST(1.0, {_erfc_sql('z / sqrt(2.0)')}) < 0.05 AS significant
 FROM mz""", ["u_statistic", "z", "p_value"])
 def q_mann_whitney(spark, sf_dir):
     return P.mann_whitney(B(spark, sf_dir))
 
 
+@register("mann_whitney_room_types", """
+, v AS (SELECT room_type_reserved AS room, booking_status AS s, AVG(avg_price_per_room) AS x
+        FROM bookings WHERE booking_status IN ('Not_Canceled', 'Canceled') GROUP BY ALL),
+  n AS (SELECT COUNT(*) FILTER (s = 'Not_Canceled') AS n1, COUNT(*) FILTER (s = 'Canceled') AS n2 FROM v),
+  u AS (SELECT CAST(COUNT(*) AS DOUBLE) AS u1 FROM v a JOIN v b ON a.s = 'Not_Canceled' AND b.s = 'Canceled' AND a.x > b.x),
+  -- every way to place n1 of the n1 + n2 ranks
+  m AS (SELECT i AS mask FROM (SELECT UNNEST(range(CAST(power(2, n1 + n2) AS BIGINT))) AS i, n1 FROM n)
+        WHERE bit_count(i) = n1),
+  w AS (SELECT list_sum([CAST((mask >> k) & 1 AS BIGINT) * (k + 1) for k in range(n1 + n2)]) - n1 * (n1 + 1) / 2 AS u
+        FROM m, n),
+  t AS (SELECT GREATEST(u1, n1 * n2 - u1) AS top, u1, n1, n2 FROM u, n),
+  p AS (SELECT LEAST(1.0, 2.0 * COUNT(*) FILTER (w.u >= top) / COUNT(*)) AS p FROM w, t)
+SELECT u1 AS u_statistic, (top - n1 * n2 / 2 - 0.5) / SQRT(n1 * n2 / 12 * (n1 + n2 + 1)) AS z, p AS p_value,
+  n1, n2, 'exact' AS method, p < 0.05 AS significant FROM t, p""", ["u_statistic", "z", "p_value"])
+def q_mann_whitney_room_types(spark, sf_dir):
+    """The same test on the mean price of each room type: few values and no ties, so the exact distribution."""
+    means = B(spark, sf_dir).groupBy("room_type_reserved", "booking_status").agg(
+        F.avg("avg_price_per_room").alias("avg_price_per_room"))
+    return P.mann_whitney(means)
+
+
 @register("dashboard_kpis", f"""
 SELECT COUNT(*) AS total_bookings, AVG({CANCELED}) * 100.0 AS cancellation_rate,
        AVG(avg_price_per_room) AS avg_room_price,

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from innsight.operators.ranks import exact_quantiles, value_ranks
 from innsight.operators.split import approximate_mode, assign_split, split_allocation
@@ -156,3 +157,74 @@ def test_global_quantiles_match_numpy(spark, xs):
         return
     for p in probs:
         assert abs(got[p] - np.quantile(np.array(xs, dtype=float), p)) < 1e-9
+
+
+def test_bracketed_quantiles_equal_the_exact_ones(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from innsight.operators import ranks as R
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), rng.choice([1.0, 1.0, 2.0, None]), float("nan") if i % 9 == 0 else float(i % 3), None)
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    seen = []
+    inner = R.segmented_prefix_sums
+    monkeypatch.setattr(R, "segmented_prefix_sums", lambda x, *a, **k: (seen.append(x.count()), inner(x, *a, **k))[1])
+    probs = [0.0, 0.01, 0.25, 0.5, 0.999, 1.0]
+    got = {(r["series"], r["prob"]): r["value"] for r in R.bracketed_quantiles(
+        df, {c: F.col(c) for c in "abcd"}, probs, accuracy=500).collect()}
+    for j, c in enumerate("abc"):
+        values = [r[j] for r in rows if r[j] is not None and r[j] == r[j]]
+        for p in probs:
+            assert abs(got[c, p] - np.quantile(values, p)) < 1e-12, (c, p)
+    assert not any(k[0] == "d" for k in got)
+    assert seen[0] < 6 * 20_000 * 8 / 500             # distinct doubles: only what lies in the brackets is sorted
+    for n in range(1, 12):                            # few rows: neighbours may lie outside the bracket
+        few = df.select("a").limit(n)
+        values = [r[0] for r in few.collect()]
+        got = {r["prob"]: r["value"] for r in R.bracketed_quantiles(
+            spark.createDataFrame([(v,) for v in values], "a double"), {"a": F.col("a")}, probs + [0.75, 0.3]).collect()}
+        assert all(abs(v - np.quantile(values, p)) < 1e-12 for p, v in got.items()) and len(got) == 8
+    assert R.bracketed_quantiles(df.limit(0), {"a": F.col("a")}, [0.5]).count() == 0
+
+
+def test_exact_rank_test_counts_every_placement(spark):
+    from itertools import combinations
+
+    from innsight.operators.profile import exact_u_tail, mann_whitney
+    for n1, n2 in ((1, 1), (1, 5), (3, 4), (5, 5), (4, 7)):
+        us = [sum(c) - n1 * (n1 - 1) / 2 for c in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            assert abs(exact_u_tail(n1, n2, u) - sum(x >= u for x in us) / len(us)) < 1e-12
+            assert exact_u_tail(n2, n1, u) == exact_u_tail(n1, n2, u)
+    frame = lambda a, b: spark.createDataFrame([(float(v), "x") for v in a] + [(float(v), "y") for v in b], "v double, g string")
+    test = lambda a, b: mann_whitney(frame(a, b), "v", "g", "x", "y").first()
+    # tabled: U = 0 of 3 against 3 is p = 0.1, of 4 against 4 it is 2 / 70
+    assert abs(test([1, 2, 3], [4, 5, 6])["p_value"] - 0.1) < 1e-12 and test([1, 2, 3], [4, 5, 6])["method"] == "exact"
+    assert abs(test([1, 2, 3, 4], [5, 6, 7, 8])["p_value"] - 2 / 70) < 1e-12
+    assert test([1, 2, 2], [2, 5, 6])["method"] == "asymptotic"           # ties
+    assert test(range(9), range(20, 29))["method"] == "asymptotic"
+    assert test(range(8), range(20, 60))["method"] == "exact"
+    assert test([1, 1], [1, 1])["p_value"] == 1.0
+    empty = test([], [1, 2])
+    assert empty["p_value"] is None and empty["n1"] == 0 and empty["n2"] == 2
+
+
+def test_hash_split_never_moves_an_old_row(spark):
+    from innsight.operators.split import hash_split
+    ids = lambda n: spark.range(n).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("Booking_ID"),
+                                          (F.col("id") % 3 == 0).cast("int").alias("label"))
+    old = {r["Booking_ID"]: r["split"] for r in hash_split(ids(4000)).collect()}
+    new = {r["Booking_ID"]: r["split"] for r in hash_split(ids(9000).repartition(7)).collect()}
+    assert all(new[k] == v for k, v in old.items())
+    for label in (0, 1):                              # every stratum within four standard deviations
+        rows = hash_split(ids(9000)).where(F.col("label") == label).groupBy("split").count().collect()
+        n = sum(r["count"] for r in rows)
+        for r in rows:
+            p = {"test": 0.2, "val": 0.2, "train": 0.6}[r["split"]]
+            assert abs(r["count"] - p * n) < 4 * (n * p * (1 - p)) ** 0.5
+    assert hash_split(spark.createDataFrame([(None, 1)], "Booking_ID string, label int")).first()["split"] == "train"
+    other = {r["Booking_ID"]: r["split"] for r in hash_split(ids(4000), seed=7).collect()}
+    assert any(other[k] != v for k, v in old.items())
