@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from innsight.llm import hash_exchange as hx
 from innsight.llm import wordhash as wh
 from innsight.llm.columns import other_columns, quoted, small_batches, written
 from innsight.llm.components import connected_components
@@ -88,30 +89,6 @@ def _counted(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 # ---- document frequencies: chunks of texts ask, ranges of hashes answer ----
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Numbers by bytes of equal weight, so that the zeros of small numbers lie together."""
-    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
-    return len(columns[0]).to_bytes(8, "little") + len(planes).to_bytes(8, "little") + pa.compress(
-        planes, codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, *types: type) -> list[np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(
-        data[16:], int.from_bytes(data[8:16], "little"), codec="zstd", asbytes=True), np.uint8)
-    out, at = [], 0
-    for t in types:
-        size = n * np.dtype(t).itemsize
-        out.append(np.ascontiguousarray(planes[at:at + size].reshape(-1, n).T).reshape(-1).view(t))
-        at += size
-    return out
-
-
-def _starts(n_ranges: int) -> np.ndarray:
-    """First hash of every range: the ranges share the 64-bit numbers out evenly."""
-    return np.array([-(-i * 2**64 // n_ranges) for i in range(n_ranges)], dtype=np.uint64)
-
-
 class Chunk:
     """The distinct texts of a chunk: their shingles, and the chunk's distinct hashes in order (all)."""
 
@@ -132,45 +109,11 @@ def _ask(n_ranges: int):
     """A chunk's distinct hashes, with the documents that hold them, to the ranges of the hashes."""
     def run(group: pa.Table) -> pa.Table:
         chunk = Chunk(group)
-        held = np.bincount(chunk.place, weights=chunk.copies[chunk.doc], minlength=len(chunk.all)).astype(np.uint64)
-        edge = np.append(np.searchsorted(chunk.all, _starts(n_ranges)), len(chunk.all))
-        use = np.flatnonzero(np.diff(edge))
-        data = [_packed(np.diff(chunk.all[edge[r]:edge[r + 1]], prepend=np.uint64(0)), held[edge[r]:edge[r + 1]])
-                for r in use]
-        return pa.table({"chunk": pa.array(np.full(len(use), group["chunk"][0].as_py()), pa.int64()),
-                         "range": pa.array(use, pa.int64()), "data": pa.array(data, pa.binary())})
+        held = np.bincount(chunk.place, weights=chunk.copies[chunk.doc], minlength=len(chunk.all))
+        return hx.questions(group["chunk"][0].as_py(), chunk.all, held, n_ranges)
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """To every chunk: the places, in its list, of the hashes of two documents or more, and their numbers."""
-    parts = [_unpacked(d, np.uint64, np.uint64) for d in group["data"].to_pylist()]
-    h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    _, place = np.unique(h, return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.uint64)[place]
-    out, at = [], 0
-    for chunk, p in zip(group["chunk"].to_pylist(), parts):
-        n = total[at:at + len(p[0])]
-        at += len(p[0])
-        shared = np.flatnonzero(n > 1)
-        if len(shared):
-            out.append((chunk, _packed(np.diff(shared, prepend=0).astype(np.uint32), n[shared])))
-    chunk, data = zip(*out) if out else ((), ())
-    return pa.table({"chunk": pa.array(chunk, pa.int64()),
-                     "range": pa.array([group["range"][0].as_py()] * len(out), pa.int64()),
-                     "data": pa.array(data, pa.binary())})
-
-
-def _frequencies(chunk: Chunk, answers: pa.Table, n_ranges: int) -> np.ndarray:
-    """Documents with each of the chunk's distinct hashes."""
-    df = np.ones(len(chunk.all), dtype=np.int64)
-    first = np.searchsorted(chunk.all, _starts(n_ranges))
-    for r, data in zip(answers["range"].to_pylist(), answers["data"].to_pylist()):
-        step, n = _unpacked(data, np.uint32, np.uint64)
-        df[first[r] + np.cumsum(step, dtype=np.int64)] = n
-    return df
-
-
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Quantiles of Gamma(2, 1), by 16 bits: its distribution is 1 - (1 + x) exp(-x)."""
@@ -228,7 +171,7 @@ def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
     """Band keys of every text of a chunk, the weight of all its shingles, and those that others have too."""
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(texts)
-        df = _frequencies(chunk, answers, n_ranges)[chunk.place]
+        df = hx.totals(chunk.all, answers, n_ranges)[chunk.place]
         weight = chunk.tf * np.log1p(n_docs / df)
         n = len(chunk.size)
         off = np.searchsorted(chunk.doc, np.arange(n + 1))
@@ -360,8 +303,7 @@ def document_sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS,
     copies = join_groups(light.select("id", "t1", "t2"), groups, ["t1", "t2"]).filter("id != rep").select("id", "rep")
     n_chunks = max(LEAST_CHUNKS, -(-size // chunk_bytes))
     work = _first_of_copies(texts, groups).withColumn("chunk", F.pmod("t1", F.lit(n_chunks)))
-    asked = work.groupBy("chunk").applyInArrow(_ask(n_chunks), "chunk long, range long, data binary")
-    answers = asked.groupBy("range").applyInArrow(_answer, "chunk long, range long, data binary")
+    answers = hx.answers(work.groupBy("chunk").applyInArrow(_ask(n_chunks), hx.MESSAGE))
     sketches = work.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         _sketch(n_docs, n_chunks, bands, rows), _SKETCH)
     return written(sketches, "sketches"), copies

@@ -33,32 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CHAT_SQL = """
-WITH t AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-           WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-p AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+WITH t AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+-- a row without a place is a dialogue of its own
+k AS (SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN 0
+                     ELSE row_number() OVER (ORDER BY conv_id, turn, role, text) END AS own FROM t),
+p AS (SELECT DISTINCT conv_id, own, role AS participant FROM k WHERE role <> 'system'),
 s AS (
-  SELECT t.conv_id, CAST(floor(t.turn / 512.0) AS BIGINT) AS part, p.participant, t.turn, t.role, t.text,
-    coalesce(t.role = p.participant, false) AS target,
-    CASE WHEN t.role = p.participant THEN '<|im_start|>assistant' || chr(10)
-         WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10)
-         ELSE '<|im_start|>user name=' || regexp_replace(coalesce(t.role, 'unknown'), '[\\r\\n]', ' ', 'g')
+  SELECT k.conv_id, k.own, p.participant, k.turn, k.role, k.text,
+    coalesce(k.role = p.participant, false) AS target,
+    CASE WHEN k.role = p.participant THEN '<|im_start|>assistant' || chr(10)
+         WHEN k.role = 'system' THEN '<|im_start|>system' || chr(10)
+         ELSE '<|im_start|>user name=' || regexp_replace(coalesce(k.role, 'unknown'), '[\\r\\n]', ' ', 'g')
               || chr(10) END AS head,
-    replace(replace(t.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+    replace(replace(k.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
       || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN p ON t.conv_id = p.conv_id)
-SELECT conv_id, part, participant, count(*) AS n_turns,
+  FROM k JOIN p ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.own = p.own)
+SELECT conv_id, own = 0 AS placed, participant, count(*) AS n_turns,
   count(*) FILTER (target) AS n_target_turns,
   string_agg(head || body, '' ORDER BY turn, role NULLS FIRST, text) AS rendered,
   string_agg(length(head) || '-,' || length(body) || CASE WHEN target THEN '+' ELSE '-' END, ','
              ORDER BY turn, role NULLS FIRST, text) AS mask
-FROM s GROUP BY conv_id, part, participant
+FROM s GROUP BY conv_id, own, participant
 """
 
 
 @query("op1_chat_perspectives", CHAT_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
-    return r.select("conv_id", "part", "participant", "n_turns", "n_target_turns", "rendered",
+    return r.select("conv_id", (F.col("part") >= 0).alias("placed"), "participant", "n_turns", "n_target_turns", "rendered",
                     chat.mask_text().alias("mask"))
 
 
@@ -178,10 +180,18 @@ gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20))
 word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
 kept AS (SELECT word.doc_id, count(gone.p) AS n_removed,
            string_agg(word, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS text
-         FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id)
+         FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p GROUP BY word.doc_id),
+-- lengths of repeats: the first document of each text, windows of 20, 40, 80 ... words
+firsts AS (SELECT min(doc_id) AS doc_id, ws FROM (SELECT w.doc_id, ws, text FROM w JOIN documents d ON w.doc_id = d.doc_id)
+           GROUP BY text, ws),
+lengths AS (SELECT unnest([20, 40, 80, 160, 320, 640, 1280, 2560, 5120, 10240, 20480]) AS n),
+long AS (SELECT doc_id, n, md5(array_to_string(ws[i + 1:i + n], ' ')) AS m
+         FROM (SELECT doc_id, ws, n, unnest(range(len(ws) - n + 1)) AS i FROM firsts, lengths WHERE len(ws) >= n)),
+longest AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, n, count(*) OVER (PARTITION BY n, m) AS k FROM long)
+            WHERE k > 1 GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
-  sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+  sha256(coalesce(kept.text, '')) AS kept_sha256, CAST(coalesce(longest.n, 0) AS BIGINT) AS longest_repeat
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN longest ON w.doc_id = longest.doc_id
 """
 
 
@@ -190,7 +200,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup_substrings(docs, 20).select(
         "doc_id", "n_words", "n_removed",
-        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "longest_repeat")
 
 
 VECTORS_SQL = """

@@ -11,7 +11,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, decontaminate, language, near_dup, substring
+from innsight.llm import bpe, decontaminate, hash_exchange, language, near_dup, substring
 from innsight.llm import wordhash as wh
 from innsight.llm.components import connected_components
 from tests.llm.helpers import LONG, classes, edge_docs, empty_docs, prose
@@ -107,6 +107,28 @@ def test_cross_parsing_counts_greedy_phrases():
         assert language.phrases([text.encode()], key)[0][0][0] == count
 
 
+def test_lanes_do_not_cut_a_match():
+    rng = random.Random(3)
+    train = " ".join("".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(1200))
+    key = (("x", train), ("y", train[::-1]))
+    symbol, *_ = language._compiled(key)
+
+    def greedy(text, corpus):
+        nxt = language.suffix_automaton(language._symbols(corpus.encode(), symbol).tolist())
+        s = language._symbols(text.encode(), symbol).tolist()
+        count, state = 1 if s else 0, 0
+        for c in s:
+            count += c not in nxt[state]
+            state = nxt[state][c] if c in nxt[state] else nxt[0].get(c, 0)
+        return count
+    texts = [train[100:3100], train[5:700] + "zzz" + train[900:3000], "", "a", train * 2, train[::-1][:2000],
+             "".join(rng.choice("abcde ") for _ in range(5000)), train[40:40 + language.LANE], train[:language.LANE + 1]]
+    got = language.phrases([t.encode() for t in texts], key)[0]
+    assert got[0][0] == 1                          # 3,000 symbols of the training text are one phrase
+    for j, t in enumerate(texts):
+        assert [got[0][j], got[1][j]] == [greedy(t, c) for _, c in key]
+
+
 def test_letters_beyond_250_are_symbols_of_their_own():
     rng = random.Random(5)
     chinese = [chr(0x4E00 + i) for i in range(3000)]
@@ -298,7 +320,7 @@ def test_hashes_are_packed_and_unpacked():
     a = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
     n = rng.integers(1, 2**40, 1000).astype(np.uint64)
     for k in (1, 2, 1000):
-        got = near_dup._unpacked(near_dup._packed(np.diff(a[:k], prepend=np.uint64(0)), n[:k]), np.uint64, np.uint64)
+        got = hash_exchange.unpacked(hash_exchange.packed(np.diff(a[:k], prepend=np.uint64(0)), n[:k]), np.uint64, np.uint64)
         assert (np.cumsum(got[0], dtype=np.uint64) == a[:k]).all() and (got[1] == n[:k]).all()
 
 
@@ -350,19 +372,36 @@ def _substrings(docs, window):
     for k in order:
         for s in range(len(split[k]) - window + 1):
             first.setdefault(tuple(split[k][s:s + window]), (docs[k], s))
+    # places of windows of each length: equal rows are one document, a later copy of a text takes no part
+    one = {}
+    for k in order:
+        one.setdefault(docs[k][1] or "", k)
+    longest, length = dict.fromkeys(one.values(), 0), window
+    while True:
+        places = defaultdict(set)
+        for k in one.values():
+            for s in range(len(split[k]) - length + 1):
+                places[tuple(split[k][s:s + length])].add((k, s))
+        again = {k for found in places.values() if len(found) > 1 for k, _ in found}
+        if not again:
+            break
+        longest |= dict.fromkeys(again, length)
+        length *= 2
     for k in order:
         w = split[k]
         gone = set()
         for s in range(len(w) - window + 1):
             if first[tuple(w[s:s + window])] != (docs[k], s):
                 gone.update(range(s, s + window))
-        out.append((docs[k][0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+        mine = one[docs[k][1] or ""]
+        out.append((docs[k][0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone),
+                    longest[mine] if docs[mine][0] == docs[k][0] else 0))
     return Counter(out)
 
 
 def test_substring_dedup_equals_brute_force(spark):
     rng = random.Random(9)
-    passages = [prose(300 + i, n).split() for i, n in enumerate((20, 21, 39, 60, 19))]
+    passages = [prose(300 + i, n).split() for i, n in enumerate((20, 21, 39, 60, 19, 81, 170))]
     rows = []
     for i in range(60):
         words = []
@@ -375,8 +414,10 @@ def test_substring_dedup_equals_brute_force(spark):
              (None, rows[6][1] + " tail"), (72, rows[5][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
     got = substring.dedup_substrings(docs, 20)
-    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got.collect()) \
-        == _substrings(rows, 20)
+    want = _substrings(rows, 20)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"], r["longest_repeat"])
+                   for r in got.collect()) == want
+    assert {20, 40, 80, 160} <= {x[4] for x in want}       # the levels go on until none survive
 
 
 def test_substring_edges(spark):
