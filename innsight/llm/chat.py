@@ -8,21 +8,23 @@ Defined results
 * A turn stored twice (same conversation, turn, role and text) is one turn.
 * Different rows under one turn number are ordered by role, then text.
 * A row without conversation or turn number has no place in a dialogue and is
-  rendered as a dialogue of its own (``part`` is -1, ``part_key`` tells such
-  rows apart).
+  rendered as a dialogue of its own (``part`` is -1, ``part_key``, a hash that is
+  not 0 for them, tells such rows apart).
 * A null role speaks as ``unknown`` and is nobody's perspective; a system role
   is context, not a participant. Dialogues without participants give no row.
 * Null text is empty text. Turn markers inside a text are broken up by a
   space, so that a text can't forge a turn.
-* A dialogue is cut into parts of ``part_turns`` consecutive turn numbers, so
-  that no task ever holds a whole unbounded dialogue; parts in order, joined,
-  are the dialogue. An ordinary dialogue is a single part.
+* A dialogue is one row for each participant, whole, however many turns it has
+  and whatever their numbers are. With ``part_turns`` a longer dialogue comes in
+  parts of so many turns, counted in order (not by turn number); parts in order,
+  joined, are the dialogue. Without it ``part`` is 0.
+* Ties can't change a result: equal rows are one turn, others are ordered as above.
 * Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -34,7 +36,7 @@ def _safe(text: Column) -> Column:
                      F.lit(END), F.lit(BROKEN_END))
 
 
-def rotate_perspectives(turns: DataFrame, part_turns: int = 512, system_role: str = "system",
+def rotate_perspectives(turns: DataFrame, part_turns: int | None = None, system_role: str = "system",
                         conv: str = "conv_id", turn: str = "turn", role: str = "role",
                         text: str = "text") -> DataFrame:
     """One row per dialogue part and participant.
@@ -52,10 +54,14 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = 512, system_role: st
                      F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     t = (t.distinct()
-         .withColumn("part", F.when(placed, F.floor(F.col("turn") / part_turns))
-                     .otherwise(F.lit(-1)).cast("long"))
          .withColumn("part_key", F.when(placed, F.lit(0))
                      .otherwise(F.xxhash64("turn", "role", "text")).cast("long")))
+    if part_turns is None:
+        part = F.lit(0)
+    else:       # places in the dialogue's order; a window is sorted on disk where it is large
+        order = Window.partitionBy("conv_id", "part_key").orderBy("turn", "role", "text")
+        part = F.floor((F.row_number().over(order) - 1) / part_turns)
+    t = t.withColumn("part", F.when(F.col("part_key") == 0, part).otherwise(F.lit(-1)).cast("long"))
     keys = ["conv_id", "part", "part_key"]
     parts = t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "turn", "role", "text"))).alias("turns"))

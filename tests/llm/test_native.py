@@ -47,6 +47,19 @@ def test_parts_of_a_long_dialogue_join_to_the_whole(spark):
         assert "".join(t for _, t in mine) == w["rendered"] and len(mine) == 6
 
 
+def test_dialogues_are_whole_whatever_their_turn_numbers(spark):
+    rows = [(1, t * 1000, ["ann", "bob"][i % 2], f"turn {i}") for i, t in enumerate([0, 1, 2, 7, 10**9])]
+    rows += [(2, -5, "cid", "before"), (2, 0, "dot", "zero")]
+    rows += [(9, t, f"p{t % 3}", "x" * (t % 7)) for t in range(1500)]         # a hot conversation
+    got = chat.rotate_perspectives(spark.createDataFrame(rows, TURNS)).collect()
+    assert sorted((r["conv_id"], r["participant"], r["n_turns"], r["part"]) for r in got) == [
+        (1, "ann", 5, 0), (1, "bob", 5, 0), (2, "cid", 2, 0), (2, "dot", 2, 0),
+        (9, "p0", 1500, 0), (9, "p1", 1500, 0), (9, "p2", 1500, 0)]
+    parts = chat.rotate_perspectives(spark.createDataFrame(rows, TURNS), part_turns=2).filter("conv_id = 1").collect()
+    assert sorted((r["participant"], r["part"], r["n_turns"]) for r in parts) == [
+        (p, i, n) for p in ("ann", "bob") for i, n in ((0, 2), (1, 2), (2, 1))]
+
+
 def test_turns_without_place_stand_alone_and_empty_table(spark):
     rows = [(None, 0, "ann", "x"), (None, 0, "bob", "y"), (3, None, "ann", "z"), (4, 0, "system", "only")]
     got = chat.rotate_perspectives(spark.createDataFrame(rows, TURNS)).collect()
@@ -200,6 +213,25 @@ def test_shards_are_even_also_with_a_hot_key(spark):
     _check_shards(rows, got, 16)
 
 
+def test_shards_depend_on_the_rows_alone(spark):
+    rows = [(7, prose(i, 12)) for i in range(900)] + [(i, prose(i)) for i in range(2000, 2150)]
+    rows += [(7, "same")] * 300 + [(None, "x")] * 40 + [(3, "big " * 30_000)]     # a hot key, equal rows, a large record
+    got = []
+    for parts in (3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        r = sharding.shard_by_bytes(df, 16, range_bytes=4000, min_ranges=8).collect()
+        assert len(r) == len(rows)
+        got.append(sorted(((x["doc_id"] or -1, x["text_crc32"], x["size"], x["shard"], x["slot"]) for x in r)))
+    assert got[0] == got[1]
+    slots = Counter((s, i) for *_, s, i in got[0])
+    assert set(slots.values()) == {1}
+    total = sum(x[2] for x in got[0])
+    sizes = Counter()
+    for _, _, size, shard, _ in got[0]:
+        sizes[shard] += size
+    assert max(sizes.values()) <= total / 16 + 2 * 120_001 and set(sizes) <= set(range(16))
+
+
 def test_shards_edges(spark):
     docs = edge_docs(spark)
     _check_shards([(r["doc_id"], r["text"]) for r in docs.collect()], sharding.shard_by_bytes(docs, 4).collect(), 4)
