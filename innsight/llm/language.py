@@ -6,24 +6,33 @@ fewer phrases, the closer the language. The language with the fewest
 normalised phrases, phrases * log2(training length) / length, wins.
 
 The training text is a bounded sample: of each language about
-``sample_docs`` documents chosen by the hash of their id, up to
-``train_chars`` characters in total (documented bound of the fit). Everything
-else covers whole texts.
+``sample_docs`` documents chosen by the hash of their id, in the order of that
+hash, until ``train_chars`` characters are reached (the documented bound of the
+fit; what reaches the driver is at most that and one document for each distinct
+value of lang). Everything else covers whole texts.
 
 Every letter of the training text is a symbol of its own. An automaton is a
 table state x symbol. A missing transition holds the state after restarting at
 the root, with a flag that counts a phrase, so a parse step is one table
 look-up. Alphabets of more than ``MAX_DENSE`` symbols (Chinese, Japanese,
 Korean) take a table that holds the transitions alone, rows shifted into each
-other's gaps, and three look-ups. Texts are parsed side by side in lanes of ``LANE``
-symbols, one numpy step for all lanes of a block; a lane begins a new phrase,
-for every language alike.
+other's gaps, and three look-ups.
+
+Texts are parsed side by side in lanes of ``LANE`` symbols, one numpy step for all
+lanes of a block. At first every lane starts at the root. Then lanes are parsed
+again from the state in which the lane before ends, until they meet the state of
+the former parse, from where on both are the same; a lane that never meets it
+passes its new end state on. What is counted are the phrases of the
+whole text: lanes don't cut a match.
 
 Defined results
 * Letters are lower-cased; every run of other characters is one separator.
 * Null text, and text without a letter, is ``und`` with score 0; so is
   everything when no labelled text was given.
 * Ties: the language that sorts first. Score: 1 - best / second best.
+* Repeated rows get equal results; a table without rows gives none. Very long
+  texts are parsed whole. Input columns stay, except those with the name of a
+  result column.
 * Letters never seen in training have no transitions: they are phrases of their own.
 """
 
@@ -34,7 +43,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innsight.llm import wordhash as wh
@@ -187,39 +196,64 @@ def phrases(texts: list[bytes], key: tuple) -> tuple[np.ndarray, np.ndarray, np.
     for p, f in zip(parts, first.tolist(), strict=True):
         grid[f * LANE:f * LANE + len(p)] = p
     steps = np.ascontiguousarray(grid.reshape(-1, LANE).T).astype(np.uint32)
-    width = np.uint32(n_symbols + 1)
     lane_text = np.repeat(np.arange(len(texts)), lanes)
+    follows = np.zeros(len(lane_text), dtype=bool)           # lanes that go on with the text of the lane before
+    follows[1:] = lane_text[1:] == lane_text[:-1]
     out = np.zeros((len(tables), len(texts)), dtype=np.int64)
     for i, table in enumerate(tables):
-        state = np.zeros(steps.shape[1], dtype=np.uint32)
-        count = np.ones(steps.shape[1], dtype=np.uint32)     # the phrase a lane begins with
-        for step in steps:
-            if isinstance(table, SparseTable):
-                state = table.step(state, step)
-            else:
-                state *= width
-                state += step
-                state = table.take(state)
-            count += state >> np.uint32(31)
-            state &= ~FLAG
-        out[i] = np.bincount(lane_text, weights=count, minlength=len(texts)).astype(np.int64)
+        starts = _phrase_starts(table, steps, follows, np.uint32(n_symbols + 1))
+        # the phrase that a text begins with, and those that start later
+        out[i] = (size > 0) + np.bincount(lane_text, weights=starts, minlength=len(texts)).astype(np.int64)
     return out, size, letters
 
 
+def _phrase_starts(table, steps: np.ndarray, follows: np.ndarray, width: np.uint32) -> np.ndarray:
+    """Phrases that start in each lane (not counting the first of a text)."""
+    def step(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return table.step(state, symbol) if isinstance(table, SparseTable) else table.take(state * width + symbol)
+
+    n = len(follows)
+    after = np.empty(steps.shape, dtype=np.uint32)           # state after each symbol, with the flag of a new phrase
+    state = np.zeros(n, dtype=np.uint32)
+    for t, symbol in enumerate(steps):
+        after[t] = state = step(state, symbol)
+        state = state & ~FLAG
+    entered = np.zeros(n, dtype=np.uint32)                   # the state in which each lane was entered
+    while True:
+        end = after[-1] & ~FLAG
+        want = np.zeros(n, dtype=np.uint32)
+        want[1:] = np.where(follows[1:], end[:-1], 0)
+        lanes = np.flatnonzero(want != entered)
+        if not len(lanes):
+            return (after >> np.uint32(31)).sum(axis=0)
+        entered[lanes] = state = want[lanes]
+        for t, symbol in enumerate(steps):
+            now = step(state, symbol[lanes])
+            met = (now & ~FLAG) == (after[t, lanes] & ~FLAG)
+            after[t, lanes] = now
+            lanes, state = lanes[~met], (now & ~FLAG)[~met]
+            if not len(lanes):
+                break
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
 def train(labelled: DataFrame, sample_docs: int = 256, train_chars: int = 16384,
-          doc_chars: int = 2000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+          doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on a bounded sample: at most train_chars of each language reach the driver's model."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"),
         F.xxhash64(F.col(doc_id), F.lit("train")).alias("h"))
     counts = rows.groupBy("lang").count()
     u = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(F.broadcast(counts), "lang").filter(u * F.col("count") < sample_docs).select(
-        "lang", "h", F.substring("text", 1, doc_chars).alias("text")).distinct().collect()
+    sample = rows.join(F.broadcast(counts), "lang").filter(u * F.col("count") < sample_docs).select(
+        "lang", "h", "text").distinct()
+    # about sample_docs rows a language: those before train_chars characters are full
+    before = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1)
+    picked = sample.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter(
+        F.col("before") < train_chars).select("lang", "h", F.substring("text", 1, train_chars).alias("text")).collect()
     texts: dict[str, str] = {}
     seen = set()
     for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
