@@ -1,8 +1,12 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a groupBy with a minimum (pre-aggregated before its shuffle) and
-a join that adaptive execution can split where a node is hot. Edges are
-written to the shared folder after every round; nothing is collected.
+a join of edges with their node's minimum; the few hubs that hold more than a
+thousandth of all edges are broadcast (``rows_by_id.join_groups``), so no hub's
+edges go to one task. Edges are written to the shared folder after every round;
+nothing is collected. A round at least halves the longest paths in practice; the
+number of rounds is bounded by the logarithm of the nodes, and ``rounds`` (60) is
+an error message for inputs beyond 2**60 nodes, not a cut.
 """
 
 from __future__ import annotations
@@ -11,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innsight.llm.columns import written
+from innsight.llm.rows_by_id import join_groups
 
 
 def _lowest(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """(u, m, n): smallest of a node and its neighbours, and the number of edges."""
+    return written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "lowest")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,11 +36,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: larger neighbours move to the smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both)
-        large = (both.filter("v > u").join(low, "u")
+        large = (join_groups(both.filter("v > u"), low, ["u"])
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
         # small star: smaller neighbours and the node itself move to the smallest of them
         low = _lowest(large)
-        e = written(large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(join_groups(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .unionByName(low.select("u", F.col("m").alias("v")))
                     .filter("u != v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -109,6 +109,6 @@ def test_pipeline_on_edge_documents(spark):
 
 def test_registered_queries():
     names = [q for q in entry.queries() if q.startswith("op") or q == "pipeline"]
-    assert sorted(int(q[2:].split("_")[0]) for q in names if q != "pipeline") == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names if q != "pipeline") == list(range(1, 14))
     assert "pipeline" in names
     assert importlib.util.find_spec("innsight.llm") is not None
