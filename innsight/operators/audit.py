@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from innsight.functions.columns import (scalar, scalars, arrival_as_date, arrival_parts, is_canceled,
                                         stay_nights, valid_arrival)
@@ -101,21 +102,40 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                        .alias("n_duplicates"))
 
 
+SMALL_DOMAIN = 1 << 14
+
+
+def _set_size(col: Column, kind: T.DataType) -> Column:
+    """Distinct values as a set; NaN is one value, and zeros of both signs are equal, as in a grouping."""
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.size(F.collect_set(col))
+    nan = F.isnan(col)
+    return F.size(F.collect_set(F.when(~nan, col + F.lit(0.0)))) + F.coalesce(F.max(nan.cast("int")), F.lit(0))
+
+
 def column_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """dtype, n_null, n_unique (nulls excluded) and pct_null per column.
 
-    ``exact=False`` uses HyperLogLog++ (``approx_count_distinct``), which
-    avoids the distinct-expansion of many exact distinct counts at scale."""
+    One aggregate counts rows and nulls and estimates every column's distinct values
+    (HyperLogLog++, which is the result for ``exact=False``). Columns of an estimated
+    ``SMALL_DOMAIN`` values or fewer are then counted exactly in one more aggregate, as
+    sets that are combined on the map side; each larger column has an exact
+    distinct count of its own, spread over the shuffle by value."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(df.columns):
         aggs.append(F.sum(F.col(_q(c)).isNull().cast("long")).alias(f"_null{i}"))
-        if not exact:
-            aggs.append(F.approx_count_distinct(F.col(_q(c))).alias(f"_uniq{i}"))
+        aggs.append(F.approx_count_distinct(F.col(_q(c))).alias(f"_uniq{i}"))
     wide = df.agg(*aggs)
     if exact:
-        # one pruned single-column scan each: no row is expanded once per column
-        wide = wide.withColumns({f"_uniq{i}": scalar(df.agg(F.count_distinct(F.col(_q(c))).alias("u")), "u")
-                                 for i, c in enumerate(df.columns)})
+        estimate = wide.first()
+        of = {i: F.col(_q(c)) for i, c in enumerate(df.columns)}
+        small = [i for i in of if estimate[f"_uniq{i}"] <= SMALL_DOMAIN]
+        counted = df.agg(*[_set_size(of[i], df.schema[i].dataType).alias(f"_uniq{i}") for i in small]).first() \
+            if small else {}
+        wide = df.sparkSession.createDataFrame([(estimate["_rows"], *[estimate[f"_null{i}"] for i in of])],
+                                               ", ".join(["_rows long", *[f"_null{i} long" for i in of]]))
+        wide = wide.withColumns({f"_uniq{i}": F.lit(counted[f"_uniq{i}"]) if i in small else
+                                 scalar(df.agg(F.count_distinct(of[i]).alias("u")), "u") for i in of})
     dtypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     items = [(_s(c), _s(dtypes[c]), f"CAST(_null{i} AS BIGINT)", f"CAST(_uniq{i} AS BIGINT)",
               f"ROUND(CAST(_null{i} AS DOUBLE) * 100 / _rows, 6)")

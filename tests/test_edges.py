@@ -151,3 +151,16 @@ def test_skew_safe_view_equals_window_text(spark):
     b = derive_bookings_sql(spark, SF_SMALL)
     assert a.count() == b.count() == 1500
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_column_summary_counts_small_and_large_domains(spark, monkeypatch):
+    from innsight.operators import audit
+    monkeypatch.setattr(audit, "SMALL_DOMAIN", 50)
+    nan = float("nan")
+    rows = [(i, i % 7, [nan, 0.0, -0.0, 1.5, None][i % 5], None, f"v{i % 40}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b long, c double, d string, e string").repartition(3)
+    got = {r["column_name"]: (r["n_unique"], r["n_null"]) for r in audit.column_summary(df).collect()}
+    assert got == {"a": (3000, 0), "b": (7, 0), "c": (3, 600), "d": (0, 3000), "e": (40, 0)}
+    assert [r["n_unique"] for r in audit.column_summary(df.limit(0)).collect()] == [0] * 5
+    rough = {r["column_name"]: r["n_unique"] for r in audit.column_summary(df, exact=False).collect()}
+    assert abs(rough["a"] - 3000) < 400 and rough["b"] == 7
