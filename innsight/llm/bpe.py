@@ -12,8 +12,10 @@ chunks that overlap by ``overlap`` characters and are dealt over the cluster:
    text's chunks are put together in order.
 
 If an overlap has no common boundary (a pre-token longer than the overlap), the
-chunks from there on are joined and encoded as one piece, so the result is
-exact in every case. Pre-tokens are merged by rank (lowest first, leftmost on
+chunks from there on are joined and encoded as one piece. The result is exact for
+patterns whose matches depend on at most ``MARGIN`` characters beyond their end, as
+those of PATTERN do; a pattern that looks further ahead (such as ``\\s*[\\r\\n]+``, which
+scans any run of spaces for a line end) needs texts of one chunk. Pre-tokens are merged by rank (lowest first, leftmost on
 ties); the merges of a pre-token are cached. Decoding concatenates the raw
 bytes of the ids.
 
