@@ -52,31 +52,63 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return np.unique(c, axis=0)
 
 
+def _near_planes(sim: np.ndarray, home: np.ndarray, gap: np.ndarray, reach: float) -> np.ndarray:
+    """Cells whose bisecting plane with the vector's own cell is within reach; the own one is always."""
+    own = sim[np.arange(len(sim)), home]
+    return own[:, None] - sim <= reach * gap[home]
+
+
+def _gaps(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) if len(c) else c
+
+
+def _visits(x: np.ndarray, c: np.ndarray, inner: list[np.ndarray], reach: float):
+    """(vector, cell, is it at home there) for unit vectors, cells numbered outer * width + inner."""
+    width = max([1] + [len(i) for i in inner])
+    sim = x @ c.T
+    home = sim.argmax(axis=1)
+    go = _near_planes(sim, home, _gaps(c), reach) & (np.arange(len(c)) > home[:, None])
+    go[np.arange(len(x)), home] = True
+    vector, outer = np.nonzero(go)
+    rows, cells, at_home = [], [], []
+    for o in np.unique(outer):
+        mine = vector[outer == o]
+        resident = home[mine] == o
+        if len(inner[o]) < 2:
+            rows.append(mine)
+            cells.append(np.full(len(mine), o * width))
+            at_home.append(resident)
+            continue
+        inside = x[mine] @ inner[o].T
+        near = inside.argmax(axis=1)
+        # residents go on to later inner cells, visitors to all within reach
+        step = _near_planes(inside, near, _gaps(inner[o]), reach)
+        step &= (np.arange(len(inner[o])) >= near[:, None]) | ~resident[:, None]
+        step[np.arange(len(mine)), near] = True
+        i, b = np.nonzero(step)
+        rows.append(mine[i])
+        cells.append(o * width + b)
+        at_home.append(resident[i] & (near[i] == b))
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(at_home)
+
+
 def _cells(centroids, threshold: float):
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centroids.value
-        gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) if len(c) else c
+        c, inner = centroids.value
         for batch in batches:
             vec = batch.column(batch.schema.get_field_index("embedding"))
-            n = batch.num_rows
             dims = np.diff(vec.offsets.to_numpy())
-            row, cell, home = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             fits = np.flatnonzero(dims == c.shape[1]) if len(c) else np.zeros(0, np.int64)
-            odd = np.setdiff1d(np.arange(n), fits)      # other lengths: one cell
+            odd = np.setdiff1d(np.arange(batch.num_rows), fits)      # other lengths: one cell
             row, cell, home = [odd], [np.full(len(odd), -1)], [np.ones(len(odd), bool)]
             if len(fits):
                 x = np.asarray(vec.take(pa.array(fits)).flatten(), dtype=np.float64).reshape(len(fits), -1)
-                sim = unit(x) @ c.T
-                near = sim.argmax(axis=1)
-                best = sim[np.arange(len(fits)), near]
-                visits = (best[:, None] - sim <= reach * gap[near]) & (np.arange(len(c)) > near[:, None])
-                visits[np.arange(len(fits)), near] = True
-                i, b = np.nonzero(visits)
+                i, b, h = _visits(unit(x), c, inner, reach)
                 row.append(fits[i])
                 cell.append(b)
-                home.append(near[i] == b)
+                home.append(h)
             row, cell, home = np.concatenate(row), np.concatenate(cell), np.concatenate(home)
             out = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +153,7 @@ def _links(threshold: float):
 
 
 def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int = 20000,
-                     cell_vectors: int = 8192, max_cells: int = 512, block: int = 1024,
+                     cell_vectors: int = 8192, max_cells: int = 512, max_inner: int = 16, block: int = 1024,
                      vec_id: str = "vec_id", embedding: str = "embedding",
                      label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
@@ -141,11 +173,16 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, sample: int =
     n_uniq = uniq.count()
     some = uniq.select("uid", "embedding").orderBy("uid").limit(sample).toPandas()["embedding"]
     dims = some.map(len).mode()
-    c = np.zeros((0, 0))
+    c, inner = np.zeros((0, 0)), []
     if len(dims):
-        x = np.stack(some[some.map(len) == int(dims.max())].to_numpy()).astype(np.float64)
-        c = spherical_kmeans(unit(x), int(min(max_cells, max(1, n_uniq // cell_vectors))))
-    centroids = spark.sparkContext.broadcast(c)      # at most max_cells vectors
+        x = unit(np.stack(some[some.map(len) == int(dims.max())].to_numpy()).astype(np.float64))
+        wanted = max(1, n_uniq // cell_vectors)
+        c = spherical_kmeans(x, int(min(max_cells, wanted)))
+        more = int(min(max_inner, -(-wanted // max_cells)))
+        near = (x @ c.T).argmax(axis=1)
+        inner = [spherical_kmeans(x[near == o], more) if more > 1 and (near == o).any() else c[o:o + 1]
+                 for o in range(len(c))]
+    centroids = spark.sparkContext.broadcast((c, inner))      # at most max_cells * max_inner vectors
 
     schema = uniq.drop("rep").schema.add("cell", "integer").add("home", "boolean")
     placed = uniq.drop("rep").mapInArrow(_cells(centroids, threshold), schema).withColumn(

@@ -48,7 +48,8 @@ def test_embedding_groups_equal_brute_force(spark):
         v = centre[rng.integers(12)] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.2, 1.0])
         rows.append((i * 3, [float(x) for x in v.astype(np.float32)], int(rng.integers(3))))
     rows += [(5000 + i, rows[0][1], rows[0][2]) for i in range(40)]
-    for kw in ({}, {"cell_vectors": 10}, {"cell_vectors": 40, "block": 16}):
+    for kw in ({}, {"cell_vectors": 10}, {"cell_vectors": 40, "block": 16},
+               {"cell_vectors": 8, "max_cells": 3, "max_inner": 6}):      # cells within cells
         _check(spark, rows, **kw)
 
 
