@@ -9,6 +9,11 @@ keys that reach ``min_docs`` move to the settled run. After the last batch all
 levels are compacted, so every key's count covers all documents, and the
 settled keys' lines are taken out of every document, early batches included.
 
+The runs stay in their folder, with a manifest that is written after every batch.
+``dedup_lines(later, runs=folder)`` opens them again: the later documents' keys are
+added to what earlier ones left, and lose the lines that are frequent over all
+documents seen so far.
+
 Defined results
 * Null or empty text is one empty line. Keys shorter than ``min_chars`` stay.
 * A row is a document: repeated rows count as several documents.
@@ -19,6 +24,8 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +34,7 @@ from innsight.session import scratch_path
 
 STRIP = " \t\n\x0b\x0c\r"
 RUN = "h1 long, h2 long, n long"
+MANIFEST = "seq int, level int, path string"      # level -1: settled
 RESULTS = ["n_lines", "n_dropped", "kept_text"]
 
 
@@ -50,6 +58,29 @@ class LineRuns:
         self.settled: list[str] = []
         self._n = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, min_docs: int, fanout: int = 2) -> "LineRuns":
+        """The runs of a folder as the last finished batch left them; files of a batch that broke off are ignored."""
+        runs = cls(spark, min_docs, fanout, path)
+        every = spark.read.schema(MANIFEST).parquet(f"{path}/manifest-*")
+        rows = every.filter(F.col("seq") == every.agg(F.max("seq")).first()[0]).collect()   # a few paths
+        runs._n = rows[0]["seq"]
+        for r in sorted(rows, key=lambda r: int(r["path"].split("-")[-2]) if r["path"] else 0):
+            if r["level"] == -1:
+                runs.settled.append(r["path"])
+            elif r["path"]:
+                while len(runs.levels) <= r["level"]:
+                    runs.levels.append([])
+                runs.levels[r["level"]].append(r["path"])
+        return runs
+
+    def _record(self) -> None:
+        self._n += 1
+        rows = [(self._n, -1, p) for p in self.settled] + [
+            (self._n, i, p) for i, level in enumerate(self.levels) for p in level]
+        self.spark.createDataFrame(rows or [(self._n, 0, None)], MANIFEST).coalesce(1).write.parquet(
+            f"{self.path}/manifest-{self._n}-{uuid.uuid4().hex[:8]}")
+
     def _read(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], RUN)
@@ -57,7 +88,7 @@ class LineRuns:
 
     def _write(self, df: DataFrame, kind: str) -> str:
         self._n += 1
-        path = f"{self.path}/{kind}-{self._n}"
+        path = f"{self.path}/{kind}-{self._n}-{uuid.uuid4().hex[:8]}"
         df.sortWithinPartitions("h1", "h2").write.parquet(path)
         return path
 
@@ -70,14 +101,11 @@ class LineRuns:
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
+        self._record()
 
-    def _compact(self, level: int, last: bool = False) -> None:
-        runs = self.levels[level] if not last else [p for lv in self.levels for p in lv]
-        merged = self._read(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _compact(self, level: int) -> None:
+        merged = self._read(self.levels[level]).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
         self.settled.append(self._write(merged.filter(F.col("n") >= self.min_docs), "settled"))
-        if last:
-            self.levels = [[]]
-            return
         self.levels[level] = []
         if level + 1 == len(self.levels):
             self.levels.append([])
@@ -85,23 +113,35 @@ class LineRuns:
             self._write(merged.filter(F.col("n") < self.min_docs), "run"))
 
     def finish(self) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents; n is the count when the key settled."""
-        if any(self.levels):
-            self._compact(0, last=True)
-        return self._read(self.settled)
+        """Keys found in at least ``min_docs`` documents; n is the count when the key settled.
+
+        All levels are compacted for the answer; the runs stay as they are, for further batches."""
+        open_runs = [p for level in self.levels for p in level]
+        if not open_runs:
+            return self._read(self.settled)
+        merged = self._read(open_runs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        last = self._write(merged.filter(F.col("n") >= self.min_docs), "answer")
+        return self._read([*self.settled, last])
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1,
-                   batches: int = 4, fanout: int = 2) -> tuple[DataFrame, int]:
-    """Keys to drop, and the number of (document, key) pairs behind them."""
+                   batches: int = 4, fanout: int = 2, runs: str | None = None) -> tuple[DataFrame, int]:
+    """Keys to drop, and the number of (document, key) pairs of these documents."""
     spark = docs.sparkSession
-    runs = LineRuns(spark, min_docs, fanout)
+    runs = LineRuns(spark, min_docs, fanout) if runs is None else (
+        LineRuns.open(spark, runs, min_docs, fanout) if _exists(spark, f"{runs}/manifest-*")
+        else LineRuns(spark, min_docs, fanout, runs))
     keys = docs.select(
         F.pmod(F.xxhash64(F.col(text)), F.lit(batches)).cast("int").alias("batch"),
         F.explode(F.filter(F.array_distinct(line_keys(F.col(text))),
                            lambda k: F.length(k) >= min_chars)).alias("key"))
     # one pass over the texts; each batch then reads only its own small folder
-    path = f"{runs.path}/batches"
+    path = scratch_path(spark, "line-batches")
     (keys.select("batch", *_hashes("key")).groupBy("batch", "h1", "h2").agg(F.count("*").alias("n"))
      .write.partitionBy("batch").parquet(path))
     hashed = spark.read.schema(RUN + ", batch int").parquet(path)
@@ -113,15 +153,18 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10,
                 min_chars: int = 1, batches: int = 4, fanout: int = 2,
-                heavy_keys: int = 4000) -> DataFrame:
+                heavy_keys: int = 4000, runs: str | None = None) -> DataFrame:
     """Documents with n_lines, n_dropped and kept_text.
 
+    ``runs`` names the folder of the runs, to add these documents to earlier ones
+    (a new folder starts empty); without it a fresh folder is used.
+
     Keys that hold over 1/heavy_keys of all pairs are at most ``heavy_keys``
     in number at any input size; they are broadcast, so that a hot line is
     never sent to one task. The other keys are shuffled, and a row that the
     broadcast has settled gets a key of its own there.
     """
-    drop, total = frequent_lines(docs, text, min_docs, min_chars, batches, fanout)
+    drop, total = frequent_lines(docs, text, min_docs, min_chars, batches, fanout, runs)
     drop = drop.select("h1", "h2", "n")
     heavy = drop.filter(F.col("n") * heavy_keys >= max(total, 1)).select(
         "h1", "h2", F.lit(True).alias("heavy"))

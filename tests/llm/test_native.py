@@ -194,6 +194,27 @@ def test_line_runs_are_compacted_in_levels(spark):
     assert {(r["h1"]) for r in runs.finish().collect()} == {1, 2}
 
 
+def test_later_documents_are_added_to_the_runs_of_earlier_ones(spark):
+    from innsight.session import scratch_path
+    folder = scratch_path(spark, "kept-runs")
+    first = [(i, f"common line\nown {i}\n{'twice' if i < 2 else i}") for i in range(6)]
+    later = [(100 + i, f"Common LINE\nnew {i}\n{'twice' if i == 0 else 'later'}") for i in range(5)]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    a = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(docs(first), min_docs=3, runs=folder).collect()}
+    assert set(a.values()) == {1}
+    b = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs(later), min_docs=3, runs=folder).collect()}
+    # "twice" is in two earlier documents and a later one
+    assert b == {100: "new 0", 101: "new 1", 102: "new 2", 103: "new 3", 104: "new 4"}
+    alone = line_dedup.dedup_lines(docs(later), min_docs=3).filter("doc_id = 100").first()
+    assert alone["kept_text"] == "new 0\ntwice"
+    # a batch that broke off leaves files that no manifest names
+    runs = line_dedup.LineRuns.open(spark, folder, 3)
+    runs._write(spark.createDataFrame([(5, 5, 9)], line_dedup.RUN), "run")
+    again = line_dedup.LineRuns.open(spark, folder, 3)
+    assert again.levels == runs.levels and again.settled == runs.settled
+    assert line_dedup.dedup_lines(docs([]), min_docs=3, runs=folder).count() == 0
+
+
 def _check_shards(rows, got, n_shards):
     size = lambda t: len((t or "").encode()) + 1
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
