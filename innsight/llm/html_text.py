@@ -21,8 +21,7 @@ _TAG = re.compile(
     rf"|<(/?){_NAME}((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     rf"|<(/?){_NAME}([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)",
-                        re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^a-z0-9]+")
 
@@ -61,6 +60,8 @@ def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
+        if key == "style" and "display:none" in value.replace(" ", ""):
+            return True
         if key == "role" and value in DROPPED_ROLES:
             return True
         if key in ("class", "id"):

@@ -40,6 +40,18 @@ def test_broken_pages():
     assert _texts("") == [] and _texts(" \n ") == []
 
 
+def test_attributes_that_name_furniture():
+    keep = ['title="hidden ad menu"', 'data-id="menu"', "class='post no-sidebar'", 'class="reading download"', "id=main",
+            'class="content-with-comments"', 'alt="a > b" lang=en', "class=\'\'"]
+    drop = ["hidden", 'class="x AD"', "id='cookie-bar'", 'role="navigation"', 'aria-hidden="true"', "class=sidebar",
+            'style="color:red; display: none"', 'data-x="1" class="share-buttons"', 'class="site-header"']
+    for a in keep:
+        assert _texts(f"<div {a}>text</div><p>after") == ["text", "after"], a
+    for a in drop:
+        assert _texts(f"<div {a}>text</div><p>after") == ["after"], a
+    assert _texts('<article><div class="entry-header"><h1>T</h1></div></article>') == ["T"]
+
+
 def _lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):

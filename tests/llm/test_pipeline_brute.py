@@ -10,7 +10,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import tiktoken
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from innsight.llm import decontaminate
