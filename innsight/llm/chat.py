@@ -14,10 +14,10 @@ Defined results
   is context, not a participant. Dialogues without participants give no row.
 * Null text is empty text. Turn markers inside a text are broken up by a
   space, so that a text can't forge a turn.
-* A dialogue is one row for each participant, whole, however many turns it has
-  and whatever their numbers are. With ``part_turns`` a longer dialogue comes in
-  parts of so many turns, counted in order (not by turn number); parts in order,
-  joined, are the dialogue. Without it ``part`` is 0.
+* A dialogue is one row for each participant, whole, whatever its turn numbers
+  are (``part`` is 0). One of more than ``part_turns`` turns, which no row and no task
+  should hold, comes in parts of so many turns, counted in order (not by turn
+  number); parts in order, joined, are the dialogue. With None nothing is cut.
 * Ties can't change a result: equal rows are one turn, others are ordered as above.
 * Extra columns are ignored; an empty table gives an empty result.
 """
@@ -27,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from innsight.llm.columns import written
+from innsight.llm.rows_by_id import split_by_ids
+
 START, END = "<|im_start|>", "<|im_end|>"
+PART_TURNS = 65_536
 BROKEN_START, BROKEN_END = "< |im_start|>", "< |im_end|>"
 
 
@@ -36,7 +40,7 @@ def _safe(text: Column) -> Column:
                      F.lit(END), F.lit(BROKEN_END))
 
 
-def rotate_perspectives(turns: DataFrame, part_turns: int | None = None, system_role: str = "system",
+def rotate_perspectives(turns: DataFrame, part_turns: int | None = PART_TURNS, system_role: str = "system",
                         conv: str = "conv_id", turn: str = "turn", role: str = "role",
                         text: str = "text") -> DataFrame:
     """One row per dialogue part and participant.
@@ -56,12 +60,16 @@ def rotate_perspectives(turns: DataFrame, part_turns: int | None = None, system_
     t = (t.distinct()
          .withColumn("part_key", F.when(placed, F.lit(0))
                      .otherwise(F.xxhash64("turn", "role", "text")).cast("long")))
-    if part_turns is None:
-        part = F.lit(0)
-    else:       # places in the dialogue's order; a window is sorted on disk where it is large
-        order = Window.partitionBy("conv_id", "part_key").orderBy("turn", "role", "text")
-        part = F.floor((F.row_number().over(order) - 1) / part_turns)
-    t = t.withColumn("part", F.when(F.col("part_key") == 0, part).otherwise(F.lit(-1)).cast("long"))
+    t = t.withColumn("part", F.when(F.col("part_key") == 0, F.lit(0)).otherwise(F.lit(-1)).cast("long"))
+    if part_turns is not None:
+        t = written(t, "turns")
+        longer = t.filter("part = 0").groupBy("conv_id").count().filter(F.col("count") > part_turns).select("conv_id")
+        if not longer.isEmpty():
+            # only these are numbered; the window sorts, on disk where a dialogue is large, and keeps no group
+            many, rest = split_by_ids(t, longer, ["conv_id"])
+            order = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+            place = F.floor((F.row_number().over(order) - 1) / part_turns)
+            t = rest.unionByName(many.withColumn("part", F.when(F.col("part") == 0, place).otherwise(F.col("part"))))
     keys = ["conv_id", "part", "part_key"]
     parts = t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         "turn", "role", "text"))).alias("turns"))
