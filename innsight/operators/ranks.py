@@ -357,8 +357,10 @@ def bracketed_quantiles(df: DataFrame, series: dict[str, Column], probs: list[fl
               .groupBy("key", "v").agg(F.count(F.lit(1)).alias("n")))
     ranked = segmented_prefix_sums(inside, ["key"], ["v"], ["n"])
     t = F.broadcast(spark.createDataFrame(targets, schema))       # series x probabilities
-    here = lambda pos: F.max(F.when((F.col(pos) >= F.col("n_before")) & (F.col(pos) < F.col("n_before") + F.col("n")),
-                                    F.col("v")))
+
+    def here(pos: str) -> Column:
+        hit = (F.col(pos) >= F.col("n_before")) & (F.col(pos) < F.col("n_before") + F.col("n"))
+        return F.max(F.when(hit, F.col("v")))
     keys = [f.split()[0] for f in schema.split(", ")]
     out = ranked.join(t, "key").groupBy(*keys).agg(here("at0").alias("v0"), here("at1").alias("v1"))
     v0 = F.when(F.col("at0") < 0, F.col("prev")).otherwise(F.col("v0"))

@@ -228,7 +228,8 @@ def test_a_search_that_was_killed_goes_on_where_it_stopped(spark, monkeypatch):
     # another search in the same folder has rows of its own
     other = M.random_search_classifier(rows, n_iter=2, k=2, space={"maxIter": [2, 3]}, ledger=ledger)
     assert other.count() == 2 and sorted(fitted) == [0, 1]
-    assert set(M.read_ledger(spark, ledger, M.search_key(M.sample_params(GRID, 4), 3, "roc_auc", "classifier"))) == {0, 1, 2, 3}
+    key = M.search_key(M.sample_params(GRID, 4), 3, "roc_auc", "classifier")
+    assert set(M.read_ledger(spark, ledger, key)) == {0, 1, 2, 3}
 
 
 def test_every_malformed_line_is_found_verbatim(spark, scorer):
@@ -254,7 +255,8 @@ def test_every_malformed_line_is_found_verbatim(spark, scorer):
     acc, rejected = run_score_stream(spark, src, scorer, scratch_path(spark, "out"), scratch_path(spark, "ckpt"), year)
     assert {r["raw"] for r in rejected.collect()} == set(dead)
     one = flatten_response(scorer.score(batch))
-    assert flatten_response(acc).dropDuplicates().exceptAll(one).count() == 0 and one.exceptAll(flatten_response(acc)).count() == 0
+    scored = flatten_response(acc)
+    assert scored.dropDuplicates().exceptAll(one).count() == 0 and one.exceptAll(scored).count() == 0
 
 
 def test_a_stream_takes_up_a_new_release_between_batches(spark, clf, reg):

@@ -199,7 +199,8 @@ def test_exact_rank_test_counts_every_placement(spark):
         for u in range(n1 * n2 + 1):
             assert abs(exact_u_tail(n1, n2, u) - sum(x >= u for x in us) / len(us)) < 1e-12
             assert exact_u_tail(n2, n1, u) == exact_u_tail(n1, n2, u)
-    frame = lambda a, b: spark.createDataFrame([(float(v), "x") for v in a] + [(float(v), "y") for v in b], "v double, g string")
+    frame = lambda a, b: spark.createDataFrame(
+        [(float(v), "x") for v in a] + [(float(v), "y") for v in b], "v double, g string")
     test = lambda a, b: mann_whitney(frame(a, b), "v", "g", "x", "y").first()
     # tabled: U = 0 of 3 against 3 is p = 0.1, of 4 against 4 it is 2 / 70
     assert abs(test([1, 2, 3], [4, 5, 6])["p_value"] - 0.1) < 1e-12 and test([1, 2, 3], [4, 5, 6])["method"] == "exact"
