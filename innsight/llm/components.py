@@ -1,9 +1,10 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a groupBy with a minimum (pre-aggregated before its shuffle) and
-a join of edges with their node's minimum; the few hubs that hold more than a
-thousandth of all edges are broadcast (``rows_by_id.join_groups``), so no hub's
-edges go to one task. Edges are written to the shared folder after every round;
+a join of edges with their node's minimum. Where there are more than ``HUB_EDGES``
+edges, the few hubs that hold more than a thousandth of them are broadcast
+(``rows_by_id.join_groups``), so no hub's edges go to one task; fewer edges in all
+are no load for one. Edges are written to the shared folder after every round;
 nothing is collected. A round at least halves the longest paths in practice; the
 number of rounds is bounded by the logarithm of the nodes, and ``rounds`` (60) is
 an error message for inputs beyond 2**60 nodes, not a cut.
@@ -18,9 +19,17 @@ from innsight.llm.columns import written
 from innsight.llm.rows_by_id import join_groups
 
 
-def _lowest(both: DataFrame) -> DataFrame:
+HUB_EDGES = 100_000
+
+
+def _lowest(both: DataFrame, split: bool) -> DataFrame:
     """(u, m, n): smallest of a node and its neighbours, and the number of edges."""
-    return written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), "lowest")
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    return written(low, "lowest") if split else low
+
+
+def _with_lowest(rows: DataFrame, low: DataFrame, split: bool) -> DataFrame:
+    return join_groups(rows, low, ["u"]) if split else rows.join(low, "u")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,22 +40,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                 .filter("u != v").distinct(), "edges")
-    state = None
+    state, n = None, e.count()
     for _ in range(rounds):
+        split = 2 * n > HUB_EDGES
         # large star: larger neighbours move to the smallest neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both)
-        large = (join_groups(both.filter("v > u"), low, ["u"])
+        low = _lowest(both, split)
+        large = (_with_lowest(both.filter("v > u"), low, split)
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
         # small star: smaller neighbours and the node itself move to the smallest of them
-        low = _lowest(large)
-        e = written(join_groups(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = _lowest(large, split)
+        e = written(_with_lowest(large, low, split).select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .unionByName(low.select("u", F.col("m").alias("v")))
                     .filter("u != v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break
-        state = now
+        state, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("v").alias("id")).distinct()

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, decontaminate, hash_exchange, language, near_dup, substring
+from innsight.llm import bpe, components, decontaminate, hash_exchange, language, near_dup, substring
 from innsight.llm import wordhash as wh
 from innsight.llm.components import connected_components
 from tests.llm.helpers import LONG, classes, edge_docs, empty_docs, prose
@@ -355,9 +356,12 @@ def test_icws_agreement_estimates_weighted_jaccard():
     assert abs((got[:, 0] == got[:, 1]).mean() - true) < 0.03
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub_edges", [components.HUB_EDGES, 10])
+def test_components(spark, monkeypatch, hub_edges):
+    monkeypatch.setattr(components, "HUB_EDGES", hub_edges)       # hubs joined by broadcast, too
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 430)]
+    links += [(450, i) for i in range(451, 490)]                  # a hub
     want = classes(500, links)
     got = {r["id"]: r["component"] for r in connected_components(
         spark.createDataFrame(links, "a long, b long")).collect()}
