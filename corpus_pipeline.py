@@ -30,7 +30,7 @@ from innsight.llm.rows_by_id import split_by_ids
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 # near duplicates and benchmark items can't be stated in SQL at a fair cost;
-# tests/llm/test_vectors_pipeline.py plants rows for the stages; run() is not yet compared with brute force
+# tests/llm/test_pipeline_brute.py compares the rows of run() with a plain version of all stages
 ORACLE_SQL = None
 
 
