@@ -29,6 +29,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,8 +45,10 @@ from innsight.llm.columns import other_columns, quoted, small_batches, written
 
 CHUNK, OVERLAP = 1 << 15, 512
 MARGIN = 8            # a match that ends this close to a chunk's end may go on beyond it
-CACHE = 400_000       # pre-tokens whose ids a worker remembers
+CACHE = 120_000       # pre-tokens of a generation; a worker remembers two
 LONG_PART = 64
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as the machine's own unsigned 32-bit integers, little-endian")
 RESULTS = ["n_tokens", "ids"]
 
 
@@ -122,16 +126,20 @@ class Encoder:
     def __init__(self, raw: bytes, pattern: str):
         self.ranks, self.tokens = _ranks(raw)
         self.pattern = regex.compile(pattern)
+        # the present generation and the one before: what is used again stays, the rest goes
         self.cache: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         pre = self.pattern.findall(text)
         out = list(map(self.cache.get, pre))
         if None in out:
             if len(self.cache) > CACHE:
-                self.cache.clear()
-            fresh = {p: np.array(merge(p.encode(), self.ranks), dtype="<u4").tobytes()
-                     for p, ids in zip(pre, out, strict=True) if ids is None}
+                self.cache, self.former = {}, self.cache
+            fresh = {}
+            for p, ids in zip(pre, out, strict=True):
+                if ids is None and p not in fresh:
+                    fresh[p] = self.former.get(p) or array("I", merge(p.encode(), self.ranks)).tobytes()
             self.cache.update((p, b) for p, b in fresh.items() if len(p) <= LONG_PART)
             out = [fresh[p] if ids is None else ids for p, ids in zip(pre, out, strict=True)]
         return b"".join(out)
