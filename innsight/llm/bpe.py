@@ -150,6 +150,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(raw: bytes, pattern: str) -> Encoder:
+    wh.drop_tables()
     return Encoder(raw, pattern)
 
 
@@ -258,14 +259,19 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", chun
     return short.unionByName(joined.select(*[quoted(c) for c in rest], "n_tokens", "ids"))
 
 
-def decode(encoded: DataFrame, ranks: bytes, ids: str = "ids") -> DataFrame:
-    """The rows with ``decoded`` (binary): the bytes of the ids, one after the other."""
+def decode(encoded: DataFrame, ranks: bytes, ids: str = "ids", after_encoding: bool = False) -> DataFrame:
+    """The rows with ``decoded`` (binary): the bytes of the ids, one after the other.
+
+    ``after_encoding``: the ids were written before, so no worker of this application encodes beside
+    this step, and reused workers let go of their encoders."""
     shipped = encoded.sparkSession.sparkContext.broadcast(ranks)
     rest = other_columns(encoded, ["decoded"])
     source = encoded.select(*[quoted(c) for c in rest], F.col(ids).alias("__ids"))
     schema = source.drop("__ids").schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if after_encoding:
+            _encoder.cache_clear()
         _, tokens = _ranks(shipped.value)
         get = tokens.__getitem__
         for batch in wh.slices(batches):

@@ -9,6 +9,7 @@ separators only, so cutting at bytes never cuts a character.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,6 +46,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return run(_BASE), run(pow(_BASE, -1, 2**64))
 
 
+#: tables that a Python worker keeps between tasks: module, function with an lru_cache
+WORKER_TABLES = [("innsight.llm.wordhash", "_powers"), ("innsight.llm.language", "_compiled"),
+                 ("innsight.llm.near_dup", "_tables")]
+
+
+def drop_tables() -> None:
+    """Spark reuses Python workers: a stage with large tables of its own lets go of those of the stages before."""
+    for module, name in WORKER_TABLES:
+        if module in sys.modules:
+            getattr(sys.modules[module], name).cache_clear()
+
+
 def _byte_set(pattern: bytes) -> np.ndarray:
     return np.array([re.match(pattern, bytes([i])) is not None for i in range(256)])
 
