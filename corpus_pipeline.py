@@ -61,7 +61,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
     # written in between, so that a task has one Python worker at a time
-    return bpe.decode(written(ids.drop("text"), "ids"), ranks).select(
+    return bpe.decode(written(ids.drop("text"), "ids"), ranks, after_encoding=True).select(
         "doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
