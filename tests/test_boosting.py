@@ -1,6 +1,7 @@
 """Second-order boosted trees against a plain-Python exact solution, on every plan."""
 
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -118,3 +119,52 @@ def test_hot_values_constant_columns_and_bad_settings(spark):
         B.BoostedTrees(maxBins=999).fit(_frame(spark, x, y, np.ones(300)))
     with pytest.raises(ValueError):
         B.BoostedTrees().fit(_frame(spark, x, y, np.ones(300)).filter(F.lit(False)))
+
+
+def _jobs(spark, work):
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "counted")
+    try:
+        out = work()
+        return out, len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_a_fit_do_not_follow_its_trees(spark):
+    """A table within nodeRows is one task's fit; a larger one takes at most a job a level."""
+    x, y, w = _rows(600, 5)
+    df = _frame(spark, x, y, w, 3)
+    few, many = (_jobs(spark, lambda n=n: B.BoostedTrees(maxIter=n, maxDepth=3).fit(df))[1] for n in (2, 40))
+    assert many <= few
+    large = [_jobs(spark, lambda n=n: B.BoostedTrees(maxIter=n, maxDepth=3, nodeRows=50).fit(df))[1] for n in (2, 12)]
+    assert large[1] - large[0] <= 10 * 3
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_deep_nodes_finished_by_one_task_grow_the_same_trees(spark, monkeypatch, levels):
+    x, y, w = _rows(900, 6)
+    df = _frame(spark, x, y, w, 3)
+    fit = lambda rows: B.Ensemble(B.BoostedTrees(
+        weightCol="weight", maxIter=4, maxDepth=5, nodeRows=rows, subsamplingRate=0.8).fit(df).getOrDefault("ensemble"))
+    whole = fit(10_000)
+    monkeypatch.setattr(B, "HISTOGRAM_LEVELS", levels)
+    parts = fit(400)
+    assert (parts.feature == whole.feature).all() and (parts.edge == whole.edge).all()
+    assert np.allclose(parts.value, whole.value)
+
+
+def test_features_that_share_a_byte_keep_their_histograms():
+    rng = np.random.default_rng(0)
+    sizes = [2, 64, 1, 5, 2, 255, 7, 3, 2, 2]
+    bins = np.stack([rng.integers(0, s, 500) for s in sizes], axis=1).astype(np.uint8)
+    packing = B.Packing([np.arange(s - 1, dtype=float) for s in sizes])
+    codes, g = packing.codes(bins), rng.normal(size=500)
+    assert len(codes) < len(sizes)
+    node, columns = rng.integers(0, 3, 500), np.array([0, 1, 2, 4, 5, 7, 9])
+    got = packing.by_feature(packing.histograms(codes, columns, node * B.CODES, 3, (g, None)), columns)
+    for i, f in enumerate(columns):
+        for n in range(3):
+            mine = node == n
+            assert np.allclose(got[0, n, i], np.bincount(bins[mine, f], weights=g[mine], minlength=255))
+            assert (got[1, n, i] == np.bincount(bins[mine, f], minlength=255)).all()
