@@ -185,6 +185,37 @@ def test_depth_sweep_and_dummy(spark):
     assert all(v == 0.5 for v in auc.values())
 
 
+@pytest.mark.parametrize("kind", ["classifier", "regressor"])
+def test_depth_sweep_grows_one_tree_that_equals_a_fit_of_every_depth(spark, kind, monkeypatch):
+    from pyspark.ml import Pipeline
+    classify = kind == "classifier"
+    rows = (split_table if classify else price_split_table)(spark, SF_SMALL)
+    depths = [1, 2, 4, 7, 12]
+    name = "DecisionTreeClassifier" if classify else "DecisionTreeRegressor"
+    tree, fits = getattr(M, name), []
+    monkeypatch.setattr(M, name, lambda **k: fits.append(k) or tree(**k))
+    got = {r["max_depth"]: r for r in (M.depth_sweep_classifier if classify else M.depth_sweep_regressor)(
+        rows, depths).collect()}
+    assert len(fits) == 1 and sorted(got) == depths
+    both = rows.where("split in ('train', 'val')")
+    both = M.with_class_weight(both) if classify else M.with_target(both)
+    prep = Pipeline(stages=M.preprocessing_stages("cancellation" if classify else "price") + [M.PrefixAssembler()]).fit(
+        both.where("split = 'train'"))
+    vec = prep.transform(both).cache()
+    for d in depths:
+        m = tree(**{**fits[0], "maxDepth": d}).fit(vec.where("split = 'train'"))
+        if classify:
+            want = E.confusion_metrics(M._with_prob(m.transform(vec)), 0.5)
+            names = ("accuracy", "f1")
+        else:
+            want = E.regression_metrics(m.transform(vec).selectExpr(
+                "split", "avg_price_per_room AS actual", "expm1(prediction) AS predicted"))
+            names = ("rmse",)
+        for r in want.collect():
+            for n in names:
+                assert got[d][f"{r['split']}_{n}"] == pytest.approx(r[n], rel=1e-12)
+
+
 GRID = {"maxIter": [3, 8], "maxDepth": [2, 4], "stepSize": [0.1, 0.3], "subsamplingRate": [0.7], "columnRate": [0.6],
         "l2": [1.0], "minChildWeight": [3.0]}
 
