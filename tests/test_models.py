@@ -216,6 +216,34 @@ def test_depth_sweep_grows_one_tree_that_equals_a_fit_of_every_depth(spark, kind
                 assert got[d][f"{r['split']}_{n}"] == pytest.approx(r[n], rel=1e-12)
 
 
+def test_a_fits_partitions_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 100)
+    df = spark.range(1000).coalesce(1)
+    out = M.spread(df)
+    sizes = out.rdd.glom().map(len).collect()
+    assert max(sizes) <= 150 and sorted(r[0] for r in out.collect()) == list(range(1000))
+    assert M.spread(spark.range(50).coalesce(1)).rdd.getNumPartitions() == 1
+    seen = []
+    monkeypatch.setattr(M, "packed", lambda c: seen.append(c.rdd.getNumPartitions()) or c)
+    M.fit_ridge(split_table(spark, SF_SMALL).coalesce(1))
+    assert seen[0] > 1
+
+
+def test_target_encodings_are_computed_once(spark):
+    from innsight.operators.features import apply_target_encoding, target_encoding
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 0), (None, "x", 1), ("", "y", 1)], "p string, q string, label int")
+    enc, read = target_encoding(rows, ["p", "q"]), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    got = apply_target_encoding(rows, enc.mapInArrow(counted, enc.schema), ["p", "q"]).collect()
+    assert read.value == enc.count() == 5
+    assert {(r["p"], r["q"]): (r["p_encoded"], r["q_encoded"]) for r in got} == {
+        ("a", "x"): (0.5, 1.0), ("a", "y"): (0.5, 0.5), (None, "x"): (None, 1.0), ("", "y"): (1.0, 0.5)}
+
+
 GRID = {"maxIter": [3, 8], "maxDepth": [2, 4], "stepSize": [0.1, 0.3], "subsamplingRate": [0.7], "columnRate": [0.6],
         "l2": [1.0], "minChildWeight": [3.0]}
 
