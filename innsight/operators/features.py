@@ -90,9 +90,11 @@ def target_encoding(train: DataFrame, cols: list[str] = CATEGORICAL,
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, cols: list[str] = CATEGORICAL,
                           suffix: str = "_encoded") -> DataFrame:
-    """Join each category's encoding; broadcast while the counted categories are within a bound."""
+    """Join each category's encoding; broadcast while the counted categories are within a bound. The encodings are
+    written once: each column counts and joins them, which else would scan the training rows anew."""
     from innsight.operators.ranks import bounded_broadcast
-    out = df
+    from innsight.session import written
+    enc, out = written(enc, "target-encoding"), df
     for c in cols:
         e = enc.where(F.col("column_name") == c).select(
             F.col("category").alias(c), F.col("encoding").alias(c + suffix))
