@@ -168,3 +168,34 @@ def test_features_that_share_a_byte_keep_their_histograms():
             mine = node == n
             assert np.allclose(got[0, n, i], np.bincount(bins[mine, f], weights=g[mine], minlength=255))
             assert (got[1, n, i] == np.bincount(bins[mine, f], minlength=255)).all()
+
+
+def test_features_that_exclude_each_other_share_few_bytes():
+    """One-hot and derived features: as many codes as the rows have combinations, not as their bins allow."""
+    rng = np.random.default_rng(3)
+    month = rng.integers(0, 12, 4000)
+    x = np.concatenate([np.eye(12)[month], (month // 3)[:, None], np.eye(4)[month // 3], rng.integers(0, 200, (4000, 1))],
+                       axis=1)
+    sizes = [2] * 12 + [4] + [2] * 4 + [200]
+    packing = B.Packing([np.arange(s - 1, dtype=float) for s in sizes])
+    bins = x.astype(np.uint8)
+    bundles, codes = packing.bundled(packing.codes(bins))
+    assert len(packing.used) == 4 and sorted(bundles.used) == [12, len(np.unique(bins[:, 17]))]
+    for f in range(bins.shape[1]):
+        assert (bundles.bin[f][codes[bundles.code[f]]] == bins[:, f]).all()
+    g, rows, columns = rng.normal(size=4000), np.flatnonzero(rng.random(4000) < 0.5), np.array([0, 5, 12, 16, 17])
+    got = bundles.by_feature(bundles.sums(codes, columns, B.paired(g, np.ones(4000)), rows)[:, None], columns)
+    for i, f in enumerate(columns):
+        assert np.allclose(got[0, 0, i], np.bincount(bins[rows, f], weights=g[rows], minlength=200))
+        assert (got[1, 0, i] == np.bincount(bins[rows, f], minlength=200)).all()
+    left, right = bundles.parted(codes, rows, 12, 1)
+    assert (left == rows[bins[rows, 12] <= 1]).all() and (right == rows[bins[rows, 12] > 1]).all()
+
+
+def test_combinations_that_fill_no_byte_stay_apart():
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 60, (9000, 4)).astype(np.uint8)
+    packing = B.Packing([np.arange(59, dtype=float)] * 4)
+    bundles, codes = packing.bundled(packing.codes(bins))
+    assert len(bundles.used) == 4 and all(
+        (bundles.bin[f][codes[bundles.code[f]]] == bins[:, f]).all() for f in range(4))
