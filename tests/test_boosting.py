@@ -1,6 +1,7 @@
 """Second-order boosted trees against a plain-Python exact solution, on every plan."""
 
 import math
+import threading
 import uuid
 
 import numpy as np
@@ -199,3 +200,21 @@ def test_combinations_that_fill_no_byte_stay_apart():
     bundles, codes = packing.bundled(packing.codes(bins))
     assert len(bundles.used) == 4 and all(
         (bundles.bin[f][codes[bundles.code[f]]] == bins[:, f]).all() for f in range(4))
+
+
+def test_queries_on_both_production_models_fit_them_side_by_side(spark, monkeypatch):
+    from innsight.plans import model_queries as Q
+    both = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(Q, "_splits", lambda *_: None)
+    monkeypatch.setattr(Q, "_prices", lambda *_: None)
+    fitted = []
+
+    def fit(name):
+        both.wait()                      # broken unless the other fit runs at the same time
+        fitted.append(name)
+        return {"name": name}
+    monkeypatch.setattr(Q.FZ, "finalize_cancellation", lambda _: fit("classifier"))
+    monkeypatch.setattr(Q.FZ, "finalize_price", lambda _: fit("regressor"))
+    where = f"none-{uuid.uuid4().hex}"
+    assert [m["name"] for m in Q.both_final(spark, where)] == ["classifier", "regressor"]
+    assert Q.both_final(spark, where)[0] is Q.clf_final(spark, where) and len(fitted) == 2
