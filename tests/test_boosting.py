@@ -218,3 +218,58 @@ def test_queries_on_both_production_models_fit_them_side_by_side(spark, monkeypa
     where = f"none-{uuid.uuid4().hex}"
     assert [m["name"] for m in Q.both_final(spark, where)] == ["classifier", "regressor"]
     assert Q.both_final(spark, where)[0] is Q.clf_final(spark, where) and len(fitted) == 2
+
+
+def test_candidates_are_the_best_splits_of_the_histograms():
+    """More than eight bytes of codes, all rows or some, drawn columns: sums and splits as by feature."""
+    rng = np.random.default_rng(8)
+    sizes = [64, 2, 60, 5, 62, 64, 1, 63, 64, 3, 61, 64, 64, 64]
+    bins = np.stack([rng.integers(0, s, 40_000) for s in sizes], axis=1).astype(np.uint8)
+    packing = B.Packing([np.arange(s - 1, dtype=float) for s in sizes])
+    codes, gh = packing.codes(bins), B.paired(rng.normal(size=40_000), rng.random(40_000))
+    assert len(codes) > 8
+    columns, p = np.array([0, 1, 3, 4, 6, 9, 11, 13]), dict(l1=0.1, l2=1.0, minChildWeight=1.0)
+    hist = np.stack([packing.sums(codes, columns, gh, np.flatnonzero(bins[:, 3] == v), B.wide(codes)) for v in range(5)], axis=1)
+    assert np.allclose(hist.sum(axis=1), packing.sums(codes, columns, gh, None))
+    got, want = B.Candidates(packing, columns).best(hist, p), B.best_splits(*packing.by_feature(hist, columns), p)
+    assert np.allclose(got[0], want[0]) and (got[1] == columns[want[1]]).all() and (got[2] == want[2]).all()
+    assert all(np.allclose(got[3][k], want[3][k]) for k in want[3])
+    tree = B.Tree(2)
+    tree.feature[:3], tree.edge[:3] = [0, 4, 11], [30, 20, 40]
+    side = lambda f, e: (bins[:, f] > e).astype(int)
+    left = side(0, 30) == 0
+    assert (packing.route(tree, codes) == np.where(left, 3 + side(4, 20), 5 + side(11, 40))).all()
+    score, rows = np.zeros(40_000), np.flatnonzero(left)
+    packing.landed(score, codes, rows, 4, 20, (1.0, 2.0))
+    assert (score == np.where(left, 1.0 + side(4, 20), 0.0)).all()
+
+
+@pytest.mark.parametrize("price", [False, True])
+def test_baselines_are_measured_beside_the_fit(spark, monkeypatch, price):
+    """The fit is one task: what doesn't need its trees doesn't wait for them."""
+    from innsight.operators import finalize as FZ
+    both = threading.Barrier(2, timeout=20)
+
+    class Fitted(Exception):
+        pass
+
+    def fit(*_, **__):
+        both.wait()                      # broken unless the baseline is measured at the same time
+        raise Fitted
+    monkeypatch.setattr(FZ.M, "compare_targets" if price else "fit_boosted_classifier", fit)
+    name = "fit_dummy_regressor" if price else "fit_dummy_classifier"
+    dummy = getattr(FZ.M, name)
+    monkeypatch.setattr(FZ.M, name, lambda df: (both.wait(), dummy(df))[1])
+    rows = [(f"b{i}", i % 2, ("train", "val", "test")[i % 3], float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "Booking_ID string, label int, split string, avg_price_per_room double")
+    with pytest.raises(Fitted):
+        (FZ.finalize_price if price else FZ.finalize_cancellation)(df)
+
+
+def test_rows_for_a_costly_step_lie_over_all_cores(spark):
+    from innsight.operators import models as M
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, cores * M.ROWS_PER_PARTITION, 1, 1)
+    assert M.over_cores(few).rdd.getNumPartitions() == cores and M.over_cores(few).count() == few.count()
+    small, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 3 * cores)
+    assert M.over_cores(small) is small and M.over_cores(many) is many
