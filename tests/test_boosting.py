@@ -273,3 +273,55 @@ def test_rows_for_a_costly_step_lie_over_all_cores(spark):
     assert M.over_cores(few).rdd.getNumPartitions() == cores and M.over_cores(few).count() == few.count()
     small, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 3 * cores)
     assert M.over_cores(small) is small and M.over_cores(many) is many
+
+
+def test_edges_of_counted_features_are_the_exact_quantiles(spark, monkeypatch):
+    """Counted over several tasks, empty ones too, or summarised: the same edges; only the latter take a percentile each."""
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.integers(0, 2, 900), rng.integers(0, 90, 900), np.round(rng.normal(size=900), 1),
+                  np.zeros(900)], axis=1).astype(float)
+    x[::40, 2] = np.nan
+    df = _frame(spark, x, x[:, 0], np.ones(900), 4).where("label >= 0").repartition(7, F.lit(1))
+    summarised = []
+    plain = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: summarised.append(1) or plain(*a))
+    counted = B.bin_edges(df, "features", 4, 32)
+    assert not summarised
+    monkeypatch.setattr(B, "COUNTED", 50)
+    mixed = B.bin_edges(df, "features", 4, 32)
+    assert 1 <= len(summarised) < 4
+    monkeypatch.setattr(B, "COUNTED", 0)
+    approx = B.bin_edges(df, "features", 4, 32)
+    for j in range(4):
+        assert list(counted[j]) == list(mixed[j]) == list(approx[j])
+        v = np.sort(x[:, j])                        # missing values last
+        want = np.unique(v[np.ceil(np.arange(1, 32) / 32 * len(v)).astype(int) - 1])
+        assert list(counted[j]) == list(want[~np.isnan(want)])
+
+
+def test_a_level_writes_its_rows_to_memory_that_trees_share():
+    """Rows by node stand in the arrays given, in their order, and trees don't differ for it."""
+    rng = np.random.default_rng(3)
+    packing = B.Packing([np.arange(9.0), np.arange(4.0)])
+    codes = packing.codes(np.stack([rng.integers(0, 10, 40_000), rng.integers(0, 5, 40_000)], axis=1).astype(np.uint8))
+    rows, out = np.flatnonzero(rng.random(40_000) < 0.8), np.empty(40_000, dtype=np.int64)
+    left, right = packing.parted(codes, rows, 0, 4, out)
+    assert left.base is out and right.base is out
+    goes = (packing.bin[0] > 4)[codes[packing.code[0], rows]]
+    assert (left == rows[~goes]).all() and (right == rows[goes]).all()
+
+
+def test_walks_through_trees_end_at_their_leaves():
+    """A tree's look-ups against a walk of every row alone, over several chunks; the highest bin and a tree of one leaf."""
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 255, (3, 20_000)).astype(np.uint8)
+    tree = B.Tree(4)
+    tree.feature[[0, 1, 2, 5, 11]], tree.edge[[0, 1, 2, 5, 11]] = [0, 1, 2, 0, 1], [100, 50, 253, 200, 7]
+    want = []
+    for row in bins.T:
+        node = 0
+        while tree.feature[node] >= 0:
+            node = 2 * node + 1 + int(row[tree.feature[node]] > tree.edge[node])
+        want.append(node)
+    assert list(B.leaves(tree.feature, tree.edge, bins)) == want
+    assert not B.leaves(B.Tree(4).feature, B.Tree(4).edge, bins).any()
