@@ -275,7 +275,7 @@ def test_rows_for_a_costly_step_lie_over_all_cores(spark):
     assert M.over_cores(small) is small and M.over_cores(many) is many
 
 
-def test_edges_of_counted_features_are_the_exact_quantiles(spark, monkeypatch):
+def test_edges_of_counted_features_are_their_quantiles(spark, monkeypatch):
     """Counted over several tasks, empty ones too, or summarised: the same edges; only the latter take a percentile each."""
     rng = np.random.default_rng(7)
     x = np.stack([rng.integers(0, 2, 900), rng.integers(0, 90, 900), np.round(rng.normal(size=900), 1),
@@ -299,6 +299,24 @@ def test_edges_of_counted_features_are_the_exact_quantiles(spark, monkeypatch):
         assert list(counted[j]) == list(want[~np.isnan(want)])
 
 
+def test_counts_give_the_edges_of_the_summary(spark, monkeypatch):
+    """Beyond 5,000 rows the summary errs: where a quantile lies next to another value, the summary is asked."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 2, 12_000), np.arange(12_000) >= 6_000, rng.integers(0, 444, 12_000),
+                  rng.integers(0, 12, 12_000)], axis=1).astype(float)
+    df = _frame(spark, x[rng.permutation(12_000)], x[:, 0], np.ones(12_000), 5)
+    summarised = []
+    plain = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: summarised.append(1) or plain(*a))
+    got = B.bin_edges(df, "features", 4, 64)
+    assert 1 <= len(summarised) < 4
+    monkeypatch.setattr(B, "COUNTED", 0)
+    want = B.bin_edges(df, "features", 4, 64)
+    assert [list(e) for e in got] == [list(e) for e in want]
+    assert B.sure_edges(np.array([0.0, 1.0]), np.array([6_000, 6_000]), np.array([0.5])) is None
+    assert list(B.sure_edges(np.array([0.0, 1.0]), np.array([6_100, 5_900]), np.array([0.5, 0.9]))) == [0.0, 1.0]
+
+
 def test_a_level_writes_its_rows_to_memory_that_trees_share():
     """Rows by node stand in the arrays given, in their order, and trees don't differ for it."""
     rng = np.random.default_rng(3)
