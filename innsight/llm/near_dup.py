@@ -24,6 +24,13 @@ shingles, banded, verified by weighted Jaccard similarity.
    is capped or dropped.
 5. Classes are connected components of the links.
 
+``edits``: in a large group of copies the common shingles weigh little, and a changed word
+makes ``SHINGLE`` shingles that weigh most, so weights alone part copies that differ by a
+word. With ``edits`` two documents are linked as well if their Jaccard similarity by number
+is at least the threshold and so is the weighted one in which a run of shingles that are
+rare for their text weighs as much as the words changed in it (a run of five is one word). Texts
+that are mostly a common passage, with an own part beside it, stay apart. Buckets are the same.
+
 Defined results
 * A text of fewer than five words is one shingle of all its words; a text
   without words is alike to nothing. Null text is empty text.
@@ -77,14 +84,40 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, wh.Words]:
     return g, doc, words
 
 
-def _counted(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, document) with the number of times, sorted by document and hash."""
+def _counted(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, document) with the number of times, sorted by document and hash, and the place of every
+    shingle among them."""
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return g[at], doc[at], np.diff(np.append(at, len(g)))
+    at, place = np.flatnonzero(new), np.empty(len(g), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return g[at], doc[at], np.diff(np.append(at, len(g))), place
+
+
+def _rare(df: np.ndarray, doc: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Which shingles (by document) only the text's copies have, or an eighth at most of the documents that half of its
+    shingles have: an edit, and one that was copied on."""
+    order = np.lexsort((df, doc))
+    first = np.searchsorted(doc, np.arange(len(copies) + 1))
+    middle = np.zeros(len(copies), dtype=np.int64)
+    full = np.flatnonzero(np.diff(first))
+    middle[full] = df[order][(first[full] + first[full + 1]) // 2]
+    return df <= np.maximum(copies, middle // 8)[doc]
+
+
+def _changed(own: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """What each text's weight is less by if a run of own shingles weighs as much as the words changed in it; rows
+    are the shingles of the texts in their order."""
+    at = np.flatnonzero(own)
+    if not len(at):
+        return np.zeros(n_docs)
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    first = np.union1d(first, np.flatnonzero(np.diff(doc[at], prepend=-1) != 0))
+    size = np.diff(np.append(first, len(at)))
+    share = 1 - np.maximum(1, size - SHINGLE + 1) / size
+    return np.bincount(doc[at[first]], weights=np.add.reduceat(weight[at], first) * share, minlength=n_docs)
 
 
 # ---- document frequencies: chunks of texts ask, ranges of hashes answer ----
@@ -97,11 +130,13 @@ class Chunk:
         self.ids, self.copies = rows["id"], rows["n"].to_numpy()
         texts = wh.text_bytes(rows["text"])
         self.size = np.array([len(t) for t in texts], dtype=np.int64)
-        parts = []
+        parts, n = [], 0
         for lo, hi in wh.blocks(texts):
             g, doc, words = _shingles(texts[lo:hi])
-            parts.append((*_counted(g, doc + lo), np.diff(words.off)))
-        self.g, self.doc, self.tf, self.words = (np.concatenate(p) for p in zip(*parts))
+            g, doc, tf, place = _counted(g, doc + lo)
+            parts.append((g, doc, tf, place + n, np.diff(words.off)))
+            n += len(g)
+        self.g, self.doc, self.tf, self.order, self.words = (np.concatenate(p) for p in zip(*parts))
         self.all, self.place = np.unique(self.g, return_inverse=True)
 
 
@@ -164,11 +199,13 @@ def icws_samples(g: np.ndarray, weight: np.ndarray, off: np.ndarray, n_samples:
     return out
 
 
-_SKETCH = ("id long, size long, bands array<long>, total double, h array<long>, w array<double>")
+_SKETCH = ("id long, size long, bands array<long>, total double, changed double, h array<long>, w array<double>, "
+           "n array<int>, number long")
 
 
 def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
-    """Band keys of every text of a chunk, the weight of all its shingles, and those that others have too."""
+    """Band keys of every text of a chunk, the weight and the number of all its shingles, and those that others have
+    too. ``changed``: the weight if own shingles weigh as the words changed in them."""
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(texts)
         df = hx.totals(chunk.all, answers, n_ranges)[chunk.place]
@@ -188,6 +225,9 @@ def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
                 keys[b, lo:hi] = key
             lo = hi
         total = np.bincount(chunk.doc, weights=weight, minlength=n)
+        own = _rare(df, chunk.doc, chunk.copies)[chunk.order]
+        less = _changed(own, (weight / chunk.tf)[chunk.order], chunk.doc[chunk.order], n)
+        number = np.bincount(chunk.doc, weights=chunk.tf, minlength=n).astype(np.int64)
         shared = df > 1
         kept = np.searchsorted(chunk.doc[shared], np.arange(n + 1))
         ok = pa.array((chunk.words > 0) & chunk.ids.is_valid().to_numpy())   # rows without an id are in no class
@@ -195,8 +235,9 @@ def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
         return pa.table({
             "id": chunk.ids.combine_chunks(), "size": chunk.size,
             "bands": lists(np.arange(n + 1) * bands, pa.array(keys.T.reshape(-1).view(np.int64))),
-            "total": total, "h": lists(kept, pa.array(chunk.g[shared].view(np.int64))),
-            "w": lists(kept, pa.array(weight[shared]))}).filter(ok)
+            "total": total, "changed": total - less, "h": lists(kept, pa.array(chunk.g[shared].view(np.int64))),
+            "w": lists(kept, pa.array(weight[shared])), "n": lists(kept, pa.array(chunk.tf[shared], pa.int32())),
+            "number": number}).filter(ok)
     return run
 
 
@@ -213,12 +254,21 @@ def weighted_jaccard_one_to_all(q: int, off: np.ndarray, g: np.ndarray, w: np.nd
     return shared / np.maximum(totals + totals[q] - shared, 1e-300)
 
 
+def few_edits_one_to_all(q: int, off: np.ndarray, g: np.ndarray, w: np.ndarray, by_hash, edits: tuple,
+                         threshold: float) -> np.ndarray:
+    """Whether text q differs from each text of a block by a few words only (``edits`` of the module)."""
+    changed, n, number, n_by_hash = edits
+    by_number = weighted_jaccard_one_to_all(q, off, g, n, number, (by_hash[0], n_by_hash, by_hash[2]))
+    return (by_number >= threshold) & (weighted_jaccard_one_to_all(q, off, g, w, changed, by_hash) >= threshold)
+
+
 def link_block(ids: np.ndarray, comp: np.ndarray, off: np.ndarray, g: np.ndarray, w: np.ndarray,
-               totals: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+               totals: np.ndarray, threshold: float, edits: tuple | None = None) -> list[tuple[int, int]]:
     """Links that join the classes of a block: every pair of different classes is compared.
 
     off, g, w: hashes and weights of each text (those that no other text has may be missing);
-    totals: the weight of all. comp: the class known so far. The most central text is tried first, so a
+    totals: the weight of all. comp: the class known so far. edits: the weight of all with own runs weighing as their
+    words, the numbers of g and the number of all, if a few edits link. The most central text is tried first, so a
     dense group is joined after a few queries, and the rest is skipped once
     all texts that are left are in one class.
     """
@@ -226,6 +276,7 @@ def link_block(ids: np.ndarray, comp: np.ndarray, off: np.ndarray, g: np.ndarray
     doc = np.repeat(np.arange(n), np.diff(off))
     order = np.argsort(g, kind="stable")
     by_hash = g[order], w[order], doc[order]
+    edits = edits and (*edits, edits[1][order])
     lo = np.searchsorted(by_hash[0], g, "left")
     shared = np.searchsorted(by_hash[0], g, "right") - lo
     central = np.bincount(doc, weights=w * (shared - 1), minlength=n) / np.maximum(totals, 1e-300)
@@ -238,17 +289,21 @@ def link_block(ids: np.ndarray, comp: np.ndarray, off: np.ndarray, g: np.ndarray
         if central[q] <= 0:
             continue                         # shares no shingle with any other text
         sim = weighted_jaccard_one_to_all(int(q), off, g, w, totals, by_hash)
-        for m in np.flatnonzero((sim >= threshold) & (root != root[q])):
+        near = sim >= threshold
+        if edits and (~near & (root != root[q]) & (sim > 0)).any():
+            near |= few_edits_one_to_all(int(q), off, g, w, by_hash, edits, threshold)
+        for m in np.flatnonzero(near & (root != root[q])):
             if root[m] != root[q]:
                 links.append((int(ids[q]), int(ids[m])))
                 root[root == root[m]] = root[q]
     return links
 
 
-def _linked(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+def _linked(members: DataFrame, vectors: DataFrame, threshold: float, edits: bool) -> DataFrame:
     """members (bucket, block, id, comp) -> verified links (a, b)."""
     mine, _ = split_by_ids(vectors, members.select("id").distinct(), ["id"])
-    rows = members.join(mine, "id").select("bucket", "block", "id", "comp", "total", "h", "w")
+    more = ["changed", "n", "number"] if edits else []
+    rows = members.join(mine, "id").select("bucket", "block", "id", "comp", "total", "h", "w", *more)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -256,7 +311,9 @@ def _linked(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
         off = np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())])
         links = link_block(group["id"].to_numpy(), group["comp"].to_numpy(), off,
                            h.flatten().to_numpy().view(np.uint64), w.flatten().to_numpy(),
-                           group["total"].to_numpy(), threshold)
+                           group["total"].to_numpy(), threshold, (
+                               group["changed"].to_numpy(), group["n"].combine_chunks().flatten().to_numpy(),
+                               group["number"].to_numpy()) if edits else None)
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return rows.groupBy("bucket", "block").applyInArrow(run, "a long, b long")
@@ -312,13 +369,14 @@ def document_sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS,
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
                            rows: int = ROWS, doc_id: str = "doc_id", text: str = "text",
                            block_docs: int = BLOCK_DOCS, block_chars: int = BLOCK_CHARS,
-                           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(id, class_id) of every document that is in a class of two or more doc_ids."""
+                           chunk_bytes: int = CHUNK_BYTES, edits: bool = False) -> DataFrame:
+    """(id, class_id) of every document that is in a class of two or more doc_ids. edits: a few changed words
+    link too, however large the group of copies."""
     texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"),
                         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     sketches, copies = document_sketches(texts, bands, rows, chunk_bytes)
     copies = written(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")), "copies")
-    vectors = sketches.select("id", "total", "h", "w")
+    vectors = sketches.drop("size", "bands")
     banded = sketches.select("id", "size", F.posexplode("bands").alias("band", "key")).select(
         "id", "size", "band", F.xxhash64("band", "key").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).filter("n > 1")
@@ -350,7 +408,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
             known = known.join(split, ["bucket", "block"], "left_anti")
         else:
             known = known.withColumn("block", F.col("mine").cast("long"))
-        found = written(_linked(known.select("bucket", "block", "id", "comp"), vectors, threshold), "links")
+        found = written(_linked(known.select("bucket", "block", "id", "comp"), vectors, threshold, edits), "links")
         links = written(links.unionByName(found).distinct(), "all-links")
     return connected_components(links).withColumnRenamed("component", "class_id")
 

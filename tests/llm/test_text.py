@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from innsight.llm import bpe, components, decontaminate, hash_exchange, language, near_dup, substring
+from innsight.llm import bpe, components, decontaminate, hash_exchange, language, near_dup, queries, substring
 from innsight.llm import wordhash as wh
 from innsight.llm.components import connected_components
 from tests.llm.helpers import LONG, classes, edge_docs, empty_docs, prose
@@ -316,6 +316,31 @@ def test_weights_are_of_exact_document_frequencies(spark):
         assert {r["doc_id"]: r["class_id"] for r in marked if r["doc_id"] is not None} == want
 
 
+def test_edited_copies_are_linked_in_large_groups(spark, tmp_path):
+    # 150 copies of a text with one or two words changed, half of the changes copied on; and 40 texts that are mostly a passage
+    rng, rows, base = random.Random(7), [], prose(3000, 150).split()
+    edits = [(rng.randrange(10, 140), f"edit{i}") for i in range(200)]
+    for i in range(150):
+        w = list(base)
+        for at, word in [edits[i // 2]] + ([edits[100 + i // 4]] if i % 3 == 0 else []):
+            w[at] = word
+        rows.append((i, " ".join(w)))
+    passage = prose(900, 160)
+    rows += [(1000 + i, passage + " " + prose(4000 + i, 14)) for i in range(40)]
+    rows += [(2000 + i, prose(5000 + i, 40)) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op6_icws_near_dup"](spark, str(tmp_path)).collect()}
+    assert {got[i] for i in range(150)} == {0}
+    assert all(got[i] == i for i, _ in rows if i >= 1000)
+
+
+@pytest.mark.parametrize("own, share", [([1, 1, 1, 1, 1], 1 / 5), ([0, 1, 1, 0, 1], 2 / 3), ([1] * 18, 14 / 18), ([0] * 4, 1)])
+def test_runs_of_own_shingles_weigh_as_their_words(own, share):
+    own = np.array(own, dtype=bool)
+    less = near_dup._changed(own, np.full(len(own), 2.0), np.zeros(len(own), dtype=np.int64), 2)
+    assert np.allclose(less, [2 * own.sum() * (1 - share) if own.any() else 0, 0])
+
+
 def test_hashes_are_packed_and_unpacked():
     rng = np.random.default_rng(4)
     a = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
