@@ -343,3 +343,46 @@ def test_walks_through_trees_end_at_their_leaves():
         want.append(node)
     assert list(B.leaves(tree.feature, tree.edge, bins)) == want
     assert not B.leaves(B.Tree(4).feature, B.Tree(4).edge, bins).any()
+
+
+def test_blocks_are_led_on_from_what_the_worker_knows(monkeypatch):
+    """Scores and nodes of a block are the same from the worker's cache, at any level, as from the start."""
+    rng = np.random.default_rng(9)
+    packing = B.Packing([np.arange(20.0), np.arange(1.0), np.arange(40.0)])
+    bins = np.stack([rng.integers(0, n, 3000) for n in (21, 2, 41)], axis=1).astype(np.uint8)
+    y, w = (rng.random(3000) < 0.3).astype(float), np.where(rng.random(3000) < 0.5, 2.0, 1.0)
+    block = B.Block((0, 0), packing.codes(bins), y, w, np.full(3000, -0.5))
+    p = B.BoostedTrees(maxIter=3, maxDepth=4)._values()
+    trees, score = B.grown_in_task([block], p, packing, 3)
+    small = B.slim(block)
+    assert (small.y == y).all() and (small.w == w).all() and len(small.score) == 1 and small.y.dtype == np.uint8
+    assert B.narrow(np.array([0.5, 1])).dtype == B.narrow(np.array([300.0, -1])).dtype == np.float64
+    monkeypatch.setattr(B, "_SCORES", B.OrderedDict())
+    walk = lambda t: B.Walk(packing, t)
+    for number, tree in enumerate(trees):
+        for level in (0, 1, 1, 3, 2, 4):         # also a level that is asked for again
+            part, keep = B.Tree(4), np.arange(len(tree.feature)) < 2 ** level - 1
+            part.feature[keep], part.edge[keep] = tree.feature[keep], tree.edge[keep]
+            before = trees[:number]
+            got = small.reached("fit", before, walk, part)
+            want = np.full(3000, -0.5) + sum(t.value[packing.route(t, block.codes)] for t in before)
+            assert np.allclose(got[0], want) and (got[1] == packing.route(part, block.codes)).all()
+    assert np.allclose(small.reached("fit", trees, walk)[0], score)
+
+
+def test_blocks_are_dealt_evenly_and_small(spark):
+    """Rows of a large fit that lie in one partition are grown by all cores, a byte for a small whole number."""
+    seen = []
+    real = B._sums
+    try:
+        B._sums = lambda parts, n: seen.append((n, parts.prev.glom().map(
+            lambda bs: [(len(b.y), b.y.dtype.name, b.w.dtype.name) for b in bs]).collect())) or real(parts, n)
+        df = spark.range(0, 100_000, 1, 1).selectExpr("cast(id % 2 as double) label", "cast(id % 97 as double) x")
+        df = df.select("label", array_to_vector(F.array("x")).alias("features"))
+        B.BoostedTrees(maxIter=1, maxDepth=1, nodeRows=1000).fit(df)
+    finally:
+        B._sums = real
+    n, parts = seen[0]
+    assert n == spark.sparkContext.defaultParallelism and sum(b[0] for part in parts for b in part) == 100_000
+    assert {b[1:] for part in parts for b in part} == {("uint8", "uint8")}
+    assert max(map(len, parts)) - min(map(len, parts)) <= 1
