@@ -84,15 +84,17 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, wh.Words]:
     return g, doc, words
 
 
-def _counted(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, document) with the number of times, sorted by document and hash, and the place of every
-    shingle among them."""
+def _counted(g: np.ndarray, doc: np.ndarray, placed: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct (hash, document) with the number of times, sorted by document and hash, and if ``placed`` the place of
+    every shingle among them."""
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-    at, place = np.flatnonzero(new), np.empty(len(g), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
+    at, place = np.flatnonzero(new), np.zeros(0, dtype=np.int64)
+    if placed:
+        place = np.empty(len(g), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
     return g[at], doc[at], np.diff(np.append(at, len(g))), place
 
 
@@ -123,9 +125,10 @@ def _changed(own: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_docs: int)
 # ---- document frequencies: chunks of texts ask, ranges of hashes answer ----
 
 class Chunk:
-    """The distinct texts of a chunk: their shingles, and the chunk's distinct hashes in order (all)."""
+    """The distinct texts of a chunk: their shingles, and the chunk's distinct hashes in order (all). ``placed``: also
+    the shingles in the order of the texts."""
 
-    def __init__(self, group: pa.Table):
+    def __init__(self, group: pa.Table, placed: bool = False):
         rows = group.combine_chunks().sort_by([("t1", "ascending"), ("t2", "ascending")])
         self.ids, self.copies = rows["id"], rows["n"].to_numpy()
         texts = wh.text_bytes(rows["text"])
@@ -133,7 +136,7 @@ class Chunk:
         parts, n = [], 0
         for lo, hi in wh.blocks(texts):
             g, doc, words = _shingles(texts[lo:hi])
-            g, doc, tf, place = _counted(g, doc + lo)
+            g, doc, tf, place = _counted(g, doc + lo, placed)
             parts.append((g, doc, tf, place + n, np.diff(words.off)))
             n += len(g)
         self.g, self.doc, self.tf, self.order, self.words = (np.concatenate(p) for p in zip(*parts))
@@ -199,15 +202,15 @@ def icws_samples(g: np.ndarray, weight: np.ndarray, off: np.ndarray, n_samples:
     return out
 
 
-_SKETCH = ("id long, size long, bands array<long>, total double, changed double, h array<long>, w array<double>, "
-           "n array<int>, number long")
+_SKETCH = ("id long, size long, bands array<long>, total double, h array<long>, w array<double>")
+_EDITS = ", changed double, n array<int>, number long"
 
 
-def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
-    """Band keys of every text of a chunk, the weight and the number of all its shingles, and those that others have
-    too. ``changed``: the weight if own shingles weigh as the words changed in them."""
+def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int, edits: bool):
+    """Band keys of every text of a chunk, the weight of all its shingles, and those that others have too. For ``edits``
+    also their numbers, and the weight (changed) if runs of rare shingles weigh as the words changed in them."""
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(texts)
+        chunk = Chunk(texts, edits)
         df = hx.totals(chunk.all, answers, n_ranges)[chunk.place]
         weight = chunk.tf * np.log1p(n_docs / df)
         n = len(chunk.size)
@@ -225,19 +228,21 @@ def _sketch(n_docs: int, n_ranges: int, bands: int, rows: int):
                 keys[b, lo:hi] = key
             lo = hi
         total = np.bincount(chunk.doc, weights=weight, minlength=n)
-        own = _rare(df, chunk.doc, chunk.copies)[chunk.order]
-        less = _changed(own, (weight / chunk.tf)[chunk.order], chunk.doc[chunk.order], n)
-        number = np.bincount(chunk.doc, weights=chunk.tf, minlength=n).astype(np.int64)
         shared = df > 1
         kept = np.searchsorted(chunk.doc[shared], np.arange(n + 1))
         ok = pa.array((chunk.words > 0) & chunk.ids.is_valid().to_numpy())   # rows without an id are in no class
         lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        more = {}
+        if edits:
+            own = _rare(df, chunk.doc, chunk.copies)[chunk.order]
+            less = _changed(own, (weight / chunk.tf)[chunk.order], chunk.doc[chunk.order], n)
+            more = {"changed": total - less, "n": lists(kept, pa.array(chunk.tf[shared], pa.int32())),
+                    "number": np.bincount(chunk.doc, weights=chunk.tf, minlength=n).astype(np.int64)}
         return pa.table({
             "id": chunk.ids.combine_chunks(), "size": chunk.size,
             "bands": lists(np.arange(n + 1) * bands, pa.array(keys.T.reshape(-1).view(np.int64))),
-            "total": total, "changed": total - less, "h": lists(kept, pa.array(chunk.g[shared].view(np.int64))),
-            "w": lists(kept, pa.array(weight[shared])), "n": lists(kept, pa.array(chunk.tf[shared], pa.int32())),
-            "number": number}).filter(ok)
+            "total": total, "h": lists(kept, pa.array(chunk.g[shared].view(np.int64))),
+            "w": lists(kept, pa.array(weight[shared])), **more}).filter(ok)
     return run
 
 
@@ -345,7 +350,7 @@ def _first_of_copies(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def document_sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS,
-                      chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+                      chunk_bytes: int = CHUNK_BYTES, edits: bool = False) -> tuple[DataFrame, DataFrame]:
     """texts (id, text) -> (sketch of one document of each text, copies (id, rep) of the others)."""
     # wordless texts are alike to nothing
     texts = texts.filter(F.col("text").rlike(HAS_WORDS)).withColumns(
@@ -362,7 +367,7 @@ def document_sketches(texts: DataFrame, bands: int = BANDS, rows: int = ROWS,
     work = _first_of_copies(texts, groups).withColumn("chunk", F.pmod("t1", F.lit(n_chunks)))
     answers = hx.answers(work.groupBy("chunk").applyInArrow(_ask(n_chunks), hx.MESSAGE))
     sketches = work.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _sketch(n_docs, n_chunks, bands, rows), _SKETCH)
+        _sketch(n_docs, n_chunks, bands, rows, edits), _SKETCH + _EDITS * edits)
     return written(sketches, "sketches"), copies
 
 
@@ -374,7 +379,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     link too, however large the group of copies."""
     texts = small_batches(docs).select(F.col(doc_id).cast("long").alias("id"),
                         F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    sketches, copies = document_sketches(texts, bands, rows, chunk_bytes)
+    sketches, copies = document_sketches(texts, bands, rows, chunk_bytes, edits)
     copies = written(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")), "copies")
     vectors = sketches.drop("size", "bands")
     banded = sketches.select("id", "size", F.posexplode("bands").alias("band", "key")).select(
